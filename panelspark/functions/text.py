@@ -167,7 +167,9 @@ def section_span(
 
 def strip_html(c) -> Column:
     """Drop script, style and table blocks and all tags, decode common entities, collapse white space."""
-    c = F.regexp_replace(col(c), r"(?is)<(script|style|table)\b[^>]*>.*?</\1\s*>", " ")
+    c = col(c)
+    for tag in ("script", "style", "table"):
+        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", " ")
     c = F.regexp_replace(c, r"<[^>]*>", " ")
     # Entities and their characters; the ampersand last.
