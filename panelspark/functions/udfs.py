@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
 def _incomplete_beta(a: float, b: float, x: float) -> float:
@@ -51,3 +51,54 @@ def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
 def min_norm_solve(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
     """Minimum-norm solution of symmetric normal equations, collinear columns allowed."""
     return np.linalg.pinv(gram, rcond=1e-10, hermitian=True) @ rhs
+
+
+def standardised_ols(n: float, sx: np.ndarray, sy: float, sxx: np.ndarray, sxy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Coefficients on standardised columns, column means and population sds, and the intercept, from sums."""
+    mean, my = sx / n, sy / n
+    cov = sxx / n - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    flat = sd <= 1e-12 * np.maximum(np.abs(mean), 1.0)
+    scale = np.where(flat, 1.0, sd)
+    gram = cov / np.outer(scale, scale)
+    gram[flat, :] = 0.0
+    gram[:, flat] = 0.0
+    rhs = np.where(flat, 0.0, (sxy / n - mean * my) / scale)
+    return min_norm_solve(gram, rhs), mean, scale, my
+
+
+OLS_TYPE = StructType([
+    StructField("coef", ArrayType(DoubleType())), StructField("mean", ArrayType(DoubleType())),
+    StructField("scale", ArrayType(DoubleType())), StructField("intercept", DoubleType()),
+])
+
+
+@F.pandas_udf(OLS_TYPE)
+def ols_from_sums(n: pd.Series, sx: pd.Series, sy: pd.Series, upper: pd.Series, sxy: pd.Series) -> pd.DataFrame:
+    """One regression per row of sums; `upper` is the row-wise upper triangle of the cross products."""
+    rows = []
+    for a, b, c, u, d in zip(n, sx, sy, upper, sxy):
+        k = len(b)
+        m = np.zeros((k, k))
+        m[np.triu_indices(k)] = u
+        m = m + m.T - np.diag(np.diag(m))
+        coef, mean, scale, icpt = standardised_ols(float(a), np.asarray(b, float), float(c), m, np.asarray(d, float))
+        rows.append((coef.tolist(), mean.tolist(), scale.tolist(), float(icpt)))
+    return pd.DataFrame(rows, columns=["coef", "mean", "scale", "intercept"])
+
+
+def logit_newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float = 1.0, steps: int = 50) -> np.ndarray:
+    """Ridge logistic regression (unpenalised intercept first) on a short series by Newton steps."""
+    z = np.column_stack([np.ones(len(x)), x])
+    ridge = np.eye(z.shape[1]) / c
+    ridge[0, 0] = 0.0
+    b = np.zeros(z.shape[1])
+    for _ in range(steps):
+        p = 1.0 / (1.0 + np.exp(-np.clip(z @ b, -30, 30)))
+        grad = z.T @ (w * (p - y)) + ridge @ b
+        hess = (z * (w * p * (1 - p))[:, None]).T @ z + ridge
+        step = np.linalg.solve(hess + 1e-12 * np.eye(len(b)), grad)
+        b = b - step
+        if np.abs(step).max() < 1e-10:
+            break
+    return b

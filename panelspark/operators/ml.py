@@ -1 +1,349 @@
-"""placeholder"""
+"""Model work: train-only preprocessing, MLlib classifiers, walk-forward selection, Gram-matrix regressions.
+
+Fitted state (medians, scales, class weights, categories) has one value per column and lives on the
+driver, as in any MLlib model; rows never do.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.feature import CountVectorizer, IDF, OneHotEncoder, RegexTokenizer, StopWordsRemover, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions.columns import CLASSES, argmax_label
+from ..functions.text import letters_only, word_fractions, NEGATIVE_WORDS, UNCERTAIN_WORDS
+from ..functions.udfs import logit_newton, ols_from_sums, t_pvalue
+from ..sources.sinks import settle
+from . import evaluate as ev
+from .prep import long_form
+from .ranking import exact_quantiles, rank_in_group
+from .sets import best_row
+
+
+# ---------------------------------------------------------------- features
+@dataclass
+class Features:
+    """Median impute, population-sd scaling and one-hot (unknown is all zeros), fitted on given rows."""
+
+    numeric: Sequence[str]
+    categorical: str | None = None
+    median: dict = field(default_factory=dict)
+    mean: dict = field(default_factory=dict)
+    scale: dict = field(default_factory=dict)
+    mode: str | None = None
+    encoder: object = None
+
+    def fit(self, df: DataFrame) -> "Features":
+        cols = list(self.numeric)
+        q = exact_quantiles(long_form(df, [], cols), ["feature"], "value", {"m": 0.5}).collect()
+        self.median = {c: 0.0 for c in cols} | {r["feature"]: r["m"] for r in q}
+        full = df.select(*[F.coalesce(F.col(c), F.lit(self.median[c])).alias(c) for c in cols])
+        one = full.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
+        self.mean = {c: one[f"m_{c}"] for c in cols}
+        self.scale = {c: one[f"s_{c}"] or 1.0 for c in cols}
+        stages = [VectorAssembler(inputCols=[f"_z_{c}" for c in cols], outputCol="_num")]
+        if self.categorical:
+            self.mode = df.groupBy(self.categorical).count().orderBy(F.desc("count"), self.categorical).where(F.col(self.categorical).isNotNull()).first()[0]
+            # "keep" adds one last slot for unseen values; dropping the last slot turns them into zeros
+            stages += [
+                StringIndexer(inputCol="_cat", outputCol="_ci", handleInvalid="keep", stringOrderType="alphabetAsc"),
+                OneHotEncoder(inputCol="_ci", outputCol="_co", dropLast=True),
+            ]
+        stages.append(VectorAssembler(inputCols=["_num", "_co"] if self.categorical else ["_num"], outputCol="features"))
+        self.encoder = Pipeline(stages=stages).fit(self._scaled(df))
+        return self
+
+    def _scaled(self, df: DataFrame) -> DataFrame:
+        z = {f"_z_{c}": (F.coalesce(F.col(c), F.lit(self.median[c])) - self.mean[c]) / self.scale[c] for c in self.numeric}
+        if self.categorical:
+            z["_cat"] = F.coalesce(F.col(self.categorical), F.lit(self.mode))
+        return df.withColumns(z)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        drop = [f"_z_{c}" for c in self.numeric] + ["_num", "_cat", "_ci", "_co"]
+        return self.encoder.transform(self._scaled(df)).drop(*drop)
+
+
+def label_index(label: str = "label") -> Column:
+    out = F.lit(None).cast("double")
+    for i, c in enumerate(CLASSES):
+        out = F.when(F.col(label) == c, F.lit(float(i))).otherwise(out)
+    return out
+
+
+def balanced(df: DataFrame, label: str = "label") -> DataFrame:
+    """Add the class index and the weight n / (classes present * class size)."""
+    n = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    total = sum(n.values())
+    w = F.lit(1.0)
+    for c, k in n.items():
+        w = F.when(F.col(label) == c, F.lit(total / (len(n) * k))).otherwise(w)
+    return df.withColumn("label_index", label_index(label)).withColumn("weight", w)
+
+
+def logistic(n_rows: int, C: float = 1.0, l1_ratio: float = 0.0, iterations: int = 100) -> LogisticRegression:
+    """Multinomial elastic net; the loss is a mean here, so the penalty is 1 / (C n)."""
+    return LogisticRegression(
+        featuresCol="features", labelCol="label_index", weightCol="weight", family="multinomial", maxIter=iterations,
+        regParam=1.0 / (C * n_rows), elasticNetParam=l1_ratio, standardization=False, tol=1e-5,
+    )
+
+
+def forest(trees: int = 500, depth: int = 10, seed: int = 42) -> RandomForestClassifier:
+    return RandomForestClassifier(featuresCol="features", labelCol="label_index", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed)
+
+
+def boosted(rounds: int = 100, depth: int = 3, seed: int = 42) -> OneVsRest:
+    """One boosted binary model per class (the library's boosting is binary)."""
+    g = GBTClassifier(featuresCol="features", labelCol="label_index", weightCol="weight", maxIter=rounds, maxDepth=depth, seed=seed)
+    return OneVsRest(classifier=g, featuresCol="features", labelCol="label_index", weightCol="weight")
+
+
+def score(model, df: DataFrame) -> DataFrame:
+    """Class probabilities, label (first maximum wins) and p_increase - p_reduce."""
+    out = model.transform(df)
+    if "probability" in out.columns:
+        p = vector_to_array("probability")
+    else:
+        # one-vs-rest gives a margin per class: logistic link, then normalise
+        raw = F.transform(vector_to_array("rawPrediction"), lambda v: 1 / (1 + F.exp(-2 * v)))
+        p = F.transform(raw, lambda v: v / F.aggregate(raw, F.lit(0.0), lambda a, x: a + x))
+    # classes beyond those seen in training have no slot: probability 0
+    p = [F.coalesce(F.get(p, i), F.lit(0.0)) for i in range(len(CLASSES))]
+    out = out.withColumns({f"p_{c}": x for c, x in zip(CLASSES, p)})
+    out = out.withColumn("pred", argmax_label(*[f"p_{c}" for c in CLASSES])).withColumn("score", F.col("p_increase") - F.col("p_reduce"))
+    return out.drop("features", "rawPrediction", "probability", "prediction")
+
+
+def fit_predict(train: DataFrame, others: DataFrame, numeric: Sequence[str], categorical: str | None, estimator: Callable) -> DataFrame:
+    """Fit preprocessing and a model on `train`, score `others`."""
+    f = Features(numeric, categorical).fit(train)
+    ready = settle(balanced(f.transform(train)).select("features", "label_index", "weight"))
+    return score(estimator(ready.count()).fit(ready), f.transform(others))
+
+
+# ---------------------------------------------------------------- selection
+def between(df: DataFrame, t: str, lo: str, hi: str) -> DataFrame:
+    return df.where(F.col(t).between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
+
+
+def walk_forward(df: DataFrame, t: str, numeric: Sequence[str], categorical: str, folds: Sequence[dict], grid: Sequence[dict], iterations: int = 100) -> DataFrame:
+    """Metrics per (candidate, fold) of an expanding, purged walk-forward search.
+
+    A fold names train_start, train_end, val_start, val_end; the gap between train end and validation
+    start is purged. Preprocessing is fitted inside each fold.
+    """
+    out = None
+    for fold in folds:
+        tr, va = between(df, t, fold["train_start"], fold["train_end"]), between(df, t, fold["val_start"], fold["val_end"])
+        f = Features(numeric, categorical).fit(tr)
+        ready = settle(balanced(f.transform(tr)).select("features", "label_index", "weight"))
+        val = settle(f.transform(va).select("label", "features"))
+        n = ready.count()
+        preds = None
+        for g in grid:
+            m = logistic(n, g["C"], g["l1_ratio"], iterations).fit(ready)
+            p = score(m, val).select("label", "pred", F.lit(g["candidate"]).alias("candidate"))
+            preds = p if preds is None else preds.unionByName(p)
+        s = ev.summary(preds, "label", "pred", ["candidate"])
+        rec = ev.per_class(preds, "label", "pred", ["candidate"]).where(F.col("class") == "reduce").select("candidate", F.col("recall").alias("reduce_recall"))
+        part = s.join(rec, "candidate").withColumn("fold", F.lit(fold["fold"]))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def search_table(metrics: DataFrame) -> DataFrame:
+    return metrics.groupBy("candidate").agg(
+        F.count("*").alias("n_folds"), F.avg("macro_f1").alias("mean_macro_f1"), F.stddev_samp("macro_f1").alias("sd_macro_f1"),
+        F.avg("weighted_f1").alias("mean_weighted_f1"), F.avg("reduce_recall").alias("mean_reduce_recall"), F.avg("accuracy").alias("mean_accuracy"))
+
+
+def best_candidate(search: DataFrame) -> DataFrame:
+    """Highest mean macro F1; ties by recall of the event class, weighted F1, lower sd, name."""
+    return best_row(search, [F.desc("mean_macro_f1"), F.desc("mean_reduce_recall"), F.desc("mean_weighted_f1"), F.asc("sd_macro_f1"), F.asc("candidate")])
+
+
+def row_count_folds(df: DataFrame, t: str, key: str, splits: int) -> DataFrame:
+    """Fold numbers by position in (t, key) order: equal test blocks at the end, everything before a
+    block is its training set. Blocks may cut a period in two. Adds `position` and `test_fold`."""
+    n = df.agg(F.count("*").alias("n")).scalar()
+    r = rank_in_group(df.withColumn("_d", F.unix_date(t)), [], "_d", key, descending=False, out="_rk").withColumn("_n", n)
+    size = F.floor(F.col("_n") / (splits + 1))
+    pos = F.col("_rk") - 1
+    start = F.col("_n") - splits * size
+    return r.withColumn("position", pos).withColumn("test_fold", F.when(pos >= start, F.floor((pos - start) / size))).drop("_rk", "_n", "_d")
+
+
+def compare_families(train: DataFrame, val: DataFrame, numeric: Sequence[str], categorical: str, models: dict[str, Callable]) -> tuple[DataFrame, Features]:
+    """Validation predictions of several model families fitted on the same features: model, label, pred."""
+    f = Features(numeric, categorical).fit(train)
+    ready = settle(balanced(f.transform(train)).select("features", "label_index", "weight"))
+    n = ready.count()
+    v = settle(f.transform(val))
+    out = None
+    for name, make in models.items():
+        p = score(make(n).fit(ready), v).withColumn("model", F.lit(name))
+        out = p if out is None else out.unionByName(p)
+    return out, f
+
+
+# ---------------------------------------------------------------- linear models
+def gram_sums(df: DataFrame, group: Sequence[str], xs: Sequence[str], y: str) -> DataFrame:
+    """Row count and all first and second moments per group, complete rows only, in one aggregate."""
+    d = df.na.drop(subset=[*xs, y])
+    pairs = [(a, b) for i, a in enumerate(xs) for b in xs[i:]]
+    g = d.groupBy(*group).agg(
+        F.count("*").alias("n"), F.sum(y).alias("sy"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)],
+        *[F.sum(F.col(a) * F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)], *[F.sum(F.col(x) * F.col(y)).alias(f"c{i}") for i, x in enumerate(xs)])
+    arr = lambda p, k: F.array(*[F.col(f"{p}{i}") for i in range(k)])
+    return g.select(*group, "n", "sy", arr("s", len(xs)).alias("sx"), arr("p", len(pairs)).alias("upper"), arr("c", len(xs)).alias("sxy"))
+
+
+def ols(df: DataFrame, group: Sequence[str], xs: Sequence[str], y: str, min_n: int = 2) -> DataFrame:
+    """Minimum-norm least squares on standardised columns per group: n, fit(coef, mean, scale, intercept)."""
+    g = gram_sums(df, group, xs, y).where(F.col("n") >= min_n)
+    return g.select(*group, "n", ols_from_sums("n", "sx", "sy", "upper", "sxy").alias("fit"))
+
+
+def predict_ols(df: DataFrame, fit: Column, xs: Sequence[str]) -> DataFrame:
+    d = df.withColumn("_f", fit)
+    p = F.col("_f.intercept")
+    for i, x in enumerate(xs):
+        p = p + F.col("_f.coef")[i] * (F.col(x) - F.col("_f.mean")[i]) / F.col("_f.scale")[i]
+    return d.withColumn("yhat", p).drop("_f")
+
+
+def pooled_ols(df: DataFrame, xs: Sequence[str], y: str, split: str, fit_split: str = "train") -> tuple[DataFrame, DataFrame]:
+    """(metrics per split, coefficients): R2 about each split's own mean, RMSE and MAE."""
+    d = df.na.drop(subset=[*xs, y])
+    f = ols(d.where(F.col(split) == fit_split), [], xs, y)
+    e = F.col(y) - F.col("yhat")
+    m = predict_ols(d, f.select("fit").scalar(), xs).groupBy(split).agg(
+        F.count("*").alias("n"), (1 - F.sum(e * e) / F.nullif(F.var_pop(y) * F.count("*"), F.lit(0.0))).alias("r2"),
+        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
+    return m, coefficients(f, [], xs)
+
+
+def coefficients(fit: DataFrame, group: Sequence[str], xs: Sequence[str]) -> DataFrame:
+    cells = F.arrays_zip(F.array(*[F.lit(x) for x in xs]).alias("feature"), F.col("fit.coef").alias("coef"))
+    return fit.select(*group, "n", F.explode(cells).alias("_c")).select(*group, "n", "_c.*")
+
+
+def fama_macbeth(df: DataFrame, t: str, xs: Sequence[str], y: str, min_names: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(slopes per period, summary): cross-sectional regressions on within-period standardised columns.
+
+    Each period is one row of sums; the solve runs on those rows. t is NULL where the slope never varies.
+    """
+    slopes = coefficients(ols(df, [t], xs, y, min_names), [t], xs)
+    g = slopes.groupBy("feature").agg(F.count("*").alias("n_periods"), F.avg("coef").alias("mean_coef"), F.stddev_samp("coef").alias("sd_coef"))
+    tstat = F.when(F.col("sd_coef") > 1e-12, F.col("mean_coef") / (F.col("sd_coef") / F.sqrt("n_periods")))
+    return slopes, g.withColumn("t", tstat)
+
+
+def with_p_value(df: DataFrame, t: str, dof: Column) -> DataFrame:
+    return df.withColumn("p_value", t_pvalue(t, dof.cast("double")))
+
+
+def ordered_logit(train: DataFrame, others: DataFrame, numeric: Sequence[str], categorical: str | None, ordinal: dict[str, int]) -> DataFrame:
+    """Proportional odds by stacked cumulative logits: each row once per threshold, one slope for all.
+
+    An approximation of the joint maximum likelihood: the stacked copies are treated as independent.
+    """
+    levels = sorted(ordinal, key=ordinal.get)
+    f = Features(numeric, categorical).fit(train)
+    cuts = list(range(len(levels) - 1))
+
+    def stack(d: DataFrame) -> DataFrame:
+        y = F.lit(None).cast("int")
+        for c, i in ordinal.items():
+            y = F.when(F.col("label") == c, F.lit(i)).otherwise(y)
+        s = f.transform(d).withColumn("_y", y).withColumn("_cut", F.explode(F.array(*[F.lit(i) for i in cuts])))
+        s = s.withColumns({f"_d{i}": (F.col("_cut") == i).cast("double") for i in cuts[1:]})
+        s = s.withColumn("label_index", (F.col("_y") > F.col("_cut")).cast("double"))
+        return VectorAssembler(inputCols=["features", *[f"_d{i}" for i in cuts[1:]]], outputCol="stacked").transform(s)
+
+    ready = settle(stack(train).select("stacked", "label_index"))
+    model = LogisticRegression(featuresCol="stacked", labelCol="label_index", family="binomial", regParam=0.0, standardization=False, maxIter=100, tol=1e-6).fit(ready)
+    w = model.coefficients.toArray()
+    n_x = len(w) - (len(cuts) - 1)
+    theta = [float(model.intercept) + (0.0 if i == 0 else float(w[n_x + i - 1])) for i in cuts]
+    v = vector_to_array("features")
+    xb = F.aggregate(F.zip_with(v, F.array(*[F.lit(float(b)) for b in w[:n_x]]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    out = f.transform(others).withColumn("_xb", xb).drop("features")
+    above = [F.lit(1.0)] + [1 / (1 + F.exp(-(F.col("_xb") + th))) for th in theta] + [F.lit(0.0)]
+    out = out.withColumns({f"p_{c}": F.greatest(above[i] - above[i + 1], F.lit(0.0)) for i, c in enumerate(levels)}).drop("_xb")
+    return out.withColumn("pred", argmax_label(*[f"p_{c}" for c in CLASSES]))
+
+
+# ---------------------------------------------------------------- regime series
+def expanding_scores(series: DataFrame, t: str, xs: Sequence[str], y: str, initial: int, C: float = 1.0) -> DataFrame:
+    """One-step-ahead probability for each period, from a balanced logistic fit on all earlier periods.
+
+    The series has one row per period. Each cutoff is its own task group holding only its prefix; prefixes
+    with a single class are left out.
+    """
+    w = Window.orderBy(t)
+    s = series.na.drop(subset=[*xs, y]).select(t, F.col(y).cast("int").alias(y), *xs).withColumn("_i", F.row_number().over(w) - 1)
+    n = s.agg(F.count("*").alias("n")).scalar()
+    rows = s.withColumn("_n", n).withColumn("cut", F.explode(F.sequence(F.greatest(F.col("_i"), F.lit(initial)), F.greatest(F.col("_n") - 1, F.lit(initial)))))
+    rows = rows.where((F.col("_i") <= F.col("cut")) & (F.col("cut") < F.col("_n"))).drop("_n")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        last, past = pdf.iloc[-1], pdf.iloc[:-1]
+        yy = past[y].to_numpy(float)
+        empty = pd.DataFrame({"t": [], "y": [], "p": []})
+        if len(past) == 0 or yy.min() == yy.max():
+            return empty
+        x = past[list(xs)].to_numpy(float)
+        mean, sd = x.mean(0), x.std(0)
+        sd[sd == 0] = 1.0
+        wt = np.where(yy == 1, len(yy) / (2 * yy.sum()), len(yy) / (2 * (len(yy) - yy.sum())))
+        beta = logit_newton((x - mean) / sd, yy, wt, C)
+        z = np.concatenate([[1.0], (last[list(xs)].to_numpy(float) - mean) / sd])
+        return pd.DataFrame({"t": [last[t]], "y": [int(last[y])], "p": [1.0 / (1.0 + np.exp(-float(z @ beta)))]})
+
+    return rows.groupBy("cut").applyInPandas(fit, "t date, y int, p double")
+
+
+def consistency(a: DataFrame, b: DataFrame, keys: Sequence[str], numbers: Sequence[str] = (), texts: Sequence[str] = ()) -> DataFrame:
+    """Compare two result tables item by item: numbers within 1e-10, texts exactly; NULL equals NULL."""
+    from ..functions.columns import is_close
+
+    def long(d: DataFrame) -> DataFrame:
+        cells = [F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("num"), F.lit(None).cast("string").alias("txt")) for c in numbers]
+        cells += [F.struct(F.lit(c).alias("item"), F.lit(None).cast("double").alias("num"), F.col(c).cast("string").alias("txt")) for c in texts]
+        return d.select(*keys, F.inline(F.array(*cells)))
+
+    j = long(a).withColumnsRenamed({"num": "a_num", "txt": "a_txt"}).withColumn("_a", F.lit(1)).join(
+        long(b).withColumnsRenamed({"num": "b_num", "txt": "b_txt"}).withColumn("_b", F.lit(1)), [*keys, "item"], "full")
+    same = F.col("a_txt").eqNullSafe(F.col("b_txt")) & (F.coalesce(is_close("a_num", "b_num"), F.col("a_num").isNull() & F.col("b_num").isNull()))
+    return j.withColumn("consistent", F.col("_a").isNotNull() & F.col("_b").isNotNull() & same).drop("_a", "_b")
+
+
+# ---------------------------------------------------------------- text baselines
+def tfidf_baseline(df: DataFrame, text: str, label: str, fit: Column, vocabulary: int = 3000, min_docs: int = 5, iterations: int = 50) -> DataFrame:
+    """TF-IDF and balanced multinomial logistic regression; scores every row."""
+    d = df.withColumn("_fit", fit).withColumn("_t", letters_only(text, keep_space=True))
+    pipe = Pipeline(stages=[
+        RegexTokenizer(inputCol="_t", outputCol="_w", pattern=r"\W+", minTokenLength=2), StopWordsRemover(inputCol="_w", outputCol="_k"),
+        CountVectorizer(inputCol="_k", outputCol="_c", vocabSize=vocabulary, minDF=float(min_docs)), IDF(inputCol="_c", outputCol="features"),
+    ]).fit(d.where("_fit"))
+    ready = settle(balanced(pipe.transform(d).drop("_t", "_w", "_k", "_c"), label))
+    tr = ready.where("_fit")
+    return score(logistic(tr.count(), iterations=iterations).fit(tr), ready).drop("label_index", "weight", "_fit")
+
+
+def lexicon_baseline(df: DataFrame, text: str, label: str, fit: Column, iterations: int = 50) -> DataFrame:
+    """Negative and uncertain word shares and length as features of the same classifier."""
+    f = word_fractions(text, {"negative": NEGATIVE_WORDS, "uncertain": UNCERTAIN_WORDS})
+    d = settle(df.withColumn("_fit", fit).withColumns({f"_x_{n}": c.cast("double") for n, c in f.items()}))
+    out = fit_predict(d.where("_fit"), d, [f"_x_{n}" for n in f], None, lambda n: logistic(n, iterations=iterations))
+    return out.drop("_fit", *[f"_x_{n}" for n in f])
