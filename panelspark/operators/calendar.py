@@ -34,10 +34,16 @@ def fill_months(df: DataFrame, key: Sequence[str], t: str = "t") -> DataFrame:
     )
 
 
-def month_end_last(df: DataFrame, key: Sequence[str], ts: str, cols: Sequence[str], out: str = "t") -> DataFrame:
-    """Last non-null value of each column per month, empty months kept inside each key's span."""
+def month_end_last(
+    df: DataFrame, key: Sequence[str], ts: str, cols: Sequence[str], out: str = "t", also: dict[str, Column] | None = None
+) -> DataFrame:
+    """Last non-null value of each column per month, empty months kept inside each key's span.
+
+    `also` adds other monthly aggregates in the same pass.
+    """
     g = df.groupBy(*key, F.last_day(ts).alias(out)).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(c) for c in cols]
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(c) for c in cols],
+        *[c.alias(n) for n, c in (also or {}).items()],
     )
     return fill_months(g, key, out)
 
@@ -85,9 +91,11 @@ def risk_free(df: DataFrame, t: str, annual_pct: str, out: str = "monthly_rf") -
 
 def monthly_volatility(df: DataFrame, key: Sequence[str], ts: str, ret: str, scale: float = 252.0) -> DataFrame:
     """Annualised sample standard deviation of daily returns inside each month."""
-    return df.groupBy(*key, F.last_day(ts).alias("t")).agg(
-        (F.stddev_samp(ret) * F.sqrt(F.lit(scale))).alias("vol_annualized")
-    )
+    return df.groupBy(*key, F.last_day(ts).alias("t")).agg(annualised_sd(ret, scale).alias("vol_annualized"))
+
+
+def annualised_sd(ret: str, scale: float = 252.0) -> Column:
+    return F.stddev_samp(ret) * F.sqrt(F.lit(scale))
 
 
 def forward_return(df: DataFrame, key: Sequence[str], t: str, ret: str, out: str = "fwd_ret") -> DataFrame:

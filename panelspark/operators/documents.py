@@ -77,18 +77,20 @@ def text_change(docs: DataFrame, key: Sequence[str], ts: str, doc: str, text: st
     """TF-IDF cosine of each document with the previous one of its key.
 
     Pair weights use the two-document smoothed idf ln(3 / (1 + df)) + 1. Terms are counted once per
-    document and met through the pair ids: no pair of texts is ever held together.
+    document and met through the pair ids; texts are never joined to texts.
     """
     size = docs.withColumn("_len", F.length(text))
     prev = previous_record(size.select(*key, ts, doc, "_len"), key, ts, doc, ["_len"])
     pairs = prev.where((F.col("_len") >= min_chars) & (F.col("prev__len") >= min_chars)).select(F.col(doc).alias("_cur"), F.col(f"prev_{doc}").alias("_prev"))
     sides = pairs.select(F.col("_cur").alias("_pair"), F.explode(F.array(
         F.struct(F.col("_cur").alias(doc), F.lit(1).alias("_cur_side")), F.struct(F.col("_prev").alias(doc), F.lit(0).alias("_cur_side")))).alias("_s")).select("_pair", "_s.*")
-    words = docs.select(doc, F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("_term"))
+    # texts move once, by document, and keep that placement through the count and the join; the counts
+    # then move once, by pair (two documents), which serves both of the last aggregates
+    words = docs.select(doc, text).repartition(doc).select(doc, F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("_term"))
     if stop_words:
         words = words.where(~F.col("_term").isin(*stop_words))
     tf = words.groupBy(doc, "_term").agg(F.count("*").cast("double").alias("_n"))
-    both = tf.join(sides, doc).groupBy("_pair", "_term").agg(
+    both = tf.join(sides, doc).repartition("_pair").groupBy("_pair", "_term").agg(
         F.sum(F.when(F.col("_cur_side") == 1, F.col("_n"))).alias("_a"), F.sum(F.when(F.col("_cur_side") == 0, F.col("_n"))).alias("_b"))
     idf = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 1.0).otherwise(F.log(F.lit(1.5)) + 1)
     a, b = F.coalesce("_a", F.lit(0.0)) * idf, F.coalesce("_b", F.lit(0.0)) * idf

@@ -81,11 +81,10 @@ def random_floor(df: DataFrame, event: Column, fired: Column, group: Sequence[st
 
 def threshold_at_budget(df: DataFrame, score: str, key: str, event: Column, fired: Column) -> DataFrame:
     """Recall and precision of flagging the top rows by score, as many as were fired; ties by key."""
-    r = rank_in_group(df.withColumn("_e", event).withColumn("_f", fired), [], score, key)
-    k = df.agg(F.count_if(fired).alias("k")).scalar()
-    g = r.withColumn("_k", k).agg(
-        F.count("*").alias("n"), F.max("_k").alias("k"), F.count_if(F.col("_e")).alias("m"),
-        F.count_if(F.col("_e") & (F.col("rk") <= F.col("_k"))).alias("hits"),
+    r = rank_in_group(df.withColumn("_y", event), [], score, key, totals={"_k": fired.cast("bigint")})
+    g = r.agg(
+        F.count("*").alias("n"), F.max("_k").alias("k"), F.count_if(F.col("_y")).alias("m"),
+        F.count_if(F.col("_y") & (F.col("rk") <= F.col("_k"))).alias("hits"),
     )
     return g.select("n", "k", "hits", _div("hits", "m").alias("recall"), _div("hits", "k").alias("precision"))
 

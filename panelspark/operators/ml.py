@@ -299,7 +299,7 @@ def expanding_scores(series: DataFrame, t: str, xs: Sequence[str], y: str, initi
         pdf = pdf.sort_values("_i")
         last, past = pdf.iloc[-1], pdf.iloc[:-1]
         yy = past[y].to_numpy(float)
-        empty = pd.DataFrame({"t": [], "y": [], "p": []})
+        empty = pd.DataFrame({"t": pd.Series([], dtype=object), "y": pd.Series([], dtype="int32"), "p": pd.Series([], dtype=float)})
         if len(past) == 0 or yy.min() == yy.max():
             return empty
         x = past[list(xs)].to_numpy(float)

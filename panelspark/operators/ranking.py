@@ -74,24 +74,43 @@ def ranked_totals(
 
 def rank_in_group(
     df: DataFrame, group: Sequence[str], value: str, tie: str, descending: bool = True,
-    out: str = "rk", buckets: int = BUCKETS,
+    out: str = "rk", totals: dict[str, Column] | None = None, buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Exact row number by (value, tie ascending) in each group, tie being a numeric key unique per group."""
-    group = list(group)
-    cum = ranked_totals(df, group, value, {"_n": F.lit(1).cast("bigint")}, descending, buckets)
-    before = cum.select(*group, value, (F.col("cum__n") - F.col("_n")).alias("_before"))
-    # order inside one tied value: key buckets, then a local row number
-    tied = add_bucket(df.where(F.col(value).isNotNull()), group, tie, buckets, "_kb")
-    counts = tied.groupBy(*group, value, "_kb").agg(F.count("*").alias("_c"))
-    w_k = Window.partitionBy(*group, value).orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*group, value, "_kb", F.coalesce(F.sum("_c").over(w_k), F.lit(0)).alias("_koff"))
-    w = Window.partitionBy(*group, value, "_kb").orderBy(tie)
+    """Exact row number by (value, tie ascending) in each group; tie is a numeric key unique per group.
+
+    Rows fall into (value bucket, tie bucket) cells, ordered like the rows themselves; a cell's offset
+    plus a row number inside the cell is the rank. The edges come from the rows, so a value that fills
+    more than one bucket shows up as a repeated edge: only such a value is split further, by tie. Any
+    edges give the same ranks. `totals` adds per-group sums from the same cell counts. Rows without a
+    value are left out. The input is read three times: settle it first if it is costly.
+    """
+    group, totals = list(group), totals or {}
+    v, t = F.col(value).cast("double"), F.col(tie).cast("double")
+    v = -v if descending else v
+    rows = df.where(F.col(value).isNotNull())
+    edges = rows.groupBy(*group).agg(
+        F.percentile_approx(v, _fractions(buckets), 1000).alias("_e"),
+        F.percentile_approx(t, _fractions(buckets), 1000).alias("_te"),
+    )
+    if group:
+        rows = rows.join(edges, group)
+    else:
+        rows = rows.withColumn("_s", edges.select(F.struct("*")).scalar()).withColumns({"_e": F.col("_s._e"), "_te": F.col("_s._te")}).drop("_s")
+    rows = rows.withColumn("_lo", F.size(F.filter("_e", lambda x: x < v)))
+    hot = F.size(F.filter("_e", lambda x: x == v)) > 1
+    rows = rows.withColumn("_kb", F.when(hot, 1 + F.size(F.filter("_te", lambda x: x < t))).otherwise(0)).drop("_e", "_te")
+    cell = [*group, "_lo", "_kb"]
+    counts = rows.groupBy(*cell).agg(F.count("*").alias("_c"), *[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()])
+    w = Window.partitionBy(*group).orderBy("_lo", "_kb") if group else Window.orderBy("_lo", "_kb")
+    whole = Window.partitionBy(*group)
+    counts = counts.select(
+        *cell, F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        *[F.sum(f"_t_{n}").over(whole).alias(n) for n in totals],
+    )
+    inner = Window.partitionBy(*cell).orderBy(v, tie)
     return (
-        tied.withColumn("_rn", F.row_number().over(w))
-        .join(counts, [*group, value, "_kb"])
-        .join(before, [*group, value])
-        .withColumn(out, F.col("_before") + F.col("_koff") + F.col("_rn"))
-        .drop("_before", "_koff", "_rn", "_kb")
+        rows.withColumn("_rn", F.row_number().over(inner)).join(counts, cell)
+        .withColumn(out, F.col("_off") + F.col("_rn")).drop("_lo", "_kb", "_off", "_rn")
     )
 
 
@@ -148,18 +167,17 @@ def top_share(
     df: DataFrame, group: Sequence[str], score: str, key: str, share: float, min_rows: int = 1
 ) -> DataFrame:
     """Top ceil(share * n) per group, at least `min_rows`, at most n."""
-    sizes = df.groupBy(*group).agg(F.count("*").alias("_n"))
+    ranked = rank_in_group(df, group, score, key, totals={"_n": F.lit(1).cast("bigint")})
     k = F.least(F.greatest(F.ceil(F.lit(share) * F.col("_n")), F.lit(min_rows)), F.col("_n"))
-    ranked = rank_in_group(df, group, score, key)
-    return ranked.join(sizes, list(group)).where(F.col("rk") <= k).drop("_n")
+    return ranked.where(F.col("rk") <= k).drop("_n")
 
 
 def top_by_budget(
     df: DataFrame, group: Sequence[str], score: str, key: str, flag: Column
 ) -> DataFrame:
     """Per group, as many top rows by score as there are flagged rows."""
-    budget = df.groupBy(*group).agg(F.count_if(flag).alias("_k"))
-    return rank_in_group(df, group, score, key).join(budget, list(group)).where(F.col("rk") <= F.col("_k")).drop("_k")
+    ranked = rank_in_group(df, group, score, key, totals={"_k": flag.cast("bigint")})
+    return ranked.where(F.col("rk") <= F.col("_k")).drop("_k")
 
 
 def budget_curve(df: DataFrame, score: str, key: str, event: Column, budgets: Sequence[float]) -> DataFrame:
@@ -185,11 +203,11 @@ def budget_curve(df: DataFrame, score: str, key: str, event: Column, budgets: Se
         F.max(F.when(cut, F.col("k") - F.col("cum_n") + F.col("n"))).alias("_need"),
     )
     edge = per.where(F.col("_cut").isNotNull())
-    at_cut = df.withColumn("_e", ev).join(
+    at_cut = df.withColumn("_hit", ev).join(
         edge.select(F.col("_cut").alias(score), "budget", "_need"), score
     )
     ranked = rank_in_group(at_cut, ["budget"], "_need", key)
-    tie_hits = ranked.where(F.col("rk") <= F.col("_need")).groupBy("budget").agg(F.sum("_e").alias("_tie"))
+    tie_hits = ranked.where(F.col("rk") <= F.col("_need")).groupBy("budget").agg(F.sum("_hit").alias("_tie"))
     return (
         plan.join(per, "budget", "left").join(tie_hits, "budget", "left")
         .withColumn("hits", F.coalesce("_above", F.lit(0)) + F.coalesce("_tie", F.lit(0)))

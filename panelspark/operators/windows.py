@@ -70,8 +70,11 @@ def residual_volatility(
 
 def carry_to_months(df: DataFrame, months: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Trailing features at every month of `months` from the key's first row on, also after it stops."""
-    grid = months.join(df.groupBy(*key).agg(F.min("t").alias("_t0")), F.col("t") >= F.col("_t0"))
-    return grid.drop("_t0").join(df, [*key, "t"], "left").withColumns({
+    last = months.agg(F.max("t").alias("m")).scalar()
+    first = df.groupBy(*key).agg(F.min("t").alias("_t0")).withColumn("_t1", last).where(F.col("_t0") <= F.col("_t1"))
+    every = F.sequence(F.trunc("_t0", "month"), F.trunc("_t1", "month"), F.expr("interval 1 month"))
+    grid = first.select(*key, F.explode(every).alias("_m")).select(*key, F.last_day("_m").alias("t")).join(months, "t", "left_semi")
+    return grid.join(df, [*key, "t"], "left").withColumns({
         c: F.last(c, ignorenulls=True).over(
             Window.partitionBy(*key).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
         ) for c in cols

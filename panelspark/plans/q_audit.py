@@ -57,9 +57,11 @@ def l4(spark, sf):
 
 @query("l5_text_factuality", """
  SELECT kind, count(*) AS n, count_if(ok) AS n_ok FROM (SELECT kind, unnest([
-   contains(src, substr(CAST(o_custkey AS VARCHAR) || '000', 1, 5)), contains(src, y)]) AS ok FROM (
+   contains(src, substr(CAST(o_custkey AS VARCHAR) || '000', 1, 5)), contains(src, y),
+   -- an amount that reads as a year is one more token
+   CASE WHEN o_custkey BETWEEN 1900 AND 2099 AND CAST(o_custkey AS VARCHAR) <> y THEN contains(src, CAST(o_custkey AS VARCHAR)) END]) AS ok FROM (
     SELECT o_orderpriority AS kind, o_custkey, CAST(year(o_orderdate) AS VARCHAR) AS y, CASE WHEN o_orderkey % 3 = 0 THEN 'about' || CAST(o_custkey AS VARCHAR) || '000in' ELSE 'noamount' END
-     || CAST(year(o_orderdate) - o_orderkey % 2 AS VARCHAR) AS src FROM orders)) GROUP BY kind""")
+     || CAST(year(o_orderdate) - o_orderkey % 2 AS VARCHAR) AS src FROM orders)) WHERE ok IS NOT NULL GROUP BY kind""")
 def l5(spark, sf):
     d = cited(spark, sf).withColumn("cust", F.regexp_extract("fact", r"\$(\d+),", 1))
     src = F.concat(F.when(F.col("id") % 3 == 0, F.concat(F.lit("about $"), "cust", F.lit(",000 in "))).otherwise("no amount "), (F.year("d") - F.col("id") % 2).cast("string"))

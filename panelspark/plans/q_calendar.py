@@ -135,8 +135,9 @@ cte("v_yield", """
  LEFT JOIN (SELECT k, t, lag(div_trailing / close) OVER (PARTITION BY k ORDER BY t) AS yl FROM v_yield) y ON r.k = y.k AND r.t = y.t
  LEFT JOIN v_rf f ON r.t = f.t""")
 def t10(spark, sf):
-    base = b.returns(spark, sf).select("k", "t", "fwd_ret")
-    y = cal.trailing_yield(cal.implied_dividends(b.px_daily(spark, sf), ["k"], "d", "close", "adj_close"),
+    px = sinks.settle(b.px_daily(spark, sf).select("k", "d", "close", "adj_close", "volume"))
+    base = b.returns(spark, sf, px).select("k", "t", "fwd_ret")
+    y = cal.trailing_yield(cal.implied_dividends(px, ["k"], "d", "close", "adj_close"),
                            ["k"], "d", "div_amount", "close")
     y = cal.publication_lag(y, ["k"], "t", ["div_yield"]).select("k", "t", "div_yield_lag1")
     out = joins.enrich(base, [(y, ["k", "t"]), (b.macro_month(spark, sf).select("t", "s2"), ["t"])])
@@ -151,8 +152,9 @@ def t10(spark, sf):
  FROM v_ret r LEFT JOIN v_yield y ON r.k = y.k AND r.t = y.t
  UNION ALL SELECT 'ret_12m', count(*), count(ret_12m), {r6('count(ret_12m) / count(*)')} FROM v_ret""")
 def t10c(spark, sf):
-    base = b.returns(spark, sf)
-    y = cal.trailing_yield(cal.implied_dividends(b.px_daily(spark, sf), ["k"], "d", "close", "adj_close"),
+    px = sinks.settle(b.px_daily(spark, sf).select("k", "d", "close", "adj_close", "volume"))
+    base = b.returns(spark, sf, px)
+    y = cal.trailing_yield(cal.implied_dividends(px, ["k"], "d", "close", "adj_close"),
                            ["k"], "d", "div_amount", "close").select("k", "t", "div_yield")
     p = joins.enrich(base, [(y, ["k", "t"])])
     return joins.coverage(p, ["div_yield", "ret_12m"]).select(
@@ -248,7 +250,7 @@ cte("v_mkt", "SELECT *, avg(ret_d) OVER (PARTITION BY d) AS mkt FROM v_dret")
    FROM v_mkt WINDOW w AS (PARTITION BY k ORDER BY d ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)) GROUP BY 1, 2)""")
 def w7(spark, sf):
     d = cal.pct_change(b.px_daily(spark, sf), ["k"], "d", "adj_close", {"ret_d": 1})
-    d = win.market_mean(d, "d", "ret_d", "mkt")
+    d = win.market_mean(sinks.settle(d.select("k", "d", "ret_d")), "d", "ret_d", "mkt")
     return win.residual_volatility(d, ["k"], "d", "ret_d", "mkt").select("k", "t", R("idio_vol").alias("idio_vol"))
 
 
@@ -269,7 +271,7 @@ def w67(spark, sf):
 @query("w8_market_mean", f"SELECT k, d, {r6('ret_d')} AS ret_d, {r6('mkt')} AS mkt FROM v_mkt")
 def w8(spark, sf):
     d = cal.pct_change(b.px_daily(spark, sf), ["k"], "d", "adj_close", {"ret_d": 1})
-    return win.market_mean(d, "d", "ret_d", "mkt").select("k", "d", R("ret_d").alias("ret_d"), R("mkt").alias("mkt"))
+    return win.market_mean(sinks.settle(d.select("k", "d", "ret_d")), "d", "ret_d", "mkt").select("k", "d", R("ret_d").alias("ret_d"), R("mkt").alias("mkt"))
 
 
 @query("w9_first_rank_cut", """
@@ -277,9 +279,8 @@ def w8(spark, sf):
    round_even(0.2 * count(*) OVER (PARTITION BY t), 0) AS bround FROM v_ev)""")
 def w9(spark, sf):
     e = sinks.settle(b.evaluated(spark, sf).select("k", "t", "p_r"))
-    n = e.groupBy("t").agg(F.bround(0.2 * F.count("*")).alias("_cut"))
-    return ranking.rank_in_group(e, ["t"], "p_r", "k").join(n, "t").select(
-        "k", "t", "rk", (F.col("rk") <= F.col("_cut")).alias("fired"))
+    return ranking.rank_in_group(e, ["t"], "p_r", "k", totals={"n": F.lit(1).cast("bigint")}).select(
+        "k", "t", "rk", (F.col("rk") <= F.bround(0.2 * F.col("n"))).alias("fired"))
 
 
 @query("w10_half_and_median_split", """

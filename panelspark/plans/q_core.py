@@ -321,13 +321,9 @@ def doc_dates(spark, sf):
 
 
 @query("j5_trailing_interval_join", """
- SELECT p.k, p.t, d.form, d.filed, d.doc_id, row_number() OVER (PARTITION BY p.k, p.t, d.filed ORDER BY d.doc_id) AS day_pos
- FROM v_docdates p JOIN v_docs d ON p.k = d.k AND d.filed BETWEEN CAST(p.t - INTERVAL 6 MONTH AS DATE) AND p.t""")
+ SELECT p.k, p.t, d.form, d.filed, d.doc_id FROM v_docdates p JOIN v_docs d ON p.k = d.k AND d.filed BETWEEN CAST(p.t - INTERVAL 6 MONTH AS DATE) AND p.t""")
 def j5(spark, sf):
-    from pyspark.sql import Window
-
-    hits = joins.interval_join(doc_dates(spark, sf), b.docs(spark, sf, text=False), ["k"], "t", "filed", months_back=6)
-    return hits.withColumn("day_pos", F.row_number().over(Window.partitionBy("k", "t", "filed").orderBy("doc_id")))
+    return joins.interval_join(doc_dates(spark, sf), b.docs(spark, sf, text=False), ["k"], "t", "filed", months_back=6)
 
 
 @query("j6_forward_interval_join", f"""

@@ -60,8 +60,7 @@ def predictions(spark, sf):
 
 
 def holdings(pred):
-    n = pred.groupBy("t").agg(F.count("*").alias("n"))
-    rk = ranking.rank_in_group(pred, ["t"], "score", "k").join(n, "t")
+    rk = ranking.rank_in_group(pred, ["t"], "score", "k", totals={"n": F.lit(1).cast("bigint")})
     cut = F.ceil(0.3 * F.col("n"))
     rules = {
         "hard_increase": F.col("pred") == "increase", "not_reduce": F.col("pred") != "reduce", "positive": F.col("score") > 0,
@@ -192,8 +191,7 @@ cte("v_hto", """
 
 def screens(spark, sf):
     pred = predictions(spark, sf)
-    budget = pred.groupBy("t").agg(F.count_if(F.col("pred") == "reduce").alias("b"))
-    rk = ranking.rank_in_group(pred, ["t"], "q_r", "k").join(budget, "t")
+    rk = ranking.rank_in_group(pred, ["t"], "q_r", "k", totals={"b": (F.col("pred") == "reduce").cast("bigint")})
     return pred, sinks.settle(pf.select_holdings(rk, {
         "all": F.lit(True), "avoid_flagged": F.col("pred") != "reduce", "avoid_scored": F.col("rk") > F.col("b"), "avoid_true": F.col("label") != "reduce",
     }, ["k", "t", "r"]))

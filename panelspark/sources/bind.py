@@ -91,22 +91,27 @@ def docs(spark: SparkSession, sf: str, text: bool = True) -> DataFrame:
     )
 
 
-def price_month(spark: SparkSession, sf: str) -> DataFrame:
-    """Month-end prices with the empty months kept."""
-    return cal.month_end_last(px_daily(spark, sf), ["k"], "d", ["close", "adj_close", "volume"])
+def price_month(spark: SparkSession, sf: str, px: DataFrame | None = None) -> DataFrame:
+    """Month-end prices with the empty months kept; `px` reuses daily rows already at hand."""
+    px = px_daily(spark, sf) if px is None else px
+    return cal.month_end_last(px, ["k"], "d", ["close", "adj_close", "volume"])
 
 
 def price_signals(spark: SparkSession, sf: str) -> DataFrame:
-    m = cal.pct_change(price_month(spark, sf), ["k"], "t", "adj_close",
-                       {"ret_1m": 1, "ret_3m": 3, "ret_6m": 6, "ret_12m": 12})
-    m = cal.running_drawdown(m, ["k"], "t", "adj_close")
+    """Signals per entity-month from one pass over the daily rows.
+
+    The daily window already sits on the entity, so the monthly aggregate and all later windows need no
+    further shuffle.
+    """
     daily = cal.pct_change(px_daily(spark, sf), ["k"], "d", "adj_close", {"ret_d": 1})
-    return m.join(cal.monthly_volatility(daily, ["k"], "d", "ret_d"), ["k", "t"], "left")
+    m = cal.month_end_last(daily, ["k"], "d", ["adj_close"], also={"vol_annualized": cal.annualised_sd("ret_d")})
+    m = cal.pct_change(m, ["k"], "t", "adj_close", {"ret_1m": 1, "ret_3m": 3, "ret_6m": 6, "ret_12m": 12})
+    return cal.running_drawdown(m, ["k"], "t", "adj_close")
 
 
-def returns(spark: SparkSession, sf: str) -> DataFrame:
+def returns(spark: SparkSession, sf: str, px: DataFrame | None = None) -> DataFrame:
     """k, t, adj_close, ret_1m, fwd_ret (last row of each entity dropped)."""
-    m = cal.pct_change(price_month(spark, sf), ["k"], "t", "adj_close", {"ret_1m": 1, "ret_3m": 3, "ret_12m": 12})
+    m = cal.pct_change(price_month(spark, sf, px), ["k"], "t", "adj_close", {"ret_1m": 1, "ret_3m": 3, "ret_12m": 12})
     return cal.forward_return(m, ["k"], "t", "ret_1m")
 
 

@@ -27,10 +27,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once and read back from the shared folder: for a frame that several branches of a plan
-    read. The copy outlives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Compute once, as a table in the shared folder: for a frame that several branches of a plan read.
+
+    The copy outlives lost executors, its columns are pruned per reader and its size is known to the
+    planner, so that joins choose broadcast by size.
+    """
+    path = new_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
