@@ -11,15 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = sc._jsc.sc().getCheckpointDir()
-        named = named.get() if named.isDefined() else tempfile.mkdtemp(prefix="panel-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named)
-    return named
+    current = sc._jsc.sc().getCheckpointDir()
+    if not current.isDefined():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="panel-"))
+        current = sc._jsc.sc().getCheckpointDir()
+    return current.get()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
