@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import band_label
 from . import calendar as cal
+from .sets import pick_columns
 
 
 def asof_join(
@@ -22,9 +23,11 @@ def asof_join(
     `t` and `as_of` are dates.
     """
     key = list(key)
-    keep = F.struct(F.col(as_of), *[F.col(c) for c in cols])
-    order = F.struct(*[F.col(c) for c in order_by]) if order_by else F.lit(0)
-    best = right.groupBy(*key, F.col(as_of).alias("_d")).agg(F.max_by(keep, order).alias("_r"))
+    order = order_by[0] if len(order_by) == 1 else F.struct(*order_by) if order_by else F.lit(0)
+    aggs, picked = pick_columns(right, list(cols), order, F.max_by)
+    best = right.groupBy(*key, F.col(as_of).alias("_d")).agg(*aggs).select(
+        *key, "_d", F.struct(F.col("_d").alias(as_of), *picked).alias("_r")
+    )
     points = left.select(*key, F.col(t).alias("_d")).distinct()
     both = best.select(*key, "_d", F.lit(0).alias("_side"), "_r").unionByName(
         points.select(*key, "_d", F.lit(1).alias("_side")), allowMissingColumns=True

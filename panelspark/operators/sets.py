@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+
+_FIXED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+
+
+def pick_columns(df: DataFrame, cols: Sequence[str], order, agg) -> tuple[list[Column], list[Column]]:
+    """(aggregates, columns) that take `cols` from the row with the extreme order value.
+
+    Fixed-width columns are taken one by one, which keeps the aggregate a hash aggregate; wider rows go as
+    one struct. The order must be unique per key, or the columns could come from different rows.
+    """
+    if isinstance(order, str) and all(isinstance(df.schema[c].dataType, _FIXED) for c in [*cols, order]):
+        return [agg(F.col(c), F.col(order)).alias(f"_p_{c}") for c in cols], [F.col(f"_p_{c}").alias(c) for c in cols]
+    return [agg(F.struct(*cols), order).alias("_p")], [F.col(f"_p.{c}").alias(c) for c in cols]
 
 
 def _pick(df: DataFrame, keys: Sequence[str], order, agg) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    g = df.groupBy(*keys).agg(agg(F.struct(*rest), order).alias("_s"))
-    return g.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in rest])
+    aggs, cols = pick_columns(df, [c for c in df.columns if c not in keys], order, agg)
+    return df.groupBy(*keys).agg(*aggs).select(*keys, *cols)
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], seq: str | Column) -> DataFrame:

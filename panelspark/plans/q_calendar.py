@@ -263,7 +263,7 @@ def w7(spark, sf):
    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS illiq FROM g LEFT JOIN f ON g.k = f.k AND g.t = f.t)""")
 def w67(spark, sf):
     d = cal.pct_change(b.px_daily(spark, sf), ["k"], "d", "adj_close", {"ret_d": 1})
-    f = win.illiquidity(d, ["k"], "d", "ret_d", "day_value")
+    f = sinks.settle(win.illiquidity(d, ["k"], "d", "ret_d", "day_value"))
     months = b.price_month(spark, sf).select("t").distinct()
     return win.carry_to_months(f, months, ["k"], ["illiq"]).select("k", "t", R("illiq", 3).alias("illiq"))
 

@@ -173,8 +173,10 @@ def p3(spark, sf):
 
 @query("p4_date_slice", "SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1997-03-01' AND DATE '1997-03-31'")
 def p4(spark, sf):
+    # the bounds have the column's own type, so that the filter reaches the scan
+    kind = b.table(spark, sf, "lineitem").schema["l_shipdate"].dataType
     li = b.table(spark, sf, "lineitem").where(F.col("l_shipdate").between(
-        F.lit("1997-03-01").cast("timestamp"), F.lit("1997-03-31 23:59:59.999999").cast("timestamp")))
+        F.lit("1997-03-01").cast(kind), F.lit("1997-03-31 23:59:59.999999").cast(kind)))
     return li.select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("d"))
 
 
@@ -339,9 +341,9 @@ def j6(spark, sf):
 
 @query("j7_join_1to1", f"SELECT k, t, {r6('p_r')} AS p_r, label FROM v_ev")
 def j7(spark, sf):
-    tr = b.truth(spark, sf).select("k", "t", "label")
-    d = b.decisions(spark, sf).select("k", "t", "p_r").join(tr.select("k", "t"), ["k", "t"], "left_semi")
-    t = tr.join(b.decisions(spark, sf).select("k", "t"), ["k", "t"], "left_semi")
+    tr = sinks.settle(b.truth(spark, sf).select("k", "t", "label"))
+    dec = sinks.settle(b.decisions(spark, sf).select("k", "t", "p_r"))
+    d, t = dec.join(tr.select("k", "t"), ["k", "t"], "left_semi"), tr.join(dec.select("k", "t"), ["k", "t"], "left_semi")
     return joins.join_1to1(d, t, ["k", "t"]).select("k", "t", R("p_r").alias("p_r"), "label")
 
 
@@ -358,7 +360,7 @@ def j8(spark, sf):
  SELECT x.strategy, d.t, s.sector, coalesce(n, 0) AS n FROM x, d, s LEFT JOIN
   (SELECT pred, t, sector, count(*) AS n FROM v_ev GROUP BY 1, 2, 3) e ON e.pred = x.strategy AND e.t = d.t AND e.sector = s.sector""")
 def j9(spark, sf):
-    e = b.evaluated(spark, sf)
+    e = _ev(spark, sf, "pred", "sector")
     cells = e.groupBy(F.col("pred").alias("strategy"), "t", "sector").agg(F.count("*").alias("n"))
     sp = joins.spine(e, "t", b.dim(spark, sf), "sector", CLASSES)
     return sp.join(cells, ["strategy", "t", "sector"], "left").select("strategy", "t", "sector", F.coalesce("n", F.lit(0)).alias("n"))
@@ -380,7 +382,7 @@ def j10(spark, sf):
  SELECT count_if(pred IS NOT NULL AND base_pred IS NOT NULL) AS n_both, count_if(base_pred IS NULL) AS only_a, count_if(pred IS NULL) AS only_b,
   count_if(pred = base_pred) AS n_agree, count_if(pred <> 'reduce' AND base_pred = 'reduce') AS flags_added, count_if(pred = 'reduce' AND base_pred <> 'reduce') AS flags_removed FROM j""")
 def j11(spark, sf):
-    e = b.evaluated(spark, sf)
+    e = _ev(spark, sf, "pred", "base_pred")
     left = e.where(F.col("k") % 10 != 0).select("k", "t", "pred")
     right = e.where(F.col("k") % 10 != 1).select("k", "t", F.col("base_pred").alias("pred"))
     return joins.compare_logs(left, right, ["k", "t"], "pred", "reduce")
@@ -456,7 +458,7 @@ def k7(spark, sf):
  SELECT p_r, n, hits, CAST(sum(n) OVER (ORDER BY p_r DESC) AS BIGINT) AS cum_n, CAST(sum(hits) OVER (ORDER BY p_r DESC) AS BIGINT) AS cum_hits
  FROM (SELECT {r6('p_r')} AS p_r, count(*) AS n, count_if(label = 'reduce') AS hits FROM v_ev GROUP BY 1)""")
 def g1(spark, sf):
-    e = b.evaluated(spark, sf).select(R("p_r").alias("p_r"), "label")
+    e = _ev(spark, sf, "p_r", "label").select(R("p_r").alias("p_r"), "label")
     out = ranking.ranked_totals(e, [], "p_r", {"n": F.lit(1).cast("bigint"), "hits": (F.col("label") == "reduce").cast("bigint")}, True)
     return out.select("p_r", "n", "hits", "cum_n", "cum_hits")
 
@@ -466,7 +468,7 @@ def g1(spark, sf):
  SELECT 'main' AS model, pred, count(*) AS n, {r6('avg(p_r)')} AS mean_p FROM v_ev GROUP BY 2
  UNION ALL SELECT 'base', base_pred, count(*), NULL FROM v_ev GROUP BY 2""")
 def u1(spark, sf):
-    e = b.evaluated(spark, sf)
+    e = _ev(spark, sf, "pred", "base_pred", "p_r")
     a = e.groupBy("pred").agg(F.count("*").alias("n"), R(F.avg("p_r")).alias("mean_p"))
     z = e.groupBy(F.col("base_pred").alias("pred")).agg(F.count("*").alias("n"))
     return readers.union_sources({"main": a, "base": z}, "model")

@@ -217,7 +217,7 @@ _RULES2 = {
  SELECT '{n}' AS rule, n, {r6('coalesce(tp / nullif(ap, 0), 0)')} AS recall, {r6('coalesce(tp / nullif(pp, 0), 0)')} AS precision, pp AS n_fired, {r6('ok / n')} AS accuracy, ag AS n_agree, {r6('ag / n')} AS agreement
  FROM (SELECT {_pc('reduce', 'x')}, count(*) AS n, count_if(label = x) AS ok, count_if(x = pred) AS ag FROM (SELECT label, pred, {argmax_sql(*v)} AS x FROM v_ev))""" for n, v in _RULES2.items()))
 def c16(spark, sf):
-    out = ev.aggregation_agreement(b.evaluated(spark, sf, agents=True), vectors(), "disclosure", c.prob_vector(*LOGGED), "label", "reduce")
+    out = ev.aggregation_agreement(agents(spark, sf), vectors(), "disclosure", c.prob_vector(*LOGGED), "label", "reduce")
     return out.withColumns({x: R(x) for x in ("recall", "precision", "accuracy", "agreement")})
 
 

@@ -95,7 +95,7 @@ cte("v_fit", f"SELECT *, {_B} FROM (SELECT {_M}, {_RHO} AS rho, avg(fwd_ret) AS
 
 
 def xs_rows(spark, sf):
-    return sinks.time_split(b.returns(spark, sf), "t", BOUNDS)
+    return sinks.settle(sinks.time_split(b.returns(spark, sf), "t", BOUNDS).select("k", "t", "split", "fwd_ret", *XS))
 
 
 @query("m7_pooled_ols", f"""
@@ -242,6 +242,6 @@ _CS = "SELECT sector, count(*) AS n, avg(p_r) AS p, max(pred) AS top FROM v_ev {
  SELECT sector, 'n' AS item, bo AND coalesce(en, false) AS consistent FROM j UNION ALL SELECT sector, 'p', bo AND coalesce(ep, false) FROM j UNION ALL SELECT sector, 'top', bo AND coalesce(et, false) FROM j""")
 def m15(spark, sf):
     e = b.evaluated(spark, sf)
-    t = e.groupBy("sector").agg(F.count("*").alias("n"), F.avg("p_r").alias("p"), F.max("pred").alias("top"))
+    t = sinks.settle(e.groupBy("sector").agg(F.count("*").alias("n"), F.avg("p_r").alias("p"), F.max("pred").alias("top")))
     other = t.withColumn("n", F.col("n") + F.when(F.col("sector") == "AFRICA", 1).otherwise(0)).withColumn("top", F.when(F.col("sector") == "EUROPE", "other").otherwise(F.col("top")))
     return ml.consistency(t.where(F.col("sector") != "ASIA"), other, ["sector"], ["n", "p"], ["top"]).select("sector", "item", "consistent")

@@ -81,7 +81,7 @@ def a6(spark, sf):
 def a7(spark, sf):
     from ..operators import windows as win
 
-    r = win.market_mean(b.returns(spark, sf).select("k", "t", "fwd_ret"), "t", "fwd_ret", "mkt")
+    r = win.market_mean(sinks.settle(b.returns(spark, sf).select("k", "t", "fwd_ret")), "t", "fwd_ret", "mkt")
     out = stats.simple_regression(r, ["k"], "fwd_ret", "mkt", 24)
     return out.select("k", "n", *[R(c).alias(c) for c in ("slope", "intercept", "r2", "resid_sd")])
 
@@ -90,7 +90,7 @@ def a7(spark, sf):
  WITH m AS (SELECT k, t, fwd_ret, (sum(fwd_ret) OVER w - fwd_ret) / (count(*) OVER w - 1) AS loo, count(*) OVER w AS n FROM v_ret WINDOW w AS (PARTITION BY t))
  SELECT k, t, {r6('loo')} AS loo_mean, {r6('fwd_ret - loo')} AS excess FROM m WHERE n >= 5""")
 def a8(spark, sf):
-    out = stats.leave_one_out(b.returns(spark, sf).select("k", "t", "fwd_ret"), "t", "fwd_ret", 5)
+    out = stats.leave_one_out(sinks.settle(b.returns(spark, sf).select("k", "t", "fwd_ret")), "t", "fwd_ret", 5)
     return out.select("k", "t", R("loo_mean").alias("loo_mean"), R("excess").alias("excess"))
 
 
@@ -185,7 +185,7 @@ _NW = """ WITH s AS (SELECT k, t, fwd_ret - avg(fwd_ret) OVER (PARTITION BY k) A
 @query("m9_newey_west", f"""{_NW} SELECT g.k, g.n, g.lags, {r6('g.mean')} AS mean, {r6('sqrt(c.q / g.n / (g.n - 1))')} AS nw_se,
   {r6('g.mean / sqrt(c.q / g.n / (g.n - 1))')} AS nw_t, {r6('g.mean / (g.sd / sqrt(g.n))')} AS plain_t FROM g JOIN c ON g.k = c.k""".strip())
 def m9(spark, sf):
-    out = stats.newey_west(b.returns(spark, sf).select("k", "t", "fwd_ret"), ["k"], "t", "fwd_ret")
+    out = stats.newey_west(sinks.settle(b.returns(spark, sf).select("k", "t", "fwd_ret")), ["k"], "t", "fwd_ret")
     return out.select("k", "n", "lags", *[R(c).alias(c) for c in ("mean", "nw_se", "nw_t", "plain_t")])
 
 
@@ -201,6 +201,6 @@ def m11(spark, sf):
 @query("m11_market_adjusted_dispersion", f"""
  WITH m AS (SELECT t, fwd_ret - (sum(fwd_ret) OVER w - fwd_ret) / (count(*) OVER w - 1) AS ex FROM v_ret WINDOW w AS (PARTITION BY t)), {_disp('m', 'ex < -0.5').strip()[5:]}""")
 def m11d(spark, sf):
-    x = stats.leave_one_out(b.returns(spark, sf).select("k", "t", "fwd_ret"), "t", "fwd_ret")
+    x = stats.leave_one_out(sinks.settle(b.returns(spark, sf).select("k", "t", "fwd_ret")), "t", "fwd_ret")
     out = stats.event_dispersion(x, "t", F.col("excess") < -0.5)
     return out.select(*[R(c).alias(c) for c in _DC], "n_high", "n_periods")

@@ -19,7 +19,7 @@ def st1(spark, sf):
         log.where(F.col("seq") % 2 == part).write.mode("append").parquet(src)
     stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 6).parquet(src)
     inc.last_wins_stream(stream, ["k", "t"], "seq", out, ck).awaitTermination()
-    return inc.latest_snapshot(spark, out, LOG).withColumn("p_r", R("p_r"))
+    return inc.current_state(spark, out, LOG, ["k", "t"], "seq").withColumn("p_r", R("p_r"))
 
 
 @query("st2_ledger_stream", """

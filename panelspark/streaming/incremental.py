@@ -13,45 +13,44 @@ def snapshot_path(path: str, batch: int) -> str:
     return f"{path}/v={batch:012d}"
 
 
-def latest_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The newest complete snapshot; an empty frame before the first batch.
+def finished_versions(spark: SparkSession, path: str) -> list[str]:
+    """Batches whose success marker exists: one that died half-way is never read."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    root = jvm_path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = [s.getPath() for s in fs.listStatus(root)]
+    return sorted(p.toString() for p in found if p.getName().startswith("v=") and fs.exists(jvm_path(p, "_SUCCESS")))
 
-    A snapshot counts once its success marker exists, so a batch that died half-way is never read.
-    """
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    best = None
-    if fs.exists(fs_path):
-        for s in fs.listStatus(fs_path):
-            p = s.getPath()
-            if p.getName().startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")):
-                best = max(best or "", p.getName())
-    if best is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/{best}")
+
+def read_versions(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    paths = finished_versions(spark, path)
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def last_wins_stream(stream: DataFrame, keys: Sequence[str], seq: str, path: str, checkpoint: str):
-    """Fold each micro-batch into a last-wins snapshot.
+    """Reduce each micro-batch of an append-only log to its own last versions and store those.
 
-    Batch n reads the snapshot of batch n-1 at most and writes its own version, so a batch that is run
-    again after a failure overwrites its own result and changes nothing else.
+    The work of a batch grows with the batch, not with the history. A batch that runs again after a
+    failure overwrites its own folder and changes nothing else; order of arrival does not matter, because
+    the sequence decides.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = _snapshot_before(spark, path, batch_id, schema)
-        merged = last_wins(before.unionByName(batch), keys, seq).select(*[f.name for f in stream.schema.fields])
-        merged.write.mode("overwrite").parquet(snapshot_path(path, batch_id))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        last_wins(batch, keys, seq).write.mode("overwrite").parquet(snapshot_path(path, batch_id))
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def current_state(spark: SparkSession, path: str, schema: str, keys: Sequence[str], seq: str) -> DataFrame:
+    """Last version of every key over all finished batches."""
+    return last_wins(read_versions(spark, path, schema), keys, seq)
 
 
-def _snapshot_before(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(snapshot_path(path, batch_id - 1))
+def compact(spark: SparkSession, path: str, schema: str, keys: Sequence[str], seq: str, target: str) -> None:
+    """Fold all finished batches into one version under a new root."""
+    current_state(spark, path, schema, keys, seq).write.mode("overwrite").parquet(snapshot_path(target, 0))
 
 
 def ledger_stream(stream: DataFrame, ts: str, group: Sequence[str], sums: dict[str, Column], window: str, watermark: str) -> DataFrame:
@@ -73,5 +72,4 @@ def run_rollup(rolled: DataFrame, keys: Sequence[str], path: str, checkpoint: st
 
 
 def rollup_state(spark: SparkSession, path: str, schema: str, keys: Sequence[str]) -> DataFrame:
-    rows = spark.read.schema(f"{schema}, _batch bigint").option("recursiveFileLookup", "true").parquet(path)
-    return last_wins(rows, keys, "_batch").drop("_batch")
+    return last_wins(read_versions(spark, path, f"{schema}, _batch bigint"), keys, "_batch").drop("_batch")

@@ -97,17 +97,25 @@ def test_last_wins_stream_is_incremental_and_repeatable(spark, tmp_path):
     spark.createDataFrame([(1, 1, 1.0), (2, 3, 7.0), (3, 1, 5.0)], schema).coalesce(1).write.mode("append").parquet(src)
     stream()
     want = {1: 2.0, 2: 7.0, 3: 5.0}
-    assert {r.k: r.v for r in inc.latest_snapshot(spark, out, schema).collect()} == want
+    assert {r.k: r.v for r in inc.current_state(spark, out, schema, ["k"], "seq").collect()} == want
     stream()  # nothing new: nothing changes
-    assert {r.k: r.v for r in inc.latest_snapshot(spark, out, schema).collect()} == want
+    assert {r.k: r.v for r in inc.current_state(spark, out, schema, ["k"], "seq").collect()} == want
 
 
-def test_latest_snapshot_ignores_unfinished_batches(spark, tmp_path):
+def test_unfinished_batches_are_not_read(spark, tmp_path):
     out = str(tmp_path)
     spark.range(1).selectExpr("id as k").write.parquet(inc.snapshot_path(out, 0))
     (tmp_path / "v=000000000001").mkdir()
-    assert inc.latest_snapshot(spark, out, "k bigint").count() == 1
-    assert inc.latest_snapshot(spark, str(tmp_path / "none"), "k bigint").count() == 0
+    assert inc.read_versions(spark, out, "k bigint").count() == 1
+    assert inc.read_versions(spark, str(tmp_path / "none"), "k bigint").count() == 0
+
+
+def test_compaction_keeps_the_state(spark, tmp_path):
+    src, out = str(tmp_path / "a"), str(tmp_path / "b")
+    for i, rows in enumerate(([(1, 1, 1.0), (2, 5, 2.0)], [(1, 3, 3.0)])):
+        spark.createDataFrame(rows, "k bigint, seq int, v double").write.parquet(inc.snapshot_path(src, i))
+    inc.compact(spark, src, "k bigint, seq int, v double", ["k"], "seq", out)
+    assert sorted(tuple(r) for r in inc.read_versions(spark, out, "k bigint, seq int, v double").collect()) == [(1, 3, 3.0), (2, 5, 2.0)]
 
 
 def test_ledger_stream_adds_late_rows_to_their_window(spark, tmp_path):
