@@ -130,8 +130,7 @@ cte("v_yield", """
 
 
 @query("t10_enrich_panel", f"""
- SELECT r.k, r.t, {r6('r.fwd_ret')} AS fwd_ret, {r6('y.yl')} AS div_yield_lag1, {r6('f.s2')} AS s2,
-  count(*) OVER () AS n_panel FROM v_ret r
+ SELECT r.k, r.t, {r6('r.fwd_ret')} AS fwd_ret, {r6('y.yl')} AS div_yield_lag1, {r6('f.s2')} AS s2 FROM v_ret r
  LEFT JOIN (SELECT k, t, lag(div_trailing / close) OVER (PARTITION BY k ORDER BY t) AS yl FROM v_yield) y ON r.k = y.k AND r.t = y.t
  LEFT JOIN v_rf f ON r.t = f.t""")
 def t10(spark, sf):
@@ -141,9 +140,7 @@ def t10(spark, sf):
                            ["k"], "d", "div_amount", "close")
     y = cal.publication_lag(y, ["k"], "t", ["div_yield"]).select("k", "t", "div_yield_lag1")
     out = joins.enrich(base, [(y, ["k", "t"]), (b.macro_month(spark, sf).select("t", "s2"), ["t"])])
-    n = base.agg(F.count("*").alias("n")).scalar()
-    return out.select("k", "t", R("fwd_ret").alias("fwd_ret"), R("div_yield_lag1").alias("div_yield_lag1"),
-                      R("s2").alias("s2"), n.alias("n_panel"))
+    return out.select("k", "t", R("fwd_ret").alias("fwd_ret"), R("div_yield_lag1").alias("div_yield_lag1"), R("s2").alias("s2"))
 
 
 @query("t10_coverage_report", f"""

@@ -390,7 +390,8 @@ def j11(spark, sf):
 
 # ---------------------------------------------------------------- top-k
 def _ev(spark, sf, *cols):
-    return sinks.settle(b.evaluated(spark, sf).select("k", "t", *cols))
+    named = [x for x in cols if isinstance(x, str)]
+    return sinks.settle(b.evaluated(spark, sf, sector="sector" in named).select("k", "t", *cols))
 
 
 @query("k1_top_n", "SELECT k, t, rk FROM (SELECT k, t, row_number() OVER (PARTITION BY t ORDER BY p_i - p_r DESC, k) AS rk FROM v_ev) WHERE rk <= 5")

@@ -154,14 +154,14 @@ _SEC = f"SELECT sector, count(*) AS n, count_if({P}) AS k, count_if({Y}) AS m, c
 
 @query("c13_sector_table", f"SELECT *, {r6('k / n')} AS fire_rate, {r6('m / n')} AS event_rate, {r6('tp / nullif(m, 0)')} AS recall, {r6('tp / nullif(k, 0)')} AS precision FROM ({_SEC})")
 def c13(spark, sf):
-    return ev.sector_table(b.evaluated(spark, sf), "sector", is_event(), is_fired()).withColumns({x: R(x) for x in ("fire_rate", "event_rate", "recall", "precision")})
+    return ev.sector_table(b.evaluated(spark, sf, sector=True), "sector", is_event(), is_fired()).withColumns({x: R(x) for x in ("fire_rate", "event_rate", "recall", "precision")})
 
 
 @query("c13_allocation_selection", f"""
  SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k, CAST(sum(m) AS BIGINT) AS m, CAST(sum(tp) AS BIGINT) AS tp, {r6('sum(tp) / sum(m)')} AS recall, {r6('sum(k) / sum(n)')} AS recall_random,
   {r6('sum(k * m / n) / sum(m)')} AS recall_allocation, {r6('sum(k * m / n) / sum(m) - sum(k) / sum(n)')} AS allocation_effect, {r6('sum(tp) / sum(m) - sum(k * m / n) / sum(m)')} AS selection_effect FROM ({_SEC})""")
 def c13a(spark, sf):
-    return ev.allocation_selection(b.evaluated(spark, sf), "sector", is_event(), is_fired()).withColumns(
+    return ev.allocation_selection(b.evaluated(spark, sf, sector=True), "sector", is_event(), is_fired()).withColumns(
         {x: R(x) for x in ("recall", "recall_random", "recall_allocation", "allocation_effect", "selection_effect")})
 
 

@@ -241,7 +241,7 @@ _CS = "SELECT sector, count(*) AS n, avg(p_r) AS p, max(pred) AS top FROM v_ev {
   j AS (SELECT coalesce(a.sector, z.sector) AS sector, a.sector IS NOT NULL AND z.sector IS NOT NULL AS bo, a.n = z.n AS en, abs(a.p - z.p) <= 1e-10 AS ep, a.top = z.top AS et FROM a FULL JOIN z ON a.sector = z.sector)
  SELECT sector, 'n' AS item, bo AND coalesce(en, false) AS consistent FROM j UNION ALL SELECT sector, 'p', bo AND coalesce(ep, false) FROM j UNION ALL SELECT sector, 'top', bo AND coalesce(et, false) FROM j""")
 def m15(spark, sf):
-    e = b.evaluated(spark, sf)
+    e = b.evaluated(spark, sf, sector=True)
     t = sinks.settle(e.groupBy("sector").agg(F.count("*").alias("n"), F.avg("p_r").alias("p"), F.max("pred").alias("top")))
     other = t.withColumn("n", F.col("n") + F.when(F.col("sector") == "AFRICA", 1).otherwise(0)).withColumn("top", F.when(F.col("sector") == "EUROPE", "other").otherwise(F.col("top")))
     return ml.consistency(t.where(F.col("sector") != "ASIA"), other, ["sector"], ["n", "p"], ["top"]).select("sector", "item", "consistent")

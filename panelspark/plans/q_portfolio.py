@@ -55,7 +55,7 @@ cte("v_val", _values("v_turn"))
 
 
 def predictions(spark, sf):
-    return sinks.settle(b.evaluated(spark, sf).select(
+    return sinks.settle(b.evaluated(spark, sf, sector=True).select(
         "k", "t", "sector", "label", "pred", "q_r", (F.col("p_i") - F.col("p_r")).alias("score"), (F.col("fwd_ret") / 20).alias("r")))
 
 

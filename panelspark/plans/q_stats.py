@@ -31,7 +31,7 @@ def a1(spark, sf):
  SELECT sector, t, count(*) AS n_obs, count_if(pred = 'reduce') AS n_fire, {r6('count_if(pred = ' + "'reduce'" + ') / count(*)')} AS rate_fire,
   count_if(label = 'reduce') AS n_event, {r6('count_if(label = ' + "'reduce'" + ') / count(*)')} AS rate_event FROM v_ev GROUP BY 1, 2""")
 def a2(spark, sf):
-    out = stats.conditional_rates(b.evaluated(spark, sf), ["sector", "t"], {"fire": F.col("pred") == "reduce", "event": F.col("label") == "reduce"})
+    out = stats.conditional_rates(b.evaluated(spark, sf, sector=True), ["sector", "t"], {"fire": F.col("pred") == "reduce", "event": F.col("label") == "reduce"})
     return out.withColumns({c: R(c) for c in ("rate_fire", "rate_event")})
 
 
@@ -40,7 +40,7 @@ def a2(spark, sf):
  SELECT s.sector, x.label, coalesce(c.n, 0) AS n, {r6('coalesce(c.n, 0) / n.tot')} AS share FROM x CROSS JOIN s JOIN n ON s.sector = n.sector
   LEFT JOIN (SELECT sector, label, count(*) AS n FROM v_ev GROUP BY 1, 2) c ON c.sector = s.sector AND c.label = x.label""")
 def a3(spark, sf):
-    return stats.class_distribution(b.evaluated(spark, sf), ["sector"], "label").withColumn("share", R("share"))
+    return stats.class_distribution(b.evaluated(spark, sf, sector=True), ["sector"], "label").withColumn("share", R("share"))
 
 
 _D = ("ret_1m", "ret_3m", "ret_12m", "fwd_ret")

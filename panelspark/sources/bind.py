@@ -94,7 +94,9 @@ def docs(spark: SparkSession, sf: str, text: bool = True) -> DataFrame:
 def price_month(spark: SparkSession, sf: str, px: DataFrame | None = None) -> DataFrame:
     """Month-end prices with the empty months kept; `px` reuses daily rows already at hand."""
     px = px_daily(spark, sf) if px is None else px
-    return cal.month_end_last(px, ["k"], "d", ["close", "adj_close", "volume"])
+    # daily rows of one entity are few and bounded: moving them by entity once serves the monthly
+    # aggregate and every later window on the entity
+    return cal.month_end_last(px.repartition("k"), ["k"], "d", ["close", "adj_close", "volume"])
 
 
 def price_signals(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,8 +161,8 @@ def log_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def evaluated(spark: SparkSession, sf: str, agents: bool = False) -> DataFrame:
-    """Decisions with realised labels: k, t, sector, p_i, p_h, p_r, q_r, pred, label, fwd_ret."""
+def evaluated(spark: SparkSession, sf: str, agents: bool = False, sector: bool = False) -> DataFrame:
+    """Decisions with realised labels: k, t, p_i, p_h, p_r, q_r, pred, base_pred, label, fwd_ret (, sector)."""
     d = decisions(spark, sf)
     extra = [f"{a}_{n}" for a in AGENTS for n in "ihr"] if agents else []
     d = d.select(
@@ -168,4 +170,5 @@ def evaluated(spark: SparkSession, sf: str, agents: bool = False) -> DataFrame:
         argmax_label("p_i", "p_h", "p_r").alias("pred"),
         argmax_label("price_i", "price_h", "price_r").alias("base_pred"), *extra,
     )
-    return d.join(truth(spark, sf), ["k", "t"]).join(dim(spark, sf).select("k", "sector"), "k", "left")
+    d = d.join(truth(spark, sf), ["k", "t"])
+    return d.join(dim(spark, sf).select("k", "sector"), "k", "left") if sector else d
