@@ -179,11 +179,13 @@ def strip_html(c) -> Column:
 
 
 def word_fractions(c, lexicons: dict[str, Sequence[str]]) -> dict[str, Column]:
-    """Share of words in each lexicon, and the word count."""
-    words = F.filter(F.split(F.trim(F.lower(letters_only(c, keep_space=True))), " +"), lambda w: w != "")
-    n = F.size(words)
+    """Share of words in each lexicon, and the word count. Lexicon words that are not plain letters match
+    nothing, as the text is reduced to letters first."""
+    flat = F.concat(F.lit(" "), F.lower(letters_only(c, keep_space=True)), F.lit(" "))
 
-    def hits(ws: Sequence[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*ws)))
+    def hits(words: Sequence[str]) -> Column:
+        plain = [w for w in dict.fromkeys(words) if w.isascii() and w.isalpha()]
+        return F.regexp_count(flat, F.lit(f" (?:{'|'.join(plain)})(?= )")) if plain else F.lit(0)
 
+    n = F.regexp_count(flat, F.lit("[a-z]+"))
     return {**{k: hits(ws) / F.greatest(n, F.lit(1)) for k, ws in lexicons.items()}, "n_words": n}
