@@ -82,12 +82,12 @@ def test_text_change_matches_hand_computation(spark):
 
 
 def test_scrub_and_leak_scan(spark):
-    docs = spark.createDataFrame([("bxp", "BXP's plan: Boston Prop. (x) 0000123456, bxpress, 1234567890-12-123456"), ("udr", "clean")], "k string, text string")
-    al = spark.createDataFrame([("bxp", "BXP"), ("bxp", "Boston Prop.")], "k string, alias string")
+    docs = spark.createDataFrame([("qzt", "QZT's plan: Alder Prop. (x) 0000123456, qztress, 1234567890-12-123456"), ("mno", "clean")], "k string, text string")
+    al = spark.createDataFrame([("qzt", "QZT"), ("qzt", "Alder Prop.")], "k string, alias string")
     s = dc.scrub_identity(docs, dc.alias_patterns(al, "k", "alias"), "k", "text")
     got = {r.k: r for r in dc.leak_hits(dc.leak_hits(s, "text", "before"), "scrubbed", "after").collect()}
-    assert got["bxp"].scrubbed == "[ENTITY]'s plan: [ENTITY] (x) [ID], bxpress, [ID]"
-    assert got["bxp"].after == 0 and got["bxp"].before >= 4 and got["udr"].before == 0
+    assert got["qzt"].scrubbed == "[ENTITY]'s plan: [ENTITY] (x) [ID], qztress, [ID]"
+    assert got["qzt"].after == 0 and got["qzt"].before >= 4 and got["mno"].before == 0
     with pytest.raises(Exception, match="identity left"):
         dc.leak_hits(s, "text", fail=True).collect()
 
