@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -10,20 +9,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is named."""
+    """The folder the cluster names in spark.checkpoint.dir; where none is named, one of this application in the warehouse.
+
+    Both are shared by the driver and all executors, so that no intermediate table is on one machine's disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if not current.isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="panel-"))
-        current = sc._jsc.sc().getCheckpointDir()
-    return current.get()
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_settled-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there is dropped when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def settle(df: DataFrame) -> DataFrame:
