@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import host_quality, sharding, url_filter
+from panelspark.llm import bpe, decontaminate, host_quality, language, sharding, token_store, url_filter
+from panelspark.sources.sinks import new_path
 
 BUILD: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,6 +39,31 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "host", "path", "rule", "verdict", F.round("block_score", 6).alias("block_score"))
 
 
+@query
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written as wavelet-matrix shards and read back from them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = new_path(spark, "tokens")
+    token_store.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_store.read_documents(spark, path, digest=True)
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by profiles of three quarters of the documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = language.train(docs.where(language.learns()))
+    return language.identify(docs.select("doc_id", "text", (~language.learns()).alias("held_out")), profiles).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded with a byte-level vocabulary."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
+
+
 @query
 def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of every document and the verdict on its source."""
@@ -55,3 +82,11 @@ def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document searched for all 13-word windows of the benchmark."""
+    found = decontaminate.find_windows(
+        _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(found.drop("text", "hits")).drop("item_ids")
