@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import bpe, decontaminate, host_quality, language, sharding, substring_dedup, token_store, url_filter
+from panelspark.llm import bpe, decontaminate, host_quality, language, ngram_join, sharding, substring_dedup, token_store, url_filter
 from panelspark.sources.sinks import new_path
 
 BUILD: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,13 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.near_duplicates(docs, n=3, percent=90)
+
+
 @query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded with a byte-level vocabulary."""
