@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.llm.membership import bit_set, may_hold
+from panelspark.llm.membership import bit_set, may_hold, split
 from panelspark.llm.rarity import bucket_of, count_keys, packed, rare_first, unpacked
 from panelspark.llm.words import SPACED, Words, int64s, mix, pieces
 from panelspark.sources.sinks import settle
@@ -265,10 +265,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     """
     docs = docs.drop(*[c for c in ("n_lines", "n_removed") if c not in (doc_id, text)])
     gone = removed_lines(docs, doc_id, text, percent)
-    by_doc = gone.groupBy("doc", "tag").agg(F.collect_set("line").alias("_gone"))
+    by_doc = settle(gone.groupBy("doc", "tag").agg(F.collect_set("line").alias("_gone")))
     keyed = docs.withColumns({
         "_doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "_tag": _tag(text)})
-    out = keyed.join(by_doc, (F.col("_doc") == F.col("doc")) & (F.col("_tag") == F.col("tag")), "left")
+    some, whole = split(keyed, by_doc.select(F.col("doc").alias("_doc")), "_doc")
+    out = some.join(by_doc, (F.col("_doc") == F.col("doc")) & (F.col("_tag") == F.col("tag")), "left").select(
+        *docs.columns, "_gone").unionByName(whole.select(*docs.columns, F.lit(None).cast("array<int>").alias("_gone")))
     lines = F.split(F.col(text), "\n")
     left = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
     n_gone = F.coalesce(F.size("_gone"), F.lit(0))
