@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from panelspark.llm.words import pieces
+from panelspark.llm.words import extended, pieces
 
 BATCH = 8 << 20  # bytes of text whose pre-tokens are encoded together
 KEPT = 300_000  # pre-tokens whose ids a task keeps for its next batches
@@ -205,8 +205,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                 pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, "<i4")))
             yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*b.schema.names, ids])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kept}, {ids} array<int>")
+    return docs.mapInArrow(run, extended(docs, f"`{ids}` array<int>"))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -219,8 +218,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
             got = [None if x is None else bpe.decode(x) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=[*b.schema.names, text])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kept}, {text} string")
+    return docs.mapInArrow(run, extended(docs, f"`{text}` string"))
 
 
 def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -242,5 +240,4 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 [*b.columns, pa.array(count, pa.int64()), pa.array(ids_hash), pa.array(text_hash)],
                 names=[*b.schema.names, *made])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(run, extended(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string"))

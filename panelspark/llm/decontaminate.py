@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.llm.words import ALNUM, Words, mix, pieces
+from panelspark.llm.words import ALNUM, Words, extended, mix, pieces
 
 WINDOW = 13
 MAX_WORDS = 2_000_000  # benchmark words of one pattern table; more are searched table by table
@@ -129,11 +129,6 @@ def _tables(items: DataFrame, window: int) -> tuple[list[str], list[PatternTable
     return ids, pattern_tables(ids, rows["t"].combine_chunks(), window)
 
 
-def _schema(docs: DataFrame) -> str:
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return f"{kept}, n_words long, n_hit long, hits binary, item_ids array<string>"
-
-
 def _find_in_one(docs: DataFrame, items: DataFrame, _: int, text: str, window: int) -> DataFrame:
     ids, tables = _tables(items, window)
     shared = docs.sparkSession.sparkContext.broadcast((ids, tables))
@@ -155,25 +150,25 @@ def _find_in_one(docs: DataFrame, items: DataFrame, _: int, text: str, window: i
                  pa.array([sorted(set(x)) for x in owners], pa.list_(pa.string()))],
                 names=[*b.schema.names, "n_words", "n_hit", "hits", "item_ids"])
 
-    return docs.mapInArrow(run, _schema(docs))
+    return docs.mapInArrow(run, extended(docs, "n_words long, n_hit long, hits binary, item_ids array<string>"))
 
 
 def _find_in_many(docs: DataFrame, items: DataFrame, n_tables: int, text: str, window: int) -> DataFrame:
     """One scan for each table; only documents with hits are exchanged, keyed by their text's digest."""
-    dealt = items.withColumn("_t", F.pmod(F.xxhash64("i", "t"), F.lit(n_tables)))
-    keyed = docs.withColumn("_key", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    dealt = items.withColumn("__t", F.pmod(F.xxhash64("i", "t"), F.lit(n_tables)))
+    keyed = docs.withColumn("__key", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     found = None
     for k in range(n_tables):
-        part = _find_in_one(keyed.select("_key", text), dealt.where(F.col("_t") == k), 1, text, window)
-        part = part.where(F.size("item_ids") > 0).select("_key", F.col("hits").alias("h"), F.col("item_ids").alias("o"))
+        part = _find_in_one(keyed.select("__key", text), dealt.where(F.col("__t") == k), 1, text, window)
+        part = part.where(F.size("item_ids") > 0).select("__key", F.col("hits").alias("h"), F.col("item_ids").alias("o"))
         found = part if found is None else found.unionAll(part)
-    distinct = found.groupBy("_key", "h").agg(F.array_distinct(F.flatten(F.collect_set("o"))).alias("o"))
-    merged = distinct.groupBy("_key").applyInArrow(_merge, "_key string, n_hit long, hits binary, item_ids array<string>")
+    distinct = found.groupBy("__key", "h").agg(F.array_distinct(F.flatten(F.collect_set("o"))).alias("o"))
+    merged = distinct.groupBy("__key").applyInArrow(_merge, "__key string, n_hit long, hits binary, item_ids array<string>")
     none: list[str] = []
-    base = _find_in_one(keyed, items.limit(0), 1, text, window).drop("item_ids", "n_hit").withColumnRenamed("hits", "_none")
-    out = base.join(merged, "_key", "left")
+    base = _find_in_one(keyed, items.limit(0), 1, text, window).drop("item_ids", "n_hit").withColumnRenamed("hits", "__none")
+    out = base.join(merged, "__key", "left")
     return out.select(
-        *docs.columns, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("hits", "_none").alias("hits"),
+        *docs.columns, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("hits", "__none").alias("hits"),
         F.coalesce("item_ids", F.array(*none).cast("array<string>")).alias("item_ids"))
 
 
@@ -183,7 +178,7 @@ def _merge(group: pa.Table) -> pa.Table:
         own = np.frombuffer(h, np.uint8)
         hits = own if hits is None else hits | own
     ids = sorted({i for o in group["o"].to_pylist() for i in o})
-    return pa.table({"_key": group["_key"].slice(0, 1), "n_hit": pa.array([int(np.unpackbits(hits).sum())]),
+    return pa.table({"__key": group["__key"].slice(0, 1), "n_hit": pa.array([int(np.unpackbits(hits).sum())]),
                      "hits": pa.array([hits.tobytes()], pa.binary()),
                      "item_ids": pa.array([ids], pa.list_(pa.string()))})
 
@@ -202,7 +197,7 @@ def contamination(found: DataFrame, min_percent: int = 5) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    keep = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
-    judged = contamination(find_windows(keep, benchmark, "_text", **options))
-    return judged.where(~F.col("contaminated")).select("_row.*")
+    keep = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.col(text).alias("__text"))
+    judged = contamination(find_windows(keep, benchmark, "__text", **options))
+    return judged.where(~F.col("contaminated")).select("__row.*")
 

@@ -58,14 +58,14 @@ def document_rules(df: DataFrame, text: str = "text") -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed. Null text: no words."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
-    out = df.withColumn("_words", words(F.col(text)))
+    out = df.withColumn("__words", words(F.col(text)))
     out = out.withColumns({
-        "n_words": F.size("_words").cast("long"),
+        "n_words": F.size("__words").cast("long"),
         "word_chars": F.length(F.regexp_replace(t, SPACE, "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_words("_words"),
-    }).drop("_words")
+        "n_repeat_words": repeated_words("__words"),
+    }).drop("__words")
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (
         100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
@@ -123,11 +123,11 @@ def judge(
     # replaced columns are dropped first, unless they hold the text or the host
     base = df.drop(*[c for c in made if c not in (text, host)])
     n_lines = F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
-    ruled = document_rules(base.withColumn("_n_lines", n_lines), text)
+    ruled = document_rules(base.withColumn("__n_lines", n_lines), text)
     ruled = ruled.withColumn("failed", F.col("base_failed") | (
         F.col("n_symbols") > max_symbol_share * F.col("word_chars")) | (
-        F.col("n_dup_lines") > max_dup_line_words * F.col("_n_lines"))).drop("_n_lines")
+        F.col("n_dup_lines") > max_dup_line_words * F.col("__n_lines"))).drop("__n_lines")
     ruled = settle(ruled)
-    hosts = host_verdicts(ruled.select(F.col(host).alias("_host"), "failed"), "_host", "failed", max_rate)
-    out = ruled.join(hosts, ruled[host].eqNullSafe(hosts["_host"]), "left").drop("_host")
+    hosts = host_verdicts(ruled.select(F.col(host).alias("__host"), "failed"), "__host", "failed", max_rate)
+    out = ruled.join(hosts, ruled[host].eqNullSafe(hosts["__host"]), "left").drop("__host")
     return out.withColumn("kept", ~F.col("base_failed") & F.col("host_ok"))

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from panelspark.llm.words import extended
+
 PROFILE = 300  # most frequent n-grams of a profile
 MAX_LANGUAGES = 2_000  # profiles are handed to every task: PROFILE x MAX_LANGUAGES n-grams at most
 UNKNOWN = "und"
@@ -155,8 +157,7 @@ def identify(
                 [*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
                 names=[*b.schema.names, "lang_pred", "score"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kept}, lang_pred string, score double")
+    return docs.mapInArrow(run, extended(docs, "lang_pred string, score double"))
 
 
 def learns(doc_id: str = "doc_id"):

@@ -265,17 +265,18 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     """
     docs = docs.drop(*[c for c in ("n_lines", "n_removed") if c not in (doc_id, text)])
     gone = removed_lines(docs, doc_id, text, percent)
-    by_doc = settle(gone.groupBy("doc", "tag").agg(F.collect_set("line").alias("_gone")))
+    by_doc = settle(gone.groupBy(F.col("doc").alias("__of"), F.col("tag").alias("__of_tag")).agg(
+        F.collect_set("line").alias("__gone")))
     keyed = docs.withColumns({
-        "_doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "_tag": _tag(text)})
-    some, whole = split(keyed, by_doc.select(F.col("doc").alias("_doc")), "_doc")
-    out = some.join(by_doc, (F.col("_doc") == F.col("doc")) & (F.col("_tag") == F.col("tag")), "left").select(
-        *docs.columns, "_gone").unionByName(whole.select(*docs.columns, F.lit(None).cast("array<int>").alias("_gone")))
+        "__doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "__tag": _tag(text)})
+    some, whole = split(keyed, by_doc.select(F.col("__of").alias("__doc")), "__doc")
+    out = some.join(by_doc, (F.col("__doc") == F.col("__of")) & (F.col("__tag") == F.col("__of_tag")), "left").select(
+        *docs.columns, "__gone").unionByName(whole.select(*docs.columns, F.lit(None).cast("array<int>").alias("__gone")))
     lines = F.split(F.col(text), "\n")
-    left = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
-    n_gone = F.coalesce(F.size("_gone"), F.lit(0))
-    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    left = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull())
+    n_gone = F.coalesce(F.size("__gone"), F.lit(0))
+    kept = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
     return out.select(
         *[kept.alias(text) if c == text else F.col(c) for c in docs.columns],
         F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(n_gone).cast("long").alias("n_removed"))
+        F.when(F.col("__gone").isNull(), 0).otherwise(n_gone).cast("long").alias("n_removed"))

@@ -72,27 +72,27 @@ def shuffle_into_shards(
     n_groups = max(1, -(-rows // group_rows))
     k = [F.col(c) for c in key]
     df = df.drop(shard, slot)
-    dealt = df.withColumn("_g", F.pmod(_random(seed, 1, *k), F.lit(n_groups)).cast("int"))
-    found = {r["_g"]: r["count"] for r in dealt.groupBy("_g").count().collect()}  # one row a group
+    dealt = df.withColumn("__g", F.pmod(_random(seed, 1, *k), F.lit(n_groups)).cast("int"))
+    found = {r["__g"]: r["count"] for r in dealt.groupBy("__g").count().collect()}  # one row a group
     counts = [found.get(g, 0) for g in range(n_groups)]
     total = sum(counts)
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     ends = np.cumsum(communication_matrix(counts, sizes, seed), axis=1)
-    local = dealt.withColumn("_r", F.row_number().over(
-        Window.partitionBy("_g").orderBy(_random(seed, 2, *k), *k)))
-    out = local.join(_cells(df, ends), "_g").withColumn(
-        shard, F.size(F.filter("_ends", lambda e: e < F.col("_r"))).cast("int")).drop("_ends", "_r", "_g")
+    local = dealt.withColumn("__r", F.row_number().over(
+        Window.partitionBy("__g").orderBy(_random(seed, 2, *k), *k)))
+    out = local.join(_cells(df, ends), "__g").withColumn(
+        shard, F.size(F.filter("__ends", lambda e: e < F.col("__r"))).cast("int")).drop("__ends", "__r", "__g")
     slices = max(1, -(-total // (shards * group_rows)))
-    out = out.withColumn("_s", F.pmod(_random(seed, 3, *k), F.lit(slices)).cast("int"))
+    out = out.withColumn("__s", F.pmod(_random(seed, 3, *k), F.lit(slices)).cast("int"))
     before = (
-        out.groupBy(shard, "_s").agg(F.count("*").alias("_n"))
-        .withColumn("_base", F.coalesce(F.sum("_n").over(
-            Window.partitionBy(shard).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("_n"))
-    placed = out.withColumn("_r", F.row_number().over(
-        Window.partitionBy(shard, "_s").orderBy(_random(seed, 4, *k), *k)))
-    return placed.join(before, [shard, "_s"]).withColumn(
-        slot, F.col("_base") + F.col("_r") - 1).drop("_s", "_r", "_base")
+        out.groupBy(shard, "__s").agg(F.count("*").alias("__n"))
+        .withColumn("__base", F.coalesce(F.sum("__n").over(
+            Window.partitionBy(shard).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .drop("__n"))
+    placed = out.withColumn("__r", F.row_number().over(
+        Window.partitionBy(shard, "__s").orderBy(_random(seed, 4, *k), *k)))
+    return placed.join(before, [shard, "__s"]).withColumn(
+        slot, F.col("__base") + F.col("__r") - 1).drop("__s", "__r", "__base")
 
 
 def _cells(df: DataFrame, ends: np.ndarray) -> DataFrame:
@@ -100,8 +100,8 @@ def _cells(df: DataFrame, ends: np.ndarray) -> DataFrame:
     spark, step, parts = df.sparkSession, max(1, LIST_CELLS // ends.shape[1]), None
     for lo in range(0, len(ends), step):
         text = ";".join(",".join(map(str, row)) for row in ends[lo:lo + step])
-        part = spark.range(1).select(F.posexplode(F.split(F.lit(text), ";")).alias("_i", "_t")).select(
-            (F.col("_i") + lo).cast("int").alias("_g"),
-            F.split("_t", ",").cast("array<bigint>").alias("_ends"))
+        part = spark.range(1).select(F.posexplode(F.split(F.lit(text), ";")).alias("__i", "__t")).select(
+            (F.col("__i") + lo).cast("int").alias("__g"),
+            F.split("__t", ",").cast("array<bigint>").alias("__ends"))
         parts = part if parts is None else parts.unionAll(part)
     return parts

@@ -70,8 +70,8 @@ def _share(part: Column, whole: Column) -> Column:
 def lexical_features(df: DataFrame, url: str) -> DataFrame:
     """df with _host, _path, suffix keys and the lexical features of the url (null: as an empty one)."""
     u = F.coalesce(F.col(url), F.lit(""))
-    df = df.withColumn("_host", host_of(F.col(url))).withColumn("_path", path_of(F.col(url)))
-    h, p = F.col("_host"), F.col("_path")
+    df = df.withColumn("__host", host_of(F.col(url))).withColumn("__path", path_of(F.col(url)))
+    h, p = F.col("__host"), F.col("__path")
     labels, dirs = F.split(h, r"\."), F.split(p, "/")
     query = F.regexp_extract(_after(u), r"^[^?#]*\?([^#]*)", 1)
     numbers = {
@@ -87,8 +87,8 @@ def lexical_features(df: DataFrame, url: str) -> DataFrame:
         "vowel_share": _share(_count(h, "aeiou"), F.length(h)),
     }
     keys = {
-        "_suffix": F.substring_index(h, ".", -1), "_suffix2": F.substring_index(h, ".", -2),
-        "_dir": F.coalesce(F.get(dirs, F.lit(1)), F.lit("")),
+        "__suffix": F.substring_index(h, ".", -1), "__suffix2": F.substring_index(h, ".", -2),
+        "__dir": F.coalesce(F.get(dirs, F.lit(1)), F.lit("")),
     }
     return df.withColumns({k: v.cast("double") for k, v in numbers.items()} | keys)
 
@@ -105,13 +105,13 @@ class UrlModel:
             df = df.join(rate, key, "left").fillna({_rate_name(key): self.base})
         if self.trees is None:
             return df.withColumn("block_score", F.lit(self.base))
-        df = VectorAssembler(inputCols=FEATURES, outputCol="_x").transform(df)
+        df = VectorAssembler(inputCols=FEATURES, outputCol="__x").transform(df)
         df = self.trees.transform(df)
-        return df.withColumn("block_score", F.element_at(vector_to_array("_p"), 2))
+        return df.withColumn("block_score", F.element_at(vector_to_array("__p"), 2))
 
 
 def _rate_name(key: str) -> str:
-    return {"_suffix": "suffix_rate", "_suffix2": "suffix2_rate", "_dir": "first_dir_rate"}[key]
+    return {"__suffix": "suffix_rate", "__suffix2": "suffix2_rate", "__dir": "first_dir_rate"}[key]
 
 
 def train(
@@ -126,29 +126,29 @@ def train(
     labelled url, or one class only: no trees, every url has the overall rate (0 without labels).
     """
     rows = settle(lexical_features(
-        labelled.where(F.col(label).isNotNull()).select(F.col(url), F.col(label).cast("double").alias("_y")), url))
-    total = rows.agg(F.count("*").alias("n"), F.sum("_y").alias("s")).first()
+        labelled.where(F.col(label).isNotNull()).select(F.col(url), F.col(label).cast("double").alias("__y")), url))
+    total = rows.agg(F.count("*").alias("n"), F.sum("__y").alias("s")).first()
     n, s = total["n"], total["s"] or 0.0
     base = s / n if n else 0.0
     if not n or s in (0.0, float(n)):
         return UrlModel(None, {}, base)
     rates = {
         key: settle(rows.groupBy(key).agg(
-            ((F.sum("_y") + prior_weight * base) / (F.count("*") + prior_weight)).alias(_rate_name(key))))
-        for key in ("_suffix", "_suffix2", "_dir")}
+            ((F.sum("__y") + prior_weight * base) / (F.count("*") + prior_weight)).alias(_rate_name(key))))
+        for key in ("__suffix", "__suffix2", "__dir")}
     model = UrlModel(None, rates, base)
     share = min(1.0, sample_rows / n)
-    rank = F.pmod(F.xxhash64(F.lit(seed), url, "_y"), F.lit(1 << 30))
+    rank = F.pmod(F.xxhash64(F.lit(seed), url, "__y"), F.lit(1 << 30))
     sample = rows.where(rank < int(share * (1 << 30))) if share < 1 else rows
-    sample = sample.dropDuplicates([url, "_y"])
+    sample = sample.dropDuplicates([url, "__y"])
     for key, rate in rates.items():
         sample = sample.join(rate, key, "left")
-    sample = VectorAssembler(inputCols=FEATURES, outputCol="_x").transform(sample).select("_x", "_y")
-    if sample.select("_y").distinct().count() < 2:
+    sample = VectorAssembler(inputCols=FEATURES, outputCol="__x").transform(sample).select("__x", "__y")
+    if sample.select("__y").distinct().count() < 2:
         return model
     booster = GBTClassifier(
-        featuresCol="_x", labelCol="_y", predictionCol="_d", maxIter=trees, maxDepth=depth, seed=seed)
-    model.trees = booster.setRawPredictionCol("_raw").setProbabilityCol("_p").fit(settle(sample))
+        featuresCol="__x", labelCol="__y", predictionCol="__d", maxIter=trees, maxDepth=depth, seed=seed)
+    model.trees = booster.setRawPredictionCol("__raw").setProbabilityCol("__p").fit(settle(sample))
     return model
 
 
@@ -162,10 +162,10 @@ def judge(
     """
     made = ["host", "path", "rule", "verdict", "block_score", *FEATURES]
     rows = lexical_features(df.drop(*[c for c in made if c != url]), url)
-    text, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
-    rows = model.block_score(rows.withColumn("rule", text).withColumn("_verdict", verdict))
+    text, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
+    rows = model.block_score(rows.withColumn("rule", text).withColumn("__verdict", verdict))
     scored = F.when(F.col("block_score") > threshold, "block").otherwise("allow")
     keep = [c for c in df.columns if c not in made or c == url]
     return rows.select(
-        *keep, F.col("_host").alias("host"), F.col("_path").alias("path"), "rule",
-        F.coalesce("_verdict", scored).alias("verdict"), "block_score")
+        *keep, F.col("__host").alias("host"), F.col("__path").alias("path"), "rule",
+        F.coalesce("__verdict", scored).alias("verdict"), "block_score")

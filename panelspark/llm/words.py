@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 PIECE = 4 << 20  # bytes of text worked on at once, unless one text is longer
@@ -134,3 +136,8 @@ def sequence_hash(words: np.ndarray, n: int) -> np.ndarray:
 def int64s(column: pa.Array) -> np.ndarray:
     """A column of integers, null as the smallest one."""
     return pc.fill_null(column.cast(pa.int64()), -(1 << 63)).to_numpy(zero_copy_only=False)
+
+
+def extended(df: DataFrame, fields: str) -> StructType:
+    """df's schema followed by these fields (as in DDL)."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(fields).fields])
