@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import bpe, decontaminate, host_quality, language, line_dedup, ngram_join, sharding, substring_dedup, token_store, url_filter
+from panelspark.llm import bpe, decontaminate, host_quality, language, line_dedup, ngram_join, sharding, sql, substring_dedup, token_store, url_filter
 from panelspark.sources.sinks import new_path
 
 BUILD: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def query(fn):
     BUILD[fn.__name__] = fn
+    check = getattr(sql, fn.__name__.split("_")[0].upper(), None)
+    if check:
+        SQL[fn.__name__] = check
     return fn
 
 
@@ -76,7 +79,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ngram_join.near_duplicates(docs, n=3, percent=90)
+    return ngram_join.near_duplicates(docs, n=3, percent=90).drop("n_links")
 
 
 @query
