@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -30,6 +31,8 @@ FILED_DATE = r"(?:filed|8-?K[^.]{0,12}?)\s*(?:on\s+)?" + DATE
 MONEY = r"\$\s?\d[\d,.]*"
 PERCENT = r"\d+\.\d+\s?%"
 YEAR = r"\b(?:19|20)\d\d\b"
+# Fixed value: the form of a named figure.
+KEY_VALUE = r"^\s*([a-z_]+)\s*[:=]\s*(-?\d+\.?\d*)"
 HAS_MONEY = r"\$\s?\d"
 HAS_PERCENT = r"\d+(?:\.\d+)?\s?%"
 
@@ -62,11 +65,10 @@ def tokens(c, pattern: str) -> Column:
 
 
 def key_value(c) -> dict[str, Column]:
-    """`name: number` at the start of a fact."""
-    rx = r"^\s*([A-Za-z_]+)\s*[:=]\s*(-?\d+\.?\d*)"
+    """`name: number` at the start of a fact; names are in small letters."""
     return {
-        "name": F.regexp_extract(col(c), rx, 1),
-        "value": F.regexp_extract(col(c), rx, 2).try_cast("double"),
+        "name": F.regexp_extract(col(c), KEY_VALUE, 1),
+        "value": F.regexp_extract(col(c), KEY_VALUE, 2).try_cast("double"),
     }
 
 
@@ -87,12 +89,21 @@ def cited_dates(c, pattern: str = DATE) -> Column:
 
 
 def first_json_object(c) -> Column:
-    """Strip code fences and take the text from the first `{` to the last `}`.
+    """Strip code fences and take the text from the first `{` to the brace that closes it.
 
-    Differs from brace matching only when a second object follows the first.
+    Braces inside quoted strings don't count. Without a closing brace: empty.
     """
     bare = F.regexp_replace(col(c), r"```(?:json)?\s*", "")
-    return F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    rest = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    # runs without a brace outside of strings, and the braces between them
+    marks = F.regexp_extract_all(rest, F.lit(r'[{}]|(?:"(?:[^"\\]|\\.)*"|[^{}"]|")+'), F.lit(0))
+    end = F.aggregate(
+        marks, F.struct(F.lit(0).alias("at"), F.lit(0).alias("open"), F.lit(0).alias("end")),
+        lambda a, m: F.struct(
+            (a["at"] + F.length(m)).alias("at"),
+            (a["open"] + F.when(m == "{", 1).when(m == "}", -1).otherwise(0)).alias("open"),
+            F.when((a["end"] == 0) & (m == "}") & (a["open"] == 1), a["at"] + 1).otherwise(a["end"]).alias("end")))["end"]
+    return F.substr(rest, F.lit(1), end)
 
 
 def canonical_hash(cols: Sequence[str]) -> Column:
@@ -117,10 +128,11 @@ def match_starts(c, pattern: str) -> Column:
     return acc["out"]
 
 
-def slice_between(c, starts: Sequence[str], ends: Sequence[str], skip: int = 20, cap: int = 100_000) -> Column:
+def slice_between(c, starts: Sequence[str], ends: Sequence[str], skip: int = 20, cap: int | None = None) -> Column:
     """From the earliest start phrase to the earliest end phrase at least `skip` characters on.
 
-    Without an end phrase the section is `cap` characters long; without a start it is empty.
+    Without an end phrase the section runs to the end of the text (or is `cap` characters long); without a start
+    it is empty.
     """
     c = col(c)
     low = F.lower(c)
@@ -128,7 +140,7 @@ def slice_between(c, starts: Sequence[str], ends: Sequence[str], skip: int = 20,
     # offset of an end phrase inside the rest of the text, made absolute again
     rest = F.substr(low, at + skip)
     end = F.array_min(F.filter(F.array(*[F.locate(e, rest) for e in ends]), lambda p: p > 0))
-    size = F.coalesce(end + (skip - 1), F.lit(cap))
+    size = F.coalesce(end + (skip - 1), F.length(c) if cap is None else F.lit(cap))
     return F.when(at.isNull(), F.lit("")).otherwise(F.trim(F.substr(c, at, size)))
 
 
@@ -165,17 +177,42 @@ def section_span(
     return F.get(F.transform(F.array(s), choose), 0)
 
 
-def strip_html(c) -> Column:
-    """Drop script, style and table blocks and all tags, decode common entities, collapse white space."""
+ENTITY = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _entity(e: Column) -> Column:
+    """The character of an entity; an unknown one stays as it is."""
+    digits = F.when(F.substring(e, 3, 1).isin("x", "X"), F.conv(F.regexp_extract(e, r"[xX]([0-9a-fA-F]+)", 1), 16, 10)).otherwise(
+        F.regexp_extract(e, r"#(\d+)", 1)).try_cast("int")
+    plain = digits.between(1, 0xD7FF) | digits.between(0xE000, 0x10FFFF)
+    number = F.when(plain, F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32"))
+    names = F.create_map(*[F.lit(x) for n, code in sorted(name2codepoint.items()) for x in (n, chr(code))])
+    name = F.try_element_at(names, F.regexp_extract(e, r"&(\w+);", 1))
+    return F.coalesce(F.when(e.startswith("&#"), number).otherwise(name), e)
+
+
+def decode_entities(c) -> Column:
+    """Numeric and named character entities as characters, each once and from left to right."""
+    c = col(c)
+    gaps, found = F.split(c, ENTITY, -1), F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0))
+    parts = F.zip_with(gaps, found, lambda g, e: F.concat(g, F.coalesce(_entity(e), F.lit(""))))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)
+
+
+def strip_html(c, nesting: int = 8) -> Column:
+    """Drop script, style and table blocks and all tags, decode entities, collapse white space.
+
+    A script or style block that is not closed runs to the end. Tables inside tables are dropped from the innermost
+    out, up to `nesting` levels.
+    """
     c = col(c)
-    for tag in ("script", "style", "table"):
-        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+    for tag in ("script", "style"):
+        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", " ")
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", " ")
+    for _ in range(nesting):
+        c = F.regexp_replace(c, r"(?is)<table\b(?:(?!<table\b).)*?</table\s*>", " ")
     c = F.regexp_replace(c, r"<[^>]*>", " ")
-    # Entities and their characters; the ampersand last.
-    for name, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(ch))
-    return collapse_space(c)
+    return collapse_space(decode_entities(c))
 
 
 def word_fractions(c, lexicons: dict[str, Sequence[str]]) -> dict[str, Column]:

@@ -58,17 +58,17 @@ def structured_factuality(df: DataFrame, facts: str, keys: Sequence[str], truth:
     return j.withColumn("ok", ok)
 
 
-def text_factuality(df: DataFrame, facts: str, source: str, keep: Sequence[str]) -> DataFrame:
+def text_factuality(df: DataFrame, facts: str, source: str, keep: Sequence[str], prefix: int | None = None) -> DataFrame:
     """Money, year and decimal-percent tokens of the facts and whether the source text has them.
 
-    A token counts as present when its first five characters, stripped of `$`, `,` and blanks, occur in
-    the stripped source, or the token itself occurs in the source.
+    A token counts as present when it occurs in the source, as it is or with both stripped of `$`, `,` and blanks;
+    with `prefix`, its first so many stripped characters are enough.
     """
     toks = F.array_distinct(F.flatten(F.transform(
         F.col(facts), lambda f: F.concat(tx.tokens(f, tx.MONEY), tx.tokens(f, tx.YEAR), tx.tokens(f, tx.PERCENT)))))
     bare = lambda c: F.regexp_replace(c, "[$, ]", "")
     d = df.select(*keep, F.col(source).alias("_src"), bare(F.col(source)).alias("_bare"), F.explode(toks).alias("token"))
-    ok = F.contains(F.col("_bare"), F.substring(bare(F.col("token")), 1, 5)) | F.contains(F.col("_src"), F.btrim(F.col("token"), F.lit("$ ")))
+    ok = F.contains(F.col("_bare"), bare(F.col("token")) if prefix is None else F.substring(bare(F.col("token")), 1, prefix)) | F.contains(F.col("_src"), F.btrim(F.col("token"), F.lit("$ ")))
     return d.withColumn("ok", ok).drop("_src", "_bare")
 
 

@@ -112,8 +112,8 @@ def forward_totals(points: DataFrame, outcomes: DataFrame, key: Sequence[str], t
     w = Window.partitionBy(*key).orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
     run = day.select(*key, "_day", *[F.sum(F.coalesce(n, F.lit(0))).over(w).alias(n) for n in names])
     p = points.select(*key, t).distinct().withColumn("_end", F.add_months(t, months))
-    lo = asof_join(p, run.withColumnsRenamed({n: f"_lo_{n}" for n in names}), key, t, "_day", [f"_lo_{n}" for n in names]).drop("_day")
-    hi = asof_join(lo, run.withColumnsRenamed({n: f"_hi_{n}" for n in names}), key, "_end", "_day", [f"_hi_{n}" for n in names]).drop("_day")
+    lo = asof_join(p, run.withColumnsRenamed({n: f"_lo_{n}" for n in names}), key, t, "_day", [f"_lo_{n}" for n in names], [f"_lo_{n}" for n in names]).drop("_day")
+    hi = asof_join(lo, run.withColumnsRenamed({n: f"_hi_{n}" for n in names}), key, "_end", "_day", [f"_hi_{n}" for n in names], [f"_hi_{n}" for n in names]).drop("_day")
     sums = hi.select(*key, t, *[(F.coalesce(f"_hi_{n}", F.lit(0)) - F.coalesce(f"_lo_{n}", F.lit(0))).alias(n) for n in names])
     return points.join(sums, [*key, t], "left")
 

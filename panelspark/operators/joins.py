@@ -13,17 +13,22 @@ from .sets import pick_columns
 
 def asof_join(
     left: DataFrame, right: DataFrame, key: Sequence[str], t: str, as_of: str,
-    cols: Sequence[str], order_by: Sequence[str] = (),
+    cols: Sequence[str], order_by: Sequence[str],
 ) -> DataFrame:
     """Latest right row with as_of <= t (inclusive) for each left row; unmatched left rows keep NULLs.
 
+    `order_by` decides between right rows of one day and must be given. A right row without a date was known at no
+    time and is never matched.
+
     Both sides are first reduced to one row per (key, day): the right side to its last row by
     `order_by`, the left side to its distinct days. The ordered window therefore sees at most two rows
     per calendar day and key, however many rows a key has, and no pair is ever formed by inequality.
     `t` and `as_of` are dates.
     """
-    key = list(key)
-    order = order_by[0] if len(order_by) == 1 else F.struct(*order_by) if order_by else F.lit(0)
+    if not order_by:
+        raise ValueError("order_by must name the columns that decide between rows of one day")
+    key, right = list(key), right.where(F.col(as_of).isNotNull())
+    order = order_by[0] if len(order_by) == 1 else F.struct(*order_by)
     aggs, picked = pick_columns(right, list(cols), order, F.max_by)
     best = right.groupBy(*key, F.col(as_of).alias("_d")).agg(*aggs).select(
         *key, "_d", F.struct(F.col("_d").alias(as_of), *picked).alias("_r")
@@ -59,7 +64,8 @@ def interval_join(
     left: DataFrame, right: DataFrame, key: Sequence[str], t: str, ts: str,
     months_back: int = 0, months_ahead: int = 0, how: str = "inner",
 ) -> DataFrame:
-    """Right rows whose `ts` lies near `t`: [t - months_back, t], or (t, t + months_ahead].
+    """Right rows whose `ts` lies near `t`: [t - months_back, t], (t, t + months_ahead], or with both bounds
+    [t - months_back, t + months_ahead]. With how="left", left rows without a hit stay, each once.
 
     Month buckets turn the interval into an equality, so that the join shuffles on (key, month) and a
     heavy key is spread over its months. Each left row is repeated once per month it reaches.
@@ -68,13 +74,11 @@ def interval_join(
     lo = F.add_months(t, -months_back) if months_back else F.col(t)
     hi = F.add_months(t, months_ahead) if months_ahead else F.col(t)
     reach = F.explode(F.sequence(F.trunc(lo, "month"), F.trunc(hi, "month"), F.expr("interval 1 month")))
-    lb = left.withColumn("_m", reach)
-    rb = right.withColumn("_m", F.trunc(ts, "month"))
-    inside = (F.col(ts) > F.col(t)) & (F.col(ts) <= hi) if months_ahead else (F.col(ts) >= lo) & (F.col(ts) <= F.col(t))
-    hits = lb.join(rb, [*key, "_m"]).where(inside).drop("_m")
-    if how == "inner":
-        return hits
-    return left.join(hits.select(*key, t, *[c for c in right.columns if c not in key]), [*key, t], "left")
+    points = left if how == "inner" else left.select(*key, t).distinct()
+    from_ = F.col(ts) >= lo if months_back or not months_ahead else F.col(ts) > F.col(t)
+    hits = points.withColumn("_m", reach).join(right.withColumn("_m", F.trunc(ts, "month")), [*key, "_m"])
+    hits = hits.where(from_ & (F.col(ts) <= hi)).drop("_m")
+    return hits if how == "inner" else left.join(hits, [*key, t], "left")
 
 
 def outer_align(series: dict[str, DataFrame], t: str, value: str) -> DataFrame:

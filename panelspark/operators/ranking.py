@@ -1,9 +1,10 @@
-"""Exact ranks, prefix sums and quantiles without putting a group into one task.
+"""Exact ranks, prefix sums and quantiles without putting a large group into one task.
 
-Rows are reduced to one per distinct value, values are cut into buckets at approximate quantiles (any cut
-gives the same exact answer; the quantiles only balance the work), bucket totals are prefix-summed (at
-most `buckets` rows per group) and each bucket is ordered on its own. A value shared by a third of all
-rows is a single row by then.
+Rows (for sums and quantiles: one per distinct value) are written once, which counts them. Up to ROWS of them are
+ordered by a plain window. More are dealt by a range exchange on (group, value, tie) into partitions of about ROWS
+rows, numbered in that order, and the partition's number is written with them: per group, the totals of the
+partitions before are added to what a window finds inside each. The order is that of the raw columns, and the number
+of partitions follows from the counted rows. A value shared by a third of all rows is one row, or is cut by its tie.
 """
 
 from __future__ import annotations
@@ -12,25 +13,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = 32
+from ..sources.sinks import settle
 
+ROWS = 1_000_000
 
-def _fractions(n: int) -> list[float]:
-    return [i / n for i in range(1, n)]
 
+def _dealt(df: DataFrame, order: Sequence[Column], rows: int) -> tuple[DataFrame, bool]:
+    """df, written once, with `_b`: a number that ascends with the order; and whether there is more than one."""
+    df = settle(df)
+    n = -(-df.count() // rows)
+    if n < 2:
+        return df.withColumn("_b", F.lit(0)), False
+    return settle(df.repartitionByRange(n, *order).withColumn("_b", F.spark_partition_id())), True
 
-def add_bucket(df: DataFrame, group: Sequence[str], value: str, buckets: int = BUCKETS, out: str = "_b", when: Column | None = None) -> DataFrame:
-    """Number of group quantile edges below `value`: monotone in the value, balanced, small."""
-    group = list(group)
-    v = F.col(value).cast("double")
-    v = v if when is None else F.when(when, v)
-    edges = df.groupBy(*group).agg(F.percentile_approx(v, _fractions(buckets), 1000).alias("_edges"))
-    if group:
-        df = df.join(edges, group)
-    else:
-        df = df.withColumn("_edges", edges.scalar())
-    v = F.col(value).cast("double")
-    return df.withColumn(out, F.size(F.filter("_edges", lambda x: x < v))).drop("_edges")
+
+def _before(cells: DataFrame, group: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Per group and partition the totals of the partitions before: one row per partition that has rows."""
+    w = Window.partitionBy(*group).orderBy("_b") if group else Window.orderBy("_b")
+    w = w.rowsBetween(Window.unboundedPreceding, -1)
+    return cells.groupBy(*group, "_b").agg(*[F.sum(n).alias(n) for n in names]).select(
+        *group, "_b", *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"_off_{n}") for n in names])
 
 
 def ranked_totals(
@@ -39,7 +41,7 @@ def ranked_totals(
     value: str,
     sums: dict[str, Column],
     descending: bool = False,
-    buckets: int = BUCKETS,
+    rows: int = ROWS,
 ) -> DataFrame:
     """One row per (group, distinct value) with each sum and its inclusive prefix sum `cum_<name>`.
 
@@ -49,80 +51,61 @@ def ranked_totals(
     cells = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(
         *[F.sum(c).alias(n) for n, c in sums.items()]
     )
-    # the condition always holds: it makes the edges read the same columns as the other two branches,
-    # so that the three share one shuffle of `cells`
-    sane = F.lit(True)
-    for n in names:
-        sane = sane & (F.col(n).cast("double") > -1e300)
-    cells = add_bucket(cells, group, value, buckets, when=sane)
     order = F.col(value).desc() if descending else F.col(value).asc()
-    b_order = F.col("_b").desc() if descending else F.col("_b").asc()
-    w_b = Window.partitionBy(*group).orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)
-    if not group:
-        w_b = Window.orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.groupBy(*group, "_b").agg(*[F.sum(n).alias(n) for n in names]).select(
-        *group, "_b", *[F.coalesce(F.sum(n).over(w_b), F.lit(0)).alias(f"_off_{n}") for n in names]
-    )
-    w = Window.partitionBy(*group, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = cells.select("*", *[F.sum(n).over(w).alias(f"cum_{n}") for n in names])
-    return (
-        local.join(offsets, [*group, "_b"])
-        .withColumns({f"cum_{n}": F.col(f"cum_{n}") + F.col(f"_off_{n}") for n in names})
-        .drop("_b", *[f"_off_{n}" for n in names])
-    )
+    cells, many = _dealt(cells, [*map(F.col, group), order], rows)
+    keys = [*group, "_b"] if many else group
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(order).rowsBetween(
+        Window.unboundedPreceding, 0)
+    out = cells.select("*", *[F.sum(n).over(w).alias(f"cum_{n}") for n in names])
+    if many:
+        out = _join(out, _before(cells, group, names), keys).withColumns(
+            {f"cum_{n}": F.col(f"cum_{n}") + F.col(f"_off_{n}") for n in names})
+    return out.drop("_b", *[f"_off_{n}" for n in names])
+
+
+def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join on keys that may be null."""
+    right = right.select(*[F.col(k).alias(f"_j_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(right[f"_j_{k}"])
+    return left.join(right, same).drop(*[f"_j_{k}" for k in keys])
 
 
 def rank_in_group(
     df: DataFrame, group: Sequence[str], value: str, tie: str, descending: bool = True,
-    out: str = "rk", totals: dict[str, Column] | None = None, buckets: int = BUCKETS,
+    out: str = "rk", totals: dict[str, Column] | None = None, rows: int = ROWS,
 ) -> DataFrame:
-    """Exact row number by (value, tie ascending) in each group; tie is a numeric key unique per group.
+    """Exact row number by (value, tie ascending) in each group; tie is a key unique per group.
 
-    Rows fall into (value bucket, tie bucket) cells, ordered like the rows themselves; a cell's offset
-    plus a row number inside the cell is the rank. The edges come from the rows, so a value that fills
-    more than one bucket shows up as a repeated edge: only such a value is split further, by tie. Any
-    edges give the same ranks. `totals` adds per-group sums from the same cell counts. Rows without a
-    value are left out. The input is read three times: settle it first if it is costly.
+    `totals` adds per-group sums. Rows without a value are left out.
     """
     group, totals = list(group), totals or {}
-    v, t = F.col(value).cast("double"), F.col(tie).cast("double")
-    v = -v if descending else v
-    rows = df.where(F.col(value).isNotNull())
-    edges = rows.groupBy(*group).agg(
-        F.percentile_approx(v, _fractions(buckets), 1000).alias("_e"),
-        F.percentile_approx(t, _fractions(buckets), 1000).alias("_te"),
-    )
-    if group:
-        rows = rows.join(edges, group)
-    else:
-        rows = rows.withColumn("_s", edges.select(F.struct("*")).scalar()).withColumns({"_e": F.col("_s._e"), "_te": F.col("_s._te")}).drop("_s")
-    rows = rows.withColumn("_lo", F.size(F.filter("_e", lambda x: x < v)))
-    hot = F.size(F.filter("_e", lambda x: x == v)) > 1
-    rows = rows.withColumn("_kb", F.when(hot, 1 + F.size(F.filter("_te", lambda x: x < t))).otherwise(0)).drop("_e", "_te")
-    cell = [*group, "_lo", "_kb"]
-    counts = rows.groupBy(*cell).agg(F.count("*").alias("_c"), *[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()])
-    w = Window.partitionBy(*group).orderBy("_lo", "_kb") if group else Window.orderBy("_lo", "_kb")
+    order = [F.col(value).desc() if descending else F.col(value).asc(), F.col(tie).asc()]
+    found = df.where(F.col(value).isNotNull()).withColumns({f"_t_{n}": c for n, c in totals.items()})
+    found, many = _dealt(found, [*map(F.col, group), *order], rows)
+    keys = [*group, "_b"] if many else group
+    part = Window.partitionBy(*keys)
+    ranked = found.withColumn(out, F.row_number().over(part.orderBy(*order)))
+    if not many:
+        return ranked.withColumns({n: F.sum(f"_t_{n}").over(part) for n in totals}).drop("_b", *[f"_t_{n}" for n in totals])
+    cells = found.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.sum(f"_t_{n}").alias(n) for n in totals])
     whole = Window.partitionBy(*group)
-    counts = counts.select(
-        *cell, F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        *[F.sum(f"_t_{n}").over(whole).alias(n) for n in totals],
-    )
-    inner = Window.partitionBy(*cell).orderBy(v, tie)
-    return (
-        rows.withColumn("_rn", F.row_number().over(inner)).join(counts, cell)
-        .withColumn(out, F.col("_off") + F.col("_rn")).drop("_lo", "_kb", "_off", "_rn")
-    )
+    offsets = cells.select(*keys, *[F.sum(n).over(whole).alias(n) for n in totals], F.coalesce(F.sum("_n").over(
+        whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    ranked = ranked.drop(*[f"_t_{n}" for n in totals], *totals)
+    return _join(ranked, offsets, keys).withColumn(out, F.col("_off") + F.col(out)).drop("_b", "_off")
 
 
 def exact_quantiles(
-    df: DataFrame, group: Sequence[str], value: str, probs: dict[str, float], buckets: int = BUCKETS
+    df: DataFrame, group: Sequence[str], value: str, probs: dict[str, float], rows: int = ROWS
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, exact, one row per group.
 
     The built-in exact `percentile` keeps every distinct value of a group in one buffer; this does not.
     """
     group = list(group)
-    cum = ranked_totals(df, group, value, {"_n": F.lit(1).cast("bigint")}, False, buckets)
+    cum = ranked_totals(df, group, value, {"_n": F.lit(1).cast("bigint")}, False, rows)
     totals = cum.groupBy(*group).agg(F.max("cum__n").alias("_tot"))
     if group:
         cum = cum.join(totals, group)

@@ -64,7 +64,7 @@ def t3(spark, sf):
 def t4(spark, sf):
     days = b.px_daily(spark, sf).select("d").distinct()
     series = b.macro_daily(spark, sf).where(F.col("s2").isNotNull()).select(F.col("d").alias("sd"), "s2")
-    return joins.asof_join(days, series, [], "d", "sd", ["s2"]).select("d", R("s2").alias("s2"))
+    return joins.asof_join(days, series, [], "d", "sd", ["s2"], ["s2"]).select("d", R("s2").alias("s2"))
 
 
 @query("t5_differences_spreads", f"""

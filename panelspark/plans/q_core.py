@@ -343,8 +343,7 @@ def j6(spark, sf):
 def j7(spark, sf):
     tr = sinks.settle(b.truth(spark, sf).select("k", "t", "label"))
     dec = sinks.settle(b.decisions(spark, sf).select("k", "t", "p_r"))
-    d, t = dec.join(tr.select("k", "t"), ["k", "t"], "left_semi"), tr.join(dec.select("k", "t"), ["k", "t"], "left_semi")
-    return joins.join_1to1(d, t, ["k", "t"]).select("k", "t", R("p_r").alias("p_r"), "label")
+    return joins.join_1to1(dec, tr, ["k", "t"], keep_all=False).select("k", "t", R("p_r").alias("p_r"), "label")
 
 
 @query("j8_previous_record", """

@@ -1,5 +1,7 @@
 """Document and text jobs (N*)."""
 
+from html.entities import name2codepoint
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -16,8 +18,8 @@ def _cut(tag: str, inner: str) -> str:
 
 _HTML = _cut("table", _cut("style", _cut("script", "html")))
 _HTML = rf"regexp_replace(regexp_replace({_HTML}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
-for _n, _c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
-    _HTML = f"replace({_HTML}, '{_n}', '{_c}')"
+for _n in [n for n in sorted(name2codepoint) if n != "amp"] + ["#39", "amp"]:  # the ampersand last
+    _HTML = f"replace({_HTML}, '&{_n};', chr({name2codepoint.get(_n, 39)}))"
 
 
 @query("n1_clean_html", rf"SELECT page_id, md5(x) AS h, length(x) AS n_chars FROM (SELECT page_id, trim(regexp_replace({_HTML}, '\s+', ' ', 'g')) AS x FROM pages)")
@@ -34,7 +36,7 @@ _LEAST = lambda xs: "least(" + ", ".join(xs) + ")"
  WITH a AS (SELECT doc_id, text, lower(text) AS low, {_LEAST([f"nullif(strpos(lower(text), '{s}'), 0)" for s in STARTS])} AS st FROM documents),
   e AS (SELECT *, {_LEAST([f"nullif(strpos(substr(low, st + 20), '{s}'), 0)" for s in ENDS])} AS en FROM a)
  SELECT doc_id, CASE WHEN st IS NULL THEN 0 ELSE length(x) END AS n_chars, md5(CASE WHEN st IS NULL THEN '' ELSE x END) AS h
- FROM (SELECT *, trim(substr(text, st, coalesce(en + 19, 100000)), ' ') AS x FROM e)""")
+ FROM (SELECT *, trim(substr(text, st, coalesce(en + 19, length(text))), ' ') AS x FROM e)""")
 def n2(spark, sf):
     d = b.table(spark, sf, "documents").select("doc_id", tx.slice_between("text", STARTS, ENDS).alias("x"))
     return d.select("doc_id", F.length("x").alias("n_chars"), F.md5("x").alias("h"))

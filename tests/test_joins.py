@@ -100,3 +100,21 @@ def test_last_and_first_wins(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (2, 5, "z")], "k int, seq int, v string")
     assert sorted((r.k, r.v) for r in sets.last_wins(df, ["k"], "seq").collect()) == [(1, None), (2, "z")]
     assert sorted((r.k, r.v) for r in sets.first_wins(df, ["k"], "seq").collect()) == [(1, "a"), (2, "z")]
+
+
+def test_asof_ignores_undated_facts_and_needs_an_order(spark):
+    left = spark.createDataFrame([("a", D(2020, 1, 10))], "k string, t date")
+    right = spark.createDataFrame([("a", None, 5.0, 1)], "k string, f date, v double, pos int")
+    assert joins.asof_join(left, right, ["k"], "t", "f", ["v"], ["pos"]).first().v is None
+    with pytest.raises(ValueError):
+        joins.asof_join(left, right, ["k"], "t", "f", ["v"], [])
+
+
+def test_interval_join_left_keeps_equal_rows_once_and_takes_both_sides(spark):
+    t = D(2020, 6, 30)
+    left = spark.createDataFrame([("a", t), ("a", t), ("b", t)], "k string, t date")
+    right = spark.createDataFrame([("a", D(2020, 5, 1)), ("a", D(2020, 7, 1))], "k string, f date")
+    one = joins.interval_join(left, right, ["k"], "t", "f", months_back=2, how="left").collect()
+    assert sorted((r.k, str(r.f)) for r in one) == [("a", "2020-05-01"), ("a", "2020-05-01"), ("b", "None")]
+    both = joins.interval_join(left, right, ["k"], "t", "f", months_back=2, months_ahead=2).collect()
+    assert sorted(str(r.f) for r in both) == ["2020-05-01", "2020-05-01", "2020-07-01", "2020-07-01"]

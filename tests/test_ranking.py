@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import ranking, stats
 
+ROWS_IN_TEST = 100  # so that the range exchange is taken
+
 
 def skewed(n=3000, seed=0):
     """Half of the rows in one group, a third of all values equal."""
@@ -19,7 +21,7 @@ def test_rank_in_group_is_exact(spark, desc, grouped):
     data = skewed()
     df = spark.createDataFrame(data, "g string, v double, id bigint")
     group = ["g"] if grouped else []
-    got = {r.id: (r.rk, r.n) for r in ranking.rank_in_group(df, group, "v", "id", desc, totals={"n": F.lit(1)}, buckets=8).collect()}
+    got = {r.id: (r.rk, r.n) for r in ranking.rank_in_group(df, group, "v", "id", desc, totals={"n": F.lit(1)}, rows=ROWS_IN_TEST).collect()}
     assert len(got) == len(data)
     for g in {d[0] for d in data} if grouped else {None}:
         rows = sorted((d for d in data if g is None or d[0] == g), key=lambda d: (-d[1] if desc else d[1], d[2]))
@@ -28,14 +30,25 @@ def test_rank_in_group_is_exact(spark, desc, grouped):
 
 def test_hot_value_is_spread_over_tie_buckets(spark):
     df = spark.range(2000).select(F.lit(1.0).alias("v"), "id")
-    out = ranking.rank_in_group(df, [], "v", "id", buckets=8)
+    out = ranking.rank_in_group(df, [], "v", "id", rows=ROWS_IN_TEST)
     assert out.agg(F.max("rk"), F.countDistinct("rk")).first() == (2000, 2000)
 
 
+def test_large_keys_are_ordered_exactly(spark):
+    """2^53 and 2^53 + 1 are one number as doubles; a value just under a partition's share keeps its order."""
+    big = 1 << 53
+    data = [(big + i % 7, i) for i in range(700)]
+    df = spark.createDataFrame(data, "v bigint, id bigint")
+    for desc in (True, False):
+        got = {r.id: r.rk for r in ranking.rank_in_group(df, [], "v", "id", desc, rows=ROWS_IN_TEST).collect()}
+        want = sorted(data, key=lambda d: (-d[0] if desc else d[0], d[1]))
+        assert [got[i] for _, i in want] == list(range(1, 701))
+
+
 def test_ranked_totals_prefix_sums(spark):
     data = skewed(1500, 2)
     df = spark.createDataFrame(data, "g string, v double, id bigint")
-    got = {(r.g, r.v): (r.n, r.cum_n) for r in ranking.ranked_totals(df, ["g"], "v", {"n": F.lit(1).cast("bigint")}, True, 8).collect()}
+    got = {(r.g, r.v): (r.n, r.cum_n) for r in ranking.ranked_totals(df, ["g"], "v", {"n": F.lit(1).cast("bigint")}, True, ROWS_IN_TEST).collect()}
     for (g, v), (n, cum) in got.items():
         assert n == sum(d[0] == g and d[1] == v for d in data)
         assert cum == sum(d[0] == g and d[1] >= v for d in data)
@@ -44,7 +57,7 @@ def test_ranked_totals_prefix_sums(spark):
 def test_exact_quantiles_interpolate(spark):
     data = skewed(1000, 5)
     df = spark.createDataFrame(data, "g string, v double, id bigint")
-    got = {r.g: r for r in ranking.exact_quantiles(df, ["g"], "v", {"a": 0.1, "m": 0.5, "z": 0.99}, 8).collect()}
+    got = {r.g: r for r in ranking.exact_quantiles(df, ["g"], "v", {"a": 0.1, "m": 0.5, "z": 0.99}, ROWS_IN_TEST).collect()}
     for g in {d[0] for d in data}:
         v = np.array([d[1] for d in data if d[0] == g])
         assert np.allclose([got[g].a, got[g].m, got[g].z], np.quantile(v, [0.1, 0.5, 0.99]))

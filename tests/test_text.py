@@ -103,3 +103,23 @@ def test_lexicon_shares(spark):
     f = tx.word_fractions("x", {"neg": ["risk", "loss"]})
     r = spark.createDataFrame([("Risk, no LOSS risk!\n",), ("",)], "x string").select(f["neg"].alias("neg"), f["n_words"].alias("n")).collect()
     assert (r[0].neg, r[0].n) == (0.75, 4) and (r[1].neg, r[1].n) == (0.0, 0)
+
+
+def test_html_entities_nested_tables_and_unclosed_blocks(spark):
+    html = ("caf&eacute; &#8217;x&#160;y &mdash; &#x41;&bogus; <table><tr><td><table>in</table></td></tr>out</table> z "
+            "&amp;lt; <script>bad")
+    assert one(spark, html, tx.strip_html("x")) == "café ’x y — A&bogus; z &lt;"
+
+
+def test_first_json_object_ends_at_its_own_brace(spark):
+    assert one(spark, 'a {"b": {"c": "}"}} and {"d": 1}', tx.first_json_object("x")) == '{"b": {"c": "}"}}'
+    assert one(spark, "{ never closed {}", tx.first_json_object("x")) == ""
+
+
+def test_section_without_end_runs_to_the_end(spark):
+    text = "start here " + "x" * 150_000
+    assert one(spark, text, tx.slice_between("x", ["start"], ["finish"])) == text
+
+
+def test_key_value_names_are_small_letters(spark):
+    assert one(spark, "Leverage: 3", tx.key_value("x")["name"]) == ""
