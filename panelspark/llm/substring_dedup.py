@@ -9,12 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.llm.words import Words, int64s, mix, pieces, sequence_hash
+from panelspark.llm.membership import split
+from panelspark.llm.words import Words, extended, int64s, mix, pieces, sequence_hash
+from panelspark.sources.sinks import settle
 
 WINDOW = 20
 ROUNDS = 2  # of one run step and PAIRINGS pair steps
 PAIRINGS = 2
-BUCKET_BYTES = 32 << 20  # of what one task compares
+BUCKET_BYTES = 12 << 20  # of what one task compares
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _EXCHANGED = "bucket int, names binary, docs binary, keys binary, lows binary, counts binary, windows binary, " \
              "own_docs binary, own_keys binary, own_spans binary"
@@ -259,20 +261,22 @@ def remove_repeats(
     made = ["n_words", "n_removed", "kept_sha256" if digest else "kept_text"]
     docs = docs.drop(*[c for c in made if c not in (text, doc_id)])
     keyed = docs.withColumns({
-        "_doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))),
-        "_key": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    spans = repeated_spans(keyed.select(F.col("_doc").alias("doc"), F.col("_key").alias("key"), F.col(text).alias("text")),
+        "__doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))),
+        "__key": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    spans = repeated_spans(keyed.select(F.col("__doc").alias("doc"), F.col("__key").alias("key"), F.col(text).alias("text")),
                            window)
-    merged = spans.groupBy("doc", "key").agg(F.flatten(F.collect_list("spans")).alias("_spans"))
-    out = keyed.join(merged, (F.col("_doc") == F.col("doc")) & (F.col("_key") == F.col("key")), "left").select(
-        *docs.columns, "_spans")
-
+    merged = settle(spans.groupBy("doc", "key").agg(F.flatten(F.collect_list("spans")).alias("__spans")).select(
+        F.col("doc").alias("__of"), F.col("key").alias("__of_key"), "__spans"))
+    some, whole = split(keyed, merged.select(F.col("__of").alias("__doc")), "__doc")
+    joined = some.join(merged, (F.col("__doc") == F.col("__of")) & (F.col("__key") == F.col("__of_key")), "left").select(
+        *docs.columns, "__spans")
+    out = joined.unionByName(whole.select(*docs.columns, F.lit(None).cast("array<int>").alias("__spans")))
     names = [*docs.columns, *made]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, text):
             n_words, n_removed, kept = [], [], []
-            for t, s in zip(b.column(text).to_pylist(), b.column("_spans").to_pylist()):
+            for t, s in zip(b.column(text).to_pylist(), b.column("__spans").to_pylist()):
                 words = (t or "").encode().split()
                 n_words.append(len(words))
                 gone = _removed(len(words), s)
@@ -283,5 +287,4 @@ def remove_repeats(
                 [*b.columns[:-1], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
                 names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return out.mapInArrow(finish, f"{schema}, n_words long, n_removed long, {made[2]} string")
+    return out.mapInArrow(finish, extended(docs, f"n_words long, n_removed long, {made[2]} string"))
