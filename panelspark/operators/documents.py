@@ -18,12 +18,12 @@ def newest(hits: DataFrame, keys: Sequence[str], ts: str, tie: str, n: int, out:
 
 def attach_documents(
     points: DataFrame, docs: DataFrame, key: str, t: str, annual: str, quarterly: str, event: str,
-    section: Column, event_chars: int = 3000, n_events: int = 5, months: int = 6,
+    section: Column, event_chars: int | None = None, n_events: int = 5, months: int = 6,
 ) -> DataFrame:
     """Latest annual and quarterly document and the newest events of the trailing window, per decision.
 
-    Only ids travel through the as-of and interval joins; each text is cut down once per document and
-    joined to the ids at the end. Documents without text are dropped before the newest are chosen.
+    Only ids travel through the as-of and interval joins; only texts of chosen documents are cut and joined to the
+    ids at the end. Events come whole, or with `event_chars` as their first so many characters. Documents without text are dropped before the newest are chosen.
     `section` gives the excerpt of an annual or quarterly text.
     """
     from .joins import asof_join, interval_join
@@ -39,9 +39,10 @@ def attach_documents(
     wanted = out.select(key, t, F.explode(F.array(
         F.struct(F.col("annual_id").alias("doc_id"), F.lit(-1).alias("slot")), F.struct(F.col("quarterly_id").alias("doc_id"), F.lit(0).alias("slot")),
     )).alias("_w")).select(key, t, "_w.*").where(F.col("doc_id").isNotNull()).unionByName(top)
-    cut = have.select("doc_id", section.alias("_sec"), F.substring("text", 1, event_chars).alias("_ev"))
-    full = wanted.join(cut, "doc_id").select(
-        key, t, "slot", "doc_id", F.when(F.col("slot") <= 0, F.col("_sec")).otherwise(F.col("_ev")).alias("part"))
+    event_text = F.col("text") if event_chars is None else F.substring("text", 1, event_chars)
+    parts = have.select("doc_id", "form", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select(
+        "doc_id", F.when(F.col("form") == event, event_text).otherwise(section).alias("part"))
+    full = wanted.join(parts, "doc_id").select(key, t, "slot", "doc_id", "part")
     # at most n_events + 2 parts per decision
     blob = full.groupBy(key, t).agg(
         F.sort_array(F.collect_list(F.struct("slot", "doc_id", "part"))).alias("_p"))
@@ -73,11 +74,12 @@ def recency_audit(points: DataFrame, docs: DataFrame, key: str, t: str, ts: str,
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-def text_change(docs: DataFrame, key: Sequence[str], ts: str, doc: str, text: str, min_chars: int = 500, stop_words: Sequence[str] = ()) -> DataFrame:
+def text_change(docs: DataFrame, key: Sequence[str], ts: str, doc: str, text: str, min_chars: int = 0, stop_words: Sequence[str] = ()) -> DataFrame:
     """TF-IDF cosine of each document with the previous one of its key.
 
     Pair weights use the two-document smoothed idf ln(3 / (1 + df)) + 1. Terms are counted once per
-    document and met through the pair ids; texts are never joined to texts.
+    document and met through the pair ids; texts are never joined to texts, and only those of a pair are moved. A
+    pair without a common weight (a text without terms) has NULL similarity.
     """
     size = docs.withColumn("_len", F.length(text))
     prev = previous_record(size.select(*key, ts, doc, "_len"), key, ts, doc, ["_len"])
@@ -86,7 +88,7 @@ def text_change(docs: DataFrame, key: Sequence[str], ts: str, doc: str, text: st
         F.struct(F.col("_cur").alias(doc), F.lit(1).alias("_cur_side")), F.struct(F.col("_prev").alias(doc), F.lit(0).alias("_cur_side")))).alias("_s")).select("_pair", "_s.*")
     # texts move once, by document, and keep that placement through the count and the join; the counts
     # then move once, by pair (two documents), which serves both of the last aggregates
-    words = docs.select(doc, text).repartition(doc).select(doc, F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("_term"))
+    words = docs.select(doc, text).join(sides.select(doc).distinct(), doc, "left_semi").repartition(doc).select(doc, F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("_term"))
     if stop_words:
         words = words.where(~F.col("_term").isin(*stop_words))
     tf = words.groupBy(doc, "_term").agg(F.count("*").cast("double").alias("_n"))
@@ -96,7 +98,7 @@ def text_change(docs: DataFrame, key: Sequence[str], ts: str, doc: str, text: st
     a, b = F.coalesce("_a", F.lit(0.0)) * idf, F.coalesce("_b", F.lit(0.0)) * idf
     g = both.groupBy("_pair").agg(F.sum(a * b).alias("_ab"), F.sum(a * a).alias("_aa"), F.sum(b * b).alias("_bb"))
     cos = F.col("_ab") / F.nullif(F.sqrt(F.col("_aa") * F.col("_bb")), F.lit(0.0))
-    return pairs.join(g, F.col("_cur") == F.col("_pair")).select(
+    return pairs.join(g, F.col("_cur") == F.col("_pair"), "left").select(
         F.col("_cur").alias(doc), F.col("_prev").alias(f"prev_{doc}"), cos.alias("similarity"), (1 - cos).alias("changed"))
 
 

@@ -13,8 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import CountVectorizer, IDF, OneHotEncoder, RegexTokenizer, StopWordsRemover, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, HashingTF, IDF, Normalizer, OneHotEncoder, RegexTokenizer, StopWordsRemover, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import CLASSES, argmax_label
@@ -329,14 +330,21 @@ def consistency(a: DataFrame, b: DataFrame, keys: Sequence[str], numbers: Sequen
 
 
 # ---------------------------------------------------------------- text baselines
-def tfidf_baseline(df: DataFrame, text: str, label: str, fit: Column, vocabulary: int = 3000, min_docs: int = 5, iterations: int = 50) -> DataFrame:
-    """TF-IDF and balanced multinomial logistic regression; scores every row."""
+def tfidf_baseline(df: DataFrame, text: str, label: str, fit: Column, slots: int = 1 << 18, iterations: int = 50) -> DataFrame:
+    """TF-IDF and balanced multinomial logistic regression; scores every row.
+
+    All terms count: each falls on one of `slots` by its hash, so no vocabulary is gathered. The weight of a term is
+    tf * (ln((1 + n) / (1 + df)) + 1), and rows have unit length.
+    """
     d = df.withColumn("_fit", fit).withColumn("_t", letters_only(text, keep_space=True))
-    pipe = Pipeline(stages=[
+    terms = Pipeline(stages=[
         RegexTokenizer(inputCol="_t", outputCol="_w", pattern=r"\W+", minTokenLength=2), StopWordsRemover(inputCol="_w", outputCol="_k"),
-        CountVectorizer(inputCol="_k", outputCol="_c", vocabSize=vocabulary, minDF=float(min_docs)), IDF(inputCol="_c", outputCol="features"),
-    ]).fit(d.where("_fit"))
-    ready = settle(balanced(pipe.transform(d).drop("_t", "_w", "_k", "_c"), label))
+        HashingTF(inputCol="_k", outputCol="_c", numFeatures=slots),
+    ]).fit(d).transform(d)
+    idf = IDF(inputCol="_c", outputCol="_i").fit(terms.where("_fit")).idf.toArray() + 1.0
+    weighted = ElementwiseProduct(inputCol="_c", outputCol="_i", scalingVec=Vectors.dense(idf)).transform(terms)
+    ready = Normalizer(inputCol="_i", outputCol="features").transform(weighted)
+    ready = settle(balanced(ready.drop("_t", "_w", "_k", "_c", "_i"), label))
     tr = ready.where("_fit")
     return score(logistic(tr.count(), iterations=iterations).fit(tr), ready).drop("label_index", "weight", "_fit")
 

@@ -92,11 +92,11 @@ def n4(spark, sf):
   ev AS (SELECT k, t, doc_id, row_number() OVER (PARTITION BY k, t ORDER BY filed, doc_id) AS slot FROM (SELECT pt.k, pt.t, d.doc_id, d.filed, row_number() OVER (PARTITION BY pt.k, pt.t ORDER BY d.filed DESC, d.doc_id DESC) AS rn
     FROM pt JOIN v_docs d ON d.k = pt.k AND d.form = 'en' AND d.filed BETWEEN CAST(pt.t - INTERVAL 6 MONTH AS DATE) AND pt.t) WHERE rn <= 5),
   w AS (SELECT k, t, annual_id AS doc_id, -1 AS slot FROM base WHERE annual_id IS NOT NULL UNION ALL SELECT k, t, quarterly_id, 0 FROM base WHERE quarterly_id IS NOT NULL UNION ALL SELECT k, t, doc_id, slot FROM ev),
-  g AS (SELECT w.k, w.t, count_if(slot > 0) AS n_events, string_agg(CASE WHEN slot <= 0 THEN substr(text, start + 1, least(stop - start, 15000)) ELSE substr(text, 1, 3000) END, chr(10) ORDER BY slot) AS txt FROM w JOIN v_span s ON s.doc_id = w.doc_id GROUP BY 1, 2)
+  g AS (SELECT w.k, w.t, count_if(slot > 0) AS n_events, string_agg(CASE WHEN slot <= 0 THEN substr(text, start + 1, stop - start) ELSE text END, chr(10) ORDER BY slot) AS txt FROM w JOIN v_span s ON s.doc_id = w.doc_id GROUP BY 1, 2)
  SELECT base.k, base.t, annual_id, quarterly_id, coalesce(n_events, 0) AS n_events, md5(txt) AS h FROM base LEFT JOIN g ON base.k = g.k AND base.t = g.t""")
 def n5(spark, sf):
     s = tx.section_span("text", **SECTION)
-    section = F.substr(F.col("text"), s["start"] + 1, F.least(s["stop"] - s["start"], F.lit(15000)))
+    section = F.substr(F.col("text"), s["start"] + 1, s["stop"] - s["start"])
     out = dc.attach_documents(doc_dates(spark, sf), b.docs(spark, sf), "k", "t", "fr", "de", "en", section)
     return out.select("k", "t", "annual_id", "quarterly_id", "n_events", F.md5("text").alias("h"))
 
@@ -133,15 +133,15 @@ def n8(spark, sf):
     return out.withColumns({c: R(c) for c in ("recall", "precision", "f1")})
 
 
-cte("v_pair", """SELECT doc_id, prev_id FROM (SELECT doc_id, length(text) AS n, lag(doc_id) OVER w AS prev_id, lag(length(text)) OVER w AS pn FROM v_docs WINDOW w AS (PARTITION BY k, form ORDER BY filed, doc_id)) WHERE n >= 500 AND pn >= 500""")
+cte("v_pair", """SELECT doc_id, prev_id FROM (SELECT doc_id, length(text) AS n, lag(doc_id) OVER w AS prev_id, lag(length(text)) OVER w AS pn FROM v_docs WINDOW w AS (PARTITION BY k, form ORDER BY filed, doc_id)) WHERE prev_id IS NOT NULL""")
 cte("v_tf", r"SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents) GROUP BY 1, 2")
 cte("v_change", """
  WITH c AS (SELECT p.doc_id AS pair, term, n AS a, 0.0::DOUBLE AS z FROM v_pair p JOIN v_tf USING (doc_id) UNION ALL SELECT p.doc_id, term, 0.0, n FROM v_pair p JOIN v_tf f ON f.doc_id = p.prev_id),
   g AS (SELECT pair, term, sum(a) AS a, sum(z) AS z, CASE WHEN sum(a) > 0 AND sum(z) > 0 THEN 1.0::DOUBLE ELSE ln(1.5) + 1 END AS idf FROM c GROUP BY 1, 2)
- SELECT pair AS doc_id, sum(a * idf * z * idf) / sqrt(sum(a * idf * a * idf) * sum(z * idf * z * idf)) AS sim FROM g GROUP BY 1""")
+ SELECT pair AS doc_id, sum(a * idf * z * idf) / nullif(sqrt(sum(a * idf * a * idf) * sum(z * idf * z * idf)), 0) AS sim FROM g GROUP BY 1""")
 
 
-@query("n9_text_change", f"SELECT c.doc_id, p.prev_id AS prev_doc_id, {r6('sim')} AS similarity, {r6('1 - sim')} AS changed FROM v_change c JOIN v_pair p ON p.doc_id = c.doc_id")
+@query("n9_text_change", f"SELECT p.doc_id, p.prev_id AS prev_doc_id, {r6('sim')} AS similarity, {r6('1 - sim')} AS changed FROM v_pair p LEFT JOIN v_change c ON p.doc_id = c.doc_id")
 def n9(spark, sf):
     return dc.text_change(b.docs(spark, sf), ["k", "form"], "filed", "doc_id", "text").withColumns({c: R(c) for c in ("similarity", "changed")})
 
