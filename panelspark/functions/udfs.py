@@ -85,20 +85,3 @@ def ols_from_sums(n: pd.Series, sx: pd.Series, sy: pd.Series, upper: pd.Series,
         coef, mean, scale, icpt = standardised_ols(float(a), np.asarray(b, float), float(c), m, np.asarray(d, float))
         rows.append((coef.tolist(), mean.tolist(), scale.tolist(), float(icpt)))
     return pd.DataFrame(rows, columns=["coef", "mean", "scale", "intercept"])
-
-
-def logit_newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float = 1.0, steps: int = 50) -> np.ndarray:
-    """Ridge logistic regression (unpenalised intercept first) on a short series by Newton steps."""
-    z = np.column_stack([np.ones(len(x)), x])
-    ridge = np.eye(z.shape[1]) / c
-    ridge[0, 0] = 0.0
-    b = np.zeros(z.shape[1])
-    for _ in range(steps):
-        p = 1.0 / (1.0 + np.exp(-np.clip(z @ b, -30, 30)))
-        grad = z.T @ (w * (p - y)) + ridge @ b
-        hess = (z * (w * p * (1 - p))[:, None]).T @ z + ridge
-        step = np.linalg.solve(hess + 1e-12 * np.eye(len(b)), grad)
-        b = b - step
-        if np.abs(step).max() < 1e-10:
-            break
-    return b

@@ -9,18 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, HashingTF, IDF, Normalizer, OneHotEncoder, RegexTokenizer, StopWordsRemover, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import CLASSES, argmax_label
 from ..functions.text import letters_only, word_fractions, NEGATIVE_WORDS, UNCERTAIN_WORDS
-from ..functions.udfs import logit_newton, ols_from_sums, t_pvalue
+from ..functions.udfs import ols_from_sums, t_pvalue
 from ..sources.sinks import settle
 from . import evaluate as ev
 from .prep import long_form
@@ -283,37 +281,7 @@ def ordered_logit(train: DataFrame, others: DataFrame, numeric: Sequence[str], c
     return out.withColumn("pred", argmax_label(*[f"p_{c}" for c in CLASSES]))
 
 
-# ---------------------------------------------------------------- regime series
-def expanding_scores(series: DataFrame, t: str, xs: Sequence[str], y: str, initial: int, C: float = 1.0) -> DataFrame:
-    """One-step-ahead probability for each period, from a balanced logistic fit on all earlier periods.
-
-    The series has one row per period. Each cutoff is its own task group holding only its prefix; prefixes
-    with a single class are left out.
-    """
-    w = Window.orderBy(t)
-    s = series.na.drop(subset=[*xs, y]).select(t, F.col(y).cast("int").alias(y), *xs).withColumn("_i", F.row_number().over(w) - 1)
-    n = s.agg(F.count("*").alias("n")).scalar()
-    rows = s.withColumn("_n", n).withColumn("cut", F.explode(F.sequence(F.greatest(F.col("_i"), F.lit(initial)), F.greatest(F.col("_n") - 1, F.lit(initial)))))
-    rows = rows.where((F.col("_i") <= F.col("cut")) & (F.col("cut") < F.col("_n"))).drop("_n")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        last, past = pdf.iloc[-1], pdf.iloc[:-1]
-        yy = past[y].to_numpy(float)
-        empty = pd.DataFrame({"t": pd.Series([], dtype=object), "y": pd.Series([], dtype="int32"), "p": pd.Series([], dtype=float)})
-        if len(past) == 0 or yy.min() == yy.max():
-            return empty
-        x = past[list(xs)].to_numpy(float)
-        mean, sd = x.mean(0), x.std(0)
-        sd[sd == 0] = 1.0
-        wt = np.where(yy == 1, len(yy) / (2 * yy.sum()), len(yy) / (2 * (len(yy) - yy.sum())))
-        beta = logit_newton((x - mean) / sd, yy, wt, C)
-        z = np.concatenate([[1.0], (last[list(xs)].to_numpy(float) - mean) / sd])
-        return pd.DataFrame({"t": [last[t]], "y": [int(last[y])], "p": [1.0 / (1.0 + np.exp(-float(z @ beta)))]})
-
-    return rows.groupBy("cut").applyInPandas(fit, "t date, y int, p double")
-
-
+# ---------------------------------------------------------------- consistency of results
 def consistency(a: DataFrame, b: DataFrame, keys: Sequence[str], numbers: Sequence[str] = (), texts: Sequence[str] = ()) -> DataFrame:
     """Compare two result tables item by item: numbers within 1e-10, texts exactly; NULL equals NULL."""
     from ..functions.columns import is_close

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import CLASSES, ORDINAL, band_label, r6 as R
-from ..operators import calendar as cal, evaluate as ev, ml, portfolio as pf, ranking, sets
+from ..functions.columns import ORDINAL, band_label, r6 as R
+from ..operators import calendar as cal, evaluate as ev, ml, portfolio as pf, sets
 from ..sources import bind as b, sinks
 from .q_core import BOUNDS, SPLIT_SQL
 from .q_portfolio import STRATEGIES, holdings
@@ -194,12 +194,6 @@ def m12a(spark, sf):
     return ev.ranking_metrics(out, "p_reduce", F.col("bad") == 1, ["sample"]).withColumns({c: R(c) for c in ("roc_auc", "avg_precision")})
 
 
-@query("m13_expanding_scores")
-def m13(spark, sf):
-    s = ml.expanding_scores(regime_series(spark, sf), "t", ["x1", "x2"], "bad", 24)
-    return s.select("t", "y", R("p").alias("p"))
-
-
 WINDOWS = [
     {"window": "main", "train": ("1995-01-01", "1998-12-31"), "val": ("1999-01-01", "1999-12-31"), "test": ("2000-01-01", "2001-12-31")},
     {"window": "early", "train": ("1995-01-01", "1997-12-31"), "val": ("1998-01-01", "1998-12-31"), "test": ("2000-01-01", "2001-12-31")},

@@ -72,15 +72,6 @@ def test_ordered_logit_follows_the_order(spark):
     assert (hi.pred, lo.pred) == ("increase", "reduce")
 
 
-def test_expanding_scores_use_only_the_past(spark):
-    rng = np.random.default_rng(3)
-    rows = [(dt.date(2010 + i // 12, i % 12 + 1, 1), float(rng.normal()), int(rng.random() < 0.5)) for i in range(40)]
-    s = spark.createDataFrame(rows, "t date, x double, y int")
-    full = {r.t: r.p for r in ml.expanding_scores(s, "t", ["x"], "y", 20).collect()}
-    part = {r.t: r.p for r in ml.expanding_scores(s.limit(30), "t", ["x"], "y", 20).collect()}
-    assert len(full) == 20 and all(math.isclose(full[t], p) for t, p in part.items()) and len(part) == 10
-
-
 def test_row_count_folds_cover_the_tail(spark):
     df = spark.createDataFrame([(dt.date(2020, 1 + i // 5, 1), i) for i in range(23)], "t date, k bigint")
     got = [r.test_fold for r in ml.row_count_folds(df, "t", "k", 4).orderBy("position").collect()]
