@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
-from panelspark.llm.words import pieces
+from panelspark.llm.words import Recent, pieces
 
 SHARD_TOKENS = 1 << 22  # a shard ends with the document that reaches it
 BLOCK = 512  # bits between stored ranks
-KEPT = 250_000  # words whose ids a task keeps
+KEPT = 500_000  # words, and parts of words, whose ids a task keeps
 
 
 class WaveletMatrix:
@@ -113,30 +115,51 @@ class WaveletMatrix:
         return value
 
 
+#: The pre-token pattern of the vocabulary, on lower-cased text.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordEncoder:
     """Encodes with the tokenizers library word by word; words are cut at ASCII white space only.
 
-    For a vocabulary whose pre-tokens never hold white space, the ids of a text are those of its words in a row.
+    For a vocabulary whose pre-tokens never hold white space, the ids of a text are those of its words in a row. When
+    the vocabulary lower-cases and cuts by PRE_TOKEN, words of plain Latin letters are cut so before the library
+    encodes the parts, so that each part is encoded once whatever stands beside it.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {}
+        self.words, self.parts = Recent(KEPT), Recent(KEPT)
         self.bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.cut = regex.compile(PRE_TOKEN) if steps == ["NFC", "Replace", "Lowercase"] and cuts[0].get(
+            "pattern", {}).get("Regex") == PRE_TOKEN and cuts[0]["invert"] else None
+        self.plain = regex.compile(r"[\x21-\x7E\xA1-\u024F]+")
+        self.marks = [t["content"][:2] for t in spec["added_tokens"]]
+
+    def _parts(self, word: str) -> list[str]:
+        if self.cut and self.plain.fullmatch(word) and not any(m in word for m in self.marks):
+            return self.cut.findall(word.lower())
+        return [word]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        known = self.known
-        if len(known) > KEPT:
-            known.clear()
         cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({w for words in cut for w in set(words) if w not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        new = self.words.missing(set().union(*cut))
+        parts = {w: self._parts(w) for w in new}
+        rest = self.parts.missing({p for own in parts.values() for p in own})
+        for i in range(0, len(rest), 20_000):
+            some = rest[i:i + 20_000]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.parts.young[p] = np.array(e.ids, dtype="<u4").tobytes()
+        part, known = self.parts.young, self.words.young
+        for w, own in parts.items():
+            known[w] = b"".join([part[p] for p in own])
         return [b"".join([known[w] for w in words]) for words in cut]
 
 
@@ -221,8 +244,10 @@ def _matrix(row: dict) -> WaveletMatrix:
 def read_documents(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """doc_id, start (tokens of all documents before), n_tokens and ids of each document, decoded from the shards.
 
-    With `digest`, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) instead of ids.
+    With `digest`, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) instead of ids. Shards are decoded
+    where they lie; only the rows of documents meet the shards' starts.
     """
+    last = "ids_crc32 long" if digest else "ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -232,20 +257,22 @@ def read_documents(spark: SparkSession, path: str, digest: bool = False) -> Data
                 for i in range(0, len(ends) - 1, 2_000):
                     lo, hi = ends[i:i + 2_001][:-1], ends[i:i + 2_001][1:]
                     own = [flat[x:y] for x, y in zip(lo, hi)]
-                    last = pa.array([zlib.crc32(o.astype("<u4")) for o in own], pa.int64()) if digest else pa.array(
+                    made = pa.array([zlib.crc32(o.astype("<u4")) for o in own], pa.int64()) if digest else pa.array(
                         [o.astype(np.int32) for o in own], pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(row["doc_ids"][i:i + 2_000], pa.int64()), pa.array(lo + row["start"]),
-                         pa.array(hi - lo), last],
-                        names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
+                        [pa.array([row["part"]] * len(own), pa.int32()), pa.array([row["seq"]] * len(own), pa.int32()),
+                         pa.array(row["doc_ids"][i:i + 2_000], pa.int64()), pa.array(lo), pa.array(hi - lo), made],
+                        names=["part", "seq", "doc_id", "inside", "n_tokens", last.split()[0]])
 
-    shards = spark.read.parquet(path).join(shard_starts(spark, path), ["part", "seq"])
-    return shards.drop("part", "seq").mapInArrow(
-        run, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<int>"))
+    rows = spark.read.parquet(path).mapInArrow(
+        run, f"part int, seq int, doc_id long, inside long, n_tokens long, {last}")
+    return rows.join(shard_starts(spark, path), ["part", "seq"]).select(
+        "doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", last.split()[0])
 
 
 def count_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
     """token, n: how often each token occurs, from the planes alone (no decoding)."""
+    tokens = sorted(set(tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -138,6 +138,29 @@ def int64s(column: pa.Array) -> np.ndarray:
     return pc.fill_null(column.cast(pa.int64()), -(1 << 63)).to_numpy(zero_copy_only=False)
 
 
+class Recent:
+    """A dict of bounded size: what was not asked for while `size` others came is forgotten."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys not known; all others are in `young` afterwards."""
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        out = []
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    out.append(k)
+        return out
+
+
 def extended(df: DataFrame, fields: str) -> StructType:
     """df's schema followed by these fields (as in DDL)."""
     return StructType([*df.schema.fields, *StructType.fromDDL(fields).fields])
