@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.llm.membership import split
-from panelspark.llm.words import Words, extended, int64s, mix, pieces, sequence_hash
+from panelspark.llm.rarity import bucket_of, packed, unpacked
+from panelspark.llm.words import PIECE, Words, extended, int64s, mix, pieces, sequence_hash
 from panelspark.sources.sinks import settle
 
 WINDOW = 20
@@ -178,8 +179,8 @@ def _exchange_rows(b: pa.RecordBatch, n_buckets: int, window: int) -> Iterator[d
             "own_spans": _bytes(np.stack([own_from[own], own_to[own]], axis=1), "<i4")}
 
 
-def _compare_bucket(rows: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
-    """The stretches of each document that start earlier elsewhere, among all occurrences of a bucket's names."""
+def _compare_bucket(rows: pa.Table, window: int, n_texts: int) -> pa.Table:
+    """The stretches that start earlier elsewhere, among all occurrences of a bucket's names; packed by text."""
     def column(name: str, kind: str) -> np.ndarray:
         return np.frombuffer(b"".join(rows[name].to_pylist()), kind)
 
@@ -195,25 +196,47 @@ def _compare_bucket(rows: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
     later = _later(code, docs[run], pos)
     run, pos = run[later], pos[later]
     own = column("own_spans", "<i4").reshape(-1, 2).astype(np.int64)
-    all_docs, all_keys = np.concatenate((docs[run], column("own_docs", "<i8"))), \
-        np.concatenate((keys[run], column("own_keys", "<i8")))
-    texts, which = np.unique(np.stack([all_docs, all_keys], axis=1), axis=0, return_inverse=True)
-    which = which.ravel()
-    mine, local = which[:len(run)], which[len(run):]
-    order = np.lexsort((pos, mine))
-    text, lo, hi = _spans(mine[order], pos[order], window)
-    text, lo, hi = np.concatenate((text, local)), np.concatenate((lo, own[:, 0])), np.concatenate((hi, own[:, 1]))
-    order = np.argsort(text, kind="stable")
-    flat = np.stack([lo[order], hi[order]], axis=1).ravel()
-    offsets = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(texts)) * 2)))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(texts[:, 0]), pa.array(texts[:, 1]),
-         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))],
-        names=["doc", "key", "spans"])
+    docs = np.concatenate((docs[run], column("own_docs", "<i8")))
+    keys = np.concatenate((keys[run], column("own_keys", "<i8")))
+    begin, end = np.concatenate((pos, own[:, 0])), np.concatenate((pos + window, own[:, 1]))
+    docs, keys, begin, end = _joined(docs, keys, begin, end)
+    text = bucket_of(mix(docs.view(np.uint64) ^ mix(keys.view(np.uint64))), n_texts)
+    return pa.Table.from_pylist(list(packed(text, {
+        "docs": docs, "keys": keys, "begins": begin.astype("<i4"), "ends": end.astype("<i4")})), schema=_FOUND)
+
+
+def _joined(docs: np.ndarray, keys: np.ndarray, begin: np.ndarray, end: np.ndarray):
+    """Stretches of each text, in order, with those that touch made one."""
+    order = np.lexsort((begin, keys, docs))
+    docs, keys, begin, end = docs[order], keys[order], begin[order], end[order]
+    if not len(docs):
+        return docs, keys, begin, end
+    other = np.ones(len(docs), dtype=bool)
+    other[1:] = (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])
+    shift = (np.cumsum(other) - 1) << 33  # texts apart, so that one running maximum serves all
+    reach = np.maximum.accumulate(end + shift) - shift
+    new = other.copy()
+    new[1:] |= begin[1:] > reach[:-1]
+    head = np.flatnonzero(new)
+    return docs[head], keys[head], begin[head], reach[np.append(head[1:], len(docs)) - 1]
+
+
+def _texts(group: pa.Table) -> pa.Table:
+    """doc, key, spans of the texts of one bucket."""
+    e = unpacked(group, {"docs": "<i8", "keys": "<i8", "begins": "<i4", "ends": "<i4"})
+    docs, keys, begin, end = _joined(
+        e["docs"], e["keys"], e["begins"].astype(np.int64), e["ends"].astype(np.int64))
+    other = np.ones(len(docs), dtype=bool)
+    other[1:] = (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])
+    head = np.flatnonzero(other)
+    flat = np.stack([begin, end], axis=1).ravel()
+    return pa.table({
+        "doc": docs[head], "key": keys[head],
+        "spans": pa.ListArray.from_arrays(pa.array(np.append(2 * head, len(flat)), pa.int32()), pa.array(flat, pa.int32()))})
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc, key, spans (begin and end of covered stretches of words, in a row; they may overlap).
+    """doc, key, spans (begin and end of the covered stretches of words, in a row), one row for each text.
 
     docs has doc (long), key (a hash of the text) and text. All texts are parsed by recompression: runs and pairs
     are named by 64-bit hashes of what they replace, so that names agree over the whole corpus without an exchange
@@ -224,18 +247,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n_buckets = max(1, -(-2 * total // BUCKET_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", PIECE // 2):  # all levels of a parse are held at once
             rows = list(_exchange_rows(b, n_buckets, window))
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_SENT)
 
-    def compare(group: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(_compare_bucket(group, window))
-
-    sent = docs.mapInArrow(send, _EXCHANGED)
-    return sent.groupBy("bucket").applyInArrow(compare, "doc long, key long, spans array<int>")
+    n_texts = max(1, n_buckets // 8)
+    found = docs.mapInArrow(send, _EXCHANGED).groupBy("bucket").applyInArrow(
+        lambda group: _compare_bucket(group, window, n_texts),
+        "bucket int, docs binary, keys binary, begins binary, ends binary")
+    return found.groupBy("bucket").applyInArrow(_texts, "doc long, key long, spans array<int>")
 
 
+_FOUND = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("docs", "keys", "begins", "ends"))])
 _SENT = pa.schema([(c.split()[0], pa.int32() if c.endswith("int") else pa.binary()) for c in _EXCHANGED.split(", ")])
 
 
@@ -265,8 +289,8 @@ def remove_repeats(
         "__key": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     spans = repeated_spans(keyed.select(F.col("__doc").alias("doc"), F.col("__key").alias("key"), F.col(text).alias("text")),
                            window)
-    merged = settle(spans.groupBy("doc", "key").agg(F.flatten(F.collect_list("spans")).alias("__spans")).select(
-        F.col("doc").alias("__of"), F.col("key").alias("__of_key"), "__spans"))
+    merged = settle(spans.select(
+        F.col("doc").alias("__of"), F.col("key").alias("__of_key"), F.col("spans").alias("__spans")))
     some, whole = split(keyed, merged.select(F.col("__of").alias("__doc")), "__doc")
     joined = some.join(merged, (F.col("__doc") == F.col("__of")) & (F.col("__key") == F.col("__of_key")), "left").select(
         *docs.columns, "__spans")
