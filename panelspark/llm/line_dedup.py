@@ -45,7 +45,7 @@ class Lines:
         self.size = np.diff(np.append(self.begin, len(self.of)))
         if len(self.doc):
             self.set = mix(np.add.reduceat(mix(self.keys), self.begin) + self.size.astype(np.uint64))
-            self.bits = np.bitwise_or.reduceat(np.uint64(1) << (self.keys & np.uint64(63)), self.begin)
+            self.bits = np.bitwise_xor.reduceat(np.uint64(1) << (self.keys & np.uint64(63)), self.begin)
         else:
             self.set = self.bits = np.empty(0, dtype=np.uint64)
 
@@ -113,7 +113,7 @@ def _meet(group: pa.Table, percent: int, limit: int | None) -> pa.Table:
     """Within a bucket of tokens: lines whose set occurs earlier, and candidate pairs of sets.
 
     Pairs share a prefix token, have sizes that can reach the similarity, pass the positional filter for the first
-    common token, and differ in few enough bits of their bit maps. The later line of a pair names its nearest
+    common token, and differ in few enough bits of their bit maps (parities, in which common tokens cancel). The later line of a pair names its nearest
     candidates.
     """
     e = unpacked(group, _ENTRY)
