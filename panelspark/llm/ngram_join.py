@@ -10,14 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.llm.components import components
+from panelspark.llm.membership import bit_set, may_hold, split
 from panelspark.llm.rarity import bucket_of, count_keys, packed, rare_first, unpacked
-from panelspark.llm.words import SPACED, Words, pieces, sequence_hash
+from panelspark.llm.words import SPACED, Words, extended, pieces, sequence_hash
 from panelspark.sources.sinks import settle
 
 LEVELS = 6  # longest multi-match: this many shared prefix keys
 BUCKET_BYTES = 24 << 20
-VERIFY = 0.1  # cost of a verification for each key of a set, in units of a list entry
-_ENTRY = {"keys": "<u8", "ids": "<i8", "sizes": "<i4", "levels": "<i1"}
+SKETCH = 2048  # bits of a set's parity sketch
+VERIFY = 4  # cost of a candidate, in units of a list entry
+_ENTRY = {"keys": "<u8", "ids": "<i8", "sizes": "<i4", "ranks": "<i4"}
 
 
 def shingles(words: np.ndarray, whole: np.ndarray, n: int, lo: int, hi: int) -> np.ndarray:
@@ -48,28 +50,34 @@ def needed(size, percent: int):
 
 
 def _prefixes(docs: DataFrame, text: str, n: int, percent: int, counters: np.ndarray) -> DataFrame:
-    """docs without text, with n_shingles, set_id and prefix: the rarest keys, for the longest multi-match."""
+    """docs without text, with n_shingles, set_id, prefix (the rarest keys, for the longest multi-match) and sketch.
+
+    A bit of the sketch is the parity of the keys that fall on it. In the exclusive or of two sketches common keys
+    cancel, so its bits are at most the keys in which the sets differ.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, text):
-            size, ids, prefix = [], [], []
+            size, ids, prefix, sketch = [], [], [], []
             for keys in _sets(b, text, n):
                 size.append(len(keys))
                 ids.append(_identity(keys))
                 order = np.sort(rare_first(keys, shared.value))
                 prefix.append(order[:len(keys) - needed(len(keys), percent) + LEVELS].tobytes())
+                odd = np.bincount((keys >> np.uint64(20) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+                sketch.append(np.packbits(odd.astype(bool)).view(np.int64))
             kept = b.drop_columns([text])
             yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(size, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefix, pa.binary())],
-                names=[*kept.schema.names, "n_shingles", "set_id", "prefix"])
+                [*kept.columns, pa.array(size, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefix, pa.binary()),
+                 pa.array(sketch, pa.list_(pa.int64()))],
+                names=[*kept.schema.names, "n_shingles", "set_id", "prefix", "sketch"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
-    return docs.mapInArrow(run, f"{kept}, n_shingles long, set_id long, prefix binary")
+    return docs.mapInArrow(run, extended(docs.drop(text), "n_shingles long, set_id long, prefix binary, sketch array<long>"))
 
 
 def _postings(sets: DataFrame, percent: int) -> DataFrame:
-    """key, id, size, level, df of each prefix key that two sets or more have.
+    """key, id, size, rank, level, df of each prefix key that two sets or more have.
 
     A key's level is the least multi-match whose prefix has it. Sets are exchanged by key in packed rows; within a
     bucket a set has each key once, and equal sets count once, so that no bucket gathers copies.
@@ -85,10 +93,9 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
             keys = np.frombuffer(b"".join(raw), "<u8")
             size = np.repeat(b.column("size").to_numpy(), counts)
             place = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
-            level = np.maximum(1, place - (size - needed(size, percent)))
             rows = list(packed(bucket_of(keys, n_buckets), {
                 "keys": keys, "ids": np.repeat(b.column("set_id").to_numpy(), counts),
-                "sizes": size.astype("<i4"), "levels": level.astype("<i1")}))
+                "sizes": size.astype("<i4"), "ranks": place.astype("<i4")}))
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_PACKED)
 
@@ -97,38 +104,43 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
         _, which, times = np.unique(e["keys"], return_inverse=True, return_counts=True)
         df = times[which]
         keep = df > 1
+        size, rank = e["sizes"][keep].astype(np.int64), e["ranks"][keep]
         return pa.table({
-            "key": e["keys"][keep].view(np.int64), "id": e["ids"][keep], "size": e["sizes"][keep].astype(np.int64),
-            "level": e["levels"][keep].astype(np.int32), "df": df[keep]})
+            "key": e["keys"][keep].view(np.int64), "id": e["ids"][keep], "size": size, "rank": rank,
+            "level": np.maximum(1, rank - (size - needed(size, percent))).astype(np.int32), "df": df[keep]})
 
     sent = one.where(F.col("size") > 0).mapInArrow(
         send, "bucket int, " + ", ".join(f"{c} binary" for c in _ENTRY))
-    return sent.groupBy("bucket").applyInArrow(meet, "key long, id long, size long, level int, df long")
+    return sent.groupBy("bucket").applyInArrow(meet, "key long, id long, size long, rank int, level int, df long")
 
 
 _PACKED = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in _ENTRY)])
 
 
 def adaptive_lengths(postings: DataFrame, percent: int) -> DataFrame:
-    """id, match: how many shared prefix keys each set asks for, or no row where it can have no partner.
+    """id, match and weight (the length of its lists): how many shared prefix keys a set asks for; no row where it can
+    have no partner.
 
-    For match m the lists of all keys up to level m hold C(m) entries; at most C(m) / m candidates have m of them.
-    The chosen m has the least C(m) + VERIFY * size * C(m) / m. A set with a partner has m shared keys up to level
+    For match m and partners of its own size, the lists of the keys in its prefix hold C(m) entries; at most C(m) / m
+    candidates have m of them. The chosen m has the least C(m) + VERIFY * C(m) / m. A set with a partner has m shared keys up to level
     m for every m it may ask for (its least overlap is at least m); a set that lacks them for one m is left out.
     """
     levels = range(1, LEVELS + 1)
+    least = F.floor((2 * percent * F.col("size") + 99 + percent) / (100 + percent))
     one = postings.groupBy("id").agg(F.first("size").alias("size"), *[
         x for m in levels for x in (
             F.count(F.when(F.col("level") <= m, 1)).alias(f"n{m}"),
-            F.sum(F.when(F.col("level") <= m, F.col("df"))).alias(f"c{m}"))])
+            F.sum(F.when(F.col("rank") <= F.col("size") - least + m, F.col("df")).otherwise(0)).alias(f"c{m}"))],
+        F.sum("df").alias("weight"))
     most = F.least(F.lit(LEVELS), F.floor((percent * F.col("size") + 99) / 100))
     alive: Column = F.lit(True)
     for m in levels:
         alive = alive & ((F.lit(m) > most) | (F.col(f"n{m}") >= m))
     cost = [F.struct(
-        F.when(F.lit(m) <= most, F.col(f"c{m}") * (1 + VERIFY * F.col("size") / m)).otherwise(float("inf")).alias("cost"),
+        F.when(F.lit(m) <= most, F.col(f"c{m}") * (1 + F.lit(VERIFY) / m)).otherwise(float("inf")).alias("cost"),
         F.lit(m).alias("m")) for m in levels]
-    return one.where(alive).select("id", F.array_min(F.array(*cost))["m"].alias("match"))
+    return one.where(alive).select(
+        "id", F.array_min(F.array(*cost))["m"].alias("match"), "weight")
 
 
 def _fits(a: Column, b: Column, percent: int) -> Column:
@@ -136,71 +148,92 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
     return (100 * a >= percent * b) & (100 * b >= percent * a)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets' Jaccard similarity is at least percent / 100, by exact intersection."""
-    left = sets.select(F.col("set_id").alias("a"), F.col("keys").alias("ka"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("keys").alias("kb"))
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may be similar: their sketches differ in no more bits than similar sets have keys apart."""
+    left = sketches.select(F.col("set_id").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("xa"))
+    right = sketches.select(F.col("set_id").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("xb"))
+    total = F.col("na") + F.col("nb")
+    apart = total - 2 * F.floor((percent * total + 99 + percent) / (100 + percent))
+    bits = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return pairs.join(left, "a").join(right, "b").where(bits <= apart).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text: str, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets' Jaccard similarity is at least percent / 100, by exact intersection.
+
+    Only the texts of one row of each set of a pair are read again; bit sets of fixed size choose them where they lie.
+    """
+    pairs = settle(pairs)
+    wanted = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select("b")).distinct()
+    source = sets.join(wanted, "set_id").groupBy("set_id").agg(F.min("__d").alias("__d"))
+    full = settle(_full_sets(docs, bit_set(source, "__d"), bit_set(wanted, "set_id"), text, n))
+    left = full.select(F.col("set_id").alias("a"), F.col("keys").alias("ka"))
+    right = full.select(F.col("set_id").alias("b"), F.col("keys").alias("kb"))
     both = F.size(F.array_intersect("ka", "kb"))
     return pairs.join(left, "a").join(right, "b").where(
-        100 * both >= percent * (F.size("ka") + F.size("kb") - both)).select("a", "b")
+        100 * both >= percent * (F.size("ka") + F.size("kb") - both)).select("a", "b").distinct()
 
 
-def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """docs (without text) with n_shingles, set_id, component (a set_id) and n_links.
+def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """__d, n_shingles, set_id, component (a set_id) and n_links of docs with __d (a number for the row) and text.
 
     A text's set: the distinct n-word shingles of its words, A-Z lower-cased; fewer words: the whole sequence as
     one; no word or null text: empty and linked with nothing. Texts link when 100 * intersection >= percent * union.
     n_links: verified links of the text's set to other sets found on the way (equal sets count as one).
 
     Equal sets are joined first. Prefix keys in a global order from rare to frequent meet in buckets. A first round
-    verifies each set against the first and the last set of its lists only; sets joined by these links need no more
+    verifies each set against two sets of its lists only: the one whose own lists are longest (of a group of variants
+    this is the text they vary) and the one with most rows; sets joined by these links need no more
     links among themselves, so the second round takes only pairs from different components, with as many shared
-    prefix keys as the longer of both adaptive prefixes asks for. No list is ever expanded into all its pairs, and
-    no link between components is lost. Rows of a repeated doc_id are separate texts. Clashing columns are replaced.
+    prefix keys as the longer of both adaptive prefixes asks for, counted in prefixes as short as the overlap that sets
+    of both sizes need allows. No list is ever expanded into all its pairs, and
+    no link between components is lost.
     """
-    made = ["n_shingles", "set_id", "component", "n_links", "prefix"]
-    docs = docs.drop(*[c for c in made if c not in (doc_id, text)])
     counters = count_keys(docs.select(text), lambda b: _piece_sets(b, text, n))
     sets = settle(_prefixes(docs, text, n, percent, counters))
     postings = settle(_postings(sets.where(F.col("n_shingles") > 0), percent))
     entries = settle(postings.join(adaptive_lengths(postings, percent), "id").drop("df"))
-    wanted = entries.select(F.col("id").alias("set_id")).distinct()
-    source = sets.join(wanted, "set_id").groupBy("set_id").agg(F.min(F.col(doc_id)).alias(doc_id))
-    full = settle(_full_sets(docs.join(source.select(doc_id, F.col("set_id").alias("_want")), doc_id), text, n))
-
-    x, lead = entries.select("key", F.col("id").alias("a"), F.col("size").alias("sa")), entries.groupBy("key").agg(
-        F.min(F.struct("id", "size")).alias("lo"), F.max(F.struct("id", "size")).alias("hi"))
-    met = x.join(lead.where(F.col("lo.id") != F.col("hi.id")), "key")
+    alive = entries.select(F.col("id").alias("set_id")).distinct()
+    sketches = settle(sets.join(alive, "set_id").groupBy("set_id").agg(
+        F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
+
+    rows = sets.groupBy(F.col("set_id").alias("id")).agg(F.count("*").alias("rows"))
+    known = settle(entries.join(rows, "id"))
+    lead = known.groupBy("key").agg(
+        F.max(F.struct("weight", "rows", "id", "size")).alias("center"), F.max(F.struct("rows", "weight", "id", "size")).alias("copied"))
+    met = known.select("key", F.col("id").alias("a"), F.col("size").alias("sa")).join(lead, "key")
     stars = None
-    for side in ("lo", "hi"):
+    for side in ("center", "copied"):
         near = met.where((F.col("a") != F.col(f"{side}.id")) & _fits(F.col("sa"), F.col(f"{side}.size"), percent))
         best = near.groupBy("a", F.col(f"{side}.id").alias("b")).count().groupBy("a").agg(
             F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
         stars = best if stars is None else stars.unionAll(best)
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = settle(_verified(stars, full, percent))
+    links = settle(_verified(_near(stars, sketches, percent), docs, sets, text, n, percent))
     parts = components(links)
 
     own = F.coalesce("component", "id")
     tagged = settle(entries.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", own).drop("component"))
     mixed = tagged.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
     rest = tagged.join(mixed, "key")
-    p, q = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "level", "match", "part")])
+    p, q = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "rank", "match", "part")])
             for s in ("a", "b"))
     match = F.greatest("match_a", "match_b")
+    total = F.col("size_a") + F.col("size_b")
+    least = F.floor((percent * total + 99 + percent) / (100 + percent))  # overlap of similar sets of these sizes
     pairs = p.join(q, "key").where(
         (F.col("id_a") < F.col("id_b")) & (F.col("part_a") != F.col("part_b"))
         & _fits(F.col("size_a"), F.col("size_b"), percent)
-        & (F.col("level_a") <= match) & (F.col("level_b") <= match))
+        & (F.col("rank_a") <= F.col("size_a") - least + match) & (F.col("rank_b") <= F.col("size_b") - least + match))
     pairs = pairs.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(
         F.count("*").alias("n"), F.first(match).alias("m")).where("n >= m").select("a", "b")
-    bridges = settle(_verified(pairs, full, percent))
+    bridges = settle(_verified(_near(pairs, sketches, percent), docs, sets, text, n, percent))
     links = links.unionAll(bridges)
     parts = components(links)
     degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(
         F.count("*").alias("n_links"))
     info = parts.join(degree, "node").withColumnRenamed("node", "set_id")
-    out = sets.drop("prefix").join(info, "set_id", "left")
+    out = sets.drop("prefix", "sketch").join(info, "set_id", "left")
     return out.withColumns({"component": F.coalesce("component", "set_id"), "n_links": F.coalesce("n_links", F.lit(0))})
 
 
@@ -210,39 +243,49 @@ def _piece_sets(b: pa.RecordBatch, text: str, n: int) -> Iterator[np.ndarray]:
         yield np.concatenate(sets) if sets else np.empty(0, np.uint64)
 
 
-def _full_sets(docs: DataFrame, text: str, n: int) -> DataFrame:
-    """set_id, keys of each wanted set."""
+def _full_sets(docs: DataFrame, rows: np.ndarray, ids: np.ndarray, text: str, n: int) -> DataFrame:
+    """set_id, keys of the wanted sets, from the texts of wanted rows (and of few others)."""
+    shared = docs.sparkSession.sparkContext.broadcast((rows, ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, text):
-            ids, keys = [], []
-            for want, own in zip(b.column("_want").to_pylist(), _sets(b, text, n)):
-                if want == _identity(own):
-                    ids.append(want)
-                    keys.append(own.view(np.int64))
-            if ids:
+        rows, ids = shared.value
+        for b in batches:
+            b = b.filter(pa.array(may_hold(rows, b.column("__d").to_numpy())))
+            for part in pieces(iter([b]), text):
+                own = [(_identity(keys), keys) for keys in _sets(part, text, n)]
+                keep = may_hold(ids, np.array([i for i, _ in own], dtype=np.int64)).tolist()
+                own = [x for x, k in zip(own, keep) if k]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["set_id", "keys"])
+                    [pa.array([i for i, _ in own], pa.int64()),
+                     pa.array([k.view(np.int64) for _, k in own], pa.list_(pa.int64()))], names=["set_id", "keys"])
 
-    return docs.select("_want", text).mapInArrow(run, "set_id long, keys array<long>").dropDuplicates(["set_id"])
+    return docs.select("__d", text).mapInArrow(run, "set_id long, keys array<long>")
 
 
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) and n_links of each row."""
-    linked = settle(link(docs.select(doc_id, text), doc_id, text, n, percent))
-    least = linked.where(F.col("n_shingles") > 0).groupBy("component").agg(F.min(doc_id).alias("component_id"))
-    out = linked.where(F.col("n_shingles") > 0).join(least, "component").unionByName(
-        linked.where(F.col("n_shingles") == 0).withColumn("component_id", F.col(doc_id)))
-    return out.select(doc_id, "n_shingles", "component_id", "n_links")
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) and n_links of each row.
+
+    A null doc_id counts as the smallest; as a component_id it is null. Rows of a repeated doc_id are separate texts.
+    """
+    least = -(1 << 63)
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(least)).alias("__d"), F.col(text).alias("text"))
+    linked = settle(link(rows, "text", n, percent))
+    some, none = linked.where(F.col("n_shingles") > 0), linked.where(F.col("n_shingles") == 0)
+    first = some.groupBy("component").agg(F.min("__d").alias("component_id"))
+    out = some.join(first, "component").unionByName(none.withColumn("component_id", F.col("__d")))
+    known = [F.when(F.col(c) != least, F.col(c)).alias(name) for c, name in (("__d", doc_id), ("component_id",) * 2)]
+    return out.select(known[0], "n_shingles", known[1], "n_links")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """docs without the near duplicates: of each component the row with its smallest doc_id stays.
 
-    Rows without words all stay, as do rows with a null doc_id that are alone; repeated rows of one doc_id stay once.
+    Rows without words all stay, as do rows with a null doc_id. Rows that repeat a doc_id are one document: they go
+    together. Only rows that may go are exchanged.
     """
-    keep = near_duplicates(docs, doc_id, text, n, percent).where(
-        F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("_keep")).distinct()
-    return docs.join(keep, docs[doc_id].eqNullSafe(keep["_keep"]), "left_semi")
+    gone = settle(near_duplicates(docs, doc_id, text, n, percent).where(
+        F.col(doc_id) != F.coalesce("component_id", F.lit(-(1 << 63)))).select(F.col(doc_id).alias("__gone")).distinct())
+    some, whole = split(docs, gone.select(F.col("__gone").alias(doc_id)), doc_id)
+    return some.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti").unionByName(whole)

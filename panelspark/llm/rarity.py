@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-BITS = 19  # 2^19 counters of 8 bytes: 4 MB, whatever the input
+BITS = 20  # 2^20 counters of 8 bytes: 8 MB, whatever the input
 _SEGMENTS, _FAN_IN = 16, 256
 
 
@@ -27,8 +27,7 @@ def count_keys(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.nd
         if total.any():
             yield pa.RecordBatch.from_pydict({
                 "segment": pa.array(range(_SEGMENTS), pa.int32()),
-                "n": pa.array([x.astype("<u4").tobytes() if total.max() < 1 << 32 else x.astype("<u8").tobytes()
-                               for x in np.split(total, _SEGMENTS)], pa.binary())})
+                "n": pa.array([_narrow(x).tobytes() for x in np.split(total, _SEGMENTS)], pa.binary())})
 
     width = size // _SEGMENTS
 
@@ -49,13 +48,18 @@ def count_keys(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.nd
     return total.ravel()
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """The counts in the fewest bytes that hold them all."""
+    return counts.astype(next(f"<u{w}" for w in (1, 2, 4, 8) if int(counts.max()) < 1 << 8 * w))
+
+
 def rare_first(keys: np.ndarray, counters: np.ndarray) -> np.ndarray:
     """64-bit keys whose ascending order is a global order from rare to frequent.
 
-    The top byte is a class of the key's counter (four to each doubling), the rest the key's own top 56 bits.
+    The top byte is a class of the key's counter (seven to each doubling), the rest the key's own top 56 bits.
     """
     n = counters[(keys & np.uint64(len(counters) - 1)).astype(np.int64)]
-    level = np.minimum(4 * np.log2(n.astype(np.float64) + 1), 255).astype(np.uint64)
+    level = np.minimum(7 * np.log2(n.astype(np.float64) + 1), 255).astype(np.uint64)
     return (level << np.uint64(56)) | (keys >> np.uint64(8))
 
 
