@@ -12,14 +12,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from panelspark.llm.words import extended, pieces
+from panelspark.llm.words import Recent, extended, pieces
 
 BATCH = 8 << 20  # bytes of text whose pre-tokens are encoded together
-KEPT = 300_000  # pre-tokens whose ids a task keeps for its next batches
+KEPT = 400_000  # chunks of text, and pre-tokens, whose ids a task keeps for its next batches
 #: The pre-token pattern of byte-level BPE.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _END = -1  # between pre-tokens
-_NO_IDS = np.empty(0, dtype=np.int64)
 _GONE = -2  # merged into the symbol before
 
 
@@ -60,7 +59,8 @@ class ByteBpe:
         self.split_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) \
             if self.special else None
         self.dense = regex.compile(r"(?<=\s)\s|^\s|\s$")
-        self.known: dict[str, tuple[bytes, int, bytes]] = {}
+        self.decimal = [b"%d" % i for i in range(size)]
+        self.parts, self.tokens = Recent(KEPT), Recent(KEPT)
 
     # -- merges ---------------------------------------------------------------------------------------------
 
@@ -70,8 +70,8 @@ class ByteBpe:
         at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
         return np.where((self.pair_key[at] == key) & (a >= 0) & (b >= 0), self.pair_rank[at], -1)
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word (bytes of one pre-token).
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids (4 bytes each) of each word (bytes of one pre-token).
 
         All words lie in one array of symbols. The index maps a pair, by its rank, to the positions of all its
         occurrences. Active ranks are taken in ascending order; each merges all its occurrences at once, and the
@@ -122,10 +122,11 @@ class ByteBpe:
             follows = after[at]
             before[follows[follows < n]] = at[follows < n]
             add(np.unique(np.concatenate((before[at], at))))
-        left = sym != _GONE
-        sym = sym[left]
-        ends = np.flatnonzero(sym == _END)
-        return [p[1:] if i else p for i, p in enumerate(np.split(sym, ends)[:-1])]
+        sym = sym[sym != _GONE]
+        ends = np.flatnonzero(sym == _END) - np.arange(len(words))
+        flat = sym[sym != _END].astype("<i4").tobytes()
+        at = [0, *(4 * ends).tolist()]
+        return [flat[i:j] for i, j in zip(at[:-1], at[1:])]
 
     # -- texts ----------------------------------------------------------------------------------------------
 
@@ -144,20 +145,20 @@ class ByteBpe:
             at = m.end()
         return out + self.pattern.findall(text[at:])
 
-    def encode_batch(self, texts: list[str]) -> list[list[tuple[bytes, int, bytes]]]:
-        """For each text the encoded parts (ids in decimal joined by commas, how many, ids as 4 bytes each)."""
-        if len(self.known) > KEPT:
-            self.known.clear()
-        known = self.known
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         cut = [self.chunks(t) or self.pre_tokens(t) for t in texts]
-        new = {c for parts in cut for c in set(parts) if c not in known}
+        new = self.parts.missing(set().union(*cut))
         tokens = {c: [c] if c in self.special else self.pattern.findall(c) for c in new}
-        words = sorted({w for c, t in tokens.items() if c not in self.special for w in t})
-        ids = dict(zip(words, self.encode_words([w.encode("utf-8", "surrogatepass") for w in words])))
-        for c, t in tokens.items():
-            own = np.array([self.special[c]]) if c in self.special else np.concatenate([_NO_IDS, *[ids[w] for w in t]])
-            known[c] = (b",".join([b"%d" % i for i in own.tolist()]), len(own), own.astype("<i4").tobytes())
-        return [[known[c] for c in parts] for parts in cut]
+        words = self.tokens.missing({w for own in tokens.values() for w in own})
+        for s in self.special:
+            self.tokens.young[s] = self.special[s].to_bytes(4, "little")
+        words = sorted(w for w in words if w not in self.special)
+        token, part = self.tokens.young, self.parts.young
+        token.update(zip(words, self.encode_words([w.encode("utf-8", "surrogatepass") for w in words])))
+        for c, own in tokens.items():
+            part[c] = token[own[0]] if len(own) == 1 else b"".join([token[w] for w in own])
+        return [np.frombuffer(b"".join([part[c] for c in parts]), "<i4") for parts in cut]
 
     def decode(self, ids: list[int]) -> str:
         """The text of these ids; bytes that are not UTF-8 become U+FFFD."""
@@ -199,10 +200,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         bpe = vocabulary(path)
         for b, texts in _texts(batches, text):
             got = bpe.encode_batch(texts)
-            flat = b"".join([p[2] for parts in got for p in parts])
-            ends = np.concatenate(([0], np.cumsum([sum(p[1] for p in parts) for parts in got])))
             column = pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, "<i4")))
+                pa.array(np.concatenate(([0], np.cumsum([len(x) for x in got]))), pa.int32()), pa.array(np.concatenate(got)))
             yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*b.schema.names, ids])
 
     return docs.mapInArrow(run, extended(docs, f"`{ids}` array<int>"))
@@ -230,12 +229,11 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         bpe = vocabulary(path)
         for b, texts in _texts(batches, text):
             count, ids_hash, text_hash = [], [], []
-            for parts in bpe.encode_batch(texts):
-                joined = b",".join([p[0] for p in parts if p[1]])
-                count.append(sum([p[1] for p in parts]))
-                ids_hash.append(hashlib.sha256(joined).hexdigest())
-                back = bpe.decode(np.frombuffer(b"".join([p[2] for p in parts]), "<i4").tolist())
-                text_hash.append(hashlib.sha256(back.encode()).hexdigest())
+            for own in bpe.encode_batch(texts):
+                ids = own.tolist()
+                count.append(len(ids))
+                ids_hash.append(hashlib.sha256(b",".join([bpe.decimal[i] for i in ids])).hexdigest())
+                text_hash.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(count, pa.int64()), pa.array(ids_hash), pa.array(text_hash)],
                 names=[*b.schema.names, *made])
