@@ -19,6 +19,9 @@ LEVELS = 6  # longest multi-match: this many shared prefix keys
 BUCKET_BYTES = 24 << 20
 SKETCH = 2048  # bits of a set's parity sketch
 VERIFY = 4  # cost of a candidate, in units of a list entry
+BLOCK_KEYS, BLOCK_SETS = 1 << 19, 1024  # a component's sets are counted block against block of about this size
+GROUP_KEYS = 1 << 17  # small components share a group of about this size
+DENSE = 50  # a key held by more than one pair of sets in so many is counted in a matrix product
 _ENTRY = {"keys": "<u8", "ids": "<i8", "sizes": "<i4", "ranks": "<i4"}
 
 
@@ -165,8 +168,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text: str, n:
     """
     pairs = settle(pairs)
     wanted = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select("b")).distinct()
-    source = sets.join(wanted, "set_id").groupBy("set_id").agg(F.min("__d").alias("__d"))
-    full = settle(_full_sets(docs, bit_set(source, "__d"), bit_set(wanted, "set_id"), text, n))
+    full = settle(_wanted_sets(wanted, docs, sets, text, n))
     left = full.select(F.col("set_id").alias("a"), F.col("keys").alias("ka"))
     right = full.select(F.col("set_id").alias("b"), F.col("keys").alias("kb"))
     both = F.size(F.array_intersect("ka", "kb"))
@@ -174,12 +176,108 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text: str, n:
         100 * both >= percent * (F.size("ka") + F.size("kb") - both)).select("a", "b").distinct()
 
 
-def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Common keys of every set of a with every set of b (float32, exact up to 2^24)."""
+    (ka, kb), (ra, rb) = (np.concatenate(x) for x in (a, b)), (np.repeat(np.arange(len(x)), [len(k) for k in x]) for x in (a, b))
+    both = np.intersect1d(ka, kb)
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    if not len(both):
+        return out
+
+    def held(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, keys), len(both) - 1)
+        keep = both[at] == keys
+        at, rows = at[keep], rows[keep]
+        order = np.argsort(at, kind="stable")
+        return at[order], rows[order], np.bincount(at, minlength=len(both))
+
+    (pa_, ra, na), (pb, rb, nb) = held(ka, ra), held(kb, rb)
+    dense = na * nb * DENSE > len(a) * len(b)
+    place = np.cumsum(dense) - 1
+    for lo in range(0, int(dense.sum()), 4096):
+        part = []
+        for at, rows, size in ((pa_, ra, len(a)), (pb, rb, len(b))):
+            use = dense[at] & (place[at] >= lo) & (place[at] < lo + 4096)
+            m = np.zeros((size, min(4096, int(dense.sum()) - lo)), dtype=np.float32)
+            m[rows[use], place[at[use]] - lo] = 1
+            part.append(m)
+        out += part[0] @ part[1].T
+    # the other keys: each entry of a meets the entries of b with its key
+    first = np.cumsum(nb) - nb
+    rare = ~dense[pa_]
+    at, rows = pa_[rare], ra[rare]
+    ends = np.cumsum(nb[at])
+    lo = 0
+    while lo < len(at):
+        done = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, done + (1 << 22), "right")))
+        times = nb[at[lo:hi]]
+        step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        cell = np.repeat(rows[lo:hi], times) * len(b) + rb[np.repeat(first[at[lo:hi]], times) + step]
+        out += np.bincount(cell, minlength=out.size).reshape(out.shape).astype(np.float32)
+        lo = hi
+    return out
+
+
+def _partners(docs: DataFrame, sets: DataFrame, parts: DataFrame, text: str, n: int, percent: int) -> DataFrame:
+    """set_id, others: rows of the other sets each set of a component is similar to, by exact intersection.
+
+    All links of a set lie in its component. Every pair of a component's sets meets once: sets are dealt into blocks by
+    their hash, and a group holds two blocks of one component or many small components whole. Groups return a count for
+    each set, so no pair becomes a row. A component of two sets has the one link that made it.
+    """
+    known = settle(sets.groupBy("set_id").agg(F.count("*").alias("rows"), F.first("n_shingles").alias("size")).join(
+        parts.withColumnRenamed("node", "set_id"), "set_id"))
+    whole = known.groupBy("component").agg(
+        F.count("*").alias("n_sets"), F.sum("rows").alias("all_rows"), F.sum("size").alias("n_keys"))
+    known = settle(known.join(whole, "component"))
+    two = known.where("n_sets = 2").select("set_id", (F.col("all_rows") - F.col("rows")).alias("others"))
+    more = known.where("n_sets > 2")
+    n_groups = max(1, -(-(more.agg(F.sum("size")).first()[0] or 0) // GROUP_KEYS))
+    blocks = F.greatest(F.ceil(F.col("n_keys") / BLOCK_KEYS), F.ceil(F.col("n_sets") / BLOCK_SETS)).cast("int")
+    large = F.col("blocks") > 1
+    x = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = more.withColumn("blocks", blocks).withColumn(
+        "block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).withColumn("other", x).select(
+        "set_id", "rows", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+        large.alias("large"), F.when(large, F.col("component")).otherwise(
+            F.pmod(F.xxhash64("component"), F.lit(n_groups))).alias("place"))
+    full = settle(_wanted_sets(more.select("set_id"), docs, sets, text, n))
+
+    def meet(group: pa.Table) -> pa.Table:
+        ids, at = np.unique(group["set_id"].to_numpy(), return_index=True)  # a set can have been read from several rows
+        group = group.take(pa.array(at))
+        column = group["keys"].combine_chunks()
+        flat, edges = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+        keys = [flat[i:j] for i, j in zip(edges[:-1], edges[1:])]
+        weight, block = group["rows"].to_numpy(), group["block"].to_numpy()
+        size, others = np.diff(edges), np.zeros(len(ids), dtype=np.int64)
+        component = group["component"].to_numpy()
+        order = np.argsort(component, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(component[order])) + 1):
+            left, right = own[block[own] == block[own].min()], own[block[own] == block[own].max()]
+            same = group["lo"][0].as_py() == group["hi"][0].as_py()
+            if not same and block[own].min() == block[own].max():
+                continue  # one of the two blocks has no set
+            common = _intersections([keys[i] for i in left], [keys[i] for i in right]).astype(np.int64)
+            near = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
+            if same:
+                np.fill_diagonal(near, False)
+            else:
+                others[right] += weight[left] @ near
+            others[left] += near @ weight[right]
+        return pa.table({"set_id": ids, "others": others})
+
+    counted = full.join(dealt, "set_id").groupBy("large", "place", "lo", "hi").applyInArrow(meet, "set_id long, others long")
+    return two.unionAll(counted.groupBy("set_id").agg(F.sum("others").alias("others")))
+
+
+def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80, count: bool = True) -> DataFrame:
     """__d, n_shingles, set_id, component (a set_id) and n_links of docs with __d (a number for the row) and text.
 
     A text's set: the distinct n-word shingles of its words, A-Z lower-cased; fewer words: the whole sequence as
     one; no word or null text: empty and linked with nothing. Texts link when 100 * intersection >= percent * union.
-    n_links: verified links of the text's set to other sets found on the way (equal sets count as one).
+    n_links: the other rows a row links with, those with an equal set included; null without count.
 
     Equal sets are joined first. Prefix keys in a global order from rare to frequent meet in buckets. A first round
     verifies each set against two sets of its lists only: the one whose own lists are longest (of a group of variants
@@ -187,7 +285,7 @@ def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80) ->
     links among themselves, so the second round takes only pairs from different components, with as many shared
     prefix keys as the longer of both adaptive prefixes asks for, counted in prefixes as short as the overlap that sets
     of both sizes need allows. No list is ever expanded into all its pairs, and
-    no link between components is lost.
+    no link between components is lost. These rounds find the components; n_links takes all pairs inside them.
     """
     counters = count_keys(docs.select(text), lambda b: _piece_sets(b, text, n))
     sets = settle(_prefixes(docs, text, n, percent, counters))
@@ -229,12 +327,15 @@ def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80) ->
         F.count("*").alias("n"), F.first(match).alias("m")).where("n >= m").select("a", "b")
     bridges = settle(_verified(_near(pairs, sketches, percent), docs, sets, text, n, percent))
     links = links.unionAll(bridges)
-    parts = components(links)
-    degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(
-        F.count("*").alias("n_links"))
-    info = parts.join(degree, "node").withColumnRenamed("node", "set_id")
-    out = sets.drop("prefix", "sketch").join(info, "set_id", "left")
-    return out.withColumns({"component": F.coalesce("component", "set_id"), "n_links": F.coalesce("n_links", F.lit(0))})
+    parts = settle(components(links))
+    out = sets.drop("prefix", "sketch").join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
+        "component", F.coalesce("component", "set_id"))
+    if not count:
+        return out.withColumn("n_links", F.lit(None).cast("long"))
+    others = settle(_partners(docs, sets, parts, text, n, percent))
+    out = out.join(rows.withColumnRenamed("id", "set_id"), "set_id").join(others, "set_id", "left")
+    return out.withColumn("n_links", F.when(
+        F.col("n_shingles") > 0, F.coalesce("others", F.lit(0)) + F.col("rows") - 1).otherwise(0)).drop("rows", "others")
 
 
 def _piece_sets(b: pa.RecordBatch, text: str, n: int) -> Iterator[np.ndarray]:
@@ -262,16 +363,23 @@ def _full_sets(docs: DataFrame, rows: np.ndarray, ids: np.ndarray, text: str, n:
     return docs.select("__d", text).mapInArrow(run, "set_id long, keys array<long>")
 
 
+def _wanted_sets(wanted: DataFrame, docs: DataFrame, sets: DataFrame, text: str, n: int) -> DataFrame:
+    """set_id, keys of the wanted set_ids; a set can come more than once."""
+    source = sets.join(wanted, "set_id").groupBy("set_id").agg(F.min("__d").alias("__d"))
+    return _full_sets(docs, bit_set(source, "__d"), bit_set(wanted, "set_id"), text, n)
+
+
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, count: bool = True,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) and n_links of each row.
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) and n_links (the other rows
+    it links with, copies included; null without count) of each row.
 
     A null doc_id counts as the smallest; as a component_id it is null. Rows of a repeated doc_id are separate texts.
     """
     least = -(1 << 63)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(least)).alias("__d"), F.col(text).alias("text"))
-    linked = settle(link(rows, "text", n, percent))
+    linked = settle(link(rows, "text", n, percent, count))
     some, none = linked.where(F.col("n_shingles") > 0), linked.where(F.col("n_shingles") == 0)
     first = some.groupBy("component").agg(F.min("__d").alias("component_id"))
     out = some.join(first, "component").unionByName(none.withColumn("component_id", F.col("__d")))
@@ -285,7 +393,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     Rows without words all stay, as do rows with a null doc_id. Rows that repeat a doc_id are one document: they go
     together. Only rows that may go are exchanged.
     """
-    gone = settle(near_duplicates(docs, doc_id, text, n, percent).where(
+    gone = settle(near_duplicates(docs, doc_id, text, n, percent, count=False).where(
         F.col(doc_id) != F.coalesce("component_id", F.lit(-(1 << 63)))).select(F.col(doc_id).alias("__gone")).distinct())
     some, whole = split(docs, gone.select(F.col("__gone").alias(doc_id)), doc_id)
     return some.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti").unionByName(whole)

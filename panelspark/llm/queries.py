@@ -79,7 +79,16 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ngram_join.near_duplicates(docs, n=3, percent=90).drop("n_links")
+    return ngram_join.near_duplicates(docs, n=3, percent=90, count=False).drop("n_links")
+
+
+def op6_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same groups with the number of documents that each document links with."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.near_duplicates(docs, n=3, percent=90)
+
+
+BUILD["op6_ngram_links"], SQL["op6_ngram_links"] = op6_ngram_links, sql.OP6_LINKS
 
 
 @query

@@ -35,6 +35,11 @@ c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON d.doc_id = c.a"""
 
+OP6_LINKS = f"""
+WITH o AS ({OP6}), {OP6[OP6.index("d AS ("):OP6.index("reach AS")].rstrip().rstrip(",")},
+e AS (SELECT a, count(*) AS n FROM ends_of GROUP BY a)
+SELECT o.*, CAST(coalesce(e.n, 0) AS BIGINT) AS n_links FROM o LEFT JOIN e ON o.doc_id = e.a"""
+
 OP8 = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, s, array_to_string(w[s:s + 7], ' ') AS win

@@ -1,6 +1,7 @@
 """Removal of repeats against brute force."""
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -94,6 +95,19 @@ def test_near_duplicates(spark, n, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), want[i]) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("block_sets", [1024, 3])
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80), (2, 60)])
+def test_near_duplicates_count_all_links(spark, monkeypatch, n, percent, block_sets):
+    """Links inside a component count too, also where it is split into blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block_sets)
+    rows = fixture()
+    sets = {i: shingle_set(t, n) for i, t in rows}
+    want = Counter(x for pair in set_links(sets, percent) for x in pair)
+    got = ngram_join.near_duplicates(documents(spark, rows), n=n, percent=percent).collect()
+    assert {r.doc_id: r.n_links for r in got} == {i: want[i] for i in sets}
+    assert max(want.values()) > 2
+
+
 def test_near_duplicates_nulls_and_repeated_ids(spark):
     text = " ".join(f"t{i}" for i in range(40))
     df = spark.createDataFrame(
