@@ -151,6 +151,7 @@ def walk_forward(df: DataFrame, t: str, numeric: Sequence[str], categorical: str
             m = logistic(n, g["C"], g["l1_ratio"], iterations).fit(ready)
             p = score(m, val).select("label", "pred", F.lit(g["candidate"]).alias("candidate"))
             preds = p if preds is None else preds.unionByName(p)
+        preds = settle(preds)
         s = ev.summary(preds, "label", "pred", ["candidate"])
         rec = ev.per_class(preds, "label", "pred", ["candidate"]).where(F.col("class") == "reduce").select("candidate", F.col("recall").alias("reduce_recall"))
         part = s.join(rec, "candidate").withColumn("fold", F.lit(fold["fold"]))
