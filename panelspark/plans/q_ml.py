@@ -29,12 +29,13 @@ def parts(p):
 def m1(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
-    tr, va, _ = parts(panel(spark, sf))
-    f = ml.Features(NUMERIC, "sector").fit(tr)
-    x = f.transform(va.withColumn("sector", F.when(F.col("k") % 7 == 0, "elsewhere").otherwise(F.col("sector"))))
+    p = panel(spark, sf)
+    f = ml.Features(NUMERIC, "sector").fit(parts(p)[0])
+    unseen = (F.col("split") != "train") & (F.col("k") % 7 == 0)
+    x = f.transform(p.withColumn("sector", F.when(unseen, "elsewhere").otherwise(F.col("sector"))))
     v = vector_to_array("features")
     n = len(NUMERIC)
-    return x.select("k", "t", F.size(v).alias("n_features"), R(v[0]).alias("first"), F.aggregate(F.slice(v, n + 1, 100), F.lit(0.0), lambda a, z: a + z).alias("one_hot"))
+    return x.select("k", "t", "split", F.size(v).alias("n_features"), R(v[0]).alias("first"), F.aggregate(F.slice(v, n + 1, 100), F.lit(0.0), lambda a, z: a + z).alias("one_hot"))
 
 
 @query("m2_logistic")

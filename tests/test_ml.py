@@ -91,3 +91,12 @@ def test_consistency_treats_null_as_equal(spark):
     b = spark.createDataFrame([("x", 1.0 + 1e-12, "m"), ("y", None, "other"), ("z", 1.0, "q")], "k string, v double, s string")
     got = {(r.k, r["item"]): r.consistent for r in ml.consistency(a, b, ["k"], ["v"], ["s"]).collect()}
     assert got == {("x", "v"): True, ("x", "s"): True, ("y", "v"): True, ("y", "s"): False, ("z", "v"): False, ("z", "s"): False}
+
+
+def test_feature_pipeline_returns_every_split(spark):
+    from panelspark.plans import q_ml
+
+    sf = "/root/testdata/sf0.001"
+    got = {r["split"]: r["count"] for r in q_ml.m1(spark, sf).groupBy("split").count().collect()}
+    want = {r["split"]: r["count"] for r in q_ml.panel(spark, sf).groupBy("split").count().collect()}
+    assert got == want and set(got) == {"train", "validation", "test"}
