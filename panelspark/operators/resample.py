@@ -17,13 +17,16 @@ from .ranking import dense_index
 Z_975, Z_80 = 1.959963984540054, 0.8416212335729143
 
 
-def draws(blocks: DataFrame, reps: int, seed: int) -> DataFrame:
-    """(rep, idx): for each replicate as many block positions as there are blocks."""
-    n = blocks.agg(F.count("*").alias("n")).scalar()
-    reps_df = blocks.sparkSession.range(reps).select(F.col("id").alias("rep")).withColumn("_n", n)
-    slots = reps_df.select("rep", "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("slot"))
+def draws(slots: DataFrame, reps: int, seed: int) -> DataFrame:
+    """(rep, idx): for each replicate as many block positions as there are blocks.
+
+    slots: the indexed blocks. Each one's row carries the bounded list of replicates, so no row grows with the blocks.
+    """
+    n = slots.agg(F.count("*").alias("n")).scalar()
+    reps_of = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))).alias("rep")
+    each = slots.select(F.col("idx").cast("bigint").alias("slot"), reps_of).withColumn("_n", n)
     parts = [F.lit(str(seed)), F.col("rep").cast("string"), F.col("slot").cast("string")]
-    return slots.select("rep", portable_draw(F.col("_n"), *parts).alias("idx"))
+    return each.select("rep", portable_draw(F.col("_n"), *parts).alias("idx"))
 
 
 def indexed(blocks: DataFrame, key: str) -> DataFrame:
@@ -33,13 +36,15 @@ def indexed(blocks: DataFrame, key: str) -> DataFrame:
 
 def replicate_sums(blocks: DataFrame, key: str, sums: Sequence[str], reps: int, seed: int) -> DataFrame:
     """Sums of the drawn blocks per replicate."""
-    return draws(blocks, reps, seed).join(indexed(blocks, key), "idx").groupBy("rep").agg(*[F.sum(c).alias(c) for c in sums])
+    at = indexed(blocks, key)
+    return draws(at, reps, seed).join(at, "idx").groupBy("rep").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def block_weights(blocks: DataFrame, key: str, reps: int, seed: int) -> DataFrame:
     """(rep, key, w): how often each block was drawn in each replicate."""
-    w = draws(blocks, reps, seed).groupBy("rep", "idx").agg(F.count("*").alias("w"))
-    return w.join(indexed(blocks.select(key), key), "idx").select("rep", key, "w")
+    at = indexed(blocks.select(key), key)
+    w = draws(at, reps, seed).groupBy("rep", "idx").agg(F.count("*").alias("w"))
+    return w.join(at, "idx").select("rep", key, "w")
 
 
 def interval(df: DataFrame, stats: dict[str, Column], lo: float = 0.025, hi: float = 0.975) -> DataFrame:

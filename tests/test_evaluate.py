@@ -109,3 +109,14 @@ def test_grounding_definitions(spark, wide):
     df = spark.createDataFrame([(["5% up"], None), (["paid $ 3"], None), ([], "covenant"), (["x"], "Tenant left")], "f array<string>, r string")
     g = dl.grounding(F.col("f"), F.col("r"), percent_counts=wide)["grounded"]
     assert [x.g for x in df.select(g.alias("g")).collect()] == [wide, True, False, True]
+
+
+def test_draws_hold_no_array_of_all_blocks(spark):
+    """Replicates are exploded on block rows: the only list in the plan is that of the replicates."""
+    blocks = spark.range(70).select((F.col("id") * 3).alias("block"), F.lit(1).alias("n"))
+    at = rs.indexed(blocks, "block")
+    got = rs.draws(at, 4, 5)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "sequence(cast(0 as bigint), cast(3 as bigint)" in plan and plan.count("sequence(") == 1
+    assert {r["rep"]: r["count"] for r in got.groupBy("rep").count().collect()} == dict.fromkeys(range(4), 70)
+    assert {r.n for r in rs.replicate_sums(blocks, "block", ["n"], 4, 5).collect()} == {70}
