@@ -91,12 +91,13 @@ def cited_dates(c, pattern: str = DATE) -> Column:
 def first_json_object(c) -> Column:
     """Strip code fences and take the text from the first `{` to the brace that closes it.
 
-    Braces inside quoted strings don't count. Without a closing brace: empty.
+    Braces inside quoted strings don't count; a string that is not closed runs to the end. Without a closing brace:
+    empty. One pass: the pattern's runs are possessive, so that neither time nor stack depends on what follows them.
     """
-    bare = F.regexp_replace(col(c), r"```(?:json)?\s*", "")
+    bare = F.regexp_replace(col(c), r"```(?:json)?\s*+", "")
     rest = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
     # runs without a brace outside of strings, and the braces between them
-    marks = F.regexp_extract_all(rest, F.lit(r'[{}]|(?:"(?:[^"\\]|\\.)*"|[^{}"]|")+'), F.lit(0))
+    marks = F.regexp_extract_all(rest, F.lit(r'(?s)[{}]|(?:[^{}"]++|"(?:[^"\\]++|\\.)*+(?:"|\\?\z))++'), F.lit(0))
     end = F.aggregate(
         marks, F.struct(F.lit(0).alias("at"), F.lit(0).alias("open"), F.lit(0).alias("end")),
         lambda a, m: F.struct(

@@ -16,7 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_settled-{spark.sparkContext.applicationId}"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None) or "spark-warehouse"
+    return f"{warehouse.rstrip('/')}/_settled-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:

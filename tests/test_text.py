@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +117,38 @@ def test_first_json_object_ends_at_its_own_brace(spark):
     assert one(spark, "{ never closed {}", tx.first_json_object("x")) == ""
 
 
+def _object_by_hand(text):
+    at = text.find("{")
+    depth, quoted, i = 0, False, at
+    while 0 <= i < len(text):
+        c = text[i]
+        if quoted:
+            i += c == "\\"
+            quoted = c != '"'
+        elif c == '"':
+            quoted = True
+        else:
+            depth += (c == "{") - (c == "}")
+            if depth == 0:
+                return text[at:i + 1]
+        i += 1
+    return ""
+
+
+def test_first_json_object_against_a_hand_scan(spark):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice('{}"\\a\n ') for _ in range(rnd.randrange(40))) for _ in range(800)]
+    got = spark.createDataFrame([(t,) for t in texts], "x string").select("x", tx.first_json_object("x").alias("y")).collect()
+    assert [(r.x, r.y) for r in got] == [(t, _object_by_hand(t)) for t in texts]
+
+
+def test_first_json_object_of_very_long_texts(spark):
+    long = "x" * 10_000_000
+    for text in ('{"a": "%s"}' % long, "{%s}" % long, "{" * 100_000 + "}" * 100_000, '{"a": "' + '\\"' * 500_000 + '"} {'):
+        assert one(spark, "so: " + text + " done", tx.first_json_object("x")) == text.removesuffix(" {")
+    assert one(spark, '{"' + '\\"' * 500_000 + "}", tx.first_json_object("x")) == ""
+
+
 def test_section_without_end_runs_to_the_end(spark):
     text = "start here " + "x" * 150_000
     assert one(spark, text, tx.slice_between("x", ["start"], ["finish"])) == text

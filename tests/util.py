@@ -14,6 +14,7 @@ TABLES = (
 
 
 def make_spark() -> SparkSession:
+    shared = tempfile.mkdtemp(prefix="tests-")  # one machine runs all of it
     spark = (
         SparkSession.builder.master(os.environ.get("SPARK_TEST_MASTER", "local[8]"))
         .appName("panel-tests")
@@ -21,7 +22,8 @@ def make_spark() -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="wh-"))
+        .config("spark.sql.warehouse.dir", f"{shared}/warehouse")
+        .config("spark.checkpoint.dir", f"{shared}/checkpoints")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
