@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import bpe, decontaminate, host_quality, language, line_dedup, ngram_join, sharding, sql, substring_dedup, suffix_dedup, token_store, url_filter
+from panelspark.llm import bpe, decontaminate, host_quality, language, line_dedup, ngram_join, sharding, spelling, sql, substring_dedup, suffix_dedup, token_store, url_filter
 from panelspark.sources.sinks import new_path
 
 BUILD: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,6 +126,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(found.drop("text", "hits")).drop("item_ids")
 
 
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents, some of them misspelt by rule, with its more frequent variant."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.group_variants(spelling.word_counts(docs, misspell=97))
+
+
 @query
 def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes that a repeated string of 200 bytes covers."""

@@ -86,3 +86,44 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIG
   CAST(coalesce(i.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n.n, 0) > 0 AND 20 * coalesce(n.n, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)"""
+
+OP12 = rf"""
+WITH RECURSIVE crc AS (SELECT i AS start, i AS c, 0 AS k FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL SELECT start, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM crc WHERE k < 8),
+t AS (SELECT list(c ORDER BY start) AS t FROM crc WHERE k = 8),
+r AS (SELECT id, run, count(*) AS n, encode(id || ':' || run) AS b FROM (
+        SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run
+        FROM documents) GROUP BY 1, 2),
+y AS (SELECT id, run, n, list_transform(range(1, 2 * octet_length(b), 2), lambda i: CAST(('0x' || substr(hex(b), i, 2)) AS BIGINT)) AS bytes FROM r),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes),
+        lambda a, x: xor(a >> 8, t[CAST(xor(a & 255, x) AS INTEGER) + 1])), 4294967295) AS h FROM y, t),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2)
+        ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS short
+      FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word AS word, a.n AS n, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.i = b.i AND a.short = b.short AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM d a JOIN v b ON a.short = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM d a JOIN v b ON a.short = b.word),
+f AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS form, arg_min(near_n, (-near_n, near)) AS form_n, max(n) AS n FROM p GROUP BY word),
+g AS (SELECT word, n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM f),
+s AS (SELECT word, word AS root, 0 AS k FROM v UNION ALL SELECT s.word, g.form, k + 1 FROM s JOIN g ON s.root = g.word WHERE g.form IS NOT NULL),
+e AS (SELECT word, arg_max(root, k) AS root FROM s GROUP BY word)
+SELECT v.word, g.form, e.root, v.n, CAST(coalesce(g.n_near, 0) AS BIGINT) AS n_near, CAST(g.form_n AS BIGINT) AS form_n
+FROM v JOIN e USING (word) LEFT JOIN g USING (word)"""
+
+OP13 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 400)) AS win
+      FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS s FROM d WHERE length(h) >= 400)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY win) AS n FROM w) WHERE n > 1),
+i AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS i
+      FROM (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200 THEN 0 ELSE 1 END AS new FROM r)),
+g AS (SELECT doc_id, min(s) AS b, max(s) + 200 AS e FROM i GROUP BY doc_id, i),
+k AS (SELECT doc_id, b, e - b AS n, substr(h, 2 * before + 1, 2 * (b - before)) || CASE WHEN last THEN substr(h, 2 * e + 1) ELSE '' END AS part
+      FROM (SELECT doc_id, b, e, coalesce(lag(e) OVER o, 0) AS before, lead(e) OVER o IS NULL AS last FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY b))
+      JOIN d USING (doc_id)),
+a AS (SELECT doc_id, sum(n) AS n_removed, count(*) AS n_spans, string_agg(part, '' ORDER BY b) AS kept FROM k GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)"""
