@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import bpe, decontaminate, host_quality, language, line_dedup, ngram_join, sharding, spelling, sql, substring_dedup, suffix_dedup, token_store, url_filter
+from panelspark.llm import bpe, decontaminate, host_quality, language, line_dedup, ngram_join, sharding, spelling, sql, substring_dedup, suffix_dedup, token_alignment, token_store, url_filter
 from panelspark.sources.sinks import new_path
 
 BUILD: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,6 +126,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(found.drop("text", "hits")).drop("item_ids")
 
 
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's byte-level and sentencepiece tokens, aligned."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align(docs, a, b, digest=True).drop("text")
+
+
 @query
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the documents, some of them misspelt by rule, with its more frequent variant."""
