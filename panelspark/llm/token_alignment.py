@@ -17,9 +17,9 @@ from panelspark.llm.bpe import byte_letters
 from panelspark.llm.words import Recent, extended, pieces
 from panelspark.sources.sinks import settle
 
-BATCH = 3 << 20  # bytes of text aligned together
+BATCH = 1 << 20  # bytes of text encoded, or of ids aligned, together
 LANE = 512  # tokens of A after which a long document may go on in another lane
-KEPT = 300_000  # pieces of text whose ids a task keeps
+KEPT = 100_000  # pieces of text whose ids a task keeps
 HELD_PAIRS = 1 << 20  # id pairs that a task adds up before it sends them
 TABLE_PAIRS = 2_000_000  # id pairs that reach the driver and every task at once: 34 MB
 
@@ -174,7 +174,7 @@ def encode_both(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -
 
 def _aligned(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[tuple[pa.RecordBatch, Aligned]]:
     enc = encoders(path_a, path_b)
-    for b in pieces(batches, "a_ids", 2 * BATCH):
+    for b in pieces(batches, "a_ids", BATCH):
         yield b, Aligned(enc, *(b.column(c).to_pylist() for c in ("a_ids", "b_ids")))
 
 
