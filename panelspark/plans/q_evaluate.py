@@ -292,12 +292,20 @@ def c19(spark, sf):
 
 
 # ---------------------------------------------------------------- resampled inference
-REPS, SEED = 400, 42
+REPS, SEED = 2000, 42
+
+
+def _mix(x: str, out: str) -> str:
+    """The SQL twin of resample._mix."""
+    step = "(xor({0}, {0} >> 16) * 73244475) & 4294967295"
+    return f"{x} AS {out}0, {step.format(out + '0')} AS {out}1, {step.format(out + '1')} AS {out}2, xor({out}2, {out}2 >> 16) AS {out}"
 
 
 def _draw(blocks: str, reps: int, seed: int) -> str:
-    return f"""SELECT rep, b.* FROM (SELECT rep, CAST('0x' || substr(md5('{seed}|' || rep || '|' || slot), 1, 8) AS BIGINT) % n AS idx
-   FROM (SELECT unnest(range({reps})) AS rep), (SELECT unnest(range(n)) AS slot, n FROM (SELECT count(*) AS n FROM {blocks}))) d
+    """Draws of at most resample.RANGE blocks, which make one range."""
+    return f"""SELECT rep, b.* FROM (SELECT rep, {_mix('xor(u, v)', 'w')}, w % n AS idx
+   FROM (SELECT rep, {_mix(f'CAST({seed} * 1000003 + rep AS BIGINT)', 'u')} FROM (SELECT unnest(range({reps})) AS rep)),
+    (SELECT n, {_mix('slot', 'v')} FROM (SELECT unnest(range(n)) AS slot, n FROM (SELECT count(*) AS n FROM {blocks})))) d
    JOIN (SELECT *, row_number() OVER (ORDER BY block) - 1 AS bi FROM {blocks}) b ON b.bi = d.idx"""
 
 
@@ -355,20 +363,18 @@ def r2(spark, sf):
     return out.withColumns({x: R(x) for x in (*_IV, "mde")})
 
 
-REPS2 = 60
 BAND = (0.1, 0.2, 0.3)
-cte("v_w", f"SELECT rep, block, count(*) AS w FROM ({_draw('v_blk_t', REPS2, 7)}) GROUP BY 1, 2")
+cte("v_w", f"SELECT rep, block, count(*) AS w FROM ({_draw('v_blk_t', REPS, 7)}) GROUP BY 1, 2")
 
 
 def _wcell(score: str) -> str:
-    return f"""SELECT w.rep, c.s, sum(c.n * w.w) AS n, sum(c.p * w.w) AS p FROM (SELECT date_diff('day', DATE '1970-01-01', t) AS block, {r6(score, 3)} AS s, count(*) AS n, count_if({Y}) AS p FROM v_ev GROUP BY 1, 2) c
+    return f"""SELECT w.rep, c.s, sum(c.n * w.w) AS n, sum(c.p * w.w) AS p FROM (SELECT date_diff('day', DATE '1970-01-01', t) AS block, {score} AS s, count(*) AS n, count_if({Y}) AS p FROM v_ev GROUP BY 1, 2) c
   JOIN v_w w ON w.block = c.block GROUP BY 1, 2"""
 
 
-def weighted(spark, sf):
-    e = rows(spark, sf, "p_r", "q_r", "label").withColumn("block", F.unix_date("t")).withColumns({"p_r": R("p_r", 3), "q_r": R("q_r", 3)})
-    w = sinks.settle(rs.block_weights(e.select("block").distinct(), "block", REPS2, 7))
-    return e, w
+def scored(spark, sf):
+    """Raw scores of both methods with the period as the block."""
+    return sinks.settle(rows(spark, sf, "p_r", "q_r", "label").select(F.unix_date("t").cast("bigint").alias("block"), "p_r", "q_r", "label"))
 
 
 @query("r3_budget_band", f"""
@@ -376,30 +382,67 @@ def weighted(spark, sf):
   d AS (SELECT a.budget, a.recall - z.recall AS x FROM r a JOIN r z ON a.rep = z.rep AND a.budget = z.budget AND a.m = 'a' AND z.m = 'z')
  SELECT budget, count(*) AS n_reps, {r6('avg(x)')} AS mean, {r6('quantile_cont(x, 0.025)')} AS lo, {r6('quantile_cont(x, 0.975)')} AS hi FROM d GROUP BY 1""")
 def r3(spark, sf):
-    e, w = weighted(spark, sf)
-    a, z = (rs.budget_replicates(sinks.settle(rs.weighted_cells(e, "block", s, is_event(), w)), s, BAND) for s in ("p_r", "q_r"))
+    e = scored(spark, sf)
+    a, z = (rs.budget_replicates(e, "block", x, is_event(), BAND, REPS, 7) for x in ("p_r", "q_r"))
     d = a.join(z.withColumnRenamed("recall", "other"), ["rep", "budget"]).withColumn("x", F.col("recall") - F.col("other"))
     return d.groupBy("budget").agg(F.count("*").alias("n_reps"), R(F.avg("x")).alias("mean"), R(F.percentile("x", 0.025)).alias("lo"), R(F.percentile("x", 0.975)).alias("hi"))
 
 
 def _auc_sql(score: str) -> str:
-    return f"""SELECT rep, sum(p * (nn - pp - (cn - cp) + (n - p) / 2.0)) / (max(pp) * (max(nn) - max(pp))) AS auc FROM (
+    return f"""SELECT rep, sum(p * (nn - pp - (cn - cp) + (n - p) / 2.0)) / (max(pp) * (max(nn) - max(pp))) AS auc, sum(p * cp / cn) / max(pp) AS ap FROM (
   SELECT rep, CAST(n AS DOUBLE) AS n, CAST(p AS DOUBLE) AS p, CAST(sum(n) OVER w AS DOUBLE) AS cn, CAST(sum(p) OVER w AS DOUBLE) AS cp, CAST(sum(n) OVER (PARTITION BY rep) AS DOUBLE) AS nn, CAST(sum(p) OVER (PARTITION BY rep) AS DOUBLE) AS pp
-  FROM ({_wcell(score)}) WINDOW w AS (PARTITION BY rep ORDER BY s DESC)) GROUP BY rep"""
+  FROM ({_wcell(score)}) WINDOW w AS (PARTITION BY rep ORDER BY s DESC)) GROUP BY rep HAVING max(pp) > 0 AND max(nn) > max(pp)"""
+
+
+cte("v_auc", f"SELECT a.auc AS logged, z.auc AS baseline, a.auc - z.auc AS difference, a.ap AS logged_pr, z.ap AS baseline_pr FROM ({_auc_sql('p_r')}) a JOIN ({_auc_sql('q_r')}) z ON a.rep = z.rep")
+_AUC = ("logged", "baseline", "difference", "logged_pr", "baseline_pr")
+
+
+def auc_by_replicate(e):
+    a, z = (rs.auc_replicates(e, "block", x, is_event(), REPS, 7) for x in ("p_r", "q_r"))
+    z = z.select("rep", F.col("roc_auc").alias("baseline"), F.col("avg_precision").alias("baseline_pr"))
+    return a.select("rep", F.col("roc_auc").alias("logged"), F.col("avg_precision").alias("logged_pr")).join(z, "rep").withColumn(
+        "difference", F.col("logged") - F.col("baseline"))
 
 
-@query("r4_auc_bootstrap", f"""
- WITH j AS (SELECT a.auc AS logged, z.auc AS baseline, a.auc - z.auc AS difference FROM ({_auc_sql('p_r')}) a JOIN ({_auc_sql('q_r')}) z ON a.rep = z.rep) {_iv('j', ('logged', 'baseline', 'difference'))}""")
+@query("r4_auc_bootstrap", _iv("v_auc", _AUC))
 def r4(spark, sf):
-    e, w = weighted(spark, sf)
-    parts = []
-    for s, n in (("p_r", "logged"), ("q_r", "baseline")):
-        cells = sinks.settle(rs.weighted_cells(e, "block", s, is_event(), w))
-        # a weighted cell is split into its event and non-event parts
-        long = cells.select("rep", s, F.explode(F.array(F.struct(F.lit(True).alias("e"), F.col("p").alias("w")), F.struct(F.lit(False).alias("e"), (F.col("n") - F.col("p")).alias("w")))).alias("x")).select("rep", s, "x.*")
-        parts.append(ev.ranking_metrics(long, s, F.col("e"), ["rep"], "w").select("rep", F.col("roc_auc").alias(n)))
-    j = parts[0].join(parts[1], "rep").withColumn("difference", F.col("logged") - F.col("baseline"))
-    return rs.interval(j, {q: F.col(q) for q in ("logged", "baseline", "difference")}).withColumns({x: R(x) for x in _IV})
+    return rs.interval(auc_by_replicate(scored(spark, sf)), {q: F.col(q) for q in _AUC}).withColumns({x: R(x) for x in _IV})
+
+
+def _point(score: str) -> str:
+    return f"""SELECT sum(p * (nn - pp - (cn - cp) + (n - p) / 2.0)) / (max(pp) * (max(nn) - max(pp))) AS auc, sum(p * cp / cn) / max(pp) AS ap FROM (
+  SELECT CAST(n AS DOUBLE) AS n, CAST(p AS DOUBLE) AS p, CAST(sum(n) OVER w AS DOUBLE) AS cn, CAST(sum(p) OVER w AS DOUBLE) AS cp, CAST(sum(n) OVER () AS DOUBLE) AS nn, CAST(sum(p) OVER () AS DOUBLE) AS pp
+  FROM (SELECT {score} AS s, count(*) AS n, count_if({Y}) AS p FROM v_ev GROUP BY 1) WINDOW w AS (ORDER BY s DESC))"""
+
+
+def _bounds(q: str | None, name: str) -> str:
+    return ", ".join(f"{r6(f'quantile_cont({q}, {p})') if q else 'CAST(NULL AS DOUBLE)'} AS {name}_{s}" for s, p in (("lo", 0.025), ("hi", 0.975)))
+
+
+@query("r4_auc_table", f"""
+ WITH a AS ({_point('p_r')}), z AS ({_point('q_r')})
+ SELECT 'logged' AS model, {r6('(SELECT auc FROM a)')} AS roc_auc, {r6('(SELECT ap FROM a)')} AS pr_auc, {_bounds('logged', 'roc')}, {_bounds('logged_pr', 'pr')} FROM v_auc
+ UNION ALL SELECT 'baseline', {r6('(SELECT auc FROM z)')}, {r6('(SELECT ap FROM z)')}, {_bounds('baseline', 'roc')}, {_bounds('baseline_pr', 'pr')} FROM v_auc
+ UNION ALL SELECT 'logged_minus_baseline', {r6('(SELECT a.auc - z.auc FROM a, z)')}, {r6('(SELECT a.ap - z.ap FROM a, z)')}, {_bounds('difference', 'roc')}, {_bounds(None, 'pr')} FROM v_auc
+ UNION ALL SELECT 'base_rate', 0.5, (SELECT {r6(f'count_if({Y}) / count(*)')} FROM v_ev), NULL, NULL, NULL, NULL""")
+def r4_table(spark, sf):
+    """Areas of each method on all rows with the interval of the replicates, their difference, and the base rate."""
+    e = scored(spark, sf)
+    none = F.lit(None).cast("double")
+    points = [ev.ranking_metrics(e, s, is_event()).select(F.lit(m).alias("model"), "roc_auc", F.col("avg_precision").alias("pr_auc"))
+              for m, s in (("logged", "p_r"), ("baseline", "q_r"))]
+    two = points[0].unionByName(points[1])
+    sign = F.when(F.col("model") == "logged", 1).otherwise(-1)
+    gap = two.agg(F.sum(sign * F.col("roc_auc")).alias("roc_auc"), F.sum(sign * F.col("pr_auc")).alias("pr_auc")).select(
+        F.lit("logged_minus_baseline").alias("model"), "roc_auc", "pr_auc")
+    base = e.agg((F.count_if(is_event()) / F.count("*")).alias("pr_auc")).select(F.lit("base_rate").alias("model"), F.lit(0.5).alias("roc_auc"), "pr_auc")
+    iv = rs.interval(auc_by_replicate(e), {q: F.col(q) for q in _AUC}).select("quantity", "lo", "hi")
+    of = F.regexp_replace(F.regexp_replace("quantity", "_pr$", ""), "^difference$", "logged_minus_baseline")
+    arms = iv.withColumns({"model": of, "pr": F.col("quantity").endswith("_pr")}).groupBy("model").agg(*[
+        F.max(F.when(F.col("pr") == F.lit(arm == "pr"), F.col(x))).alias(f"{arm}_{x}") for arm in ("roc", "pr") for x in ("lo", "hi")])
+    out = two.unionByName(gap).unionByName(base).join(arms, "model", "left")
+    return out.select("model", *[R(F.coalesce(x, none)).alias(x) for x in ("roc_auc", "pr_auc", "roc_lo", "roc_hi", "pr_lo", "pr_hi")])
 
 
 @query("r5_paired_returns", f"""

@@ -81,14 +81,17 @@ def test_kappa_and_alpha_by_brute_force(spark):
 
 
 def test_replicates_equal_row_resampling(spark):
-    import hashlib
+    def mix(x):
+        for _ in range(2):
+            x = (x ^ x >> 16) * 0x45d9f3b % 2 ** 32
+        return x ^ x >> 16
 
     rows = [(k, i % 3 == 0) for k in range(7) for i in range(k + 2)]
     df = spark.createDataFrame(rows, "k bigint, y boolean")
     blocks = rs.recall_sums(df, F.col("k"), F.col("y"), {"a": F.lit(True)})
     got = {r.rep: (r.n, r.m) for r in rs.replicate_sums(blocks, "block", ["n", "m"], 5, 3).collect()}
     for rep in range(5):
-        draw = [int(hashlib.md5(f"3|{rep}|{s}".encode()).hexdigest()[:8], 16) % 7 for s in range(7)]
+        draw = [mix(mix(s) ^ mix(3 * 1000003 + rep)) % 7 for s in range(7)]
         sample = [r for k in draw for r in rows if r[0] == k]
         assert got[rep] == (len(sample), sum(y for _, y in sample))
 
@@ -111,12 +114,63 @@ def test_grounding_definitions(spark, wide):
     assert [x.g for x in df.select(g.alias("g")).collect()] == [wide, True, False, True]
 
 
-def test_draws_hold_no_array_of_all_blocks(spark):
-    """Replicates are exploded on block rows: the only list in the plan is that of the replicates."""
-    blocks = spark.range(70).select((F.col("id") * 3).alias("block"), F.lit(1).alias("n"))
-    at = rs.indexed(blocks, "block")
-    got = rs.draws(at, 4, 5)
-    plan = got._jdf.queryExecution().analyzed().toString()
-    assert "sequence(cast(0 as bigint), cast(3 as bigint)" in plan and plan.count("sequence(") == 1
-    assert {r["rep"]: r["count"] for r in got.groupBy("rep").count().collect()} == dict.fromkeys(range(4), 70)
-    assert {r.n for r in rs.replicate_sums(blocks, "block", ["n"], 4, 5).collect()} == {70}
+def test_draws_of_ranges_add_up_and_follow_the_multinomial_law(monkeypatch):
+    monkeypatch.setattr(rs, "RANGE", 8)
+    n, reps = 29, 4000
+    w = np.concatenate([np.stack(list(rs.range_weights(3, reps, n, at))) for at in range(4)], axis=1)
+    assert w.shape == (reps, n) and (w.sum(axis=1) == n).all()
+    assert np.allclose(w.mean(axis=0), 1, atol=0.08) and np.allclose(w.var(axis=0), 1 - 1 / n, atol=0.12)
+    monkeypatch.setattr(rs, "RANGE", 64)
+    direct = rs.weights(3, reps, n)
+    for own in (w, direct):  # how many blocks are never drawn, and how two blocks vary together
+        assert abs((own == 0).mean() - (1 - 1 / n) ** n) < 0.01
+        assert abs(np.cov(own[:, 2], own[:, 20])[0, 1] + 1 / n) < 0.06
+
+
+def test_replicate_sums_over_many_ranges(spark):
+    """Every range of blocks finds its own draws; each replicate draws as many blocks as there are."""
+    blocks = spark.range(40_000).select((F.col("id") * 3).alias("block"), F.lit(1).alias("n"), F.col("id").alias("x"))
+    got = {r.rep: (r.n, r.x) for r in rs.replicate_sums(blocks, "block", ["n", "x"], 6, 5).collect()}
+    assert {n for n, _ in got.values()} == {40_000} and len({x for _, x in got.values()}) == 6
+    assert all(abs(x / 40_000 - 20_000) < 400 for _, x in got.values())
+    want = sum(w @ np.stack([np.ones(w.size), at * rs.RANGE + np.arange(w.size)], axis=1)
+               for at in range(3) for w in list(rs.range_weights(5, 6, 40_000, at))[4:5])
+    assert got[4] == tuple(want)
+
+
+def _scored(seed, n=400, blocks=7):
+    rnd = random.Random(seed)
+    return [(100 + rnd.randrange(blocks), rnd.choice([None, rnd.randrange(12) / 7, rnd.random()]), rnd.random() < 0.3) for _ in range(n)]
+
+
+@pytest.mark.parametrize("rows", [60, 10 ** 6])
+def test_auc_and_budget_replicates_against_rows(spark, rows):
+    data, reps = _scored(4), 9
+    df = spark.createDataFrame(data, "block long, s double, e boolean").repartition(3)
+    data = [r for r in data if r[1] is not None]
+    w = rs.weights(11, reps, 7)
+    aucs = {r.rep: (r.roc_auc, r.avg_precision) for r in rs.auc_replicates(df, "block", "s", F.col("e"), reps, 11, rows).collect()}
+    cuts = {(r.rep, r.budget): r.recall for r in rs.budget_replicates(df, "block", "s", F.col("e"), [0.0, 0.1, 0.35, 1.0], reps, 11, rows).collect()}
+    assert len(aucs) == reps and len(cuts) == 4 * reps
+    for rep in range(reps):
+        own = [(s, e) for b, s, e in data for _ in range(w[rep, b - 100])]
+        up, down = [s for s, e in own if e], [s for s, e in own if not e]
+        assert math.isclose(aucs[rep][0], sum((x > y) + (x == y) / 2 for x in up for y in down) / len(up) / len(down))
+        steps = {s: (sum(x >= s for x in up), sum(x >= s for x, _ in own)) for s in set(up)}
+        assert math.isclose(aucs[rep][1], sum(steps[s][0] / steps[s][1] for s in up) / len(up))
+        for budget in (0.0, 0.1, 0.35, 1.0):
+            k, hits = round(budget * len(own)), 0.0
+            for s in sorted({x for x, _ in own}, reverse=True):
+                tied = [e for x, e in own if x == s]
+                hits += sum(tied) * min(max(k, 0), len(tied)) / len(tied)
+                k -= len(tied)
+            assert math.isclose(cuts[rep, budget], hits / len(up), abs_tol=1e-12)
+
+
+def test_replicates_without_events_or_rows(spark):
+    none = spark.createDataFrame([(1, 0.5, False), (2, 0.1, False), (2, None, True)], "block long, s double, e boolean")
+    assert rs.auc_replicates(none, "block", "s", F.col("e"), 3, 1).collect() == []
+    assert {r.recall for r in rs.budget_replicates(none, "block", "s", F.col("e"), [0.5], 3, 1).collect()} <= {None}
+    empty = none.limit(0)
+    assert rs.auc_replicates(empty, "block", "s", F.col("e"), 3, 1).collect() == []
+    assert rs.replicate_sums(empty.select("block", F.lit(1).alias("n")), "block", ["n"], 3, 1).collect() == []
