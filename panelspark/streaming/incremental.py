@@ -1,75 +1,89 @@
-"""Append-only logs read as streams: last-wins snapshots and ledger rollups."""
+"""Append-only logs read as streams: last-wins state and ledger rollups, kept in Spark's own state store.
+
+State lies in RocksDB below the checkpoint of the stream, one row for each key, whatever the number of batches. A batch
+that runs again after a failure starts from the state of the batch before it, so nothing is counted twice. State is read
+with Spark's state source; closed windows of a rollup are in the file sink, which commits each batch once.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from ..operators.sets import last_wins
-
-
-def snapshot_path(path: str, batch: int) -> str:
-    return f"{path}/v={batch:012d}"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def finished_versions(spark: SparkSession, path: str) -> list[str]:
-    """Batches whose success marker exists: one that died half-way is never read."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
-    root = jvm_path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    found = [s.getPath() for s in fs.listStatus(root)]
-    return sorted(p.toString() for p in found if p.getName().startswith("v=") and fs.exists(jvm_path(p, "_SUCCESS")))
+def _start(spark: SparkSession, writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
+    """Start on what is available, with state in RocksDB; the session's own setting stays as it is."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, ROCKSDB)
+    try:
+        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
 
 
-def read_versions(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    paths = finished_versions(spark, path)
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+def last_wins_stream(
+    stream: DataFrame, keys: Sequence[str], seq: str, checkpoint: str, changed: Callable[[DataFrame, int], None] | None = None,
+) -> StreamingQuery:
+    """Keep the version with the highest sequence of every key of an append-only log.
 
-
-def last_wins_stream(stream: DataFrame, keys: Sequence[str], seq: str, path: str, checkpoint: str):
-    """Reduce each micro-batch of an append-only log to its own last versions and store those.
-
-    The work of a batch grows with the batch, not with the history. A batch that runs again after a
-    failure overwrites its own folder and changes nothing else; order of arrival does not matter, because
-    the sequence decides.
+    Order of arrival doesn't matter, repeated rows change nothing, and of rows with one key and sequence the one with the
+    greatest other columns stays. `changed` gets each batch's changed keys (and its number) and has to read them all; the state is read with
+    current_state.
     """
+    rest = [c for c in stream.columns if c not in (*keys, seq)]
+    last = stream.groupBy(*keys).agg(F.max(F.struct(seq, *rest)).alias("last")).select(*keys, "last.*")
+    writer = last.writeStream.outputMode("update")
+    return _start(stream.sparkSession, writer.foreachBatch(changed) if changed else writer.format("noop"), checkpoint)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        last_wins(batch, keys, seq).write.mode("overwrite").parquet(snapshot_path(path, batch_id))
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def current_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Last version of every key after the last finished batch."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select("key.*", F.col("value.max").alias("_last")).select("*", "_last.*").drop("_last")
 
-def current_state(spark: SparkSession, path: str, schema: str, keys: Sequence[str], seq: str) -> DataFrame:
-    """Last version of every key over all finished batches."""
-    return last_wins(read_versions(spark, path, schema), keys, seq)
 
+def ledger_stream(
+    stream: DataFrame, ts: str, group: Sequence[str], sums: dict[str, Column], window: str, watermark: str,
+    unique: Sequence[str] = (),
+) -> DataFrame:
+    """Event-time rollup of a ledger: start, group, n and sums (as double or bigint) for each window.
 
-def compact(spark: SparkSession, path: str, schema: str, keys: Sequence[str], seq: str, target: str) -> None:
-    """Fold all finished batches into one version under a new root."""
-    current_state(spark, path, schema, keys, seq).write.mode("overwrite").parquet(snapshot_path(target, 0))
-
-
-def ledger_stream(stream: DataFrame, ts: str, group: Sequence[str], sums: dict[str, Column], window: str, watermark: str) -> DataFrame:
-    """Event-time rollup of a ledger with a watermark for late rows."""
+    Rows later than the watermark are left out. Of rows equal in `unique` that come within the watermark, one counts.
+    """
+    stream = stream.withWatermark(ts, watermark)
+    if unique:
+        stream = stream.dropDuplicatesWithinWatermark(list(unique))
     return (
-        stream.withWatermark(ts, watermark).groupBy(F.window(ts, window).alias("_w"), *group)
+        stream.groupBy(F.window(ts, window).alias("_w"), *group)
         .agg(F.count("*").alias("n"), *[F.sum(c).alias(n) for n, c in sums.items()])
         .select(F.col("_w.start").alias("start"), *group, "n", *sums)
     )
 
 
-def run_rollup(rolled: DataFrame, keys: Sequence[str], path: str, checkpoint: str):
-    """Write changed groups of each micro-batch; the last version of a group is its state."""
+def run_rollup(rolled: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append each window to `path` once the watermark has passed it; open windows are state."""
+    return _start(rolled.sparkSession, rolled.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(snapshot_path(path, batch_id))
 
-    return rolled.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def rollup_state(spark: SparkSession, path: str, checkpoint: str, schema: str) -> DataFrame:
+    """All windows after the last finished batch: the closed ones from the sink, the open ones from the state.
 
-
-def rollup_state(spark: SparkSession, path: str, schema: str, keys: Sequence[str]) -> DataFrame:
-    return last_wins(read_versions(spark, path, f"{schema}, _batch bigint"), keys, "_batch").drop("_batch")
+    schema: the columns of the rollup, start first, then group, n and sums (bigint or double).
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    exists = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    closed = spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+    ids = spark.read.format("state-metadata").load(checkpoint).where("operatorName = 'stateStoreSave'")
+    state = spark.read.format("statestore").option("operatorId", ids.first().operatorId).load(checkpoint)
+    names = closed.columns
+    sums = names[names.index("n"):]
+    kinds = {f.name: f.dataType.simpleString() for f in closed.schema.fields}
+    buffers = F.col("value").cast("struct<" + ", ".join(f"`{c}`: {kinds[c]}" for c in sums) + ">")
+    group = names[1:names.index("n")]
+    opened = state.select(F.col("key").getItem("window").getItem("start").alias("start"), *[F.col(f"key.{g}") for g in group], buffers.alias("_v"))
+    return closed.unionByName(opened.select("start", *group, "_v.*"))

@@ -88,44 +88,82 @@ def test_record_validation(spark):
     assert out[2].errors == "i must be between 0 and 1; h must be numeric; s must be one of ['increase', 'hold', 'reduce']"
 
 
-def test_last_wins_stream_is_incremental_and_repeatable(spark, tmp_path):
-    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+def _add(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_last_wins_stream_survives_restarts_and_repeats(spark, tmp_path):
+    src, ck = str(tmp_path / "in"), str(tmp_path / "ck")
     schema = "k bigint, seq int, v double"
-    stream = lambda: inc.last_wins_stream(spark.readStream.schema(schema).parquet(src), ["k"], "seq", out, ck).awaitTermination()
-    spark.createDataFrame([(1, 2, 2.0), (2, 1, 9.0)], schema).coalesce(1).write.mode("append").parquet(src)
-    stream()
-    spark.createDataFrame([(1, 1, 1.0), (2, 3, 7.0), (3, 1, 5.0)], schema).coalesce(1).write.mode("append").parquet(src)
-    stream()
-    want = {1: 2.0, 2: 7.0, 3: 5.0}
-    assert {r.k: r.v for r in inc.current_state(spark, out, schema, ["k"], "seq").collect()} == want
-    stream()  # nothing new: nothing changes
-    assert {r.k: r.v for r in inc.current_state(spark, out, schema, ["k"], "seq").collect()} == want
-
-
-def test_unfinished_batches_are_not_read(spark, tmp_path):
-    out = str(tmp_path)
-    spark.range(1).selectExpr("id as k").write.parquet(inc.snapshot_path(out, 0))
-    (tmp_path / "v=000000000001").mkdir()
-    assert inc.read_versions(spark, out, "k bigint").count() == 1
-    assert inc.read_versions(spark, str(tmp_path / "none"), "k bigint").count() == 0
-
-
-def test_compaction_keeps_the_state(spark, tmp_path):
-    src, out = str(tmp_path / "a"), str(tmp_path / "b")
-    for i, rows in enumerate(([(1, 1, 1.0), (2, 5, 2.0)], [(1, 3, 3.0)])):
-        spark.createDataFrame(rows, "k bigint, seq int, v double").write.parquet(inc.snapshot_path(src, i))
-    inc.compact(spark, src, "k bigint, seq int, v double", ["k"], "seq", out)
-    assert sorted(tuple(r) for r in inc.read_versions(spark, out, "k bigint, seq int, v double").collect()) == [(1, 3, 3.0), (2, 5, 2.0)]
-
-
-def test_ledger_stream_adds_late_rows_to_their_window(spark, tmp_path):
-    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
-    schema = "ts timestamp, model string, p bigint"
-    t = dt.datetime
-    run = lambda: inc.run_rollup(inc.ledger_stream(spark.readStream.schema(schema).parquet(src), "ts", ["model"], {"p": F.col("p")}, "1 day", "10 days"), ["start", "model"], out, ck).awaitTermination()
-    spark.createDataFrame([(t(2024, 1, 1, 1), "m", 1), (t(2024, 1, 3), "m", 2)], schema).coalesce(1).write.mode("append").parquet(src)
+    seen = []
+    changed = lambda df, i: seen.append(sorted((r.k, r.v) for r in df.where("k > 0").collect()))
+    run = lambda: inc.last_wins_stream(spark.readStream.schema(schema).parquet(src), ["k"], "seq", ck, changed).awaitTermination()
+    state = lambda: {r.k: (r.seq, r.v) for r in inc.current_state(spark, ck).collect()}
+    _add(spark, src, [(1, 2, 2.0), (2, 1, 9.0)], schema)
+    run()
+    _add(spark, src, [(1, 1, 1.0), (2, 3, 7.0), (3, 1, 5.0), (None, 1, None)], schema)
     run()
-    spark.createDataFrame([(t(2024, 1, 1, 9), "m", 5)], schema).coalesce(1).write.mode("append").parquet(src)
+    want = {1: (2, 2.0), 2: (3, 7.0), 3: (1, 5.0), None: (1, None)}
+    assert state() == want
+    run()  # nothing new: nothing changes
+    _add(spark, src, [(2, 3, 7.0), (1, 2, 2.0)], schema)  # rows that came before
     run()
-    state = inc.rollup_state(spark, out, "start timestamp, model string, n bigint, p bigint", ["start", "model"])
-    assert sorted((r.start.day, r.n, r.p) for r in state.collect()) == [(1, 2, 6), (3, 1, 2)]
+    assert state() == want and seen[0] == [(1, 2.0), (2, 9.0)]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != inc.ROCKSDB
+
+
+def test_last_wins_state_grows_with_keys_not_with_batches(spark, tmp_path):
+    src, ck = str(tmp_path / "in"), str(tmp_path / "ck")
+    schema = "k bigint, seq int, v double"
+    for i in range(6):
+        _add(spark, src, [(k, i, float(i)) for k in range(4)], schema)
+        inc.last_wins_stream(spark.readStream.schema(schema).parquet(src), ["k"], "seq", ck).awaitTermination()
+    assert spark.read.format("statestore").load(ck).count() == 4
+    assert {r.v for r in inc.current_state(spark, ck).collect()} == {5.0}
+
+
+def test_a_batch_that_died_is_run_again_from_the_state_before_it(spark, tmp_path):
+    src, ck = str(tmp_path / "in"), str(tmp_path / "ck")
+    schema = "k bigint, seq int, v double"
+
+    def die(df, i):
+        df.count()
+        raise RuntimeError("lost")
+
+    run = lambda f: inc.last_wins_stream(spark.readStream.schema(schema).parquet(src), ["k"], "seq", ck, f).awaitTermination()
+    _add(spark, src, [(1, 5, 5.0)], schema)
+    run(lambda df, i: df.count())
+    _add(spark, src, [(1, 6, 6.0), (2, 1, 1.0)], schema)
+    with pytest.raises(Exception, match="lost"):
+        run(die)
+    run(lambda df, i: df.count())
+    assert {r.k: r.v for r in inc.current_state(spark, ck).collect()} == {1: 6.0, 2: 1.0}
+
+
+def _rollup(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    schema = "id bigint, ts timestamp, model string, p bigint, x double"
+
+    def add(rows):
+        _add(spark, src, [(i, dt.datetime(2024, 1, *t), m, p, p / 2) for i, t, m, p in rows], schema)
+        rolled = inc.ledger_stream(spark.readStream.schema(schema).parquet(src), "ts", ["model"], {"p": F.col("p"), "x": F.col("x")},
+                                   "1 day", "10 days", ["id"])
+        inc.run_rollup(rolled, out, ck).awaitTermination()
+        state = inc.rollup_state(spark, out, ck, "start timestamp, model string, n bigint, p bigint, x double")
+        return sorted((r.start.day, r.model, r.n, r.p, r.x) for r in state.collect())
+
+    return add, lambda: spark.read.format("statestore").option("operatorId", 0).load(ck).count()
+
+
+def test_ledger_stream_counts_late_rows_and_no_row_twice(spark, tmp_path):
+    add, _ = _rollup(spark, tmp_path)
+    assert add([(1, (1, 1), "m", 1), (2, (3,), "m", 2)]) == [(1, "m", 1, 1, 0.5), (3, "m", 1, 2, 1.0)]
+    late = add([(3, (1, 9), "m", 5), (2, (3,), "m", 2), (2, (3, 4), "m", 2)])
+    assert late == [(1, "m", 2, 6, 3.0), (3, "m", 1, 2, 1.0)]
+
+
+def test_closed_windows_leave_the_state_and_rows_beyond_the_watermark_are_left_out(spark, tmp_path):
+    add, _ = _rollup(spark, tmp_path)
+    add([(1, (1, 1), "m", 1), (2, (30,), "m", 2)])
+    got = add([(3, (1, 2), "m", 100), (4, (25,), "z", 4)])
+    assert got == [(1, "m", 1, 1, 0.5), (25, "z", 1, 4, 2.0), (30, "m", 1, 2, 1.0)]
