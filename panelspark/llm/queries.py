@@ -131,7 +131,7 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's byte-level and sentencepiece tokens, aligned."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    return token_alignment.align(docs, a, b, digest=True).drop("text")
+    return token_alignment.align(docs, a, b, digest=True, keep=["doc_id"])
 
 
 @query

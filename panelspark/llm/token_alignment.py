@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +16,12 @@ from tokenizers import Tokenizer
 
 from panelspark.llm.bpe import byte_letters
 from panelspark.llm.words import Recent, extended, pieces
-from panelspark.sources.sinks import settle
+from panelspark.sources.sinks import new_path, settle
 
-BATCH = 1 << 20  # bytes of text encoded, or of ids aligned, together
+BATCH = 4 << 20  # bytes of text encoded together
+ALIGNED = 1 << 19  # bytes of the ids of A aligned together
 LANE = 512  # tokens of A after which a long document may go on in another lane
-KEPT = 100_000  # pieces of text whose ids a task keeps
+KEPT = 200_000  # pieces of text whose ids a task keeps
 HELD_PAIRS = 1 << 20  # id pairs that a task adds up before it sends them
 TABLE_PAIRS = 2_000_000  # id pairs that reach the driver and every task at once: 34 MB
 
@@ -36,6 +38,7 @@ class Encoders:
         self.a.no_padding()
         self.a.no_truncation()
         self.a.encode_special_tokens = True
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         with open(path_a, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
@@ -49,28 +52,49 @@ class Encoders:
         self.bytes_b = [bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace("▁", " ").encode()
                         for i, n in enumerate(names)]
         self.size_a, self.size_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.known = Recent(KEPT)
-        self.dense = re.compile(r"\s\s|^\s|\s$")
+        self.kind = "<u2" if max(len(self.bytes_a), len(self.bytes_b)) <= 1 << 16 else "<u4"
+        self.known_a, self.known_b = Recent(KEPT), Recent(KEPT)
         self.at = re.compile(r"(?<=\S) (?=\S)")
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids of each text as 4-byte integers, by A (of a space and the text) and by B. None of either where a
+        """Ids of each text as integers of `kind`, by A (of a space and the text) and by B. None of either where a
         tokenizer's bytes aren't those of a space and the text."""
-        cut = [(self.at.split(t) if self.dense.search(t) else t.split(" ")) if t else [] for t in texts]
-        new = self.known.missing(set().union(*cut))
+        cut = [t.split(" ") if t else [] for t in texts]
+        asked = set().union(*cut)
+        edged = {x for x in asked if not x or x[0].isspace() or x[-1].isspace()}  # a space beside white space is no place to cut
+        if edged:
+            for k, own in enumerate(cut):
+                if not edged.isdisjoint(own):
+                    # with a space before it, such a piece is no other's key
+                    cut[k] = [" " + x if x in edged or " " in x else x for x in self.at.split(texts[k])]
+            asked = set().union(*cut)
+        new = self.known_a.missing(asked)
+        self.known_b.missing(asked)
         for i in range(0, len(new), 20_000):
             some = new[i:i + 20_000]
-            coded = self.a.encode_batch_fast([" " + x for x in some], add_special_tokens=False)
-            for x, a, b in zip(some, coded, self.b.encode(some, num_threads=1)):
-                raw, a = (" " + x).encode(), a.ids
-                same = b"".join([self.bytes_a[k] for k in a]) == raw == b"".join([self.bytes_b[k] for k in b])
-                self.known.young[x] = (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None
-        out, young = [], self.known.young
+            self._learn(some, [x if x[:1] == " " else " " + x for x in some])
+        a, b, out = self.known_a.young.__getitem__, self.known_b.young.__getitem__, []
         for own in cut:
-            ids = [young[x] for x in own]
-            out.append((b"", b"") if None in ids else (b"".join([x[0] for x in ids]), b"".join([x[1] for x in ids])))
+            try:
+                out.append((b"".join(map(a, own)), b"".join(map(b, own))))
+            except TypeError:  # a piece without ids
+                out.append((b"", b""))
         return out
 
+    def _learn(self, keys: list[str], spaced: list[str]) -> None:
+        both = ([e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)],
+                self.b.encode([x[1:] for x in spaced], num_threads=1))
+        raw = [x.encode() for x in spaced]
+        right = np.ones(len(keys), dtype=bool)
+        for ids, tokens in zip(both, (self.bytes_a, self.bytes_b)):
+            if b"".join([tokens[k] for own in ids for k in own]) != b"".join(raw):
+                right &= [b"".join([tokens[k] for k in own]) == x for own, x in zip(ids, raw)]
+        width = int(self.kind[2:])
+        for ids, known in zip(both, (self.known_a.young, self.known_b.young)):
+            flat = np.array([k for own in ids for k in own], dtype=self.kind).tobytes()
+            ends = [0, *np.cumsum([width * len(own) for own in ids]).tolist()]
+            known.update(zip(keys, [flat[i:j] if ok else None for i, j, ok in zip(ends[:-1], ends[1:], right.tolist())]))
+
 
 _encoders: dict[tuple[str, str], Encoders] = {}
 
@@ -116,8 +140,9 @@ class Aligned:
     """The documents of a batch, aligned."""
 
     def __init__(self, enc: Encoders, a: list[bytes], b: list[bytes]):
-        self.a, self.b = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in (a, b))
-        self.first_a, self.first_b = (np.concatenate(([0], np.cumsum([len(x) // 4 for x in own]))).astype(np.int64) for own in (a, b))
+        width = int(enc.kind[2:])
+        self.a, self.b = (np.frombuffer(b"".join(x), enc.kind).astype(np.int64) for x in (a, b))
+        self.first_a, self.first_b = (np.concatenate(([0], np.cumsum([len(x) // width for x in own]))).astype(np.int64) for own in (a, b))
         end_a, end_b = np.cumsum(enc.size_a[self.a]), np.cumsum(enc.size_b[self.b])
         self.link_a, self.link_b, self.cut_a, self.cut_b = merge(end_a, end_b, self.first_a, self.first_b)
         self.doc = np.searchsorted(self.first_a, self.link_a, side="right") - 1
@@ -160,7 +185,7 @@ def _decimals(n: int) -> list[bytes]:
 
 
 def encode_both(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
-    """docs with a_ids and b_ids (4-byte integers in a binary); written once, as two passes read them."""
+    """docs with a_ids and b_ids (integers of Encoders.kind in a binary)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoders(path_a, path_b)
         for b in pieces(batches, text, BATCH):
@@ -174,7 +199,7 @@ def encode_both(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -
 
 def _aligned(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[tuple[pa.RecordBatch, Aligned]]:
     enc = encoders(path_a, path_b)
-    for b in pieces(batches, "a_ids", BATCH):
+    for b in pieces(batches, "a_ids", ALIGNED):
         yield b, Aligned(enc, *(b.column(c).to_pylist() for c in ("a_ids", "b_ids")))
 
 
@@ -208,9 +233,9 @@ def pair_counts(coded: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
 
 def align(
-    docs: DataFrame, path_a: str, path_b: str, text: str = "text", digest: bool = False,
+    docs: DataFrame, path_a: str, path_b: str, text: str = "text", digest: bool = False, keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """docs with n_a, n_b, n_groups, n_links, n_best, count_sum (long), a_ids, b_ids (array of int) and cuts: for each group
+    """docs (of `keep` only these columns) with n_a, n_b, n_groups, n_links, n_best, count_sum (long), a_ids, b_ids (array of int) and cuts: for each group
     of tokens between cuts the number of A and B tokens up to its end, in a row.
 
     A encodes a space and the text, B the text; special tokens' strings are plain text. A link joins an A and a B token
@@ -225,10 +250,14 @@ def align(
     counted = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     more = ["groups_sha256"] if digest else ["a_ids", "b_ids", "cuts"]
     docs = docs.drop(*[c for c in (*counted, *more) if c != text])
-    spark, kept = docs.sparkSession, [f"__{i}" for i in range(len(docs.columns))]  # none of docs' names can clash
-    inner = docs.toDF(*kept)
-    coded = settle(encode_both(inner, path_a, path_b, kept[docs.columns.index(text)]).select(
-        *kept, "a_ids", "b_ids", F.lit(0).cast("long").alias("n_best"), F.lit(0).cast("long").alias("count_sum")))
+    spark, names = docs.sparkSession, [f"__{i}" for i in range(len(docs.columns))]  # none of docs' names can clash
+    coded = encode_both(docs.toDF(*names), path_a, path_b, names[docs.columns.index(text)])
+    wanted = [c for c in docs.columns if keep is None or c in keep]
+    kept = [names[docs.columns.index(c)] for c in wanted]
+    coded = coded.select(*kept, "a_ids", "b_ids", F.lit(0).cast("long").alias("n_best"), F.lit(0).cast("long").alias("count_sum"))
+    path = new_path(spark, "aligned")
+    coded.write.option("compression", "zstd").parquet(path)
+    inner, coded = coded.select(*kept), spark.read.schema(coded.schema).parquet(path)
     pairs = settle(pair_counts(coded, path_a, path_b))
     best = pairs.join(pairs.groupBy("b").agg(F.max("n").alias("most")), "b").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
     n_tables = 1 + pairs.count() // TABLE_PAIRS
@@ -273,4 +302,4 @@ def align(
         coded = add(coded, k, k == n_tables - 1)
         if k < n_tables - 1:
             coded = settle(coded)
-    return coded.toDF(*docs.columns, *counted, *more)
+    return coded.toDF(*wanted, *counted, *more)
