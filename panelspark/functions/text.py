@@ -112,21 +112,53 @@ def canonical_hash(cols: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(cols)])), 256)
 
 
+CHUNKS = (64, 4096)
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def scan(xs: Column, zero: Column, step) -> Column:
+    """All states of a running step(state, x) over an array, the first one after its first element.
+
+    Arrays can't grow in place, so states are gathered in chunks and chunks of chunks: a state is copied as often as its
+    chunk has pieces, not as often as states follow.
+    """
+    def add(a, x):
+        return _let(step(a["at"], x), lambda v: F.struct(v.alias("at"), F.concat(a["out"], F.array(v)).alias("out")))
+
+    def run(a, xs, sizes):
+        if not sizes:
+            return F.aggregate(xs, a, add)
+
+        def part(a, chunk):
+            own = run(F.struct(a["at"].alias("at"), F.slice(a["out"], 1, 0).alias("out")), chunk, sizes[:-1])
+            return _let(own, lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], r["out"]).alias("out")))
+
+        n = F.size(xs)
+        starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(sizes[-1]))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(F.transform(starts, lambda i: F.slice(xs, i, F.lit(sizes[-1]))), a, part)
+
+    begin = F.struct(zero.alias("at"), F.slice(F.array(zero), 1, 0).alias("out"))
+    return _let(xs, lambda xs: run(begin, xs, CHUNKS)["out"])
+
+
 def match_starts(c, pattern: str) -> Column:
-    """0-based start offsets of all matches, from the lengths of matches and of the pieces between."""
-    c = col(c)
-    gaps = F.transform(F.split(c, pattern, -1), F.length)
-    hits = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.length)
-    steps = F.arrays_zip(gaps.alias("g"), hits.alias("h"))
-    none = F.array().cast("array<int>")
-    acc = F.aggregate(
-        F.filter(steps, lambda s: s["h"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda a, s: F.struct(
-            (a["at"] + s["g"] + s["h"]).alias("at"), F.concat(a["out"], F.array(a["at"] + s["g"])).alias("out")
-        ),
-    )
-    return acc["out"]
+    """0-based start offsets of all matches.
+
+    One pass of the pattern puts each match between control characters (those of the text itself count as another one of
+    the same width); the offsets are running sums of the pieces' lengths.
+    """
+    marked = F.regexp_replace(F.translate(col(c), "\x01", "\x02"), f"({pattern})", "\x01$1\x01")
+    ends = scan(F.transform(F.split(marked, "\x01", -1), F.length), F.lit(0), lambda a, n: a + n)
+    return _let(ends, lambda e: F.filter(e, lambda v, i: (i % 2 == 0) & (i < F.size(e) - 1)))
+
+
+def first_match(c, pattern: str) -> Column:
+    """0-based start offset of the first match; null without one."""
+    return _let(F.split(col(c), pattern, 2), lambda p: F.when(F.size(p) > 1, F.length(F.get(p, 0))))
 
 
 def slice_between(c, starts: Sequence[str], ends: Sequence[str], skip: int = 20, cap: int | None = None) -> Column:
@@ -152,30 +184,49 @@ def section_span(
 
     A header match counts only before an end marker; of the counting ones the last that is at least
     `min_chars` long wins, else the last. Failing that: first loose match up to the next end marker;
-    first phrase to the end; the whole text.
+    first phrase to the end; the whole text. Linear in the text and (but for sorting them) in the markers.
     """
     c = col(c)
-    n = F.length(c)
-    heads, ends, loose_at, phrase_at = (match_starts(c, p) for p in (header, end, loose, phrase))
-    s = F.struct(heads.alias("h"), ends.alias("e"), F.get(loose_at, 0).alias("l"), F.get(phrase_at, 0).alias("p"))
-
-    def next_end(e, x):
-        return F.array_min(F.filter(e, lambda v: v > x))
+    s = F.struct(
+        F.length(c).alias("n"), match_starts(c, header).alias("h"), match_starts(c, end).alias("e"),
+        first_match(c, loose).alias("l"), first_match(c, phrase).alias("p"))
+    none = F.lit(None).cast("int")
+    state = ("last_end", "ripe", "head", "long", "long_stop", "cand", "cand_stop")
+
+    def step(a, m):
+        """Markers in order. A header is ripe min_chars on, unless an end marker lies between; an end marker settles
+        the last ripe header and the last one before it."""
+        at, kind, x = m["at"], m["kind"], m["x"]
+        is_end = kind == 1
+        new = {
+            "last_end": F.when(is_end, at).otherwise(a["last_end"]),
+            "ripe": F.when(is_end, none).when((kind == 0) & (a["last_end"].isNull() | (a["last_end"] <= x)), x).otherwise(a["ripe"]),
+            "head": F.when(is_end, none).when(kind == 2, x).otherwise(a["head"]),
+        }
+        for name, of in (("long", "ripe"), ("cand", "head")):
+            settled = is_end & a[of].isNotNull()
+            new[name] = F.when(settled, a[of]).otherwise(a[name])
+            new[f"{name}_stop"] = F.when(settled, at).otherwise(a[f"{name}_stop"])
+        return F.struct(*[new[k].alias(k) for k in state])
+
+    def marks(xs, kind, shift=0):
+        return F.transform(xs, lambda x: F.struct((x + shift).alias("at"), F.lit(kind).alias("kind"), x.alias("x")))
 
     def choose(r):
-        cands = F.filter(r["h"], lambda x: x < F.array_max(r["e"]))
-        long = F.filter(cands, lambda x: next_end(r["e"], x) - x >= min_chars)
-        best = F.coalesce(F.array_max(long), F.array_max(cands))
+        order = F.sort_array(F.concat(marks(r["e"], 1), marks(r["h"], 2), marks(r["h"], 0, min_chars)))
+        return _let(F.aggregate(order, F.struct(*[none.alias(k) for k in state]), step), lambda b: finish(r, b))
+
+    def finish(r, b):
+        after = F.array_min(F.filter(r["e"], lambda v: v > r["l"]))
         path = (
-            F.when(F.array_max(long).isNotNull(), "long").when(best.isNotNull(), "short")
+            F.when(b["long"].isNotNull(), "long").when(b["cand"].isNotNull(), "short")
             .when(r["l"].isNotNull(), "loose").when(r["p"].isNotNull(), "phrase").otherwise("whole")
         )
-        start = F.coalesce(best, r["l"], r["p"], F.lit(0))
-        bounded = best.isNotNull() | r["l"].isNotNull()
-        stop = F.when(bounded, F.coalesce(next_end(r["e"], start), n)).otherwise(n)
+        start = F.coalesce(b["long"], b["cand"], r["l"], r["p"], F.lit(0))
+        stop = F.coalesce(b["long_stop"], b["cand_stop"], after, r["n"])
         return F.struct(start.alias("start"), stop.alias("stop"), path.alias("path"))
 
-    return F.get(F.transform(F.array(s), choose), 0)
+    return F.when(c.isNotNull(), _let(s, choose))
 
 
 ENTITY = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
@@ -194,24 +245,57 @@ def _entity(e: Column) -> Column:
 
 def decode_entities(c) -> Column:
     """Numeric and named character entities as characters, each once and from left to right."""
-    c = col(c)
-    gaps, found = F.split(c, ENTITY, -1), F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0))
-    parts = F.zip_with(gaps, found, lambda g, e: F.concat(g, F.coalesce(_entity(e), F.lit(""))))
-    return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)
+    def decode(x):
+        gaps, found = F.split(x, ENTITY, -1), F.regexp_extract_all(x, F.lit(ENTITY), F.lit(0))
+        parts = F.zip_with(gaps, found, lambda g, e: F.concat(g, F.coalesce(_entity(e), F.lit(""))))
+        return F.when(F.contains(x, F.lit("&")), F.array_join(parts, "")).otherwise(x)
+
+    return _let(col(c), decode)
+
+
+_ATTRIBUTES = r"""(?:[^>"']|"[^"]*+"|'[^']*+'|["'])*+"""
+
+
+def drop_blocks(c, tag: str) -> Column:
+    """Drop what lies between each <tag> and the </tag> that closes it, at any depth; a `>` in quotes ends no tag.
+
+    A block that is not closed keeps its text, and so does what stands before a </tag> that closes nothing. Marks stand
+    in one pass of a pattern; a running depth over them, and its least value from each on, say which pieces are inside.
+    """
+    mark = rf"(?i)(<{tag}\b{_ATTRIBUTES}>|</{tag}\s*+>)"
+
+    def cut(parts):
+        marks = F.filter(parts, lambda x, i: i % 2 == 1)
+        depth = scan(F.transform(marks, lambda m: F.when(m.startswith("</"), -1).otherwise(1)), F.lit(0),
+                     lambda a, d: F.greatest(a + d, F.lit(0)))
+
+        def outside(depth):
+            later = F.reverse(scan(F.reverse(depth), F.lit(2 ** 31 - 1), lambda a, d: F.least(a, d)))
+            return F.zip_with(depth, later, lambda d, low: d <= low)
+
+        # piece 2i + 2 lies behind mark i; marks of blocks go with them
+        def keep(ok):
+            own = F.filter(parts, lambda x, i: (i % 2 == 0) & ((i == 0) | F.coalesce(F.get(ok, F.floor(i / 2).cast("int") - 1), F.lit(True))))
+            return F.array_join(own, " ")
+
+        return _let(_let(depth, outside), keep)
+
+    def whole(x):
+        parts = F.split(F.regexp_replace(F.translate(x, "\x01", " "), mark, "\x01$1\x01"), "\x01", -1)
+        return F.when(x.rlike(rf"(?i)</?{tag}\b"), _let(parts, cut)).otherwise(x)
+
+    return _let(col(c), whole)
 
 
-def strip_html(c, nesting: int = 8) -> Column:
+def strip_html(c) -> Column:
     """Drop script, style and table blocks and all tags, decode entities, collapse white space.
 
-    A script or style block that is not closed runs to the end. Tables inside tables are dropped from the innermost
-    out, up to `nesting` levels.
+    A script or style block that is not closed runs to the end. Tables may lie in tables at any depth.
     """
     c = col(c)
     for tag in ("script", "style"):
         c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", " ")
-    c = F.regexp_replace(c, r"(?s)<!--.*?-->", " ")
-    for _ in range(nesting):
-        c = F.regexp_replace(c, r"(?is)<table\b(?:(?!<table\b).)*?</table\s*>", " ")
+    c = drop_blocks(F.regexp_replace(c, r"(?s)<!--.*?-->", " "), "table")
     c = F.regexp_replace(c, r"<[^>]*>", " ")
     return collapse_space(decode_entities(c))
 

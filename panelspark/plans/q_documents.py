@@ -78,7 +78,7 @@ WINDOW = 3000
  SELECT coalesce(form, 'all') AS form, count(*) AS n, count_if(found) AS n_found, count_if(inside) AS n_inside, {r6('count_if(inside) / nullif(count_if(found), 0)')} AS inside_share
  FROM x GROUP BY GROUPING SETS ((form), ())""")
 def n4(spark, sf):
-    d = spans(spark, sf).withColumn("old", F.coalesce(F.get(tx.match_starts("text", SECTION["loose"]), 0), F.lit(0)))
+    d = spans(spark, sf).withColumn("old", F.coalesce(tx.first_match("text", SECTION["loose"]), F.lit(0)))
     found = F.col("s.path").isin("long", "short")
     inside = found & (F.col("s.start") >= F.col("old")) & (F.col("s.start") < F.col("old") + WINDOW)
     x = d.select(F.explode(F.array("form", F.lit("all"))).alias("form"), found.alias("found"), inside.alias("inside"))

@@ -1,5 +1,7 @@
 import datetime as dt
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +40,36 @@ def test_section_fallbacks(spark):
     assert span(spark, "nothing") == (0, 7, "whole")
 
 
+def _span_by_hand(text, header, end, loose, phrase, least):
+    h, e, l, p = ([m.start() for m in re.finditer(x, text)] for x in (header, end, loose, phrase))
+    after = lambda x: min((v for v in e if v > x), default=None)
+    counting = [x for x in h if after(x) is not None]
+    long = [x for x in counting if after(x) - x >= least]
+    if counting:
+        x = (long or counting)[-1]
+        return x, after(x), "long" if long else "short"
+    if l:
+        return l[0], after(l[0]) or len(text), "loose"
+    return (p[0], len(text), "phrase") if p else (0, len(text), "whole")
+
+
+def test_section_span_against_a_hand_search(spark):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice(["HEAD", "END", "H", "E", "loose", "phrase", "xx", "é", "\x01"]) for _ in range(rnd.randrange(1, 25))) for _ in range(400)]
+    args = ("HEAD|HE", "END", "loose|HEA", "phrase", 12)
+    got = spark.createDataFrame([(t,) for t in texts], "x string").select("x", tx.section_span("x", *args).alias("s")).collect()
+    assert [tuple(r.s) for r in got] == [_span_by_hand(r.x, *args) for r in got]
+    assert len({r.s.path for r in got}) == 5
+    assert spark.createDataFrame([(None,)], "x string").select(tx.section_span("x", *args).alias("s")).first().s is None
+
+
+def test_section_span_of_a_text_with_many_markers(spark):
+    text = ("HEAD " + "word " * 9 + "END " + "w" * 46) * 100_000  # 10 MB and 200,000 markers
+    began = time.monotonic()
+    got = one(spark, text, tx.section_span("x", "HEAD", "END", "loose", "phrase", 40))
+    assert tuple(got) == (100 * 99_999, 100 * 99_999 + 50, "long") and time.monotonic() - began < 30
+
+
 def test_match_starts(spark):
     assert one(spark, "aXbbXXc", tx.match_starts("x", "X")) == [1, 4, 5]
     assert one(spark, "XaX", tx.match_starts("x", "X")) == [0, 2]
@@ -56,6 +88,43 @@ def test_html_tables_scripts_and_entities(spark):
     assert one(spark, html, tx.strip_html("x")) == "A&B C D"
 
 
+def _without_tables(html):
+    """Pieces that no matched pair of marks encloses."""
+    parts, pairs, opened = re.split(r"(<table[^>]*>|</table>)", html), [], []
+    for i, p in enumerate(parts):
+        if p.startswith("<table"):
+            opened.append(i)
+        elif p.startswith("</table") and opened:
+            pairs.append((opened.pop(), i))
+    return " ".join(p for i, p in enumerate(parts) if i % 2 == 0 and not any(a < i < b for a, b in pairs))
+
+
+def test_blocks_at_any_depth(spark):
+    deep = "a " + "<table><tr><td>x " * 50 + "y" + " z</table>" * 50 + " b"
+    assert one(spark, deep, tx.strip_html("x")) == "a b"
+    assert one(spark, "a <table> b <table> c </table> d", tx.strip_html("x")) == "a b d"  # the outer one is not closed
+    assert one(spark, 'a <table title="x > </table> y"> gone </table> b <!-- <table> --> c', tx.strip_html("x")) == "a b c"
+    assert one(spark, "a </table> b <TABLE\nx='1'> gone </Table > c <tablet>d</tablet>", tx.strip_html("x")) == "a b c d"
+    rnd = random.Random(5)
+    pages = ["".join(rnd.choice(["<table>", "</table>", "<table a='1'>", "p", "q ", "r"]) for _ in range(rnd.randrange(60))) for _ in range(300)]
+    got = spark.createDataFrame([(t,) for t in pages], "x string").select("x", tx.drop_blocks("x", "table").alias("y")).collect()
+    assert [r.y.split() for r in got] == [_without_tables(r.x).split() for r in got]
+
+
+def test_blocks_of_a_page_with_many_marks(spark):
+    page = "keep <table> t <table> u </table> v </table> " * 30_000
+    began = time.monotonic()
+    assert one(spark, page, tx.strip_html("x")) == ("keep " * 30_000).strip()
+    assert time.monotonic() - began < 30
+
+
+def test_scan_over_chunks(spark):
+    n = 2 * tx.CHUNKS[-1] + 3
+    got = spark.range(1).select(tx.scan(F.sequence(F.lit(1), F.lit(n)), F.lit(0), lambda a, x: a + x).alias("y")).first().y
+    assert got == [i * (i + 1) // 2 for i in range(1, n + 1)]
+    assert spark.range(1).select(tx.scan(F.array().cast("array<int>"), F.lit(0), lambda a, x: a + x).alias("y")).first().y == []
+
+
 def test_unicode_space_and_truncation(spark):
     assert one(spark, " a \n b ", tx.collapse_space("x")) == "a b"
     assert one(spark, "abcdef", tx.truncate("x", 3, "~")) == "abc~" and one(spark, "abc", tx.truncate("x", 3, "~")) == "abc"
