@@ -115,7 +115,7 @@ def canonical_hash(cols: Sequence[str]) -> Column:
 CHUNKS = (64, 4096)
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """use(value), with the value worked out once."""
     return F.get(F.transform(F.array(value), use), 0)
 
@@ -127,7 +127,7 @@ def scan(xs: Column, zero: Column, step) -> Column:
     chunk has pieces, not as often as states follow.
     """
     def add(a, x):
-        return _let(step(a["at"], x), lambda v: F.struct(v.alias("at"), F.concat(a["out"], F.array(v)).alias("out")))
+        return let(step(a["at"], x), lambda v: F.struct(v.alias("at"), F.concat(a["out"], F.array(v)).alias("out")))
 
     def run(a, xs, sizes):
         if not sizes:
@@ -135,14 +135,14 @@ def scan(xs: Column, zero: Column, step) -> Column:
 
         def part(a, chunk):
             own = run(F.struct(a["at"].alias("at"), F.slice(a["out"], 1, 0).alias("out")), chunk, sizes[:-1])
-            return _let(own, lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], r["out"]).alias("out")))
+            return let(own, lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], r["out"]).alias("out")))
 
         n = F.size(xs)
         starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(sizes[-1]))).otherwise(F.array().cast("array<int>"))
         return F.aggregate(F.transform(starts, lambda i: F.slice(xs, i, F.lit(sizes[-1]))), a, part)
 
     begin = F.struct(zero.alias("at"), F.slice(F.array(zero), 1, 0).alias("out"))
-    return _let(xs, lambda xs: run(begin, xs, CHUNKS)["out"])
+    return let(xs, lambda xs: run(begin, xs, CHUNKS)["out"])
 
 
 def match_starts(c, pattern: str) -> Column:
@@ -153,12 +153,12 @@ def match_starts(c, pattern: str) -> Column:
     """
     marked = F.regexp_replace(F.translate(col(c), "\x01", "\x02"), f"({pattern})", "\x01$1\x01")
     ends = scan(F.transform(F.split(marked, "\x01", -1), F.length), F.lit(0), lambda a, n: a + n)
-    return _let(ends, lambda e: F.filter(e, lambda v, i: (i % 2 == 0) & (i < F.size(e) - 1)))
+    return let(ends, lambda e: F.filter(e, lambda v, i: (i % 2 == 0) & (i < F.size(e) - 1)))
 
 
 def first_match(c, pattern: str) -> Column:
     """0-based start offset of the first match; null without one."""
-    return _let(F.split(col(c), pattern, 2), lambda p: F.when(F.size(p) > 1, F.length(F.get(p, 0))))
+    return let(F.split(col(c), pattern, 2), lambda p: F.when(F.size(p) > 1, F.length(F.get(p, 0))))
 
 
 def slice_between(c, starts: Sequence[str], ends: Sequence[str], skip: int = 20, cap: int | None = None) -> Column:
@@ -214,7 +214,7 @@ def section_span(
 
     def choose(r):
         order = F.sort_array(F.concat(marks(r["e"], 1), marks(r["h"], 2), marks(r["h"], 0, min_chars)))
-        return _let(F.aggregate(order, F.struct(*[none.alias(k) for k in state]), step), lambda b: finish(r, b))
+        return let(F.aggregate(order, F.struct(*[none.alias(k) for k in state]), step), lambda b: finish(r, b))
 
     def finish(r, b):
         after = F.array_min(F.filter(r["e"], lambda v: v > r["l"]))
@@ -226,7 +226,7 @@ def section_span(
         stop = F.coalesce(b["long_stop"], b["cand_stop"], after, r["n"])
         return F.struct(start.alias("start"), stop.alias("stop"), path.alias("path"))
 
-    return F.when(c.isNotNull(), _let(s, choose))
+    return F.when(c.isNotNull(), let(s, choose))
 
 
 ENTITY = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
@@ -238,7 +238,8 @@ def _entity(e: Column) -> Column:
         F.regexp_extract(e, r"#(\d+)", 1)).try_cast("int")
     plain = digits.between(1, 0xD7FF) | digits.between(0xE000, 0x10FFFF)
     number = F.when(plain, F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32"))
-    names = F.create_map(*[F.lit(x) for n, code in sorted(name2codepoint.items()) for x in (n, chr(code))])
+    names = F.map_from_arrays(F.split(F.lit(" ".join(sorted(name2codepoint))), " "), F.split(F.lit(
+        "\x01".join(chr(code) for _, code in sorted(name2codepoint.items()))), "\x01"))  # two literals, folded once
     name = F.try_element_at(names, F.regexp_extract(e, r"&(\w+);", 1))
     return F.coalesce(F.when(e.startswith("&#"), number).otherwise(name), e)
 
@@ -250,7 +251,7 @@ def decode_entities(c) -> Column:
         parts = F.zip_with(gaps, found, lambda g, e: F.concat(g, F.coalesce(_entity(e), F.lit(""))))
         return F.when(F.contains(x, F.lit("&")), F.array_join(parts, "")).otherwise(x)
 
-    return _let(col(c), decode)
+    return let(col(c), decode)
 
 
 _ATTRIBUTES = r"""(?:[^>"']|"[^"]*+"|'[^']*+'|["'])*+"""
@@ -278,13 +279,13 @@ def drop_blocks(c, tag: str) -> Column:
             own = F.filter(parts, lambda x, i: (i % 2 == 0) & ((i == 0) | F.coalesce(F.get(ok, F.floor(i / 2).cast("int") - 1), F.lit(True))))
             return F.array_join(own, " ")
 
-        return _let(_let(depth, outside), keep)
+        return let(let(depth, outside), keep)
 
     def whole(x):
         parts = F.split(F.regexp_replace(F.translate(x, "\x01", " "), mark, "\x01$1\x01"), "\x01", -1)
-        return F.when(x.rlike(rf"(?i)</?{tag}\b"), _let(parts, cut)).otherwise(x)
+        return F.when(x.rlike(rf"(?i)</?{tag}\b"), let(parts, cut)).otherwise(x)
 
-    return _let(col(c), whole)
+    return let(col(c), whole)
 
 
 def strip_html(c) -> Column:

@@ -78,7 +78,7 @@ def text_change(docs: DataFrame, key: Sequence[str], ts: str, doc: str, text: st
     """TF-IDF cosine of each document with the previous one of its key.
 
     Pair weights use the two-document smoothed idf ln(3 / (1 + df)) + 1. Terms are counted once per
-    document and met through the pair ids; texts are never joined to texts, and only those of a pair are moved. A
+    document and met through the pair ids; texts are never joined to texts. A
     pair without a common weight (a text without terms) has NULL similarity.
     """
     size = docs.withColumn("_len", F.length(text))
@@ -86,9 +86,9 @@ def text_change(docs: DataFrame, key: Sequence[str], ts: str, doc: str, text: st
     pairs = prev.where((F.col("_len") >= min_chars) & (F.col("prev__len") >= min_chars)).select(F.col(doc).alias("_cur"), F.col(f"prev_{doc}").alias("_prev"))
     sides = pairs.select(F.col("_cur").alias("_pair"), F.explode(F.array(
         F.struct(F.col("_cur").alias(doc), F.lit(1).alias("_cur_side")), F.struct(F.col("_prev").alias(doc), F.lit(0).alias("_cur_side")))).alias("_s")).select("_pair", "_s.*")
-    # texts move once, by document, and keep that placement through the count and the join; the counts
-    # then move once, by pair (two documents), which serves both of the last aggregates
-    words = docs.select(doc, text).join(sides.select(doc).distinct(), doc, "left_semi").repartition(doc).select(doc, F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("_term"))
+    # terms are counted where the texts lie; the counts move by term of a document, then by pair (two documents), which
+    # serves both of the last aggregates
+    words = docs.select(doc, text).join(sides.select(doc).distinct(), doc, "left_semi").select(doc, F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("_term"))
     if stop_words:
         words = words.where(~F.col("_term").isin(*stop_words))
     tf = words.groupBy(doc, "_term").agg(F.count("*").cast("double").alias("_n"))

@@ -16,12 +16,11 @@ LINEITEM = (
 
 # ---------------------------------------------------------------- sources and sinks
 @query("s1_read_table", """
- SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS d, l_extendedprice AS close FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01'""")
+ SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS d, l_extendedprice AS close FROM lineitem""")
 def s1(spark, sf):
     t = readers.read_table(spark, f"{sf}/lineitem.parquet", LINEITEM,
                            {"close": ["adj_close", "Close", "l_extendedprice"], "ts": ["Date", "date", "l_shipdate"]})
-    return t.where(F.col("ts") >= F.lit("2000-01-01").cast("timestamp")).select(
-        F.col("l_suppkey").alias("k"), F.to_date("ts").alias("d"), "close")
+    return t.select(F.col("l_suppkey").alias("k"), F.to_date("ts").alias("d"), "close")
 
 
 @query("s2_pruned_scan", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
@@ -283,13 +282,16 @@ def j2(spark, sf):
     return joins.outer_align(parts, "d", "v").select("d", *[R(s).alias(s) for s in b.SERIES])
 
 
+cte("v_months", "SELECT DISTINCT c_nationkey AS k, last_day(CAST(o_orderdate AS DATE)) AS t FROM orders JOIN customer ON o_custkey = c_custkey")
+
+
 @query("j3_asof_join", """
- WITH f AS (SELECT k, filed, arg_max(val, pos) AS val, max(pos) AS pos FROM v_facts WHERE concept = '1-URGENT' GROUP BY 1, 2),
-  g AS (SELECT DISTINCT c_nationkey AS k, last_day(CAST(o_orderdate AS DATE)) AS t FROM orders JOIN customer ON o_custkey = c_custkey)
- SELECT g.k, g.t, f.filed, f.val, f.pos FROM g ASOF LEFT JOIN f ON g.k = f.k AND g.t >= f.filed""")
+ WITH f AS (SELECT k, concept, filed, arg_max(val, pos) AS val, max(pos) AS pos FROM v_facts GROUP BY 1, 2, 3),
+  g AS (SELECT m.k, m.t, c.concept FROM v_months m, (SELECT DISTINCT concept FROM v_facts) c)
+ SELECT g.k, g.t, g.concept, f.filed, f.val, f.pos FROM g ASOF LEFT JOIN f ON g.k = f.k AND g.concept = f.concept AND g.t >= f.filed""")
 def j3(spark, sf):
-    f = b.facts(spark, sf).where(F.col("concept") == "1-URGENT")
-    return joins.asof_join(_fact_months(spark, sf), f, ["k"], "t", "filed", ["val", "pos"], ["pos"])
+    each = _fact_months(spark, sf).withColumn("concept", F.explode(F.array(*map(F.lit, NAMES))))
+    return joins.asof_join(each, b.facts(spark, sf), ["k", "concept"], "t", "filed", ["val", "pos"], ["pos"])
 
 
 def _fact_months(spark, sf):
@@ -299,7 +301,6 @@ def _fact_months(spark, sf):
 
 
 NAMES = {"1-URGENT": "assets", "2-HIGH": "liabilities", "3-MEDIUM": "debt", "4-NOT SPECIFIED": "interest", "5-LOW": "equity"}
-cte("v_months", "SELECT DISTINCT c_nationkey AS k, last_day(CAST(o_orderdate AS DATE)) AS t FROM orders JOIN customer ON o_custkey = c_custkey")
 cte("v_wide", "WITH f AS (SELECT k, concept, filed, arg_max(val, pos) AS val FROM v_facts GROUP BY 1, 2, 3), "
     "p AS (SELECT m.k, m.t, cc.concept FROM v_months m, (SELECT DISTINCT concept FROM v_facts) cc) SELECT k, t, "
     + ", ".join(f"max(val) FILTER (WHERE concept = '{x}') AS {n}" for x, n in NAMES.items())
@@ -334,9 +335,9 @@ def j5(spark, sf):
  GROUP BY 1, 2""")
 def j6(spark, sf):
     r = b.returns(spark, sf)
-    right = r.select("k", F.col("t").alias("ts"), "ret_1m")
-    hits = joins.interval_join(r.select("k", "t"), right, ["k"], "t", "ts", months_ahead=12)
-    return hits.groupBy("k", "t").agg(F.count("*").alias("n_out"), R(F.log(F.product(1 + F.col("ret_1m")))).alias("log_growth_12m"))
+    after = r.select("k", F.col("t").alias("ts"), F.log(1 + F.col("ret_1m")).alias("growth"))
+    tot = documents.forward_totals(r.select("k", "t"), after, ["k"], "t", "ts", {"n_out": F.lit(1).cast("bigint"), "growth": F.col("growth")}, 12)
+    return tot.where(F.col("n_out") > 0).select("k", "t", "n_out", R("growth").alias("log_growth_12m"))
 
 
 @query("j7_join_1to1", f"SELECT k, t, {r6('p_r')} AS p_r, label FROM v_ev")

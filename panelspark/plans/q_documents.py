@@ -24,8 +24,8 @@ for _n in [n for n in sorted(name2codepoint) if n != "amp"] + ["#39", "amp"]:  #
 
 @query("n1_clean_html", rf"SELECT page_id, md5(x) AS h, length(x) AS n_chars FROM (SELECT page_id, trim(regexp_replace({_HTML}, '\s+', ' ', 'g')) AS x FROM pages)")
 def n1(spark, sf):
-    p = b.table(spark, sf, "pages").select("page_id", tx.strip_html("html").alias("x"))
-    return p.select("page_id", F.md5("x").alias("h"), F.length("x").alias("n_chars"))
+    x = tx.let(tx.strip_html("html"), lambda x: F.struct(F.md5(x).alias("h"), F.length(x).alias("n_chars")))
+    return b.table(spark, sf, "pages").select("page_id", x.alias("x")).select("page_id", "x.*")
 
 
 STARTS, ENDS = ("tion the", " en de ", "er de"), ("ing the", "ent en", "re and")
@@ -157,10 +157,10 @@ def change_outcomes(spark, sf):
     lab = b.docs(spark, sf, text=False).join(b.table(spark, sf, "labels"), "doc_id")
     fwd = dc.forward_totals(b.docs(spark, sf, text=False), lab, ["k"], "filed", "filed", {"n": F.lit(1).cast("bigint"), "y": F.col("toxic").cast("bigint")}, 12)
     j = ch.select("doc_id", R("changed").alias("changed")).join(fwd.select("doc_id", "n", "y"), "doc_id")
-    return sinks.settle(j.where(F.col("n") > 0).select("doc_id", "changed", (F.col("y") / F.col("n")).alias("rate")))
+    return sinks.settle(j.where((F.col("n") > 0) & F.col("changed").isNotNull()).select("doc_id", "changed", (F.col("y") / F.col("n")).alias("rate")))
 
 
-cte("v_chout", f"SELECT c.doc_id, {r6('1 - sim')} AS changed, y / n AS rate FROM v_change c JOIN v_fwd f ON f.doc_id = c.doc_id WHERE n > 0")
+cte("v_chout", f"SELECT c.doc_id, {r6('1 - sim')} AS changed, y / n AS rate FROM v_change c JOIN v_fwd f ON f.doc_id = c.doc_id WHERE n > 0 AND sim IS NOT NULL")
 
 
 @query("n10_change_correlation", f"""
