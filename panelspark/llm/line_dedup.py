@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.llm.membership import bit_set, may_hold, split
@@ -14,7 +15,8 @@ from panelspark.llm.words import SPACED, Words, int64s, mix, pieces
 from panelspark.sources.sinks import settle
 
 PERCENT = 80
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
+SENT_BYTES = 2 << 20  # of text whose sets are held at once
 BEST = 4  # candidates verified at once for each line and key; a second round takes all where these don't settle it
 _PAIRS = 1 << 20  # pairs compared at once
 _ENTRY = {"keys": "<u8", "sets": "<u8", "bits": "<u8", "docs": "<i8", "tags": "<u2", "lines": "<i4", "sizes": "<i4",
@@ -59,11 +61,30 @@ def _overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return (percent * (a + b) + 99 + percent) // (100 + percent)
 
 
-def _send(b: pa.RecordBatch, counters: np.ndarray, n_buckets: int, percent: int) -> Iterator[dict]:
-    """Prefix entries of a piece's distinct sets for each bucket of tokens, and its lines that repeat an earlier one."""
+def _asks(x: Lines, probe: pa.Array) -> np.ndarray:
+    """Which lines ask for candidates: those that the text's list names, or all where there is no list."""
+    flat, rows = probe.flatten().to_numpy().astype(np.int64), np.arange(len(probe))
+    sizes = pc.fill_null(pc.list_value_length(probe), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    named = np.isin((x.doc.astype(np.int64) << 32) | x.line, (np.repeat(rows, sizes) << 32) | flat)
+    return named | probe.is_null().to_numpy(zero_copy_only=False)[x.doc]
+
+
+def _prefixes(x: Lines, percent: int) -> np.ndarray:
+    """Of all tokens of all lines (x.of, x.keys), which belong to a prefix."""
+    rank = np.arange(len(x.of)) - x.begin[x.of] + 1
+    size = x.size[x.of]
+    return rank <= size - needed(size, percent) + 1
+
+
+def _send(
+    b: pa.RecordBatch, counters: np.ndarray, wanted: np.ndarray | None, n_buckets: int, percent: int,
+) -> Iterator[dict]:
+    """Prefix entries of a piece's distinct sets for each bucket of tokens, and its lines that repeat an earlier one.
+
+    wanted: tokens that any line in question has in its prefix; entries of others can meet none.
+    """
     x = Lines(b.column("text"), counters)
     docs, tags = int64s(b.column("doc")), b.column("tag").to_numpy().astype("<u2")
-    probed = b.column("probe").to_pylist()
     if not len(x.doc):
         return
     d = docs[x.doc]
@@ -81,8 +102,10 @@ def _send(b: pa.RecordBatch, counters: np.ndarray, n_buckets: int, percent: int)
     size = x.size[of]
     prefix = rank <= size - needed(size, percent) + 1
     of, keys, rank, size = of[prefix], keys[prefix], rank[prefix], size[prefix]
-    asks = np.array([True if p is None else line in p for p, line in
-                     zip((probed[i] for i in x.doc.tolist()), x.line.tolist())], dtype=bool)
+    if wanted is not None:
+        hits = may_hold(wanted, keys.view(np.int64))
+        of, keys, rank, size = of[hits], keys[hits], rank[hits], size[hits]
+    asks = _asks(x, b.column("probe"))
     own = order[again]
     local = {"own_docs": d[own].astype("<i8").tobytes(), "own_tags": tags[x.doc[own]].tobytes(),
              "own_lines": x.line[own].astype("<i4").tobytes()}
@@ -170,15 +193,29 @@ def _meet(group: pa.Table, percent: int, limit: int | None) -> pa.Table:
         "more": pa.array(np.concatenate((np.zeros(n, bool), more)) if m else np.zeros(n, bool))})
 
 
-def _met(rows: DataFrame, counters: np.ndarray, percent: int, limit: int | None) -> DataFrame:
+def _open_keys(asked: DataFrame, counters: np.ndarray, percent: int) -> DataFrame:
+    """key: the prefix tokens of the lines that ask."""
+    shared = asked.sparkSession.sparkContext.broadcast(counters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text", SENT_BYTES):
+            x = Lines(b.column("text"), shared.value)
+            if len(x.doc):
+                own = _prefixes(x, percent) & _asks(x, b.column("probe"))[x.of]
+                yield pa.RecordBatch.from_pydict({"key": pa.array(np.unique(x.keys[own]).view(np.int64))})
+
+    return asked.mapInArrow(run, "key long")
+
+
+def _met(rows: DataFrame, counters: np.ndarray, percent: int, limit: int | None, wanted: np.ndarray | None = None) -> DataFrame:
     """doc, tag, line of lines that repeat an earlier set (a and b null), and candidates a, b with `more`."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, -(-2 * total // BUCKET_BYTES))
-    shared = rows.sparkSession.sparkContext.broadcast(counters)
+    shared = rows.sparkSession.sparkContext.broadcast((counters, wanted))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
-            got = list(_send(b, shared.value, n_buckets, percent))
+        for b in pieces(batches, "text", SENT_BYTES):
+            got = list(_send(b, *shared.value, n_buckets, percent))
             if got:
                 yield pa.RecordBatch.from_pylist(got, schema=_SENT)
 
@@ -194,7 +231,7 @@ def _token_sets(rows: DataFrame, pairs: DataFrame, counters: np.ndarray) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, wanted = shared.value
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", SENT_BYTES):
             x = Lines(b.column("text"), counters)
             at = np.flatnonzero(may_hold(wanted, x.set.view(np.int64)))
             _, once = np.unique(x.set[at], return_index=True)
@@ -238,7 +275,8 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     if not open_lines.isEmpty():  # lines whose nearest candidates failed, although there are more: take all of theirs
         asked = open_lines.groupBy("doc", "tag").agg(F.collect_list("line").alias("probe"))
         again = rows.join(asked, ["doc", "tag"], "left").withColumn("probe", F.coalesce("probe", F.array().cast("array<int>")))
-        near = settle(_met(again.select("doc", "tag", "text", "probe"), counters, percent, None).where(F.col("a").isNotNull()))
+        keys = _open_keys(again.where(F.size("probe") > 0).select("text", "probe"), counters, percent)
+        near = settle(_met(again.select("doc", "tag", "text", "probe"), counters, percent, None, bit_set(keys, "key")).where(F.col("a").isNotNull()))
         pairs = near.select("a", "b").distinct()
         similar = settle(_similar(pairs, _token_sets(rows, pairs, counters), percent))
         gone = gone.unionAll(near.select("doc", "tag", "line", "a").distinct().join(similar, "a").select("doc", "tag", "line"))
@@ -273,7 +311,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     out = some.join(by_doc, (F.col("__doc") == F.col("__of")) & (F.col("__tag") == F.col("__of_tag")), "left").select(
         *docs.columns, "__gone").unionByName(whole.select(*docs.columns, F.lit(None).cast("array<int>").alias("__gone")))
     lines = F.split(F.col(text), "\n")
-    left = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull())
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone"), lambda i: F.get(lines, i))
     n_gone = F.coalesce(F.size("__gone"), F.lit(0))
     kept = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
     return out.select(
