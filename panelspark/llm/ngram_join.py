@@ -21,6 +21,10 @@ SKETCH = 2048  # bits of a set's parity sketch
 VERIFY = 4  # cost of a candidate, in units of a list entry
 BLOCK_KEYS, BLOCK_SETS = 1 << 19, 1024  # a component's sets are counted block against block of about this size
 GROUP_KEYS = 1 << 17  # small components share a group of about this size
+LIST_SETS = 4096  # of a key's list that meet in one group
+GROUP_ENTRIES = 1 << 15
+PAIRS = 1 << 19  # looked at at once
+FOLD = 4  # longs of a folded sketch
 DENSE = 50  # a key held by more than one pair of sets in so many is counted in a matrix product
 _ENTRY = {"keys": "<u8", "ids": "<i8", "sizes": "<i4", "ranks": "<i4"}
 
@@ -272,6 +276,56 @@ def _partners(docs: DataFrame, sets: DataFrame, parts: DataFrame, text: str, n:
     return two.unionAll(counted.groupBy("set_id").agg(F.sum("others").alias("others")))
 
 
+def _list_pairs(entries: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """a, b: sets of different parts with as many shared prefix keys as the longer of both adaptive prefixes asks for.
+
+    entries: key, id, size, rank, match, part. Pairs are looked at where a list lies and leave it only if the sets' sizes,
+    the places of the key and folded sketches let them be similar. A list of more than LIST_SETS sets is cut into blocks
+    that meet two by two, each two in any task.
+    """
+    def folded(j: int) -> Column:
+        own = F.filter("sketch", lambda _, i: i % FOLD == j)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+
+    fold = F.array(*map(folded, range(FOLD)))
+    known = entries.join(sketches.select(F.col("set_id").alias("id"), fold.alias("fold")), "id")
+    lists = settle(entries.groupBy("key").agg(F.ceil(F.count("*") / LIST_SETS).cast("int").alias("blocks"), F.count("*").alias("n")))
+    n_groups = 1 + (lists.agg(F.sum(F.col("blocks") * F.col("n"))).first()[0] or 0) // GROUP_ENTRIES
+    dealt = known.join(lists, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", "id", "size", "rank", "match", "part", "fold", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(n_groups)))
+
+    def meet(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in ("key", "lo", "hi")])
+        e = {c: group[c].to_numpy().astype(np.int64) for c in ("key", "lo", "hi", "id", "size", "rank", "match", "part", "block")}
+        fold = group["fold"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, FOLD)
+        new = np.ones(len(fold), dtype=bool)
+        new[1:] = np.logical_or.reduce([e[c][1:] != e[c][:-1] for c in ("key", "lo", "hi")])
+        ends = np.append(np.flatnonzero(new)[1:], len(new))[np.cumsum(new) - 1]
+        count = ends - np.arange(len(new)) - 1
+        total, found, i = np.cumsum(count), [], 0
+        while i < len(count):
+            done = int(total[i] - count[i])
+            j = max(i + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+            a = np.repeat(np.arange(i, j), count[i:j])
+            b = a + 1 + np.arange(len(a)) - np.repeat(total[i:j] - count[i:j] - done, count[i:j])
+            keep = (e["part"][a] != e["part"][b]) & ((e["lo"][a] == e["hi"][a]) | (e["block"][a] != e["block"][b]))
+            a, b = a[keep], b[keep]
+            na, nb, m = e["size"][a], e["size"][b], np.maximum(e["match"][a], e["match"][b])
+            least = (percent * (na + nb) + 99 + percent) // (100 + percent)
+            keep = (least <= np.minimum(na, nb)) & (e["rank"][a] <= na - least + m) & (e["rank"][b] <= nb - least + m)
+            a, b, m, apart = a[keep], b[keep], m[keep], (na + nb - 2 * least)[keep]
+            keep = np.bitwise_count(fold[a] ^ fold[b]).sum(axis=1) <= apart
+            found.append((e["id"][a[keep]], e["id"][b[keep]], m[keep]))
+            i = j
+        a, b, m = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "m": m})
+
+    shared = dealt.groupBy("group").applyInArrow(meet, "a long, b long, m long")
+    return shared.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("m").alias("m")).where("n >= m").select("a", "b")
+
+
 def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80, count: bool = True) -> DataFrame:
     """__d, n_shingles, set_id, component (a set_id) and n_links of docs with __d (a number for the row) and text.
 
@@ -313,18 +367,7 @@ def link(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80, cou
     own = F.coalesce("component", "id")
     tagged = settle(entries.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", own).drop("component"))
     mixed = tagged.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-    rest = tagged.join(mixed, "key")
-    p, q = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "rank", "match", "part")])
-            for s in ("a", "b"))
-    match = F.greatest("match_a", "match_b")
-    total = F.col("size_a") + F.col("size_b")
-    least = F.floor((percent * total + 99 + percent) / (100 + percent))  # overlap of similar sets of these sizes
-    pairs = p.join(q, "key").where(
-        (F.col("id_a") < F.col("id_b")) & (F.col("part_a") != F.col("part_b"))
-        & _fits(F.col("size_a"), F.col("size_b"), percent)
-        & (F.col("rank_a") <= F.col("size_a") - least + match) & (F.col("rank_b") <= F.col("size_b") - least + match))
-    pairs = pairs.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(
-        F.count("*").alias("n"), F.first(match).alias("m")).where("n >= m").select("a", "b")
+    pairs = _list_pairs(tagged.join(mixed, "key"), sketches, percent)
     bridges = settle(_verified(_near(pairs, sketches, percent), docs, sets, text, n, percent))
     links = links.unionAll(bridges)
     parts = settle(components(links))

@@ -108,6 +108,35 @@ def test_near_duplicates_count_all_links(spark, monkeypatch, n, percent, block_s
     assert max(want.values()) > 2
 
 
+@pytest.mark.parametrize("limits", [{}, {"LIST_SETS": 2, "GROUP_ENTRIES": 5}])
+def test_list_pairs_are_those_that_share_enough_keys(spark, monkeypatch, limits):
+    """Against all pairs of each list; lists cut into blocks give the same pairs."""
+    for k, v in limits.items():
+        monkeypatch.setattr(ngram_join, k, v)
+    rng = np.random.default_rng(4)
+    sets = {i: (int(rng.integers(20, 26)), int(rng.integers(1, 3)), int(rng.integers(0, 4))) for i in range(40)}
+    entries = [(int(k), i, s, int(rng.integers(1, 9)), m, p) for i, (s, m, p) in sets.items() for k in rng.choice(9, 4, replace=False)]
+    bits = {i: [int(x) for x in rng.integers(0, 2, 32) * rng.integers(0, 1 << 6, 32)] for i in sets}
+    got = ngram_join._list_pairs(
+        spark.createDataFrame(entries, "key long, id long, size long, rank int, match int, part long"),
+        spark.createDataFrame([(i, s[0], bits[i]) for i, s in sets.items()], "set_id long, size long, sketch array<long>"), 60).collect()
+    shared = Counter()
+    for x in entries:
+        for y in entries:
+            least = (60 * (x[2] + y[2]) + 159) // 160
+            m = max(x[4], y[4])
+            if x[0] == y[0] and x[1] < y[1] and x[5] != y[5] and x[3] <= x[2] - least + m and y[3] <= y[2] - least + m:
+                shared[x[1], y[1]] += 1
+
+    def apart(a, b):
+        x = [p ^ q for p, q in zip(bits[a], bits[b])]
+        return sum((x[j] ^ x[j + 4] ^ x[j + 8] ^ x[j + 12] ^ x[j + 16] ^ x[j + 20] ^ x[j + 24] ^ x[j + 28]).bit_count() for j in range(4))
+
+    want = {(a, b) for (a, b), n in shared.items() if n >= max(sets[a][1], sets[b][1]) and
+            apart(a, b) <= (t := sets[a][0] + sets[b][0]) - 2 * ((60 * t + 159) // 160)}
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 5
+
+
 def test_near_duplicates_nulls_and_repeated_ids(spark):
     text = " ".join(f"t{i}" for i in range(40))
     df = spark.createDataFrame(
