@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from panelspark.functions.text import let
 from panelspark.llm.membership import bit_set, may_hold, split
 from panelspark.llm.rarity import bucket_of, count_keys, packed, rare_first, unpacked
 from panelspark.llm.words import SPACED, Words, int64s, mix, pieces
@@ -311,9 +312,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     out = some.join(by_doc, (F.col("__doc") == F.col("__of")) & (F.col("__tag") == F.col("__of_tag")), "left").select(
         *docs.columns, "__gone").unionByName(whole.select(*docs.columns, F.lit(None).cast("array<int>").alias("__gone")))
     lines = F.split(F.col(text), "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone"), lambda i: F.get(lines, i))
     n_gone = F.coalesce(F.size("__gone"), F.lit(0))
-    kept = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    left = let(lines, lambda own: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(own) - 1), "__gone"), lambda i: F.get(own, i)), "\n"))
+    kept = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)
     return out.select(
         *[kept.alias(text) if c == text else F.col(c) for c in docs.columns],
         F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
