@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -144,3 +145,34 @@ def require_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def present(df: DataFrame, cols: Sequence[str]) -> list[str]:
     """Optional columns that this frame really has, in the order asked for."""
     return [c for c in cols if c in df.columns]
+
+
+def t_p_value(t: str | Column, dof: str | Column) -> Column:
+    """Two-sided p-value of Student's t with a whole number of degrees of freedom, by its finite cosine series.
+
+    The series has dof / 2 terms. NULL without t or with less than one degree.
+    """
+    t, v = F.abs(col(t).cast("double")), col(dof).cast("int")
+    angle = F.atan(t / F.sqrt(v))
+    cos2 = v / (v + t * t)
+    odd = v % 2
+    terms = F.floor((v - odd) / 2).cast("int")
+    start = F.struct(F.when(odd == 1, F.sqrt(cos2)).otherwise(F.lit(1.0)).alias("term"), F.lit(0.0).alias("sum"))
+
+    def add(a, k):
+        return F.struct((a["term"] * cos2 * (2 * k + odd - 1) / (2 * k + odd)).alias("term"), (a["sum"] + a["term"]).alias("sum"))
+
+    steps = F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>"))
+    part = F.sin(angle) * F.aggregate(steps, start, add)["sum"]
+    inside = F.when(odd == 1, (angle + part) * (2 / math.pi)).otherwise(part)
+    return F.when((v > 0) & t.isNotNull(), F.greatest(1 - inside, F.lit(0.0)))
+
+
+def t_p_value_sql(t: str, dof: str) -> str:
+    """The same in SQL, each term by itself."""
+    v, odd = f"CAST({dof} AS BIGINT)", f"(CAST({dof} AS BIGINT) % 2)"
+    angle, cos2 = f"atan(abs({t}) / sqrt({v}))", f"({v} / ({v} + ({t}) * ({t})))"
+    ratio = f"coalesce(list_product(list_transform(range(1, k + 1), lambda j: (2.0::DOUBLE * j + {odd} - 1) / (2 * j + {odd}))), 1)"
+    total = f"coalesce(list_sum(list_transform(range(({v} - {odd}) // 2), lambda k: CASE WHEN {odd} = 1 THEN sqrt({cos2}) ELSE 1 END * power({cos2}, k) * {ratio})), 0)"
+    part = f"sin({angle}) * {total}"
+    return f"(1 - CASE WHEN {odd} = 1 THEN ({angle} + {part}) * 2 / pi() ELSE {part} END)"

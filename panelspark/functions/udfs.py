@@ -2,68 +2,26 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
-def _incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _incomplete_beta(b, a, 1.0 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    # modified Lentz evaluation of 1 / (1 + d1 / (1 + d2 / ...))
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d or tiny)
-    f = d
-    for m in range(1, 300):
-        even = m * (b - m) * x / ((a + 2 * m - 1.0) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1.0))
-        for step in (even, odd):
-            d = 1.0 / ((1.0 + step * d) or tiny)
-            c = (1.0 + step / c) or tiny
-            f *= c * d
-        if abs(c * d - 1.0) < 1e-15:
-            break
-    return front * f
-
-
-def _two_sided(t: float, df: float) -> float | None:
-    if t is None or df is None or math.isnan(t) or math.isnan(df) or df <= 0:
-        return None
-    return _incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
-
-
-@F.pandas_udf(DoubleType())
-def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Two-sided p-value of Student's t."""
-    return pd.Series([_two_sided(a, b) for a, b in zip(t, df)], dtype="float64")
-
-
 def min_norm_solve(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
     """Minimum-norm solution of symmetric normal equations, collinear columns allowed."""
     return np.linalg.pinv(gram, rcond=1e-10, hermitian=True) @ rhs
 
 
-def standardised_ols(n: float, sx: np.ndarray, sy: float, sxx: np.ndarray, sxy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Coefficients on standardised columns, column means and population sds, and the intercept, from sums."""
-    mean, my = sx / n, sy / n
-    cov = sxx / n - np.outer(mean, mean)
+def standardised_ols(mean: np.ndarray, my: float, cov: np.ndarray, cxy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Coefficients on standardised columns, column means and population sds, and the intercept, from centred moments."""
     sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
     flat = sd <= 1e-12 * np.maximum(np.abs(mean), 1.0)
     scale = np.where(flat, 1.0, sd)
     gram = cov / np.outer(scale, scale)
     gram[flat, :] = 0.0
     gram[:, flat] = 0.0
-    rhs = np.where(flat, 0.0, (sxy / n - mean * my) / scale)
+    rhs = np.where(flat, 0.0, cxy / scale)
     return min_norm_solve(gram, rhs), mean, scale, my
 
 
@@ -74,14 +32,14 @@ OLS_TYPE = StructType([
 
 
 @F.pandas_udf(OLS_TYPE)
-def ols_from_sums(n: pd.Series, sx: pd.Series, sy: pd.Series, upper: pd.Series, sxy: pd.Series) -> pd.DataFrame:
-    """One regression per row of sums; `upper` is the row-wise upper triangle of the cross products."""
+def ols_from_moments(mean: pd.Series, my: pd.Series, upper: pd.Series, cxy: pd.Series) -> pd.DataFrame:
+    """One regression per row of centred moments; `upper` is the row-wise upper triangle of the covariances."""
     rows = []
-    for a, b, c, u, d in zip(n, sx, sy, upper, sxy):
-        k = len(b)
+    for a, b, u, c in zip(mean, my, upper, cxy):
+        k = len(a)
         m = np.zeros((k, k))
         m[np.triu_indices(k)] = u
         m = m + m.T - np.diag(np.diag(m))
-        coef, mean, scale, icpt = standardised_ols(float(a), np.asarray(b, float), float(c), m, np.asarray(d, float))
-        rows.append((coef.tolist(), mean.tolist(), scale.tolist(), float(icpt)))
+        coef, mean_, scale, icpt = standardised_ols(np.asarray(a, float), float(b), m, np.asarray(c, float))
+        rows.append((coef.tolist(), mean_.tolist(), scale.tolist(), float(icpt)))
     return pd.DataFrame(rows, columns=["coef", "mean", "scale", "intercept"])

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import CLASSES, argmax_label
 from ..functions.text import letters_only, word_fractions, NEGATIVE_WORDS, UNCERTAIN_WORDS
-from ..functions.udfs import ols_from_sums, t_pvalue
+from ..functions.columns import t_p_value
+from ..functions.udfs import ols_from_moments
 from ..sources.sinks import settle
 from . import evaluate as ev
 from .prep import long_form
@@ -195,21 +196,34 @@ def compare_families(train: DataFrame, val: DataFrame, numeric: Sequence[str], c
 
 
 # ---------------------------------------------------------------- linear models
-def gram_sums(df: DataFrame, group: Sequence[str], xs: Sequence[str], y: str) -> DataFrame:
-    """Row count and all first and second moments per group, complete rows only, in one aggregate."""
+def moments(df: DataFrame, group: Sequence[str], xs: Sequence[str], y: str) -> DataFrame:
+    """Row count, means and covariances per group, complete rows only, in one aggregate.
+
+    Spark's covariance keeps centred co-moments and merges them pairwise, so large means cost no digits.
+    """
     d = df.na.drop(subset=[*xs, y])
     pairs = [(a, b) for i, a in enumerate(xs) for b in xs[i:]]
     g = d.groupBy(*group).agg(
-        F.count("*").alias("n"), F.sum(y).alias("sy"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)],
-        *[F.sum(F.col(a) * F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)], *[F.sum(F.col(x) * F.col(y)).alias(f"c{i}") for i, x in enumerate(xs)])
+        F.count("*").alias("n"), F.avg(y).alias("my"), *[F.avg(x).alias(f"s{i}") for i, x in enumerate(xs)],
+        *[F.covar_pop(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)], *[F.covar_pop(x, y).alias(f"c{i}") for i, x in enumerate(xs)])
     arr = lambda p, k: F.array(*[F.col(f"{p}{i}") for i in range(k)])
-    return g.select(*group, "n", "sy", arr("s", len(xs)).alias("sx"), arr("p", len(pairs)).alias("upper"), arr("c", len(xs)).alias("sxy"))
+    return g.select(*group, "n", "my", arr("s", len(xs)).alias("mean"), arr("p", len(pairs)).alias("upper"), arr("c", len(xs)).alias("cxy"))
 
 
 def ols(df: DataFrame, group: Sequence[str], xs: Sequence[str], y: str, min_n: int = 2) -> DataFrame:
     """Minimum-norm least squares on standardised columns per group: n, fit(coef, mean, scale, intercept)."""
-    g = gram_sums(df, group, xs, y).where(F.col("n") >= min_n)
-    return g.select(*group, "n", ols_from_sums("n", "sx", "sy", "upper", "sxy").alias("fit"))
+    g = moments(df, group, xs, y).where(F.col("n") >= min_n)
+    return g.select(*group, "n", ols_from_moments("mean", "my", "upper", "cxy").alias("fit"))
+
+
+def normal_equations(df: DataFrame, xs: Sequence[str], y: str, fit: DataFrame) -> DataFrame:
+    """feature, correlation of each column with the residuals of a fit over these rows: 0 but for rounding. `1`: the mean
+    residual in units of its spread."""
+    d = predict_ols(df.na.drop(subset=[*xs, y]), fit.select("fit").scalar(), xs).withColumn("_e", F.col(y) - F.col("yhat"))
+    spread = F.nullif(F.stddev_pop("_e"), F.lit(0.0))
+    cells = [F.struct(F.lit("1").alias("feature"), (F.avg("_e") / spread).alias("value"))] + [
+        F.struct(F.lit(x).alias("feature"), (F.covar_pop("_e", x) / spread / F.nullif(F.stddev_pop(x), F.lit(0.0))).alias("value")) for x in xs]
+    return d.agg(F.array(*cells).alias("_c")).select(F.explode("_c").alias("_c")).select("_c.*")
 
 
 def predict_ols(df: DataFrame, fit: Column, xs: Sequence[str]) -> DataFrame:
@@ -248,7 +262,7 @@ def fama_macbeth(df: DataFrame, t: str, xs: Sequence[str], y: str, min_names: in
 
 
 def with_p_value(df: DataFrame, t: str, dof: Column) -> DataFrame:
-    return df.withColumn("p_value", t_pvalue(t, dof.cast("double")))
+    return df.withColumn("p_value", t_p_value(t, dof))
 
 
 def ordered_logit(train: DataFrame, others: DataFrame, numeric: Sequence[str], categorical: str | None, ordinal: dict[str, int]) -> DataFrame:

@@ -5,8 +5,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
-from ..functions.columns import CLASSES, r6 as R
-from ..functions.udfs import t_pvalue
+from ..functions.columns import CLASSES, r6 as R, t_p_value, t_p_value_sql
 from ..operators import evaluate as ev, ranking, resample as rs, stats, windows as win
 from ..sources import bind as b, sinks
 from .q_portfolio import screen_series
@@ -145,10 +144,15 @@ def c12(spark, sf):
     return _dm(spark, sf).withColumns({x: R(x) for x in ("mean_diff", "t")})
 
 
-@query("c12_dm_p_values")
+_T = " UNION ALL ".join(f"""
+ SELECT '{n}' AS pair, avg({d}) / (stddev_samp({d}) / sqrt(count(*))) * sqrt((count(*) - 1) / count(*)) AS t, count(*) AS n_periods FROM v_loss"""
+    for n, d in (("logged_vs_baseline", "(a - z)"), ("logged_vs_base", "(a - o)"), ("baseline_vs_base", "(z - o)")))
+
+
+@query("c12_dm_p_values", f"SELECT pair, n_periods, {r6('t')} AS t, {r6(t_p_value_sql('t', '(n_periods - 1)'))} AS p_value FROM ({_T})")
 def c12p(spark, sf):
     d = _dm(spark, sf)
-    return d.select("pair", "n_periods", R("t").alias("t"), R(t_pvalue("t", (F.col("n_periods") - 1).cast("double"))).alias("p_value"))
+    return d.select("pair", "n_periods", R("t").alias("t"), R(t_p_value("t", F.col("n_periods") - 1)).alias("p_value"))
 
 
 _SEC = f"SELECT sector, count(*) AS n, count_if({P}) AS k, count_if({Y}) AS m, count_if({P} AND {Y}) AS tp FROM v_ev GROUP BY 1"

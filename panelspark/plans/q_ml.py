@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import ORDINAL, band_label, r6 as R
+from ..functions.columns import ORDINAL, band_label, r6 as R, t_p_value_sql
 from ..operators import calendar as cal, evaluate as ev, ml, portfolio as pf, sets
 from ..sources import bind as b, sinks
 from .q_core import BOUNDS, SPLIT_SQL
@@ -128,9 +128,26 @@ def m7f(spark, sf):
     return m.withColumns({c: R(c) for c in ("r2", "rmse", "mae")})
 
 
+@query("m7_normal_equations", " UNION ALL ".join(f"SELECT '{x}' AS feature, TRUE AS orthogonal" for x in ("1", *NUMERIC)))
+def m7n(spark, sf):
+    """The full-panel fit against its definition: no feature is left in the residuals."""
+    train = panel(spark, sf).where(F.col("split") == "train")
+    fit = ml.ols(train.na.drop(subset=[*NUMERIC, "fwd_ret"]), [], NUMERIC, "fwd_ret")
+    e = ml.normal_equations(train, NUMERIC, "fwd_ret", fit)
+    return e.select("feature", (F.abs("value") < 1e-8).alias("orthogonal"))
+
+
 cte("v_fm", f"SELECT t, n, {_B} FROM (SELECT t, count(*) AS n, {_M}, {_RHO} AS rho FROM v_xs GROUP BY t HAVING count(*) >= 10)")
 
 
+@query("m8_period_p_values", " UNION ALL ".join(f"""
+ SELECT feature, n_periods, {r6('t')} AS t, {r6(t_p_value_sql('t', '(n_periods - 1)'))} AS p_value FROM (
+  SELECT '{x}' AS feature, count(*) AS n_periods, avg({v}) / (stddev_samp({v}) / sqrt(count(*))) AS t FROM v_fm)""" for x, v in zip(XS, ("b1", "b2"))))
+def m8p(spark, sf):
+    _, s = ml.fama_macbeth(xs_rows(spark, sf), "t", XS, "fwd_ret")
+    return ml.with_p_value(s, "t", F.col("n_periods") - 1).select("feature", "n_periods", R("t").alias("t"), R("p_value").alias("p_value"))
+
+
 @query("m8_fama_macbeth", " UNION ALL ".join(f"""
  SELECT '{x}' AS feature, count(*) AS n_periods, {r6(f'avg({v})')} AS mean_coef, {r6(f'stddev_samp({v})')} AS sd_coef, {r6(f'avg({v}) / (stddev_samp({v}) / sqrt(count(*)))')} AS t FROM v_fm""" for x, v in zip(XS, ("b1", "b2"))))
 def m8(spark, sf):
