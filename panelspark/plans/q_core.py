@@ -72,6 +72,19 @@ def s4(spark, sf):
         v.alias(n) for n, v in readers.file_name_parts(F.col("name")).items()])
 
 
+@query("s4_folder_scan", """
+ SELECT doc_id, upper(k) AS entity, form, filed, octet_length(encode(coalesce(text, ''))) AS n_bytes, md5(coalesce(text, '')) AS h FROM v_docs""")
+def s4_folder(spark, sf):
+    """The documents as files, scanned back."""
+    d = b.docs(spark, sf)
+    path = sinks.new_path(spark, "documents")
+    name = F.concat(F.concat_ws("_", "k", "form", F.date_format("filed", "yyyy-MM-dd"), F.col("doc_id").cast("string")), F.lit(".txt"))
+    readers.write_documents(d.withColumn("name", name), path, "name", "text")
+    text = F.regexp_replace("text", r"\n\z", "")
+    return readers.read_documents(spark, path).select(
+        F.col("accession").cast("bigint").alias("doc_id"), "entity", "form", "filed", (F.col("n_bytes") - 1).alias("n_bytes"), F.md5(text).alias("h"))
+
+
 @query("s5_flatten_index", """
  SELECT o_orderkey AS pos, f.form, f.filed, f.accession FROM orders, LATERAL (VALUES
    (o_orderpriority, CAST(o_orderdate AS DATE), 'A' || o_orderkey),

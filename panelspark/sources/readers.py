@@ -55,10 +55,24 @@ def file_name_parts(name) -> dict:
     }
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of text files, one document each; whole files, names parsed, unparsable names dropped."""
-    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
-    return df.withColumns(file_name_parts(F.col("file_name"))).where(F.col("filed").isNotNull())
+def read_documents(spark: SparkSession, path: str, unreadable: bool = False) -> DataFrame:
+    """A folder (with its subfolders) of text files, one document each: whole files with size and time, names parsed.
+
+    A document is a file of its name, or the one file in a folder of its name as write_documents makes it. Small files share
+    a task up to Spark's partition size. Files whose name can't be parsed are dropped, or kept with `readable` false.
+    """
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    name = F.regexp_extract("_metadata.file_path", r"([^/=]+?\.txt)(?:/part-[^/]*)?$", 1)
+    df = files.select(name.alias("file_name"), F.col("_metadata.file_size").alias("n_bytes"),
+                      F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
+    df = df.withColumns(file_name_parts(F.col("file_name")))
+    named = F.col("filed").isNotNull() & (F.col("accession") != "")
+    return df.withColumn("readable", F.coalesce(named, F.lit(False))) if unreadable else df.where(named)
+
+
+def write_documents(df: DataFrame, path: str, name: str, text: str) -> None:
+    """Each row's text as a file in a folder `file=<name>`; names are unique. The writer ends each text with a line feed."""
+    df.select(F.coalesce(F.col(text), F.lit("")).alias("value"), F.col(name).alias("file")).write.partitionBy("file").text(path)
 
 
 def flatten_index(df: DataFrame, arrays: dict[str, str], keep: Sequence[str], forms: Sequence[str], start: str, end: str) -> DataFrame:

@@ -59,6 +59,20 @@ def test_split_bounds_and_nan(spark):
     assert [r.x for r in s.orderBy("t").select(c.clean("x").alias("x")).collect()] == [1.0, None]
 
 
+def test_documents_are_written_and_scanned_back(spark, tmp_path):
+    at = str(tmp_path / "docs")
+    rows = [("ab_10-K_2024-02-28_7.txt", "one\n\ntwo\n"), ("ab_8-K_2024-02-29_8.txt", None), ("nonsense.txt", "é" * 70_000)]
+    readers.write_documents(spark.createDataFrame(rows, "name string, body string"), at, "name", "body")
+    (tmp_path / "docs" / "CD_10-Q_2023-01-31_9.txt").write_text("flat")
+    (tmp_path / "docs" / "readme.md").write_text("other")
+    got = {r.file_name: r for r in readers.read_documents(spark, at, unreadable=True).collect()}
+    one = got["ab_10-K_2024-02-28_7.txt"]
+    assert (one.text, one.entity, one.form, one.accession, one.n_bytes, one.readable) == ("one\n\ntwo\n\n", "AB", "10-K", "7", 10, True)
+    assert got["ab_8-K_2024-02-29_8.txt"].text == "\n" and got["nonsense.txt"].text == "é" * 70_000 + "\n"
+    assert {k for k, r in got.items() if not r.readable} == {"nonsense.txt", ""} and got["CD_10-Q_2023-01-31_9.txt"].text == "flat"
+    assert {r.accession for r in readers.read_documents(spark, at).collect()} == {"7", "8", "9"}
+
+
 class _Conf:
     def __init__(self, value):
         self.value = value
