@@ -129,13 +129,50 @@ def alias_patterns(aliases: DataFrame, key: str, alias: str) -> DataFrame:
     return g.select(key, F.concat(F.lit("(?i)(?<![A-Za-z0-9])(?:"), body, F.lit(")(?![A-Za-z0-9])")).alias("pattern"))
 
 
+#: What may stand between the words of a name, and what marks a symbol in other use than its own.
+BETWEEN_WORDS = r"[\s\-–,\.]{0,3}"
+SYMBOL_USES = (r"\.(?:com|net|org)\b", ":[A-Za-z]", "pr[A-Za-z]")
+
+
+def identity_patterns(
+    entities: DataFrame, key: str, symbol: str, names: str, generic: Sequence[str] = (), ambiguous: Sequence[str] = (), min_token: int = 4,
+) -> DataFrame:
+    """key, pattern: all forms that give an entity away, as one pattern with a case rule for each form.
+
+    Forms, none of them inside a word: a name (an array of them is given) with any short separator between its words, also at
+    the front of a longer word; each of its words of min_token letters that isn't generic; the symbol by itself, in any
+    case unless it is a common word (`ambiguous`), then in its own; the symbol in any case as a domain, as the prefix of a tag,
+    or before a class of shares. An entity without names has its symbol; one without either has no pattern.
+    """
+    quoted = F.regexp_replace(symbol, r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")
+    words = lambda x: F.filter(F.split(x, "[^A-Za-z0-9]+"), lambda w: w != "")
+    own = F.filter(F.array_distinct(F.coalesce(names, F.array().cast("array<string>"))), lambda x: (F.upper(x) != F.coalesce(F.upper(symbol), F.lit(""))) & (F.size(words(x)) > 0))
+    phrases = F.transform(F.array_sort(own, lambda a, b: F.length(b) - F.length(a)), lambda x: F.array_join(words(x), BETWEEN_WORDS))
+    tokens = F.array_sort(F.filter(F.array_distinct(F.flatten(F.transform(own, lambda x: F.transform(words(x), F.lower)))),
+                                   lambda w: (F.length(w) >= min_token) & ~w.isin(*[g.lower() for g in generic], "")))
+    alone = F.when(F.col(symbol).isin(*ambiguous, ""), quoted).otherwise(F.concat(F.lit("(?i:"), quoted, F.lit(")")))
+    some = lambda xs, end: F.when(F.size(xs) > 0, F.concat(F.lit("(?i:"), F.array_join(xs, "|"), F.lit(")" + end)))
+    has_symbol = F.length(symbol) > 0
+    forms = F.filter(F.array(
+        some(phrases, ""), some(tokens, "(?![A-Za-z0-9])"), F.when(has_symbol, F.concat(alone, F.lit("(?![A-Za-z0-9])"))),
+        F.when(has_symbol, F.concat(F.lit("(?i:"), quoted, F.lit(f"(?={'|'.join(SYMBOL_USES)}))")))), lambda x: x.isNotNull())
+    whole = F.concat(F.lit("(?<![A-Za-z0-9])(?:"), F.array_join(forms, "|"), F.lit(")"))
+    return entities.select(key, F.when(F.size(forms) > 0, whole).alias("pattern")).where(F.col("pattern").isNotNull())
+
+
+#: Registry and filing numbers.
 ID_PATTERNS = (r"\b\d{10}-\d{2}-\d{6}\b", r"\b\d{10}\b")
 
 
 def scrub_identity(docs: DataFrame, patterns: DataFrame, key: str, text: str, mask: str = "[ENTITY]", out: str = "scrubbed") -> DataFrame:
-    """Replace an entity's names and numeric identifiers in its own documents."""
+    """Replace an entity's names and numeric identifiers in its own documents.
+
+    Names are replaced twice: what follows a mask stands at the start of a word, and may be a form itself.
+    """
     j = docs.join(patterns, key, "left")
-    c = F.when(F.col("pattern").isNotNull(), F.regexp_replace(F.col(text), F.col("pattern"), F.lit(mask))).otherwise(F.col(text))
+    c = F.col(text)
+    for _ in range(2):
+        c = F.when(F.col("pattern").isNotNull(), F.regexp_replace(c, F.col("pattern"), F.lit(mask))).otherwise(c)
     for p in ID_PATTERNS:
         c = F.regexp_replace(c, p, "[ID]")
     return j.withColumn(out, c)

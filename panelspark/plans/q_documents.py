@@ -210,6 +210,53 @@ def n12(spark, sf):
     return s.select("doc_id", "hits_before", "hits_after")
 
 
+SYMBOLS, COMMON, GENERIC = ("ARE", "QZX", "ALL", "KIM", "V-X"), ("ARE", "ALL"), ("holdings", "trust")
+PLANTED = (  # forms of an entity, and near misses; %s is its symbol
+    "see www.%s.com today", "tag %s:DebtMember", "series %sprL and %sPRM", "the %s fund", "in%sword and %sx", "%s.common or %s: not",
+    "North Realm Holdings", "north-realm, holdingsX", "Realms and trust", "NORTH  REALM")
+
+
+_PLANT = "CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(PLANTED)) + " END"
+_CASED = "CASE WHEN doc_id % 3 = 0 THEN lower(sym) WHEN doc_id % 3 = 1 THEN sym ELSE upper(substr(sym, 1, 1)) || lower(substr(sym, 2)) END"
+cte("v_named", f"""SELECT doc_id, sym, text || ' ' || replace({_PLANT}, '%s', {_CASED}) || '.' AS text FROM (
+ SELECT doc_id, coalesce(text, '') AS text, CASE length(k) % 5 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(SYMBOLS))} END AS sym FROM v_docs)""")
+_AT, _TO, _FIRST = "(^|[^A-Za-z0-9])", "($|[^A-Za-z0-9])", "'\\1[ENTITY]'"
+_SYM = "replace(sym, '-', '\\-')"
+_BOTH = "'\\1[ENTITY]\\2'"
+_USES = r"(\.(?:com|net|org)\b|:[A-Za-z]|pr[A-Za-z])"
+
+
+def _masked(c: str) -> str:
+    """The forms one after the other, each twice, with the letters around them put back."""
+    name = r"(?i)" + _AT + r"north[\s\-–,\.]{0,3}realm[\s\-–,\.]{0,3}holdings"
+    for pattern, to in (
+            (f"'{name}'", _FIRST), (f"'(?i){_AT}(?:north|realm){_TO}'", _BOTH),
+            (f"CASE WHEN sym IN ('ARE', 'ALL') THEN '' ELSE '(?i)' END || '{_AT}(?:' || {_SYM} || '){_TO}'", _BOTH),
+            (f"'(?i){_AT}(?:' || {_SYM} || '){_USES}'", _BOTH)):
+        for _ in range(2):
+            c = f"regexp_replace({c}, {pattern}, {to}, 'g')"
+    return c
+
+
+@query("n11_identity_forms", f"""
+ SELECT doc_id, md5({_IDS.format('s')}) AS h, CAST((length(s) - length(replace(s, '[ENTITY]', ''))) / 8 AS BIGINT) AS n_masked, s <> {_masked('s')} AS leak
+ FROM (SELECT doc_id, sym, {_masked('text')} AS s FROM v_named)""")
+def n11_forms(spark, sf):
+    """Documents with planted forms and near misses, scrubbed of their entity's identity."""
+    d = b.docs(spark, sf)
+    sym = F.element_at(F.array(*map(F.lit, SYMBOLS)), (F.length("k") % 5 + 1).cast("int"))
+    cased = F.when(F.col("doc_id") % 3 == 0, F.lower("sym")).when(F.col("doc_id") % 3 == 1, F.col("sym")).otherwise(
+        F.concat(F.upper(F.substring("sym", 1, 1)), F.lower(F.expr("substr(sym, 2)"))))
+    plant = F.element_at(F.array(*map(F.lit, PLANTED)), (F.col("doc_id") % 10 + 1).cast("int"))
+    named = d.withColumn("sym", sym).withColumn("text", F.concat(
+        F.coalesce("text", F.lit("")), F.lit(" "), F.replace(plant, F.lit("%s"), cased), F.lit(".")))
+    entities = named.select("sym").distinct().withColumn("names", F.array(F.lit("North Realm Holdings")))
+    patterns = dc.identity_patterns(entities, "sym", "sym", "names", GENERIC, COMMON)
+    s = dc.leak_hits(dc.scrub_identity(named, patterns, "sym", "text"), "scrubbed")
+    n = F.regexp_count("scrubbed", F.lit(r"\[ENTITY\]")).cast("bigint")
+    return s.select("doc_id", F.md5("scrubbed").alias("h"), n.alias("n_masked"), (F.col("hits") > 0).alias("leak"))
+
+
 @query("n13_parse_worksheet", """
  SELECT doc_id AS sheet, f.name, f.day, f.dim, f.score FROM labels, LATERAL (VALUES
   ('AAA', DATE '2024-01-31', 'entailment', quality + toxic), ('AAA', DATE '2024-01-31', 'relevance', quality), ('AAA', DATE '2024-01-31', 'actionability', toxic),

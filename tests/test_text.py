@@ -225,3 +225,19 @@ def test_section_without_end_runs_to_the_end(spark):
 
 def test_key_value_names_are_small_letters(spark):
     assert one(spark, "Leverage: 3", tx.key_value("x")["name"]) == ""
+
+
+def test_identity_forms_and_near_misses(spark):
+    ents = spark.createDataFrame([("a", "ARE", ["North Realm Trust", "ARE"]), ("b", "BXP", None), ("c", None, []), ("d", "", ["V & Co"])],
+                                 "k string, sym string, names array<string>")
+    p = dc.identity_patterns(ents, "k", "sym", "names", ["trust"], ["ARE"])
+    assert {r.k for r in p.collect()} == {"a", "b", "d"}
+    docs = [
+        ("a", "They are here; ARE fell. www.are.com, are:DebtMember, AREprL, Areprior", "They are here; [ENTITY] fell. www.[ENTITY].com, [ENTITY]:DebtMember, [ENTITY]prL, [ENTITY]prior"),
+        ("a", "north–realm, Trust and NorthRealmTrustMember; Realm's, realms, Northern trust", "[ENTITY] and [ENTITY]Member; [ENTITY]'s, realms, Northern trust"),
+        ("a", "careful share.com xAREprL are.common are: no", "careful share.com xAREprL are.common are: no"),
+        ("b", "bxp's BXPx xbxp bxp.org BXP-7 0000012345", "[ENTITY]'s BXPx xbxp [ENTITY].org [ENTITY]-7 [ID]"),
+        ("c", "nothing known", "nothing known"), ("d", "V & Co, v.co, vco, V Co-op, avco", "V & Co, [ENTITY], [ENTITY], [ENTITY]-op, avco"), ("a", None, None)]
+    df = spark.createDataFrame([(i, k, t) for i, (k, t, _) in enumerate(docs)], "i int, k string, x string")
+    got = {r.i: r.scrubbed for r in dc.scrub_identity(df, p, "k", "x").collect()}
+    assert [got[i] for i in range(len(docs))] == [w for *_, w in docs]
