@@ -8,17 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, HashingTF, IDF, Normalizer, OneHotEncoder, RegexTokenizer, StopWordsRemover, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.columns import CLASSES, argmax_label
+from ..functions.columns import CLASSES, argmax_label, t_p_value
 from ..functions.text import letters_only, word_fractions, NEGATIVE_WORDS, UNCERTAIN_WORDS
-from ..functions.columns import t_p_value
 from ..functions.udfs import ols_from_moments
 from ..sources.sinks import settle
 from . import evaluate as ev
@@ -26,6 +27,9 @@ from .prep import long_form
 from .ranking import exact_quantiles, rank_in_group
 from .sets import best_row
 
+PARALLEL = 8  # fits at a time
+FIT_ROWS = 50_000  # rows of a partition of a fit, at least
+
 
 # ---------------------------------------------------------------- features
 @dataclass
@@ -103,7 +107,7 @@ def forest(trees: int = 500, depth: int = 10, seed: int = 42) -> RandomForestCla
 def boosted(rounds: int = 100, depth: int = 3, seed: int = 42) -> OneVsRest:
     """One boosted binary model per class (the library's boosting is binary)."""
     g = GBTClassifier(featuresCol="features", labelCol="label_index", weightCol="weight", maxIter=rounds, maxDepth=depth, seed=seed)
-    return OneVsRest(classifier=g, featuresCol="features", labelCol="label_index", weightCol="weight")
+    return OneVsRest(classifier=g, featuresCol="features", labelCol="label_index", weightCol="weight", parallelism=len(CLASSES))
 
 
 def score(model, df: DataFrame) -> DataFrame:
@@ -122,11 +126,25 @@ def score(model, df: DataFrame) -> DataFrame:
     return out.drop("features", "rawPrediction", "probability", "prediction")
 
 
+def training(f: Features, df: DataFrame) -> tuple[DataFrame, int]:
+    """Features, class index and weight of the rows, written once, and their number; FIT_ROWS rows or more a partition, as every
+    iteration of a fit is a job of its own."""
+    ready = settle(balanced(f.transform(df)).select("features", "label_index", "weight"))
+    n = ready.count()
+    return ready.coalesce(-(-n // FIT_ROWS) or 1), n
+
+
+def at_once(fit: Callable, items: Sequence) -> list:
+    """fit() of each item, PARALLEL at a time: fits that share their rows and don't wait for each other."""
+    with ThreadPool(PARALLEL) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.getActiveSession())(fit), items)
+
+
 def fit_predict(train: DataFrame, others: DataFrame, numeric: Sequence[str], categorical: str | None, estimator: Callable) -> DataFrame:
     """Fit preprocessing and a model on `train`, score `others`."""
     f = Features(numeric, categorical).fit(train)
-    ready = settle(balanced(f.transform(train)).select("features", "label_index", "weight"))
-    return score(estimator(ready.count()).fit(ready), f.transform(others))
+    ready, n = training(f, train)
+    return score(estimator(n).fit(ready), f.transform(others))
 
 
 # ---------------------------------------------------------------- selection
@@ -144,12 +162,10 @@ def walk_forward(df: DataFrame, t: str, numeric: Sequence[str], categorical: str
     for fold in folds:
         tr, va = between(df, t, fold["train_start"], fold["train_end"]), between(df, t, fold["val_start"], fold["val_end"])
         f = Features(numeric, categorical).fit(tr)
-        ready = settle(balanced(f.transform(tr)).select("features", "label_index", "weight"))
+        ready, n = training(f, tr)
         val = settle(f.transform(va).select("label", "features"))
-        n = ready.count()
         preds = None
-        for g in grid:
-            m = logistic(n, g["C"], g["l1_ratio"], iterations).fit(ready)
+        for g, m in zip(grid, at_once(lambda g, n=n, ready=ready: logistic(n, g["C"], g["l1_ratio"], iterations).fit(ready), grid)):
             p = score(m, val).select("label", "pred", F.lit(g["candidate"]).alias("candidate"))
             preds = p if preds is None else preds.unionByName(p)
         preds = settle(preds)
@@ -185,12 +201,11 @@ def row_count_folds(df: DataFrame, t: str, key: str, splits: int) -> DataFrame:
 def compare_families(train: DataFrame, val: DataFrame, numeric: Sequence[str], categorical: str, models: dict[str, Callable]) -> tuple[DataFrame, Features]:
     """Validation predictions of several model families fitted on the same features: model, label, pred."""
     f = Features(numeric, categorical).fit(train)
-    ready = settle(balanced(f.transform(train)).select("features", "label_index", "weight"))
-    n = ready.count()
+    ready, n = training(f, train)
     v = settle(f.transform(val))
     out = None
-    for name, make in models.items():
-        p = score(make(n).fit(ready), v).withColumn("model", F.lit(name))
+    for name, model in zip(models, at_once(lambda name: models[name](n).fit(ready), list(models))):
+        p = score(model, v).withColumn("model", F.lit(name))
         out = p if out is None else out.unionByName(p)
     return out, f
 

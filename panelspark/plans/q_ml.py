@@ -232,6 +232,9 @@ def backtest(pred):
     return pf.performance(pf.value_series(s.join(rf, "t", "left"), "t", 0.001))
 
 
+ELIGIBLE = [s for s in STRATEGIES if s != "top5"]  # fixed values: five names are too few to be chosen
+
+
 @query("m14_window_robustness")
 def m14(spark, sf):
     p = panel(spark, sf)
@@ -243,7 +246,7 @@ def m14(spark, sf):
         pred = sinks.settle(pred)
         # the choice is a single row: model first, then rule, then the test result of that pair
         model = sets.best_row(ev.summary(pred, "label", "pred", ["model"]), [F.desc("macro_f1"), F.desc("weighted_f1"), F.desc("accuracy"), F.asc("model")]).first()["model"]
-        rule = sets.best_row(backtest(pred.where(F.col("model") == model)), [F.desc_nulls_last("sharpe_net"), F.desc("ann_excess_net"), F.asc("strategy")]).first()["strategy"]
+        rule = sets.best_row(backtest(pred.where(F.col("model") == model)).where(F.col("strategy").isin(*ELIGIBLE)), [F.desc_nulls_last("sharpe_net"), F.desc("ann_excess_net"), F.asc("strategy")]).first()["strategy"]
         final = ml.fit_predict(tr.unionByName(va), te, NUMERIC, "sector", models[model])
         row = backtest(final).where(F.col("strategy") == rule).select(
             F.lit(w["window"]).alias("window"), F.lit(model).alias("model"), "strategy", "n_periods", R("sharpe_net").alias("sharpe_net"), R("final_nav_net").alias("final_nav_net"))
