@@ -186,25 +186,28 @@ def vocabulary(path: str) -> ByteBpe:
     return _vocabularies[path]
 
 
-def _texts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    for b in pieces(batches, text, BATCH):
+def _texts(batches: Iterator[pa.RecordBatch], text: str, limit: int = BATCH) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    for b in pieces(batches, text, limit):
         yield b, [t or "" for t in b.column(text).to_pylist()]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded_sha256: str | None = None) -> DataFrame:
     """docs with the token ids of each whole text (array of int), as the tokenizers library encodes it without
-    adding special tokens. A null or empty text has no ids; a column of that name is replaced."""
-    docs = docs.drop(*[c for c in (ids,) if c != text])
+    adding special tokens. A null or empty text has no ids; a column of that name is replaced. decoded_sha256: a column
+    for the digest (lowercase hex) of the text that the ids decode to, so that a round trip can be told without a second pass."""
+    docs = docs.drop(*[c for c in (ids, decoded_sha256) if c and c != text])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for b, texts in _texts(batches, text):
+        for b, texts in _texts(batches, text, BATCH // 4):
             got = bpe.encode_batch(texts)
-            column = pa.ListArray.from_arrays(
-                pa.array(np.concatenate(([0], np.cumsum([len(x) for x in got]))), pa.int32()), pa.array(np.concatenate(got)))
-            yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*b.schema.names, ids])
+            made = {ids: pa.ListArray.from_arrays(
+                pa.array(np.concatenate(([0], np.cumsum([len(x) for x in got]))), pa.int32()), pa.array(np.concatenate(got)))}
+            if decoded_sha256:
+                made[decoded_sha256] = pa.array([hashlib.sha256(bpe.decode(x.tolist()).encode()).hexdigest() for x in got], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, *made.values()], names=[*b.schema.names, *made])
 
-    return docs.mapInArrow(run, extended(docs, f"`{ids}` array<int>"))
+    return docs.mapInArrow(run, extended(docs, f"`{ids}` array<int>" + (f", `{decoded_sha256}` string" if decoded_sha256 else "")))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -214,7 +217,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for b in batches:
-            got = [None if x is None else bpe.decode(x) for x in b.column(ids).to_pylist()]
+            got = [bpe.decode(x.as_py()) if x.is_valid else None for x in b.column(ids)]  # one list of ids at a time
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=[*b.schema.names, text])
 
     return docs.mapInArrow(run, extended(docs, f"`{text}` string"))

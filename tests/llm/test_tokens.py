@@ -52,6 +52,15 @@ def test_bpe_frames(spark):
     assert bpe.digests(spark.createDataFrame([], SCHEMA), BYTES).count() == 0
 
 
+def test_bpe_digest_of_the_round_trip(spark):
+    rows = [(1, "a b\u00e9 <|endoftext|>"), (2, None), (3, ""), (4, "\U0001F642 " * 300)]
+    df = documents(spark, rows).withColumnRenamed("lang", "ids")
+    got = {r.doc_id: r for r in bpe.encode(df, BYTES, decoded_sha256="source").collect()}
+    for i, t in rows:
+        assert got[i].source == hashlib.sha256((t or "").encode()).hexdigest()
+        assert got[i].ids == Tokenizer.from_file(BYTES).encode(t or "", add_special_tokens=False).ids
+
+
 def test_word_encoder_equals_the_library():
     lib, own = Tokenizer.from_file(WORDS), token_store.WordEncoder(WORDS)
     texts = odd_texts(600, 5) + [t or "" for _, t in fixture()]
