@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -15,6 +16,7 @@ from tokenizers import Tokenizer
 from panelspark.llm.words import Recent, pieces
 
 SHARD_TOKENS = 1 << 22  # a shard ends with the document that reaches it
+PART_BYTES = 64 << 20  # of the texts of a partition
 BLOCK = 512  # bits between stored ranks
 KEPT = 500_000  # words, and parts of words, whose ids a task keeps
 
@@ -128,6 +130,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads cost more than they save
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -181,7 +184,8 @@ def write_tokens(
     Documents are sorted over all partitions by a range exchange; each partition is encoded and cut into shards at
     document ends. A shard is one row of one Parquet file (zstd): its place (part, seq), how many tokens, the id bits,
     the bit-planes and rank blocks of its wavelet matrix, and the ids and lengths of its documents. Null text: no ids
-    but the end id. A null doc_id comes first. Equal doc_ids are ordered by text. An empty table writes no shard.
+    but the end id. A null doc_id comes first. Equal doc_ids are ordered by a hash of the text, so that many of them don't
+    meet in one partition. Partitions follow the bytes of the texts. An empty table writes no shard.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
@@ -211,9 +215,11 @@ def write_tokens(
         if held:
             yield close()
 
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     # texts are exchanged, not ids: the exchange samples its input, which would be encoded twice
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    ordered = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
     made = ordered.mapInArrow(shards, "seq int, n_tokens long, bits int, planes binary, ranks binary, "
                                       "doc_ids array<long>, lengths array<long>")
     made.select(F.spark_partition_id().alias("part"), "*").write.option("maxRecordsPerFile", 1).option(
