@@ -25,7 +25,13 @@ def parts(p):
     return p.where("split = 'train'"), p.where("split = 'validation'"), p.where("split = 'test'")
 
 
-@query("m1_feature_pipeline")
+@query("m1_feature_pipeline", f"""
+ WITH p AS (SELECT r.k, r.t, {SPLIT_SQL} AS split, r.ret_1m, d.sector FROM v_ret r LEFT JOIN v_dim d ON r.k = d.k WHERE r.t BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'),
+  f AS (SELECT quantile_cont(ret_1m, 0.5) AS m FROM p WHERE split = 'train'),
+  g AS (SELECT avg(coalesce(ret_1m, m)) AS mu, stddev_pop(coalesce(ret_1m, m)) AS sd FROM p, f WHERE split = 'train'),
+  c AS (SELECT DISTINCT sector FROM p WHERE split = 'train')
+ SELECT k, t, split, CAST({len(NUMERIC)} + (SELECT count(sector) FROM c) AS INTEGER) AS n_features, {r6('(coalesce(ret_1m, m) - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END')} AS first,
+  CASE WHEN split <> 'train' AND k % 7 = 0 OR sector NOT IN (SELECT sector FROM c) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS one_hot FROM p, f, g""")
 def m1(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
