@@ -1,11 +1,14 @@
 """Portfolio queries (B*). Returns are scaled down, so that compounded values stay readable."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from ..functions.columns import r6 as R
+from ..functions.columns import band_label, r6 as R
 from ..operators import joins, portfolio as pf, ranking, stats
 from ..sources import bind as b, sinks
-from .registry import cte, query, r6
+from .q_core import GRID
+from .registry import CTE, cte, label_sql, query, r6
 
 STRATEGIES = ("hard_increase", "not_reduce", "positive", "top5", "top10", "top30pct", "top30pct_wide")
 COST = 0.001
@@ -258,3 +261,33 @@ def b14s(spark, sf):
     med = ranking.exact_quantiles(g, [], "s", {"m": 0.5}).scalar()
     one = g.agg(F.count("*").alias("n_k"), F.count_if(F.col("s") >= 1).alias("n_pass"), R(F.min("s")).alias("min_share"))
     return one.withColumn("median_share", R(med))
+
+
+# ---------------------------------------------------------------- perfect-label portfolios of the label grid
+def _banded(text: str) -> str:
+    """The SQL of the portfolios with the band portfolios' own views."""
+    for name in ("v_pf", "v_sel", "v_per", "v_turn", "v_val"):
+        text = re.sub(rf"\b{name}0?\b", name.replace("v_", "v_band_"), text)
+    return text
+
+
+def _band(g: float) -> str:
+    return f"band {g}"
+
+
+cte("v_band_pf", "SELECT k, t, fwd_ret, fwd_ret / 20.0::DOUBLE AS r FROM v_ret WHERE fwd_ret IS NOT NULL")
+cte("v_band_sel", " UNION ALL ".join(
+    f"SELECT '{_band(g)}' AS strategy, k, t, r FROM v_band_pf WHERE {label_sql('fwd_ret', f'{g}::DOUBLE')} = 'increase'" for g in GRID))
+cte("v_band_per", _banded(CTE["v_per"]).replace(str(list(STRATEGIES)), str([_band(g) for g in GRID])))
+cte("v_band_turn", _banded(_turn(False)))
+cte("v_band_val", _values("v_band_turn"))
+
+
+@query("p8_band_portfolios", f"SELECT * EXCLUDE (final_nav_gross, final_nav_net) FROM ({_banded(_PERF)})")
+def p8_portfolios(spark, sf):
+    """What a portfolio of all rises would earn under each band of the label: an upper bound for any model of it."""
+    r = sinks.settle(b.returns(spark, sf).where(F.col("fwd_ret").isNotNull()).select("k", "t", "fwd_ret", (F.col("fwd_ret") / 20).alias("r")))
+    h = sinks.settle(pf.select_holdings(r, {_band(g): band_label("fwd_ret", g) == "increase" for g in GRID}, ["k", "t", "r"]))
+    s = pf.turnover(h, pf.period_series(h, r, [_band(g) for g in GRID], "t", "r"), "t", "k", "r", drift=False)
+    rf = b.macro_month(spark, sf).select("t", "monthly_rf")
+    return pf.performance(pf.value_series(s.join(rf, "t", "left"), "t", COST)).select("strategy", "n_periods", *[R(c).alias(c) for c in _PC[2:]])
