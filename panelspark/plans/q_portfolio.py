@@ -291,3 +291,33 @@ def p8_portfolios(spark, sf):
     s = pf.turnover(h, pf.period_series(h, r, [_band(g) for g in GRID], "t", "r"), "t", "k", "r", drift=False)
     rf = b.macro_month(spark, sf).select("t", "monthly_rf")
     return pf.performance(pf.value_series(s.join(rf, "t", "left"), "t", COST)).select("strategy", "n_periods", *[R(c).alias(c) for c in _PC[2:]])
+
+
+# ---------------------------------------------------------------- strategies and held benchmarks over the periods they share
+HELD = (1, 2)
+cte("v_mix", f"""
+ SELECT strategy, t, n_holdings, gross_return, turnover FROM v_turn
+ UNION ALL SELECT 'hold ' || k, t, 1, g / 20.0::DOUBLE, 0.0::DOUBLE FROM (
+  SELECT k, t, lead(adj_close) OVER (PARTITION BY k ORDER BY t) / adj_close - 1 AS g FROM v_pm WHERE adj_close IS NOT NULL AND k IN {HELD}) WHERE g IS NOT NULL""")
+cte("v_mix_common", "SELECT * FROM v_mix WHERE t IN (SELECT t FROM v_mix GROUP BY t HAVING count(DISTINCT strategy) = (SELECT count(DISTINCT strategy) FROM v_mix))")
+cte("v_mix_val", _values("v_mix_common"))
+_BARS = ", ".join(f"max(sharpe_net) FILTER (WHERE strategy = 'hold {k}') AS hurdle_{k}" for k in HELD)
+_BEATS = [f"coalesce(sharpe_net > hurdle_{k}, FALSE)" for k in HELD]
+
+
+@query("b7_common_period_table", f"""
+ WITH p AS ({re.sub("v_val", "v_mix_val", _PERF)}), h AS (SELECT {_BARS} FROM p)
+ SELECT p.* EXCLUDE (final_nav_gross, final_nav_net), {', '.join(f'hurdle_{k}' for k in HELD)}, {', '.join(f'{c} AS beats_{k}' for k, c in zip(HELD, _BEATS))}, {' AND '.join(_BEATS)} AS beats_all FROM p, h""")
+def b7_common(spark, sf):
+    """All strategies and the benchmarks that are bought and held, restarted at 1 on the periods that every one of them has."""
+    _, own = series(spark, sf)
+    held = pf.buy_and_hold(b.price_month(spark, sf).where(F.col("k").isin(*HELD)), "k", "t", "adj_close")
+    held = held.withColumn("gross_return", F.col("gross_return") / 20).join(b.macro_month(spark, sf).select("t", "monthly_rf"), "t", "left")
+    both = sinks.settle(own.unionByName(held.select(own.columns)))
+    n = both.agg(F.countDistinct("strategy").alias("n")).scalar()
+    table = pf.performance(pf.value_series(joins.common_periods(both, "t", "strategy", n), "t", COST)).select(
+        "strategy", "n_periods", *[R(c).alias(c) for c in _PC[2:]])
+    names = [f"hold {k}" for k in HELD]
+    bars = pf.hurdles(table, "sharpe_net", names, names).drop("sharpe_net").withColumnsRenamed(
+        {f"{x}_hold {k}": f"{x}_{k}" for x in ("hurdle", "beats") for k in HELD})
+    return table.join(bars, "strategy")
