@@ -62,6 +62,10 @@ class ByteBpe:
         self.decimal = [b"%d" % i for i in range(size)]
         self.parts, self.tokens = Recent(KEPT), Recent(KEPT)
 
+    def forget(self) -> None:
+        """Drop the ids kept of earlier texts."""
+        self.parts, self.tokens = Recent(KEPT), Recent(KEPT)
+
     # -- merges ---------------------------------------------------------------------------------------------
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -206,6 +210,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
             if decoded_sha256:
                 made[decoded_sha256] = pa.array([hashlib.sha256(bpe.decode(x.tolist()).encode()).hexdigest() for x in got], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, *made.values()], names=[*b.schema.names, *made])
+        bpe.forget()  # the worker goes on with other work
 
     return docs.mapInArrow(run, extended(docs, f"`{ids}` array<int>" + (f", `{decoded_sha256}` string" if decoded_sha256 else "")))
 
