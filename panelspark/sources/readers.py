@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -58,7 +62,7 @@ def file_name_parts(name) -> dict:
 def read_documents(spark: SparkSession, path: str, unreadable: bool = False) -> DataFrame:
     """A folder (with its subfolders) of text files, one document each: whole files with size and time, names parsed.
 
-    A document is a file of its name, or the one file in a folder of its name as write_documents makes it. Small files share
+    A document is a file of its name, or the one file in a folder of its name as Spark's writer makes it. Small files share
     a task up to Spark's partition size. Files whose name can't be parsed are dropped, or kept with `readable` false.
     """
     files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
@@ -70,9 +74,44 @@ def read_documents(spark: SparkSession, path: str, unreadable: bool = False) ->
     return df.withColumn("readable", F.coalesce(named, F.lit(False))) if unreadable else df.where(named)
 
 
+FOLDERS = 256  # subfolders that documents are dealt to: each is listed by a task of its own
+UNSAFE = re.compile(r"""[\x00-\x1f\x7f"#%'*/:=?\\{\[\]^]""")  # characters that Spark's writer escapes in names, too
+
+
 def write_documents(df: DataFrame, path: str, name: str, text: str) -> None:
-    """Each row's text as a file in a folder `file=<name>`; names are unique. The writer ends each text with a line feed."""
-    df.select(F.coalesce(F.col(text), F.lit("")).alias("value"), F.col(name).alias("file")).write.partitionBy("file").text(path)
+    """Each row's text as a file of its name, in subfolders by a hash of the name; names are unique, each text ends with a line feed.
+
+    Tasks write the files through Arrow's file systems, each under a hidden name first, so that a repeated task leaves whole
+    files only. A file system that Arrow can't open gets them from Spark's writer, as folders `file=<name>`, which takes
+    several operations of its file system a document.
+    """
+    rows = df.select(F.col(name).alias("file"), F.coalesce(F.col(text), F.lit("")).alias("value"))
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    uri = f"{at.getScheme()}://{at.getAuthority() or ''}{at.getPath()}"
+    try:
+        files, root = FileSystem.from_uri(uri)
+        for i in range(FOLDERS):
+            files.create_dir(f"{root}/part={i}")
+    except (OSError, ValueError):
+        rows.write.partitionBy("file").text(path)
+        return
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = FileSystem.from_uri(uri)
+        attempt = TaskContext.get().taskAttemptId()
+        for b in batches:
+            for file, value, part in zip(b["file"], b["value"], b["part"]):
+                file, folder = UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", file.as_py()), f"{root}/part={part.as_py()}"
+                with files.open_output_stream(f"{folder}/.{file}.{attempt}") as out:
+                    out.write(value.as_py().encode())
+                    out.write(b"\n")
+                files.move(f"{folder}/.{file}.{attempt}", f"{folder}/{file}")
+            yield pa.RecordBatch.from_pydict({"n": [len(b)]})
+
+    dealt = rows.withColumn("part", F.crc32("file") % FOLDERS)
+    dealt.mapInArrow(write, "n bigint").write.format("noop").mode("overwrite").save()
 
 
 def flatten_index(df: DataFrame, arrays: dict[str, str], keep: Sequence[str], forms: Sequence[str], start: str, end: str) -> DataFrame:
