@@ -28,6 +28,15 @@ def test_rank_in_group_is_exact(spark, desc, grouped):
         assert [got[d[2]] for d in rows] == [(i, len(rows)) for i in range(1, len(rows) + 1)]
 
 
+def test_totals_of_any_name_over_many_partitions(spark):
+    """top_share asks for a total `_n`, which was also the name of the count of a partition."""
+    df = spark.createDataFrame(skewed(), "g string, v double, id bigint")
+    totals = {"_n": F.lit(1).cast("bigint"), "_rows": F.lit(2).cast("bigint")}
+    few = ranking.rank_in_group(df, ["g"], "v", "id", totals=totals).collect()
+    many = ranking.rank_in_group(df, ["g"], "v", "id", totals=totals, rows=ROWS_IN_TEST).select("g", "v", "id", "rk", "_n", "_rows").collect()
+    assert {(r.id, r.rk, r["_n"], r["_rows"]) for r in many} == {(r.id, r.rk, r["_n"], r["_rows"]) for r in few} and len(many) == 3000
+
+
 def test_hot_value_is_spread_over_tie_buckets(spark):
     df = spark.range(2000).select(F.lit(1.0).alias("v"), "id")
     out = ranking.rank_in_group(df, [], "v", "id", rows=ROWS_IN_TEST)
