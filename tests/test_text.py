@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import text as tx
 from panelspark.operators import documents as dc
+from panelspark.sources.sinks import settle
 
 HEADER, END = r"(?is)item\s*1\s*a\b.{0,40}?r\s*i\s*s\s*k\s*f\s*a\s*c\s*t\s*o\s*r\s*s", r"(?i)item\s*1\s*b"
 LOOSE, PHRASE = r"(?i)item\s*1a", r"(?i)risk factors"
@@ -140,6 +141,24 @@ def test_first_json_object(spark):
     assert one(spark, "none", tx.first_json_object("x")) == ""
 
 
+def _exchanges(df):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
+
+
+def test_terms_of_a_pair_are_counted_where_its_texts_meet(spark, monkeypatch):
+    """Terms moved by document, then by pair, to a fixed number of tasks."""
+    rows = [("a", dt.date(2024, 1, 1 + i), i, f"alpha beta{i % 3} gamma{i} é_{i % 2} alpha") for i in range(20)]
+    docs = spark.createDataFrame(rows, "k string, d date, id bigint, text string")
+    few = {tuple(r) for r in dc.text_change(docs, ["k"], "d", "id", "text").collect()}
+    monkeypatch.setattr(dc, "CHARS", 100, raising=False)
+    cut = dc.text_change(docs, ["k"], "d", "id", "text")
+    chars = sum(len(a[3]) + len(b[3]) for a, b in zip(rows, rows[1:]))
+    assert not any("_term" in x for x in _exchanges(cut)) and any("hashpartitioning(_pair#" in x and f", {-(-chars // 100)})" in x for x in _exchanges(cut))
+    got = {tuple(r) for r in cut.collect()}
+    assert {r[:2] for r in got} == {r[:2] for r in few} == {(i, i - 1) for i in range(1, 20)}
+    assert sorted(r[2] for r in got) == pytest.approx(sorted(r[2] for r in few))
+
+
 def test_text_change_matches_hand_computation(spark):
     import math
 
