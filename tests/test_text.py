@@ -159,6 +159,19 @@ def test_terms_of_a_pair_are_counted_where_its_texts_meet(spark, monkeypatch):
     assert sorted(r[2] for r in got) == pytest.approx(sorted(r[2] for r in few))
 
 
+def test_texts_are_not_moved_to_few_entities(spark):
+    rows = [(i, i % 2, f"{'AB'[i % 2]}corp said {i} " + " ".join(str((i * j) % 7919) for j in range(60))) for i in range(2000)]
+    docs = settle(spark.createDataFrame(rows, "id bigint, k int, text string"))
+    patterns = docs.groupBy("k").agg(F.concat(F.lit("(?i)"), F.min(F.split("text", " ")[0])).alias("pattern"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 50_000)
+    try:
+        out = dc.scrub_identity(docs, patterns, "k", "text")
+        assert all("Broadcast" in x for x in _exchanges(out))
+        assert {r.scrubbed.split(" ")[0] for r in out.collect()} == {"[ENTITY]"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_text_change_matches_hand_computation(spark):
     import math
 
