@@ -29,6 +29,7 @@ from .sets import best_row
 
 PARALLEL = 8  # fits at a time
 FIT_ROWS = 50_000  # rows of a partition of a fit, at least
+FOREST_ROWS, FOREST_PARTS = 5_000, 24  # the same for a forest, for up to so many partitions
 
 
 # ---------------------------------------------------------------- features
@@ -134,17 +135,29 @@ def training(f: Features, df: DataFrame) -> tuple[DataFrame, int]:
     return ready.coalesce(-(-n // FIT_ROWS) or 1), n
 
 
+def spread(model, ready: DataFrame, n: int) -> DataFrame:
+    """The n training rows as a model takes them: a forest sends each of them through all its trees in every pass, so that
+    few rows keep a task busy. The number of partitions follows from n alone, as the draws of a forest depend on it."""
+    if not isinstance(model, RandomForestClassifier):
+        return ready
+    return ready.repartition(max(-(-n // FIT_ROWS), min(FOREST_PARTS, -(-n // FOREST_ROWS)), 1))
+
+
+def fitted(model, ready: DataFrame, n: int):
+    return model.fit(spread(model, ready, n))
+
+
 def at_once(fit: Callable, items: Sequence) -> list:
     """fit() of each item, PARALLEL at a time: fits that share their rows and don't wait for each other."""
     with ThreadPool(PARALLEL) as pool:
-        return pool.map(inheritable_thread_target(SparkSession.getActiveSession())(fit), items)
+        return pool.map(inheritable_thread_target(SparkSession.builder.getOrCreate())(fit), items)
 
 
 def fit_predict(train: DataFrame, others: DataFrame, numeric: Sequence[str], categorical: str | None, estimator: Callable) -> DataFrame:
     """Fit preprocessing and a model on `train`, score `others`."""
     f = Features(numeric, categorical).fit(train)
     ready, n = training(f, train)
-    return score(estimator(n).fit(ready), f.transform(others))
+    return score(fitted(estimator(n), ready, n), f.transform(others))
 
 
 # ---------------------------------------------------------------- selection
@@ -204,7 +217,7 @@ def compare_families(train: DataFrame, val: DataFrame, numeric: Sequence[str], c
     ready, n = training(f, train)
     v = settle(f.transform(val))
     out = None
-    for name, model in zip(models, at_once(lambda name: models[name](n).fit(ready), list(models))):
+    for name, model in zip(models, at_once(lambda name: fitted(models[name](n), ready, n), list(models))):
         p = score(model, v).withColumn("model", F.lit(name))
         out = p if out is None else out.unionByName(p)
     return out, f

@@ -82,6 +82,19 @@ def test_scores_are_probabilities_and_beat_chance(spark):
         assert np.mean([r.pred == r.label for r in out]) > 0.5
 
 
+def test_rows_of_a_forest_are_spread(spark):
+    """48,000 rows and 500 trees were one task; other models keep their few partitions."""
+    ready = spark.range(48_000).coalesce(1)
+    parts = lambda model, n: ml.spread(model, ready, n).rdd.getNumPartitions()
+    assert [parts(ml.forest(), n) for n in (0, 4_000, 48_000, 288_000, 3_000_000)] == [1, 1, 10, 24, 60]
+    assert parts(ml.logistic(48_000), 48_000) == parts(ml.boosted(), 48_000) == 1
+
+
+def test_fits_at_once_may_hold_fits_at_once(spark):
+    got = ml.at_once(lambda i: ml.at_once(lambda j: spark.range(i + j).count(), [1, 2]), [1, 2])
+    assert got == [[2, 3], [3, 4]]
+
+
 def test_texts_are_read_once_for_their_terms(spark):
     """Every text was cut into terms for the document frequencies, and again for the features."""
     seen = spark.sparkContext.accumulator(0)
