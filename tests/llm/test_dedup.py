@@ -5,10 +5,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from panelspark.llm import line_dedup, ngram_join, substring_dedup
 from panelspark.llm.components import components
+from panelspark.llm.rarity import count_keys
 from tests.llm.util import (
     SCHEMA, deduped_lines, documents, fixture, folded, least_reachable, set_links, shingle_set, words)
 
@@ -77,6 +79,36 @@ def test_lines_second_round_takes_all_candidates(spark, monkeypatch):
     assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in got} == deduped_lines(rows)
 
 
+def test_long_lines_of_common_words_are_no_candidates(spark):
+    """Sets of 160 tokens with a Jaccard of about 0.5 share prefix tokens; maps of 64 bits let most of these pairs through."""
+    rng = np.random.default_rng(3)
+    common = " ".join(f"c{i}" for i in range(90))
+    rows = [(i, common + " " + " ".join(f"w{j}" for j in rng.permutation(300)[:70])) for i in range(40)]
+    rows.append((40, rows[7][1].replace("c1 ", "d1 ")))
+    docs = documents(spark, rows).select(
+        F.col("doc_id").alias("doc"), line_dedup._tag("text").alias("tag"), "text", F.lit(None).cast("array<int>").alias("probe"))
+    counters = count_keys(docs.select("text"), line_dedup._piece_words)
+    met = line_dedup._met(docs, counters, 80, None).where("a is not null")
+    assert {(r.doc, r.line) for r in met.collect()} == {(40, 0)}
+    got = line_dedup.dedup_lines(documents(spark, rows)).where("n_removed > 0")
+    assert [(r.doc_id, r.n_removed) for r in got.collect()] == [(40, 1)]
+
+
+@pytest.mark.parametrize("first, best", [(1, 2), (1, 1)])
+def test_lines_by_other_candidates_where_the_nearest_fail(spark, monkeypatch, first, best):
+    rows = fixture(8)
+    monkeypatch.setattr(line_dedup, "FIRST", first)
+    monkeypatch.setattr(line_dedup, "BEST", best)
+    got = line_dedup.dedup_lines(documents(spark, rows)).collect()
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in got} == deduped_lines(rows)
+
+
+def test_lines_are_ordered_by_all_bits_of_their_tokens():
+    of = np.array([1, 0, 1, 0, 1], dtype=np.int64)
+    keys = np.array([5, 9, 4, 8, 5], dtype=np.uint64)  # equal in the upper bits that one sort compares
+    assert (line_dedup._within(of, keys, 200) == np.lexsort((keys, of))).all()
+
+
 def test_lines_ties_nulls_and_clashing_columns(spark):
     df = spark.createDataFrame(
         [(2, "a b c d\nx", 1, "p"), (None, "A B C D", 2, "q"), (2, "a b c d\nx", 3, "r"), (5, None, 4, "s"),
