@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelspark.functions.text import let
 from panelspark.llm.membership import bit_set, may_hold, split
 from panelspark.llm.rarity import bucket_of, count_keys, rare_first, unpacked
-from panelspark.llm.words import SPACED, Words, int64s, mix, pieces
+from panelspark.llm.words import SPACED, Words, int64s, mix, pieces, spans
 from panelspark.sources.sinks import settle
 
 PERCENT = 80
@@ -91,12 +91,6 @@ def width(size: np.ndarray) -> np.ndarray:
     return 1 + (size > 64) + 2 * (size > 128) + 4 * (size > 256)
 
 
-def spans(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """begin .. begin+count-1 of each, one after the other."""
-    ends = np.cumsum(count)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(begin, count)
-
-
 def _within(of: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
     """Order by (of, key), of in 0 .. n-1: one sort by the key's upper bits where these tell all keys apart."""
     shift = np.uint64(max(n - 1, 1).bit_length())

@@ -9,15 +9,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
-from panelspark.llm.words import Recent, pieces
+from panelspark.llm.words import Recent, pieces, spans
 
 SHARD_TOKENS = 1 << 22  # a shard ends with the document that reaches it
 PART_BYTES = 64 << 20  # of the texts of a partition
 BLOCK = 512  # bits between stored ranks
+TOGETHER = 100  # parts of words encoded as one text
+_WORDS = 1 << 18  # words whose ids are put together at once
 KEPT = 500_000  # words, and parts of words, whose ids a task keeps
 
 
@@ -35,9 +38,10 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         n, level_bytes = len(ids), -(-max(len(ids), 1) // BLOCK) * BLOCK // 8
+        ids = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes, ranks = np.zeros((bits, level_bytes), np.uint8), []
         for level in range(bits):
-            one = (ids >> (bits - 1 - level)) & 1 == 1
+            one = (ids & ids.dtype.type(1 << (bits - 1 - level))).astype(bool)
             packed = np.packbits(one, bitorder="little")
             planes[level, :len(packed)] = packed
             ones = np.bitwise_count(planes[level].reshape(-1, BLOCK // 8)).sum(axis=1, dtype=np.int64)
@@ -108,13 +112,13 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """The whole sequence, rebuilt from the last plane up: each level undoes one stable partition."""
-        value = np.zeros(self.n, dtype=np.uint32)
+        value = np.zeros(self.n, dtype=np.uint16 if self.bits <= 16 else np.uint32)
         for level in reversed(range(self.bits)):
             one = np.unpackbits(self.planes[level], bitorder="little", count=self.n).view(bool)
-            z, up = self.zeros[level], np.empty(self.n, dtype=np.uint32)
-            up[~one], up[one] = value[:z], value[z:] | np.uint32(1 << (self.bits - 1 - level))
+            z, up = self.zeros[level], np.empty_like(value)
+            up[~one], up[one] = value[:z], value[z:] | value.dtype.type(1 << (self.bits - 1 - level))
             value = up
-        return value
+        return value.astype(np.uint32)
 
 
 #: The pre-token pattern of the vocabulary, on lower-cased text.
@@ -126,7 +130,8 @@ class WordEncoder:
 
     For a vocabulary whose pre-tokens never hold white space, the ids of a text are those of its words in a row. When
     the vocabulary lower-cases and cuts by PRE_TOKEN, words of plain Latin letters are cut so before the library
-    encodes the parts, so that each part is encoded once whatever stands beside it.
+    encodes the parts, so that each part is encoded once whatever stands beside it. Where the last token of a pre-token
+    has a suffix of its own, the library takes many such parts as one text, and its ids are cut behind these tokens.
     """
 
     def __init__(self, path: str):
@@ -143,27 +148,78 @@ class WordEncoder:
         self.cut = regex.compile(PRE_TOKEN) if steps == ["NFC", "Replace", "Lowercase"] and cuts[0].get(
             "pattern", {}).get("Regex") == PRE_TOKEN and cuts[0]["invert"] else None
         self.plain = regex.compile(r"[\x21-\x7E\xA1-\u024F]+")
-        self.marks = [t["content"][:2] for t in spec["added_tokens"]]
-
-    def _parts(self, word: str) -> list[str]:
-        if self.cut and self.plain.fullmatch(word) and not any(m in word for m in self.marks):
-            return self.cut.findall(word.lower())
-        return [word]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = self.words.missing(set().union(*cut))
+        self.marks = sorted({t["content"][:2] for t in spec["added_tokens"]})
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.last = None
+        if self.cut and suffix:
+            vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+
+    def _parts(self, word: str) -> list[str] | None:
+        """The parts of a word, or none if the library has to see it whole."""
+        if not self.cut:
+            return None
+        if word.isascii():
+            if word.isalpha():
+                return [word.lower()]
+            if not word.isprintable():
+                return None
+            if word[:-1].isalpha() and not word[-1].isdigit():  # a word and a mark
+                return [word[:-1].lower(), word[-1]]
+        elif not self.plain.fullmatch(word):
+            return None
+        for m in self.marks:
+            if m in word:
+                return None
+        return self.cut.findall(word.lower())
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded_parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of each of these parts, all of them pre-tokens."""
+        if self.last is None:
+            return self._encoded(parts)
+        groups, out = [parts[i:i + TOGETHER] for i in range(0, len(parts), TOGETHER)], []
+        for own, raw in zip(groups, self._encoded([" ".join(g) for g in groups])):
+            ends = (np.flatnonzero(self.last[np.frombuffer(raw, "<u4")]) + 1) * 4
+            if len(ends) == len(own) and ends[-1] == len(raw):
+                ends = ends.tolist()
+                out += [raw[i:j] for i, j in zip([0, *ends], ends)]
+            else:
+                out += self._encoded(own)
+        return out
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers; null as empty."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        for c in "\n\t\r":
+            texts = pc.replace_substring(texts, c, " ")
+        cut = pc.split_pattern(texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self._learn(words)
+        own = [self.words.young[w] for w in words]
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(own), "<u4")
+        ids = [flat[spans(begin[p], size[p])] for p in (place[i:i + _WORDS] for i in range(0, len(place), _WORDS))]
+        ids = np.concatenate(ids) if ids else flat[:0]
+        first = np.concatenate(([0], np.cumsum(size[place])))[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        return [ids[i:j].tobytes() for i, j in zip(first[:-1], first[1:])]
+
+    def _learn(self, words: list[str]) -> None:
+        """Enter the ids of these words, each named once."""
+        new = self.words.missing(words)
         parts = {w: self._parts(w) for w in new}
-        rest = self.parts.missing({p for own in parts.values() for p in own})
-        for i in range(0, len(rest), 20_000):
-            some = rest[i:i + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.parts.young[p] = np.array(e.ids, dtype="<u4").tobytes()
-        part, known = self.parts.young, self.words.young
+        rest = self.parts.missing({p for own in parts.values() if own for p in own})
+        part, known, whole = self.parts.young, self.words.young, [w for w, own in parts.items() if own is None]
+        for some, to, encode in ((rest, part, self._encoded_parts), (whole, known, self._encoded)):
+            for i in range(0, len(some), 20_000):
+                to.update(zip(some[i:i + 20_000], encode(some[i:i + 20_000])))
         for w, own in parts.items():
-            known[w] = b"".join([part[p] for p in own])
-        return [b"".join([known[w] for w in words]) for words in cut]
+            if own is not None:
+                known[w] = part[own[0]] if len(own) == 1 else b"".join([part[p] for p in own])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -204,7 +260,7 @@ def write_tokens(
             return pa.RecordBatch.from_pylist([row], schema=_SHARD)
 
         for b in pieces(batches, "text"):
-            got = enc.encode([t or "" for t in b.column("text").to_pylist()])
+            got = enc.encode(b.column("text"))
             for k, v in zip(b.column("doc_id").to_pylist(), got):
                 held.append(v + end)
                 keys.append(k)

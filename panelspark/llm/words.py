@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +138,12 @@ def int64s(column: pa.Array) -> np.ndarray:
     return pc.fill_null(column.cast(pa.int64()), -(1 << 63)).to_numpy(zero_copy_only=False)
 
 
+def spans(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin .. begin+count-1 of each, one after the other."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + count, count)
+
+
 class Recent:
     """A dict of bounded size: what was not asked for while `size` others came is forgotten."""
 
@@ -146,7 +152,7 @@ class Recent:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def missing(self, keys: set[str]) -> list[str]:
+    def missing(self, keys: Iterable[str]) -> list[str]:
         """The keys not known; all others are in `young` afterwards."""
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}

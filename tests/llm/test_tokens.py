@@ -68,6 +68,24 @@ def test_word_encoder_equals_the_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
 
 
+def test_word_encoder_gives_the_library_many_parts_at_once(monkeypatch):
+    own, calls = token_store.WordEncoder(WORDS), []
+    real, lib = own._encoded, Tokenizer.from_file(WORDS)
+    monkeypatch.setattr(own, "_encoded", lambda texts: calls.append(len(texts)) or real(texts))
+    texts = [" ".join(f"{a}{b}{c}, it's" for a in "abcdefgh" for b in "xyz" for c in "klmnop"), None, "", "İx d1 <|endoftext|> ''s\x01"]
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+    assert sum(calls) <= 5  # about 150 parts, two words that the library has to see whole
+
+
+def test_word_encoder_takes_parts_one_by_one_where_they_can_not_be_told_apart():
+    own = token_store.WordEncoder(WORDS)
+    parts = ["cat", "thing"]
+    alone = own._encoded(parts)
+    own.last[:] = False
+    assert own._encoded_parts(parts) == alone
+
+
 @pytest.mark.parametrize("n, bits", [(0, 4), (1, 1), (700, 3), (2500, 16)])
 def test_wavelet_matrix(n, bits):
     rng = np.random.default_rng(n)
