@@ -6,10 +6,14 @@ driver, as in any MLlib model; rows never do.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import combinations
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -30,6 +34,8 @@ from .sets import best_row
 PARALLEL = 8  # fits at a time
 FIT_ROWS = 50_000  # rows of a partition of a fit, at least
 FOREST_ROWS, FOREST_PARTS = 5_000, 24  # the same for a forest, for up to so many partitions
+GRID_ROWS = 200_000  # rows of a partition of a search, at most
+GRID_TOL = 1e-8  # of the mean loss: the last step leaves about its square
 
 
 # ---------------------------------------------------------------- features
@@ -169,24 +175,172 @@ def walk_forward(df: DataFrame, t: str, numeric: Sequence[str], categorical: str
     """Metrics per (candidate, fold) of an expanding, purged walk-forward search.
 
     A fold names train_start, train_end, val_start, val_end; the gap between train end and validation
-    start is purged. Preprocessing is fitted inside each fold.
+    start is purged. Preprocessing is fitted inside each fold. All candidates of a fold are fitted in the same passes
+    over its rows and scored in one pass.
     """
-    out = None
-    for fold in folds:
+
+    def one(fold: dict) -> DataFrame:
         tr, va = between(df, t, fold["train_start"], fold["train_end"]), between(df, t, fold["val_start"], fold["val_end"])
         f = Features(numeric, categorical).fit(tr)
-        ready, n = training(f, tr)
-        val = settle(f.transform(va).select("label", "features"))
-        preds = None
-        for g, m in zip(grid, at_once(lambda g, n=n, ready=ready: logistic(n, g["C"], g["l1_ratio"], iterations).fit(ready), grid)):
-            p = score(m, val).select("label", "pred", F.lit(g["candidate"]).alias("candidate"))
-            preds = p if preds is None else preds.unionByName(p)
-        preds = settle(preds)
-        s = ev.summary(preds, "label", "pred", ["candidate"])
-        rec = ev.per_class(preds, "label", "pred", ["candidate"]).where(F.col("class") == "reduce").select("candidate", F.col("recall").alias("reduce_recall"))
-        part = s.join(rec, "candidate").withColumn("fold", F.lit(fold["fold"]))
-        out = part if out is None else out.unionByName(part)
-    return out
+        n = tr.count()
+        parts = max(-(-n // GRID_ROWS), min(FOREST_PARTS, -(-n // FOREST_ROWS)), 1)
+        if tr.rdd.getNumPartitions() < parts:
+            tr = tr.repartition(parts)
+        x = vector_to_array("features").alias("features")
+        ready = settle(balanced(f.transform(tr)).select(x, "label_index", "weight"))
+        coef = elastic_grid(ready, n, grid, iterations)
+        counts = settle(predicted_counts(f.transform(va).select("label", x), coef, [g["candidate"] for g in grid]))
+        s = ev.summary(counts, "label", "pred", ["candidate"], times="times")
+        rec = ev.per_class(counts, "label", "pred", ["candidate"], times="times").where(F.col("class") == "reduce").select("candidate", F.col("recall").alias("reduce_recall"))
+        return s.join(rec, "candidate").withColumn("fold", F.lit(fold["fold"]))
+
+    return reduce(DataFrame.unionByName, at_once(one, folds))
+
+
+def _matrix(b: pa.RecordBatch) -> np.ndarray:
+    """Rows of the features of a batch, with a last column of ones."""
+    x = b.column("features").flatten().to_numpy().reshape(b.num_rows, -1)
+    return np.column_stack((x, np.ones(b.num_rows)))
+
+
+def grid_sums(ready: DataFrame, coef: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Weighted loss, gradient and Hessian of each model (model x class x coefficient, the last one the intercept) and the
+    sum of weights, in one pass; a task sends one row of sums."""
+    m, k, d = coef.shape
+    up, pairs = np.triu_indices(d), list(combinations(range(k), 2))
+    sizes = np.cumsum([m, d * m * k, len(up[0]) * m * len(pairs)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(sizes[-1] + 1)
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            if b.column("label_index").null_count:
+                raise ValueError("a training row has no class")
+            x, w = _matrix(b), b.column("weight").to_numpy()
+            at, y = np.arange(len(w)), b.column("label_index").to_numpy().astype(int)
+            z = (x @ coef.reshape(m * k, d).T).reshape(-1, m, k)
+            z -= z.max(axis=2, keepdims=True)
+            p = np.exp(z)
+            s = p.sum(axis=2)
+            p /= s[..., None]
+            both = np.stack([p[..., i] * p[..., j] for i, j in pairs], axis=2) * w[:, None, None]
+            loss = w @ (np.log(s) - z[at, :, y])
+            p[at, :, y] -= 1
+            p *= w[:, None, None]
+            total += np.concatenate((loss, (x.T @ p.reshape(len(w), -1)).ravel(),
+                                     ((x[:, up[0]] * x[:, up[1]]).T @ both.reshape(len(w), -1)).ravel(), [w.sum()]))
+        yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
+
+    total = sum(np.frombuffer(r.sums) for r in ready.mapInArrow(run, "sums binary").collect())
+    loss, grad, both, weight = np.split(total, sizes)
+    grad = grad.reshape(d, m, k).transpose(1, 2, 0).reshape(m, k * d)
+    cells = np.zeros((m, len(pairs), d, d))
+    cells[:, :, up[0], up[1]] = cells[:, :, up[1], up[0]] = both.reshape(-1, m, len(pairs)).transpose(1, 2, 0)
+    hess = np.zeros((m, k, d, k, d))
+    for q, (i, j) in enumerate(pairs):  # a row of blocks adds up to nothing
+        hess[:, i, :, i] += cells[:, q]
+        hess[:, j, :, j] += cells[:, q]
+        hess[:, i, :, j] -= cells[:, q]
+        hess[:, j, :, i] -= cells[:, q]
+    return loss, grad, hess.reshape(m, k * d, k * d), float(weight[0])
+
+
+def _descend(at: np.ndarray, grad: np.ndarray, hess: np.ndarray, l1: np.ndarray, l2: np.ndarray) -> np.ndarray:
+    """Minimum of each quadratic model around `at` plus l1 |u| + l2 u^2 / 2, all models side by side.
+
+    A round goes through the coordinates, then takes Newton's steps of the coordinates that are not zero, with their signs
+    held: each goes up to the first that reaches zero, which stays there. These end the slow way along collinear columns.
+    """
+    u, slope = at.copy(), grad.copy()  # slope: of the quadratic model at u
+    eye = np.eye(u.shape[1])
+    for _ in range(200):
+        won = np.zeros(len(u))
+        for j in range(u.shape[1]):
+            h = hess[:, j, j]
+            bend, free = h + l2[:, j], h * u[:, j] - slope[:, j]
+            step = np.sign(free) * np.maximum(np.abs(free) - l1[:, j], 0.0) / np.where(bend > 1e-15, bend, np.inf) - u[:, j]
+            u[:, j] += step
+            slope += step[:, None] * hess[:, j]
+            won += step * step * bend
+        for _ in range(u.shape[1]):
+            held = (u != 0) | (l1 == 0)
+            force = np.where(held, slope + l2 * u + l1 * np.sign(u), 0.0)
+            bends = hess * held[:, :, None] * held[:, None, :] + (np.where(held, l2 + 1e-11, 1.0))[:, :, None] * eye
+            step = -np.linalg.solve(bends, force[:, :, None])[:, :, 0]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                room = np.where((l1 > 0) & (u * (u + step) < 0), -u / step, 1.0)
+            part = room.min(axis=1, keepdims=True)
+            step *= part
+            u = np.where((room == part) & (room < 1), 0.0, u + step)
+            slope += np.einsum("mij,mj->mi", hess, step)
+            won -= (force * step).sum(axis=1)
+            if part.min() == 1:
+                break
+        if won.max() < 1e-12:
+            break
+    return u
+
+
+def elastic_grid(ready: DataFrame, n: int, grid: Sequence[dict], iterations: int) -> np.ndarray:
+    """Coefficients (candidate x class x feature, then the intercept) of multinomial elastic nets, as `logistic` defines them.
+
+    Every pass over the rows serves all candidates: it adds up gradients and Hessians, and the penalised quadratic
+    models, whose size is that of the coefficients, are solved on the driver. So a handful of passes stand for the hundreds
+    of first-order iterations of as many single fits. A step that doesn't lower the loss is halved; a candidate is done when its model promises
+    no more than GRID_TOL. At most `iterations` passes.
+    """
+    m, k, d = len(grid), len(CLASSES), len(ready.select("features").first()[0]) + 1
+    slopes = np.tile(np.arange(d) < d - 1, k)  # intercepts are free
+    strength, ratio = np.array([1.0 / (g["C"] * n) for g in grid]), np.array([g["l1_ratio"] for g in grid])
+    l1, l2 = (strength * ratio)[:, None] * slopes, (strength * (1 - ratio))[:, None] * slopes
+    at, best = np.zeros((m, k * d)), np.full(m, np.inf)
+    trial, promise, size = at.copy(), np.zeros(m), np.ones(m)
+    target, open_ = at.copy(), np.arange(m)
+
+    def penalty(u: np.ndarray, i) -> np.ndarray:
+        return (l1[i] * np.abs(u) + l2[i] * u * u / 2).sum(axis=1)
+
+    for _ in range(iterations):
+        loss, grad, hess, weight = grid_sums(ready, trial[open_].reshape(-1, k, d))
+        value = loss / weight + penalty(trial[open_], open_)
+        good = value <= best[open_] - 1e-4 * size[open_] * promise[open_]
+        i = open_[good]
+        at[i], best[i], size[i] = trial[i], value[good], 1.0
+        g, h = grad[good] / weight, hess[good] / weight
+        if len(i):
+            target[i] = _descend(at[i], g, h, l1[i], l2[i])
+            step = target[i] - at[i]
+            promise[i] = -((g * step).sum(axis=1) + np.einsum("mi,mij,mj->m", step, h, step) / 2 + penalty(target[i], i) - penalty(at[i], i))
+        size[open_[~good]] /= 2
+        done = np.isin(open_, i[promise[i] < GRID_TOL]) | (size[open_] < 1e-9)
+        at[i[promise[i] < GRID_TOL]] = target[i[promise[i] < GRID_TOL]]
+        open_ = open_[~done]
+        if not len(open_):
+            break
+        trial[open_] = at[open_] + size[open_, None] * (target[open_] - at[open_])
+    return at.reshape(m, k, d)
+
+
+def predicted_counts(rows: DataFrame, coef: np.ndarray, names: Sequence[str]) -> DataFrame:
+    """candidate, label, pred, times: how often each model gives each label (the first of equal scores) to rows of each label."""
+    m, k, d = coef.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            got = (_matrix(b) @ coef.reshape(m * k, d).T).reshape(-1, m, k).argmax(axis=2)
+            label = b.column("label").to_numpy(zero_copy_only=False)
+            for c in set(label):
+                own = got[label == c] if c is not None else got[[v is None for v in label]]
+                times = np.stack([(own == j).sum(axis=0) for j in range(k)], axis=1)
+                yield pa.RecordBatch.from_pydict({
+                    "candidate": [a for a in names for _ in range(k)], "label": pa.array([c] * (m * k), pa.string()),
+                    "pred": list(CLASSES) * m, "times": times.ravel()})
+
+    return rows.mapInArrow(run, "candidate string, label string, pred string, times long").groupBy("candidate", "label", "pred").agg(
+        F.sum("times").alias("times"))
 
 
 def search_table(metrics: DataFrame) -> DataFrame:

@@ -82,6 +82,47 @@ def test_scores_are_probabilities_and_beat_chance(spark):
         assert np.mean([r.pred == r.label for r in out]) > 0.5
 
 
+def test_candidates_of_a_fold_share_few_passes(spark):
+    """Each candidate was a fit of its own, every iteration a pass; the results are those of the library's fits, carried to the end."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 2))
+    x[:, 1] = 0.95 * x[:, 0] + 0.3 * x[:, 1]
+    z = x[:, 0] + rng.normal(size=400)
+    rows = [(dt.date(2020, 1 + i % 8, 1), float(a), float(b), "xyz"[i % 3], "increase" if v > 0.6 else "reduce" if v < -0.6 else "hold")
+            for i, ((a, b), v) in enumerate(zip(x, z))]
+    df = spark.createDataFrame(rows, "t date, a double, b double, s string, label string")
+    fold = {"fold": 1, "train_start": "2020-01-01", "train_end": "2020-05-31", "val_start": "2020-07-01", "val_end": "2020-08-31"}
+    grid = [{"candidate": f"{c} {r}", "C": c, "l1_ratio": r} for c in (0.01, 0.1, 1.0, 100.0) for r in (0.0, 0.3, 1.0)]
+    sc = spark.sparkContext
+    sc.setJobGroup("walk", "walk")
+    got = {r.candidate: r for r in ml.walk_forward(df, "t", ["a", "b"], "s", [fold], grid, 3000).collect()}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == 12 and len(sc.statusTracker().getJobIdsForGroup("walk")) < 100
+
+    tr, va = ml.between(df, "t", "2020-01-01", "2020-05-31"), ml.between(df, "t", "2020-07-01", "2020-08-31")
+    f = ml.Features(["a", "b"], "s").fit(tr)
+    ready, n = ml.training(f, tr)
+    plain = ready.select(vector_to_array("features").alias("features"), "label_index", "weight")
+    coef, v = ml.elastic_grid(plain, n, grid, 3000), f.transform(va).select("label", "features").cache()
+    xs = np.array([r.features for r in v.collect()])
+    for g, c in list(zip(grid, coef))[1::5]:
+        out = ml.score(ml.logistic(n, g["C"], g["l1_ratio"], 200).setTol(1e-9).fit(ready), v).collect()
+        e = np.exp(np.column_stack((xs, np.ones(len(xs)))) @ c.T)
+        want = np.array([[r.p_increase, r.p_hold, r.p_reduce] for r in out])
+        assert np.allclose(e / e.sum(axis=1, keepdims=True), want, atol=1e-3)
+        assert math.isclose(got[g["candidate"]].accuracy, np.mean([r.pred == r.label for r in out]), abs_tol=0.01)
+        assert got[g["candidate"]].n == len(out)
+    assert (coef[2][:, :-1] == 0).any()  # the strongest L1 penalty sets some to zero
+
+
+def test_passes_end_at_their_number(spark):
+    df = labelled(spark).withColumn("s", F.lit("q"))
+    ready, n = ml.training(ml.Features(["x"], "s").fit(df), df)
+    plain = ready.select(vector_to_array("features").alias("features"), "label_index", "weight")
+    grid = [{"candidate": "one", "C": 1.0, "l1_ratio": 0.5}]
+    assert (ml.elastic_grid(plain, n, grid, 1) == 0).all() and (ml.elastic_grid(plain, n, grid, 50) != 0).any()
+
+
 def test_rows_of_a_forest_are_spread(spark):
     """48,000 rows and 500 trees were one task; other models keep their few partitions."""
     ready = spark.range(48_000).coalesce(1)
