@@ -21,7 +21,8 @@ PART_BYTES = 64 << 20  # of the texts of a partition
 BLOCK = 512  # bits between stored ranks
 TOGETHER = 100  # parts of words encoded as one text
 _WORDS = 1 << 18  # words whose ids are put together at once
-KEPT = 500_000  # words, and parts of words, whose ids a task keeps
+KEPT = 500_000  # parts of words whose ids a task keeps
+KEPT_WORDS, KEPT_BYTES = 1_000_000, 64 << 20  # words whose ids it keeps, and their bytes
 
 
 class WaveletMatrix:
@@ -139,7 +140,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.words, self.parts = Recent(KEPT), Recent(KEPT)
+        self.parts = Recent(KEPT)
+        self._forget()
         self.bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -198,28 +200,58 @@ class WordEncoder:
             texts = pc.replace_substring(texts, c, " ")
         cut = pc.split_pattern(texts, " ")
         coded = cut.flatten().dictionary_encode()
-        words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        self._learn(words)
-        own = [self.words.young[w] for w in words]
-        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(own), "<u4")
+        place = self._places(coded.dictionary.cast(pa.large_string()))[coded.indices.to_numpy()]
+        begin, size, flat = self.begin, self.size, self.flat
         ids = [flat[spans(begin[p], size[p])] for p in (place[i:i + _WORDS] for i in range(0, len(place), _WORDS))]
         ids = np.concatenate(ids) if ids else flat[:0]
         first = np.concatenate(([0], np.cumsum(size[place])))[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
         return [ids[i:j].tobytes() for i, j in zip(first[:-1], first[1:])]
 
-    def _learn(self, words: list[str]) -> None:
-        """Enter the ids of these words, each named once."""
-        new = self.words.missing(words)
-        parts = {w: self._parts(w) for w in new}
-        rest = self.parts.missing({p for own in parts.values() if own for p in own})
-        part, known, whole = self.parts.young, self.words.young, [w for w, own in parts.items() if own is None]
-        for some, to, encode in ((rest, part, self._encoded_parts), (whole, known, self._encoded)):
-            for i in range(0, len(some), 20_000):
-                to.update(zip(some[i:i + 20_000], encode(some[i:i + 20_000])))
-        for w, own in parts.items():
-            if own is not None:
-                known[w] = part[own[0]] if len(own) == 1 else b"".join([part[p] for p in own])
+    def _forget(self) -> None:
+        """Start anew: `words` are the kept ones, in `flat` lie the ids of each, `used` is the call that last asked for it."""
+        self.words, self.flat = pa.array([], pa.large_string()), np.empty(0, dtype="<u4")
+        self.begin = self.size = self.used = np.empty(0, dtype=np.int64)
+        self.calls = 0
+
+    def _shrink(self) -> None:
+        """Keep at most half of KEPT_WORDS words, those asked for last."""
+        keep = np.flatnonzero(self.used > np.partition(self.used, -(KEPT_WORDS // 2))[-(KEPT_WORDS // 2)])
+        self.words, self.flat = self.words.take(pa.array(keep)), self.flat[spans(self.begin[keep], self.size[keep])]
+        self.size, self.used = self.size[keep], self.used[keep]
+        self.begin = np.cumsum(self.size) - self.size
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where these words, each named once, stand among the kept ones; those not there are encoded and entered."""
+        if len(self.words) > KEPT_WORDS:
+            self._shrink()
+        if self.words.nbytes > KEPT_BYTES:
+            self._forget()
+        have = len(self.words)
+        place = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = np.flatnonzero(place < 0)
+        new = words.take(pa.array(missing))
+        own = self._learn(new.to_pylist())
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        place[missing] = np.arange(have, have + len(own))
+        self.words = pa.concat_arrays([self.words, new])
+        self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(own), "<u4")))
+        self.size = np.concatenate((self.size, size))
+        self.begin = np.cumsum(self.size) - self.size
+        self.calls += 1
+        self.used = np.concatenate((self.used, np.zeros(len(own), dtype=np.int64)))
+        self.used[place] = self.calls
+        return place
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of these words, each named once."""
+        parts = [self._parts(w) for w in words]
+        rest = self.parts.missing({p for own in parts if own for p in own})
+        part = self.parts.young
+        for i in range(0, len(rest), 20_000):
+            part.update(zip(rest[i:i + 20_000], self._encoded_parts(rest[i:i + 20_000])))
+        whole = [w for w, own in zip(words, parts) if own is None]
+        seen = iter([ids for i in range(0, len(whole), 20_000) for ids in self._encoded(whole[i:i + 20_000])])
+        return [next(seen) if own is None else part[own[0]] if len(own) == 1 else b"".join([part[p] for p in own]) for own in parts]
 
 
 _encoders: dict[str, WordEncoder] = {}

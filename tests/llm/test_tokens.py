@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -78,6 +79,30 @@ def test_word_encoder_gives_the_library_many_parts_at_once(monkeypatch):
     assert sum(calls) <= 5  # about 150 parts, two words that the library has to see whole
 
 
+def test_known_words_stay_in_arrow(monkeypatch):
+    """Every distinct word of every piece became a Python string, known or not; a word is now made one when it is learned."""
+    own, learned, learn = token_store.WordEncoder(WORDS), [], token_store.WordEncoder._learn
+    monkeypatch.setattr(token_store.WordEncoder, "_learn", lambda self, words: learned.append(sorted(words)) or learn(self, words))
+    lib = Tokenizer.from_file(WORDS)
+    want = lambda texts: [np.array(e.ids, dtype="<u4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
+    one, two = ["the cat sat", "a cat, zebra\u00e9"], ["zebra\u00e9 sat the dog", "", "the the"]
+    assert own.encode(one) == want(one) and own.encode(two) == want(two)
+    assert own.encode(pa.array(two, pa.large_string())) == want(two) and own.encode([]) == []
+    assert [[w for w in ws if w] for ws in learned] == [["a", "cat", "cat,", "sat", "the", "zebra\u00e9"], ["dog"], [], []]
+
+
+def test_forgotten_words_are_learned_again(monkeypatch):
+    monkeypatch.setattr(token_store, "KEPT_WORDS", 4)
+    lib, texts = Tokenizer.from_file(WORDS), ["one two three four five six", "two seven", "eight nine one", "two one ten", "ten two", "one"]
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
+    for limit in (64 << 20, 1):
+        monkeypatch.setattr(token_store, "KEPT_BYTES", limit)
+        own = token_store.WordEncoder(WORDS)
+        for _ in range(3):
+            assert [own.encode([t])[0] for t in texts] == want
+            assert len(own.words) <= 4 + 6
+
+
 def test_word_encoder_takes_parts_one_by_one_where_they_can_not_be_told_apart():
     own = token_store.WordEncoder(WORDS)
     parts = ["cat", "thing"]
