@@ -3,11 +3,12 @@ import math
 
 import numpy as np
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import t_p_value
 from panelspark.functions.udfs import standardised_ols
-from panelspark.operators import ml, stats
+from panelspark.operators import forest, ml, stats
 
 
 def test_t_p_values(spark):
@@ -131,6 +132,102 @@ def test_rows_of_a_forest_are_spread(spark):
     assert parts(ml.logistic(48_000), 48_000) == parts(ml.boosted(), 48_000) == 1
 
 
+def test_trees_of_a_forest_grow_in_common_passes(spark):
+    """Each level of a few trees was a job with a dense shuffle of its own; the shares are those of the library's
+    forest but for its draws and for its leaves, which it merges where both give the same class."""
+    df = labelled(spark, 3000).withColumn("s", F.when(F.col("x") > 1, "q").otherwise("r"))
+    f = ml.Features(["x"], "s").fit(df)
+    ready, n = ml.training(f, df)
+    model = ml.forest(200, 5)
+    sc = spark.sparkContext
+    sc.setJobGroup("grow", "grow")
+    own = ml.fitted(model, ready, n)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert own.feature.shape == (200, 32) and own.shares.shape == (200, 32, 3)
+    # a few jobs make the blocks and a few each level, whatever the number of trees
+    assert len(sc.statusTracker().getJobIdsForGroup("grow")) < 40
+    at = spark.createDataFrame([(i / 10, "q" if i > 10 else "r", "hold") for i in range(-20, 21)], "x double, s string, label string")
+    p = [np.array([[r.p_increase, r.p_hold, r.p_reduce] for r in ml.score(m, f.transform(at)).orderBy("x").collect()])
+         for m in (own, ml.fitted(model, ready, n), model.fit(ready))]
+    assert (p[0] == p[1]).all() and np.allclose(p[0].sum(axis=1), 1)
+    assert np.abs(p[0] - p[2]).max() < 0.15 and np.abs(p[0] - p[2]).mean() < 0.06
+
+
+def test_one_tree_takes_the_best_cuts(spark):
+    """Against every cut of the drawn features, counted row by row."""
+    rng = np.random.default_rng(7)
+    x, y = rng.integers(0, 6, (400, 3)).astype(float), rng.integers(0, 3, 400)
+    y[x[:, 1] > 2] = 2
+    w = np.array([2.0, 0.5, 1.5])
+    rows = [(Vectors.dense(a), float(b), float(w[b])) for a, b in zip(x, y)]
+    ready = spark.createDataFrame(rows, ["features", "label_index", "weight"]).coalesce(1)
+    got = forest.grow(ml.forest(3, 4), ready)
+    drawn = [np.array(r.features) for r in ready.select("features").collect()]
+    assert (np.array(drawn) == x).all()
+    for tree in range(3):
+        times = forest.TIMES[np.frombuffer(np.random.default_rng((42, 0, tree, 0)).bytes(800), np.uint16)].astype(int)
+
+        def gini(rows):
+            n = np.bincount(y[rows], times[rows], 3) * w
+            return n.sum() - (n * n).sum() / n.sum() if n.sum() else 0.0
+
+        def check(node, level, rows):
+            n = np.bincount(y[rows], times[rows], 3)
+            gains = {}
+            if level < 4 and (n > 0).sum() > 1:
+                for j in forest.drawn_features(42, tree, np.array([node]), 3, 2)[0]:
+                    for b, v in enumerate(got.cuts[j]):
+                        l, r = rows[x[rows, j] <= v], rows[x[rows, j] > v]
+                        if times[l].sum() and times[r].sum():
+                            gains[j, b] = gini(rows) - gini(l) - gini(r)
+            best = max(gains.values(), default=0.0)
+            if best <= 1e-9:
+                want = n * w / (n * w).sum()
+                assert np.allclose(got.shares[tree, (node << (4 - level)) - 16], want, atol=1e-6)
+                return
+            j, b = int(got.feature[tree, node]), int(got.cut[tree, node])
+            assert np.isclose(gains[j, b], best)
+            v = got.cuts[j][b]
+            check(2 * node, level + 1, rows[x[rows, j] <= v])
+            check(2 * node + 1, level + 1, rows[x[rows, j] > v])
+
+        check(1, 0, np.arange(400))
+
+
+def test_draws_of_rows_have_mean_and_spread_one():
+    t = forest.TIMES.astype(float)
+    assert abs(t.mean() - 1) < 1e-3 and abs(t.var() - 1) < 2e-3 and abs((t == 0).mean() - math.exp(-1)) < 1e-4
+
+
+def test_values_outside_the_cuts_and_constant_columns(spark):
+    cuts = [np.array([0.0, 1.0]), np.array([5.0])]
+    import pyarrow as pa
+
+    got = forest.binned(pa.array([[-1.0, 5.0], [0.0, 6.0], [0.5, 4.0], [2.0, 5.0]]), cuts)
+    assert got.tolist() == [[0, 0], [0, 1], [1, 0], [2, 0]]
+    rows = [(Vectors.dense([3.0]), float(i % 2), 1.0) for i in range(20)]
+    one = forest.grow(ml.forest(2, 3), spark.createDataFrame(rows, ["features", "label_index", "weight"]))
+    assert (one.feature == 0).all() and (one.shares[:, 1:] == 0).all() and np.allclose(one.shares[:, 0].sum(axis=1), 1)
+
+
+def test_windows_are_compared_one_after_the_other(spark):
+    """Fits of all windows at once shared the cores, and one that failed let the others run on."""
+    seen = []
+
+    def first(i):
+        if i == 3:
+            raise KeyError(i)
+        seen.append(i)
+        return 10 * i
+
+    assert ml.in_turn(first, lambda i, x: (i, x, spark.range(i).count()), [1, 2]) == [(1, 10, 1), (2, 20, 2)]
+    try:
+        ml.in_turn(first, lambda i, x: None, [3, 4])
+    except KeyError:
+        pass
+    assert seen == [1, 2]
+
+
 def test_fits_at_once_may_hold_fits_at_once(spark):
     got = ml.at_once(lambda i: ml.at_once(lambda j: spark.range(i + j).count(), [1, 2]), [1, 2])
     assert got == [[2, 3], [3, 4]]
