@@ -6,11 +6,13 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from .sinks import settle
+
 PROBS = "struct<increase double, hold double, reduce double>"
 DECISION_SCHEMA = (
     "decision_date_t string, ticker string, model_main string, inputs_hash string, "
@@ -59,16 +61,91 @@ def file_name_parts(name) -> dict:
     }
 
 
+def _arrow_uri(spark: SparkSession, path: str) -> str:
+    """A path as Arrow's file systems take it, in the file system that Spark would read it from."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    return f"{at.getScheme()}://{at.getAuthority() or ''}{at.getPath()}"
+
+
+HIDDEN = re.compile(r"\.|_(?!.*=)|.*\._COPYING_$")  # beginnings of names that Spark's readers skip
+LISTED = 10_000  # entries of a folder in a batch
+LIST_PARTS, LIST_FOLDERS = 64, 1_000  # tasks that list folders, and folders of a task beyond that
+TASK_FILES, TASK_BYTES, BATCH_BYTES = 10_000, 128 << 20, 8 << 20  # of a task that reads files, and of a batch of texts
+
+
+def listed(spark: SparkSession, uri: str, root: str) -> DataFrame:
+    """path, n_bytes and modified (milliseconds) of the files of a folder and its subfolders, written once.
+
+    Tasks list the folders, level by level: one folder's list is in a task at a time, and none in the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = FileSystem.from_uri(uri)
+        for b in batches:
+            for folder in b["path"]:
+                found = files.get_file_info(FileSelector(folder.as_py()))
+                for i in range(0, len(found), LISTED):
+                    some = [f for f in found[i:i + LISTED] if not HIDDEN.match(f.base_name) and f.type in (FileType.File, FileType.Directory)]
+                    yield pa.RecordBatch.from_pydict({
+                        "path": pa.array([f.path for f in some], pa.string()), "folder": pa.array([f.type == FileType.Directory for f in some], pa.bool_()),
+                        "n_bytes": pa.array([f.size for f in some], pa.int64()), "modified": pa.array([f.mtime_ns // 1_000_000 for f in some], pa.int64())})
+
+    out, folders = None, spark.createDataFrame([(root,)], "path string")
+    while True:
+        level = settle(folders.mapInArrow(run, "path string, folder boolean, n_bytes bigint, modified bigint"))
+        out = level if out is None else out.unionByName(level)
+        folders = level.where("folder").select("path")
+        n = folders.count()
+        if not n:
+            return out.where("not folder").drop("folder")
+        folders = folders.repartition(min(n, max(LIST_PARTS, -(-n // LIST_FOLDERS))))
+
+
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, n_bytes, modified and text of the files of a folder and its subfolders.
+
+    Tasks list and read them through Arrow's file systems, so that no name reaches the driver. A file system that Arrow can't
+    open, and a pattern of names, go to Spark's reader, which holds the names of all files on the driver.
+    """
+    uri = _arrow_uri(spark, path)
+    try:
+        files, root = FileSystem.from_uri(uri)
+        if files.get_file_info(root).type != FileType.Directory:
+            raise ValueError(path)
+    except (OSError, ValueError):
+        df = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+        # Spark's paths are escaped; a plus sign is none
+        return df.select(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("path"), F.col("_metadata.file_size").alias("n_bytes"),
+                         F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = FileSystem.from_uri(uri)
+        for b in batches:
+            texts, size, first = [], 0, 0
+            for i, at in enumerate(b["path"], 1):
+                with files.open_input_stream(at.as_py()) as f:
+                    texts.append(f.read())
+                size += len(texts[-1])
+                if size >= BATCH_BYTES or i == len(b):
+                    yield pa.RecordBatch.from_arrays([*b.slice(first, i - first).columns, pa.array(texts, pa.binary())], names=[*b.schema.names, "text"])
+                    texts, size, first = [], 0, i
+
+    names = listed(spark, uri, root)
+    all_ = names.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("size")).first()
+    parts = max(min(all_.n, spark.sparkContext.defaultParallelism), -(-all_.n // TASK_FILES), -(-all_["size"] // TASK_BYTES), 1)
+    df = names.repartition(parts).mapInArrow(run, "path string, n_bytes bigint, modified bigint, text binary")
+    return df.withColumns({"modified": F.timestamp_millis("modified"), "text": F.col("text").cast("string")})
+
+
 def read_documents(spark: SparkSession, path: str, unreadable: bool = False) -> DataFrame:
     """A folder (with its subfolders) of text files, one document each: whole files with size and time, names parsed.
 
-    A document is a file of its name, or the one file in a folder of its name as Spark's writer makes it. Small files share
-    a task up to Spark's partition size. Files whose name can't be parsed are dropped, or kept with `readable` false.
+    A document is a file of its name, or the one file in a folder of its name as Spark's writer makes it. Files whose name
+    can't be parsed are dropped, or kept with `readable` false.
     """
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    name = F.regexp_extract("_metadata.file_path", r"([^/=]+?\.txt)(?:/part-[^/]*)?$", 1)
-    df = files.select(name.alias("file_name"), F.col("_metadata.file_size").alias("n_bytes"),
-                      F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
+    name = F.regexp_extract("path", r"([^/=]+?\.txt)(?:/part-[^/]*)?$", 1)
+    df = whole_files(spark, path).select(name.alias("file_name"), "n_bytes", "modified", "text")
     df = df.withColumns(file_name_parts(F.col("file_name")))
     named = F.col("filed").isNotNull() & (F.col("accession") != "")
     return df.withColumn("readable", F.coalesce(named, F.lit(False))) if unreadable else df.where(named)
@@ -86,10 +163,7 @@ def write_documents(df: DataFrame, path: str, name: str, text: str) -> None:
     several operations of its file system a document.
     """
     rows = df.select(F.col(name).alias("file"), F.coalesce(F.col(text), F.lit("")).alias("value"))
-    spark = df.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri()
-    uri = f"{at.getScheme()}://{at.getAuthority() or ''}{at.getPath()}"
+    uri = _arrow_uri(df.sparkSession, path)
     try:
         files, root = FileSystem.from_uri(uri)
         for i in range(FOLDERS):

@@ -92,6 +92,34 @@ def test_documents_where_arrow_has_no_file_system(spark, tmp_path):
     assert {(r.file_name, r.text) for r in readers.read_documents(spark, str(at)).collect()} == {(n, f"{n}\n") for n in names}
 
 
+def test_names_of_documents_stay_out_of_the_driver(spark, tmp_path):
+    """Spark's reader held name, size and time of every file on the driver."""
+    at = tmp_path / "docs"
+    names = [f"ab_8-K_2024-02-29_{i}.txt" for i in range(600)]
+    readers.write_documents(spark.createDataFrame([(n, n) for n in names], "name string, body string"), str(at), "name", "body")
+    for p in (".hidden.txt", "_SUCCESS", "_tmp/ab_8-K_2024-02-29_x.txt", "deep/er/a+b c%3A_8-K_2024-02-29_700.txt", "empty/ab_8-K_2024-02-29_701.txt"):
+        (at / p).parent.mkdir(parents=True, exist_ok=True)
+        (at / p).write_bytes(b"" if "empty" in p else b"caf\xe9")
+    df = readers.read_documents(spark, str(at))
+    assert len(df.inputFiles()) < 100
+    got = {r.file_name: r for r in df.select("*", F.encode("text", "utf-8").alias("raw"), F.unix_millis("modified").alias("ms")).collect()}
+    assert set(got) == {*names, "a+b c%3A_8-K_2024-02-29_700.txt", "ab_8-K_2024-02-29_701.txt"}
+    odd = got["a+b c%3A_8-K_2024-02-29_700.txt"]
+    assert (odd.entity, odd.n_bytes, odd.ms) == ("A+B C%3A", 4, (at / "deep/er/a+b c%3A_8-K_2024-02-29_700.txt").stat().st_mtime_ns // 1_000_000)
+    assert got["ab_8-K_2024-02-29_701.txt"].text == "" and df.where("accession = '700'").select(F.hex(F.col("text").cast("binary"))).first()[0] == "636166E9"
+
+
+def test_patterns_and_stores_of_spark_alone_are_read_by_it(spark, tmp_path):
+    at = tmp_path / "docs"
+    at.mkdir()
+    for i in range(2):
+        (at / f"a+b c%3A_8-K_2024-02-29_{i}.txt").write_text(str(i))
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.only.link./at", f"file://{tmp_path}")
+    for path in (str(at), f"{at}/*_0.txt", "viewfs://only/at/docs"):
+        got = {(r.file_name, r.text, r.entity) for r in readers.read_documents(spark, path).collect()}
+        assert got == {(f"a+b c%3A_8-K_2024-02-29_{i}.txt", str(i), "A+B C%3A") for i in range(1 if "*" in path else 2)}
+
+
 class _Conf:
     def __init__(self, value):
         self.value = value
