@@ -161,7 +161,7 @@ def test_one_tree_takes_the_best_cuts(spark):
     w = np.array([2.0, 0.5, 1.5])
     rows = [(Vectors.dense(a), float(b), float(w[b])) for a, b in zip(x, y)]
     ready = spark.createDataFrame(rows, ["features", "label_index", "weight"]).coalesce(1)
-    got = forest.grow(ml.forest(3, 4), ready)
+    got = forest.grow(ml.forest(3, 4), ready, 400)
     drawn = [np.array(r.features) for r in ready.select("features").collect()]
     assert (np.array(drawn) == x).all()
     for tree in range(3):
@@ -194,6 +194,35 @@ def test_one_tree_takes_the_best_cuts(spark):
         check(1, 0, np.arange(400))
 
 
+def test_boosted_trees_of_a_round_grow_in_common_passes(spark):
+    """Each class was a fit of its own with a handful of jobs a round; the margins are those of the library's trees."""
+    rng = np.random.default_rng(11)
+    x, v = rng.integers(0, 8, (900, 2)).astype(float), rng.normal(size=900)
+    z = x[:, 0] - x[:, 1] + 2 * v
+    rows = [(float(a), float(b), "increase" if s > 2 else "reduce" if s < -2 else "hold") for (a, b), s in zip(x, z)]
+    df = spark.createDataFrame(rows, "a double, b double, label string")
+    f = ml.Features(["a", "b"], None).fit(df)
+    ready, n = ml.training(f, df)
+    model = ml.boosted(25, 3)
+    sc = spark.sparkContext
+    sc.setJobGroup("boost", "boost")
+    own = ml.fitted(model, ready, n)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(own.trees) == 25 and len(sc.statusTracker().getJobIdsForGroup("boost")) < 25 * 3 + 20
+    grid = spark.createDataFrame([(float(a), float(b), "hold") for a in range(8) for b in range(8)], "a double, b double, label string")
+    got, want = (np.array([list(r.rawPrediction) for r in m.transform(f.transform(grid)).orderBy("a", "b").collect()]) for m in (own, model.fit(ready)))
+    assert np.allclose(got, want, atol=1e-6)
+
+
+def test_boosting_goes_on_where_nothing_is_left_to_cut(spark):
+    rows = [(Vectors.dense([3.0]), float(i % 4 == 0), 1.0) for i in range(20)]
+    ready = spark.createDataFrame(rows, ["features", "label_index", "weight"])
+    got = ml.fitted(ml.boosted(3, 2), ready, 20)
+    lib = ml.boosted(3, 2).fit(ready)
+    margins = [np.array(m.transform(ready).select("rawPrediction").first()[0]) for m in (got, lib)]
+    assert np.allclose(*margins, atol=1e-9)
+
+
 def test_draws_of_rows_have_mean_and_spread_one():
     t = forest.TIMES.astype(float)
     assert abs(t.mean() - 1) < 1e-3 and abs(t.var() - 1) < 2e-3 and abs((t == 0).mean() - math.exp(-1)) < 1e-4
@@ -206,7 +235,7 @@ def test_values_outside_the_cuts_and_constant_columns(spark):
     got = forest.binned(pa.array([[-1.0, 5.0], [0.0, 6.0], [0.5, 4.0], [2.0, 5.0]]), cuts)
     assert got.tolist() == [[0, 0], [0, 1], [1, 0], [2, 0]]
     rows = [(Vectors.dense([3.0]), float(i % 2), 1.0) for i in range(20)]
-    one = forest.grow(ml.forest(2, 3), spark.createDataFrame(rows, ["features", "label_index", "weight"]))
+    one = forest.grow(ml.forest(2, 3), spark.createDataFrame(rows, ["features", "label_index", "weight"]), 20)
     assert (one.feature == 0).all() and (one.shares[:, 1:] == 0).all() and np.allclose(one.shares[:, 0].sum(axis=1), 1)
 
 
